@@ -99,18 +99,18 @@ def _with_span(df, keys, value, span):
 
 def distinct_ranks(df: DataFrame, keys: list[str], value: str,
                    span: tuple[float, float] | None = None, settled: bool = False) -> DataFrame:
-    """One row per group and distinct value: ``cnt``, ``below`` (smaller rows), ``n``.
+    """One row per group and distinct value: ``__cnt``, ``__below`` (smaller rows), ``__n``.
 
     Copies collapse before the first shuffle, so tied values cost nothing."""
     d = (df.filter(F.col(value).isNotNull()).groupBy(*keys, value)
-         .agg(F.count(F.lit(1)).alias("cnt")))
+         .agg(F.count(F.lit(1)).alias("__cnt")))
     d = d if settled else cut_lineage(d)
     d = _with_span(d, keys, value, span)
     d = d.withColumn(B, value_bucket(F.col(value), F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")
-    d = with_bucket_offsets(d, keys, F.sum("cnt"))
+    d = with_bucket_offsets(d, keys, F.sum("__cnt"))
     w = Window.partitionBy(*keys, B).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return d.select(*keys, value, B, "cnt", F.col("__n").alias("n"),
-                    (F.col("__before") + F.coalesce(F.sum("cnt").over(w), F.lit(0))).alias("below"))
+    return d.select(*keys, value, B, "__cnt", "__n",
+                    (F.col("__before") + F.coalesce(F.sum("__cnt").over(w), F.lit(0))).alias("__below"))
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str,
@@ -119,20 +119,20 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str,
     d = distinct_ranks(df, keys, value, settled=settled)
     aggs, outs = [], []
     for i, (name, q) in enumerate(probs.items()):
-        h = (F.col("n") - 1) * F.lit(float(q))
+        h = (F.col("__n") - 1) * F.lit(float(q))
         for side, pos in (("l", F.floor(h)), ("u", F.ceil(h))):
-            hit = (F.col("below") <= pos) & (pos < F.col("below") + F.col("cnt"))
+            hit = (F.col("__below") <= pos) & (pos < F.col("__below") + F.col("__cnt"))
             aggs.append(F.max(F.when(hit, F.col(value))).alias(f"__{side}{i}"))
-        hh = (F.col("__n") - 1) * F.lit(float(q))
+        hh = (F.col("__tot") - 1) * F.lit(float(q))
         lo, up = F.col(f"__l{i}"), F.col(f"__u{i}")
         outs.append((lo + (hh - F.floor(hh)) * (up - lo)).alias(name))
-    return d.groupBy(*keys).agg(F.max("n").alias("__n"), *aggs).select(*keys, *outs)
+    return d.groupBy(*keys).agg(F.max("__n").alias("__tot"), *aggs).select(*keys, *outs)
 
 
 def average_ranks(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """Adds the 1-based rank, ties sharing their mean rank. The values must be settled."""
     r = distinct_ranks(df, keys, value, settled=True).select(
-        *keys, value, (F.col("below") + (F.col("cnt") + 1) / 2).alias(out))
+        *keys, value, (F.col("__below") + (F.col("__cnt") + 1) / 2).alias(out))
     return df.join(r, [*keys, value])
 
 
@@ -144,7 +144,7 @@ def bh_qvalues(df: DataFrame, p: str, family: list[str], out: str) -> DataFrame:
     window, over later buckets by their minima)."""
     df = cut_lineage(df)
     r = distinct_ranks(df, family, p, span=(0.0, 1.0), settled=True).withColumn(
-        "__q", F.col(p) * F.col("n") / (F.col("below") + F.col("cnt")))
+        "__q", F.col(p) * F.col("__n") / (F.col("__below") + F.col("__cnt")))
     later = Window.partitionBy(*_key(family)).orderBy(B).rowsBetween(1, Window.unboundedFollowing)
     ends = r.groupBy(*family, B).agg(F.min("__q").alias("__m")).select(
         *family, B, F.min("__m").over(later).alias("__later"))

@@ -103,7 +103,7 @@ class Context:
     def sql(self, text: str) -> DataFrame:
         dialect = {
             **{t: f"parquet.`{self.sf_dir}/{t}.parquet`" for t in TABLES},
-            "day": "datediff(CAST(ts AS DATE), DATE'2024-01-01')",
+            "day": "CAST(datediff(CAST(ts AS DATE), DATE'2024-01-01') AS BIGINT)",
             "ms": "(extract(HOUR FROM ts)*3600000 + extract(MINUTE FROM ts)*60000"
                   " + CAST(floor(extract(SECOND FROM ts)*1000) AS BIGINT))",
         }
