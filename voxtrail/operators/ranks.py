@@ -56,8 +56,8 @@ def bucketed_row_number(df: DataFrame, keys: list[str], bucket: Column, order: l
     w = Window.partitionBy(*keys, B).orderBy(*order)
     d = d.withColumn(out, F.row_number().over(w) + F.col("__before"))
     if total:
-        d = d.withColumn(total, F.col("__n"))
-    return d.drop(B, "__before", "__n")
+        d = d.withColumnRenamed("__n", total)
+    return d.drop(B, "__before", *([] if total else ["__n"]))
 
 
 def hash_row_number(df: DataFrame, keys: list[str], salt: list, ids: list[str], out: str,

@@ -26,10 +26,11 @@ def _masked_sums(side: DataFrame, masks: DataFrame, keys: list[str], mine: str,
     j = side.withColumnRenamed("mask", mine).join(masks.withColumnRenamed("mask", other), keys)
     valid = F.zip_with(F.col(mine), F.col(other), lambda a, b: a & b)
     x = F.zip_with("features", valid, lambda v, ok: F.when(ok, v))
-    kept = F.filter(x, lambda v: v.isNotNull())
-    m, n = A.mean(kept), F.sqrt(A.sum_squares(A.centre(kept)))
-    u = F.transform(x, lambda v: (v - m) / n)
-    d = j.filter(n > 0).select(*keys, mine, other, F.posexplode(u).alias("pos", "u")).filter("u IS NOT NULL")
+    j = j.withColumn("__x", x)
+    u = A.let(F.filter("__x", lambda v: v.isNotNull()), lambda k: A.let(
+        F.struct(A.mean(k).alias("m"), A.norm(A.centre(k)).alias("n")), lambda c: F.when(
+            c["n"] > 0, F.transform("__x", lambda v: (v - c["m"]) / c["n"]))))
+    d = j.select(*keys, mine, other, F.posexplode(u).alias("pos", "u")).filter("u IS NOT NULL")
     return d.groupBy(*keys, mine, other, "pos").agg(F.sum("u").alias("s"), F.count(F.lit(1)).alias("n"))
 
 
@@ -63,8 +64,9 @@ def cross_similarity(df: DataFrame, keys: list[str], condition: str, a: str, b:
 
 def within_similarity(df: DataFrame, keys: list[str], min_valid: int) -> DataFrame:
     """Mean correlation over pairs of different trials of a key."""
-    f = F.filter("features", A.finite)
-    usable = df.filter((F.size(f) >= min_valid) & (A.sum_squares(A.centre(f)) > 0))
+    def self_pair(f):
+        return (F.size(f) >= min_valid) & (A.norm(A.centre(f)) > 0)
+    usable = df.filter(A.let(F.filter("features", A.finite), self_pair))
     s = pair_similarity(df, df, keys, min_valid)
     n = usable.groupBy(*keys).agg(F.count(F.lit(1)).alias("__self"))
     j = s.join(n, keys)

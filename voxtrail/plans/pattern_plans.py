@@ -152,7 +152,7 @@ def v4(c):
 
 @query("v5_feature_variants", f"""WITH {Z1}, m AS (SELECT *, avg(x) OVER (PARTITION BY vec_id, roi) AS g FROM z1)
 SELECT 'raw' AS kind, vec_id, roi, pos, rnd(x) AS x FROM m UNION ALL SELECT 'centred', vec_id, roi, pos, rnd(x-g) FROM m
-UNION ALL SELECT 'patternz', vec_id, roi, pos, rnd(z) FROM m UNION ALL SELECT DISTINCT 'global', vec_id, roi, 0, rnd(g) FROM m""")
+UNION ALL SELECT 'patternz', vec_id, roi, pos, rnd(z) FROM m UNION ALL SELECT DISTINCT 'global', vec_id, roi, 0::INT, rnd(g) FROM m""")
 def v5(c):
     p = patterns(c)
     kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), P.variant(F.col("features"), k).alias("features"))
@@ -203,13 +203,13 @@ def v9(c):
     return M.matched_correlation(f.filter("source='natural'"), f.filter("source='ai'"), keys)
 
 
-PAIRS = """pr AS (SELECT subject, voxel_id, any_value(value) FILTER (contrast='F') AS a, any_value(value) FILTER (contrast='O') AS b
+PAIRS = """pr AS (SELECT subject, voxel_id, any_value(round(value,9)) FILTER (contrast='F') AS a, any_value(round(value,9)) FILTER (contrast='O') AS b
  FROM subject_map GROUP BY subject, voxel_id)"""
 
 
 def pairs(c):
     return G.pivot_values(c.view("subject_map"), ["subject", "voxel_id"], "contrast", "value", ["F", "O"]).select(
-        "subject", "voxel_id", F.col("F").alias("a"), F.col("O").alias("b"))
+        "subject", "voxel_id", F.round("F", 9).alias("a"), F.round("O", 9).alias("b"))
 
 
 @query("v10_map_similarity", f"""WITH {PAIRS}, f AS (SELECT * FROM pr WHERE a IS NOT NULL AND b IS NOT NULL AND (a <> 0 OR b <> 0)),

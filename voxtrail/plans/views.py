@@ -81,7 +81,7 @@ SELECT user_id AS subject, CAST({day} AS BIGINT) AS run, event_id, CAST({day} *
 FROM {events}""",
     # one row per trial and feature, only for the check SQL; the plans use arrays
     "long_x": """
-SELECT vec_id, subject, source, run, valence, image, concat('r', pos // 16) AS roi, pos % 16 AS pos,
+SELECT vec_id, subject, source, run, valence, image, concat('r', pos // 16) AS roi, (pos % 16)::INT AS pos,
        embedding[pos + 1]::DOUBLE AS x,
        CASE WHEN vec_id % 9 = 4 AND pos % 16 < 2 THEN NULL WHEN pos % 16 = 15 AND vec_id % 251 = 8 THEN NULL
             ELSE embedding[pos + 1]::DOUBLE END AS xn
