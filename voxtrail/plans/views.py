@@ -86,4 +86,16 @@ SELECT vec_id, subject, source, run, valence, image, concat('r', pos // 16) AS r
        CASE WHEN vec_id % 9 = 4 AND pos % 16 < 2 THEN NULL WHEN pos % 16 = 15 AND vec_id % 251 = 8 THEN NULL
             ELSE embedding[pos + 1]::DOUBLE END AS xn
 FROM trials, (SELECT unnest(range(64)) AS pos)""",
+    # frame-wise motion of ten runs; one rotation is constant inside a run
+    "motion": """
+SELECT CAST(o_custkey % 10 AS INT) AS run, o_orderkey AS t,
+       CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE o_totalprice * 0.00000113 END AS fd,
+       o_totalprice * 0.0000317 AS trans_x, CAST(o_custkey % 7 AS DOUBLE) AS trans_y, CAST(o_custkey % 10 AS DOUBLE) AS rot_x
+FROM {orders}""",
+    # a value per voxel and frame, and a shared regressor per frame
+    "glm_y": """
+SELECT l_partkey % 50 AS voxel_id, l_orderkey % 40 AS t, avg(l_quantity * 0.731971 + l_tax) AS y
+FROM {lineitem} GROUP BY l_partkey % 50, l_orderkey % 40""",
+    "glm_x": """
+SELECT o_orderkey % 40 AS t, avg(o_totalprice) * 0.0000113 AS x FROM {orders} GROUP BY o_orderkey % 40""",
 }
