@@ -302,3 +302,39 @@ def fisher_mean(df: DataFrame, keys: list[str], r: str) -> DataFrame:
     return df.groupBy(*keys).agg(
         F.count(r).alias("n"), F.tanh(F.avg(z)).alias("fisher_mean_r"), F.avg(r).alias("mean_r"),
         F.when(F.count(r) >= 2, F.stddev_samp(z) / F.sqrt(F.count(r))).alias("sem_z"))
+
+
+def source_comparison(wide: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """Two accuracies per subject: means, difference, ratio, paired t and correlation."""
+    d = F.col(a) - F.col(b)
+    g = wide.groupBy(*keys).agg(
+        F.count(d).alias("n"), F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"), F.avg(d).alias("mean"),
+        F.stddev_samp(d).alias("sd"), F.avg(F.col(a) / F.nullif(F.col(b), F.lit(0.0))).alias("mean_ratio"),
+        F.corr(a, b).alias("r"))
+    return with_t(g, 0.0).withColumnRenamed("mean", "mean_difference").drop("sd")
+
+
+def region_concordance(wide: DataFrame, keys: list[str], roi: str, a: str, b: str) -> DataFrame:
+    """Mean accuracies per region, their difference, and r across regions within the keys."""
+    m = wide.groupBy(*keys, roi).agg(F.avg(a).alias("natural"), F.avg(b).alias("ai"))
+    r = m.groupBy(*keys).agg(F.corr("natural", "ai").alias("r"))
+    return m.join(r, keys).withColumn("difference", F.col("natural") - F.col("ai"))
+
+
+def cross_map_audit(wide: DataFrame, keys: list[str], map_r: str, chance: float) -> DataFrame:
+    """One-sided tests of within, cross and map correlation, three paired tests, and the
+    correlation across subjects of cross accuracy and map similarity."""
+    wn, wa = F.col("within_natural"), F.col("within_ai")
+    d = wide.withColumn("wm", (wn + wa) / 2).withColumn(
+        "cm", (F.col("natural_to_ai") + F.col("ai_to_natural")) / 2)
+    tests = {"within_mean > chance": F.col("wm") - chance, "cross_mean > chance": F.col("cm") - chance,
+             "map_r > 0": fisher_z(F.col(map_r)), "cross - within_mean": F.col("cm") - F.col("wm"),
+             "cross - within_min": F.col("cm") - F.least(wn, wa), "natural - ai": wn - wa}
+    long = d.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("test"), x.alias("d"))
+                                               for n, x in tests.items()])).alias("e"))
+    g = long.groupBy(*keys, "e.test").agg(F.count("e.d").alias("n"), F.avg("e.d").alias("mean"), F.stddev_samp("e.d").alias("sd"))
+    t = one_sample_t(F.col("mean"), F.col("sd"), F.col("n"))
+    g = g.withColumn("t", t)
+    p = F.when(F.col("test").contains(">"), t_greater(F.col("t"), F.col("n") - 1)).otherwise(t_two_sided(F.col("t"), F.col("n") - 1))
+    r = d.groupBy(*keys).agg(F.corr("cm", map_r).alias("r_cross_map"))
+    return g.withColumn("p", p).drop("sd").join(r, keys)

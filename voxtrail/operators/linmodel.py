@@ -151,9 +151,13 @@ def inverse_root(cov: DataFrame, keys: list[str], floor: float = 1e-8) -> DataFr
     return cov.groupBy(*keys).applyInPandas(root, schema)
 
 
-def whiten(df: DataFrame, roots: DataFrame, keys: list[str], trial: str, keep: list[str], blocks: int = 16) -> DataFrame:
+def whiten(df: DataFrame, roots: DataFrame, keys: list[str], trial: str, keep: list[str],
+           rows_per_block: int = 4096) -> DataFrame:
     """Patterns times the inverse root. Trials of a key are cut into hash blocks that meet a copy
-    of its matrix, so a heavy key becomes many bounded NumPy products."""
+    of its matrix, so a heavy key becomes many bounded NumPy products. The number of blocks
+    follows from the largest key (one counted number)."""
+    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    blocks = -(-largest // rows_per_block)
     d = df.select(*keys, trial, *keep, "features", F.pmod(F.hash(trial), F.lit(blocks)).alias("__b"))
     m = roots.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     out_cols = [*keys, trial, *keep, "features"]

@@ -104,3 +104,22 @@ def generalization_indices(d: DataFrame, chance: float = 0.5, eps: float = 1e-6,
             .withColumn("cross_asymmetry", na - an).withColumn("within_asymmetry", wn - wa)
             .withColumn("within_both_above", both).withColumn("cross_above", above)
             .withColumn("candidate", both & above).withColumn("candidate_margin", strong & above))
+
+
+def group_generalization(df: DataFrame, subject: str, keys: list[str], kind: str, value: str,
+                         chance: float, eps: float, margin: float) -> DataFrame:
+    """Accuracies averaged over subjects first, then the indices; next to them mean and SEM of the
+    subjects' own cross-generalisation index. One aggregate per level."""
+    kinds = ["within_natural", "within_ai", "natural_to_ai", "ai_to_natural"]
+    per = df.groupBy(*keys, subject).agg(*[F.avg(F.when(F.col(kind) == k, F.col(value))).alias(k) for k in kinds])
+    own = generalization_indices(per, chance, eps, margin)
+    g = own.groupBy(*keys).agg(
+        *[F.avg(k).alias(k) for k in kinds], F.count(F.lit(1)).alias("n_subjects"),
+        F.count("cross_generalization").alias("n_index"), F.avg("cross_generalization").alias("mean_subject_index"),
+        (F.stddev_samp("cross_generalization") / F.sqrt(F.count("cross_generalization"))).alias("sem_subject_index"))
+    return generalization_indices(g, chance, eps, margin)
+
+
+def sorted_table(df: DataFrame, order: list[Column]) -> DataFrame:
+    """Summary table in report order with its place; one row per region."""
+    return df.withColumn("place", F.row_number().over(Window.orderBy(*order))).orderBy(*order)
