@@ -211,29 +211,29 @@ def hinge_models(rows: DataFrame, model: list[str], steps: int = 12, c: float =
     """Soft-margin linear models of all (model, fold) by a fixed number of full sub-gradient
     steps on 1/2 |w|^2 + C sum(hinge), with averaged iterates. Approximates a solver's optimum.
 
-    ``rows``: model keys, fold, trial, y, is_train, features. Each step is one join of rows
-    and weights and one grouped sum; the weights (small) are checkpointed, rows are not copied."""
+    ``rows``: model keys, fold, trial, y, is_train, features. A step joins each training row
+    with the weights of its model's other folds and adds up the rows inside the margin. Rows
+    stay single; only the weights (one array per model and fold) are checkpointed each step."""
     keys = [*model, "fold"]
+    t = rows.filter("is_train").select(*model, F.col("fold").alias("__own"), (2 * F.col("y") - 1).cast("double").alias("s"),
+                                       F.concat("features", F.array(F.lit(1.0))).alias("f"))
+    t = cut_lineage(t)
     folds = rows.filter("is_test").select(*keys).distinct()
-    t = rows.filter("is_train").withColumnRenamed("fold", "__own").join(folds, model).filter("__own <> fold")
-    t = cut_lineage(t.select(*keys, (2 * F.col("y") - 1).cast("double").alias("s"),
-                             F.concat("features", F.array(F.lit(1.0))).alias("f")))
-    n = t.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("f")).alias("p"))
+    size = t.groupBy(*model).agg(F.max(F.size("f")).alias("p"))
     zero = F.transform(F.sequence(F.lit(1), F.col("p")), lambda i: F.lit(0.0))
-    w = cut_lineage(n.select(*keys, "n", zero.alias("w"), zero.alias("avg")))
+    w = cut_lineage(folds.join(size, model).select(*keys, zero.alias("w"), zero.alias("avg")))
     for step in range(1, steps + 1):
         margin = F.col("s") * A.dot(F.col("f"), F.col("w"))
-        bad = t.join(w.select(*keys, "w"), keys).filter(margin < 1)
-        g = (bad.select(*keys, F.posexplode(F.transform("f", lambda x: x * F.col("s"))).alias("pos", "g"))
-             .groupBy(*keys, "pos").agg(F.sum("g").alias("g")))
+        bad = t.join(w.select(*keys, "w"), model).filter((F.col("__own") != F.col("fold")) & (margin < 1))
+        g = (bad.select(*keys, "s", F.posexplode("f").alias("pos", "x"))
+             .groupBy(*keys, "pos").agg(F.sum(F.col("x") * F.col("s")).alias("g")))
         g = g.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "g"))), lambda e: e["g"]).alias("g"))
-        # lambda = 1 / (C n), step size 1 / (lambda step)
+        # with lambda = 1 / (C n) and step size 1 / (lambda step) the n cancels
         keep, rate = 1.0 - 1.0 / step, c / step
-        w = w.join(g, keys, "left")
         new = F.when(F.col("g").isNull(), F.transform("w", lambda x: x * keep)).otherwise(
             F.zip_with("w", "g", lambda x, y: x * keep + y * rate))
-        w = w.withColumn("w", new)
-        w = cut_lineage(w.select(*keys, "n", "w", F.zip_with(
+        w = w.join(g, keys, "left").withColumn("w", new)
+        w = cut_lineage(w.select(*keys, "w", F.zip_with(
             "avg", "w", lambda a, x: a + (x - a) * (2.0 / (step + 1))).alias("avg")))
     return w.select(*keys, F.col("avg").alias("w"))
 

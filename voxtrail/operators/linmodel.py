@@ -9,41 +9,74 @@ from pyspark.sql import DataFrame, functions as F
 from voxtrail.functions import arrays as A
 from voxtrail.operators.ranks import exact_quantiles
 from voxtrail.operators.similarity import gram
+from voxtrail.session import cut_lineage
 
 MAX_REGRESSORS = 512  # the p x p inverse is the only thing the driver holds
 
 
-def fit(y: DataFrame, design: DataFrame, unit: list[str], t: str, value: str) -> DataFrame:
-    """Least squares per unit (voxel): ``beta``, residual variance and degrees of freedom.
-
-    ``design``: t, features (one array per time point). X'X is one aggregate over the design;
-    its p x p inverse becomes a literal, X'y a grouped sum over the samples. Every unit must
-    have every time point (see ``incomplete_units``)."""
-    cells = gram(design, [], "features", "features").collect()  # p * p numbers
-    p = 1 + max(r["i"] for r in cells)
+def _shared_inverse(design: DataFrame) -> tuple[np.ndarray, int]:
+    p = design.agg(F.max(F.size("features"))).first()[0]
     if p > MAX_REGRESSORS:
         raise ValueError(f"{p} regressors, at most {MAX_REGRESSORS}")
     xtx = np.zeros((p, p))
-    for r in cells:
+    for r in gram(design, [], "features", "features").collect():  # p * p numbers
         xtx[r["i"], r["j"]] = r["v"]
-    inv = np.linalg.pinv(xtx, hermitian=True)
-    rank = int(np.linalg.matrix_rank(xtx, hermitian=True))
-    rows = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in inv])
-    j = y.join(design, t).select(*unit, F.col(value).alias("__y"), F.posexplode("features").alias("i", "x"))
-    xty = j.groupBy(*unit, "i").agg(F.sum(F.col("x") * F.col("__y")).alias("s"))
+    return np.linalg.pinv(xtx, hermitian=True), int(np.linalg.matrix_rank(xtx, hermitian=True))
+
+
+def _own_inverse(j: DataFrame, unit: list[str]) -> DataFrame:
+    """Inverse of X'X per unit from the time points it has: sums over (i, j) in Spark, the p x p
+    inverses of an Arrow batch of units in NumPy."""
+    c = j.select(*unit, "features", F.posexplode("features").alias("i", "xi"))
+    c = c.select(*unit, "i", "xi", F.posexplode("features").alias("j", "xj"))
+    c = c.groupBy(*unit, "i", "j").agg(F.sum(F.col("xi") * F.col("xj")).alias("v"))
+    c = c.groupBy(*unit).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "j", "v"))), lambda e: e["v"]).alias("xtx"))
+    schema = c.select(*unit).schema.simpleString()[7:-1].replace(":", " ") + ", inv array<array<double>>, rank int"
+
+    def solve(batches):
+        for b in batches:
+            if len(b):
+                m = np.stack(b["xtx"].to_numpy())
+                p = int(round(m.shape[1] ** 0.5))
+                m = m.reshape(-1, p, p)
+                b["inv"] = [list(x) for x in np.linalg.pinv(m, hermitian=True)]
+                b["rank"] = np.linalg.matrix_rank(m, hermitian=True).astype("int32")
+                yield b[[*unit, "inv", "rank"]]
+    return c.mapInPandas(solve, schema)
+
+
+def fit(y: DataFrame, design: DataFrame, unit: list[str], t: str, value: str) -> DataFrame:
+    """Least squares per unit (voxel): ``beta``, residual variance and degrees of freedom.
+
+    ``design``: t, features (one array per time point). X'X is one aggregate over the design;
+    its p x p inverse becomes a literal, X'y a grouped sum over the samples. Units that lack
+    time points get an inverse of their own; with a complete table that branch is empty."""
+    shared, rank = _shared_inverse(design)
+    n_design = design.count()
+    y = y.filter(F.col(value).isNotNull())
+    j = y.join(design, t).select(*unit, F.col(value).alias("__y"), "features")
+    x = j.select(*unit, "__y", F.posexplode("features").alias("i", "x"))
+    xty = x.groupBy(*unit, "i").agg(F.sum(F.col("x") * F.col("__y")).alias("s"))
     xty = xty.groupBy(*unit).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda e: e["s"]).alias("xty"))
-    yy = y.groupBy(*unit).agg(F.sum(F.col(value) * F.col(value)).alias("yy"), F.count(value).alias("n"))
-    d = xty.join(yy, unit).withColumn("beta", F.transform(rows, lambda r: A.dot(r, F.col("xty"))))
+    yy = j.groupBy(*unit).agg(F.sum(F.col("__y") * F.col("__y")).alias("yy"), F.count("__y").alias("n"))
+    d = cut_lineage(xty.join(yy, unit))
+    rows = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in shared])
+    whole = d.filter(F.col("n") == n_design).withColumn("inv", rows).withColumn("rank", F.lit(rank))
+    part = d.filter(F.col("n") != n_design)
+    if part.take(1):
+        own = _own_inverse(j.join(part.select(*unit), unit, "left_semi"), unit)
+        whole = whole.unionByName(part.join(own, unit))
+    d = whole.withColumn("beta", F.transform("inv", lambda r: A.dot(r, F.col("xty"))))
     sse = F.greatest(F.lit(0.0), F.col("yy") - A.dot(F.col("beta"), F.col("xty")))
-    d = d.withColumn("df", F.col("n") - rank).withColumn("sigma2", sse / F.nullif(F.col("df"), F.lit(0)))
-    return d.withColumn("inv", rows).select(*unit, "beta", "sigma2", "df", "inv")
+    d = d.withColumn("df", F.col("n") - F.col("rank")).withColumn("sigma2", sse / F.nullif(F.col("df"), F.lit(0)))
+    return d.select(*unit, "beta", "sigma2", "df", "inv")
 
 
 def incomplete_units(y: DataFrame, design: DataFrame, unit: list[str], t: str, value: str) -> DataFrame:
     """Units that lack a value at some time point of the design."""
-    n = design.agg(F.count_distinct(t).alias("n_design"))
+    n_design = design.agg(F.count_distinct(t)).first()[0]
     g = y.filter(F.col(value).isNotNull()).groupBy(*unit).agg(F.count_distinct(t).alias("n"))
-    return g.join(F.broadcast(n)).filter("n <> n_design")  # n is one row
+    return g.filter(F.col("n") != n_design)
 
 
 def residuals(y: DataFrame, design: DataFrame, fitted: DataFrame, unit: list[str], t: str, value: str) -> DataFrame:
@@ -74,25 +107,25 @@ def ar1(residual: DataFrame, unit: list[str], t: str, value: str) -> DataFrame:
     return g.select(*unit, F.when(F.col("__v") > 1e-8, F.col("__c") / F.col("__v")).alias("rho"))
 
 
-def pooled_ar1(rho: DataFrame, limit: float = 0.9) -> DataFrame:
-    """Median over units, clipped: one row."""
-    m = exact_quantiles(rho, [], "rho", {"rho": 0.5})
-    return m.select(F.greatest(F.lit(-limit), F.least(F.lit(limit), F.col("rho"))).alias("rho"))
+def pooled_ar1(rho: DataFrame, limit: float = 0.9) -> float:
+    """Median over units, clipped."""
+    m = exact_quantiles(rho, [], "rho", {"rho": 0.5}).first()["rho"]
+    return max(-limit, min(limit, m))
 
 
-def prais_winsten(y: DataFrame, rho: DataFrame, unit: list[str], t: str, value: str) -> DataFrame:
-    """y_t - rho * y_(t-1); the first row is scaled by sqrt(1 - rho^2)."""
-    d = lagged(y, unit, t, value).join(F.broadcast(rho))  # rho is one row
-    r, v = F.col("rho"), F.col(value)
+def prais_winsten(y: DataFrame, rho: float, unit: list[str], t: str, value: str) -> DataFrame:
+    """y_t - rho * y_(t-1); the first row, and one after a gap, is scaled by sqrt(1 - rho^2)."""
+    d = lagged(y, unit, t, value)
+    r, v = F.lit(rho), F.col(value)
     return d.select(*unit, t, F.when(F.col("__prev").isNull(), v * F.sqrt(1 - r * r))
                     .otherwise(v - r * F.col("__prev")).alias("whitened"))
 
 
-def prais_winsten_design(design: DataFrame, rho: DataFrame, t: str) -> DataFrame:
+def prais_winsten_design(design: DataFrame, rho: float, t: str) -> DataFrame:
     """The same for the rows of the design."""
     prev = design.select((F.col(t) + 1).alias(t), F.col("features").alias("__prev"))
-    d = design.join(prev, t, "left").join(F.broadcast(rho))
-    r = F.col("rho")
+    d = design.join(prev, t, "left")
+    r = F.lit(rho)
     return d.select(t, F.when(F.col("__prev").isNull(), F.transform("features", lambda x: x * F.sqrt(1 - r * r)))
                     .otherwise(F.zip_with("features", "__prev", lambda x, p: x - r * p)).alias("features"))
 

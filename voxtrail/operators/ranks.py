@@ -94,7 +94,8 @@ def _with_span(df, keys, value, span):
     ends = df.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
     if keys:
         return df.join(ends, keys)
-    return df.join(F.broadcast(ends))  # one row
+    lo, hi = ends.first()  # two numbers
+    return df.withColumn("__lo", F.lit(lo)).withColumn("__hi", F.lit(hi))
 
 
 def distinct_ranks(df: DataFrame, keys: list[str], value: str,

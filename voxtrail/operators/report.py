@@ -42,13 +42,13 @@ def rank_regions(df: DataFrame, roi: str, contrast: str, value: str) -> DataFram
     m = df.groupBy(roi, contrast).agg(F.avg(value).alias("__m"))
     g = m.groupBy(roi).agg(F.avg("__m").alias("score"))
     w = Window.orderBy(F.desc_nulls_last("score"), roi)
-    return g.withColumn("rank", F.row_number().over(w))
+    return g.withColumn("rank", F.row_number().over(w).cast("bigint"))
 
 
 def candidate_table(df: DataFrame, flag: str, by: list[str], ties: list[str]) -> DataFrame:
     """Ranked summary table, candidates first; one row per region and contrast."""
     w = Window.orderBy(F.desc(flag), *[F.desc_nulls_last(b) for b in by], *ties)
-    return df.withColumn("rank", F.row_number().over(w))
+    return df.withColumn("rank", F.row_number().over(w).cast("bigint"))
 
 
 def significance_table(df: DataFrame, roi: str, contrast: str, flag: str,
@@ -122,4 +122,4 @@ def group_generalization(df: DataFrame, subject: str, keys: list[str], kind: str
 
 def sorted_table(df: DataFrame, order: list[Column]) -> DataFrame:
     """Summary table in report order with its place; one row per region."""
-    return df.withColumn("place", F.row_number().over(Window.orderBy(*order))).orderBy(*order)
+    return df.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("bigint")).orderBy(*order)

@@ -7,6 +7,7 @@ correlations over pairs is a product of summed vectors, so the cost is linear in
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -121,17 +122,17 @@ def dissimilarity_correlation(df: DataFrame, item: str, left: str, right: str) -
     pairs is |sum u|^2, the sum of r * r' is the squared norm of U'V. No pair is built."""
     d = df.select(A.unit(A.as_double(F.col(left))).alias("u"), A.unit(A.as_double(F.col(right))).alias("v"))
     d = cut_lineage(d.filter("u IS NOT NULL AND v IS NOT NULL"))
-    n = d.agg(F.count(F.lit(1)).cast("double").alias("n"))
-
     def first(c):
-        s = d.select(F.posexplode(c).alias("pos", "x")).groupBy("pos").agg(F.sum("x").alias("s"))
-        return s.agg(F.sum(F.col("s") * F.col("s")).alias("s_" + c))
+        return d.select(F.posexplode(c).alias("pos", "x")).groupBy("pos").agg(F.sum("x").alias("v")).select(
+            F.lit("s_" + c).alias("name"), (F.col("v") * F.col("v")).alias("v"))
 
     def second(a, b):
-        return gram(d, [], a, b).agg(F.sum(F.col("v") * F.col("v")).alias(f"q_{a}{b}"))
-    one = n
-    for part in (first("u"), first("v"), second("u", "u"), second("v", "v"), second("u", "v")):
-        one = one.join(F.broadcast(part))  # every part is a single row
+        return gram(d, [], a, b).select(F.lit(f"q_{a}{b}").alias("name"), (F.col("v") * F.col("v")).alias("v"))
+    parts = [d.select(F.lit("n").alias("name"), F.lit(1.0).alias("v")), first("u"), first("v"),
+             second("u", "u"), second("v", "v"), second("u", "v")]
+    names = ["n", "s_u", "s_v", "q_uu", "q_vv", "q_uv"]
+    one = reduce(DataFrame.unionByName, parts).groupBy().agg(
+        *[F.sum(F.when(F.col("name") == x, F.col("v"))).alias(x) for x in names])
     k = F.col("n") * (F.col("n") - 1) / 2
 
     def half(c):

@@ -102,7 +102,7 @@ def smooth(df: DataFrame, keys: list[str], value: str, fwhm: float, size: tuple[
 HALF = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) > (0, 0, 0)]
 
 
-def components(voxels: DataFrame, keys: list[str], voxel: str, max_rounds: int = 60) -> DataFrame:
+def components(voxels: DataFrame, keys: list[str], voxel: str) -> DataFrame:
     """Connected components (26 neighbours); the label is the smallest voxel id.
 
     Every round a voxel takes the smallest label among its neighbours and then the label of
@@ -113,7 +113,7 @@ def components(voxels: DataFrame, keys: list[str], voxel: str, max_rounds: int =
     e = a.join(v.select(*keys, F.col(voxel).alias("b"), *IJK), [*keys, *IJK]).select(*keys, "a", "b")
     edges = cut_lineage(e.unionByName(e.select(*keys, F.col("a").alias("b"), F.col("b").alias("a"))))
     lab = cut_lineage(v.select(*keys, F.col(voxel).alias("a"), F.col(voxel).alias("label")))
-    for _ in range(max_rounds):
+    while True:
         near = edges.join(lab.select(*keys, F.col("a").alias("b"), F.col("label").alias("l")), [*keys, "b"])
         best = lab.select(*keys, "a", F.col("label").alias("l")).unionByName(near.select(*keys, "a", "l"))
         best = best.groupBy(*keys, "a").agg(F.min("l").alias("m"))
@@ -125,7 +125,6 @@ def components(voxels: DataFrame, keys: list[str], voxel: str, max_rounds: int =
         lab = new
         if not changed:
             return lab.withColumnRenamed("a", voxel)
-    raise RuntimeError("labels still change; raise max_rounds")
 
 
 def cluster_table(labelled: DataFrame, keys: list[str], voxel: str, value: str, least: int) -> DataFrame:
@@ -234,7 +233,7 @@ def majority_label(df: DataFrame, roi: list[str], label_id: str, label_name: str
 def atlas_overlap(df: DataFrame, in_roi: Column, region: str) -> DataFrame:
     """Voxels of a region of interest per atlas region; shares of both."""
     g = df.groupBy(region).agg(F.count_if(in_roi).alias("overlap"), F.count(F.lit(1)).alias("region_voxels"))
-    n = df.agg(F.count_if(in_roi).alias("roi_voxels"))
-    return (g.filter("overlap > 0").join(F.broadcast(n))  # n is one row
+    every = Window.partitionBy()  # one row per region of the atlas
+    return (g.withColumn("roi_voxels", F.sum("overlap").over(every)).filter("overlap > 0")
             .withColumn("percent_of_roi", 100.0 * F.col("overlap") / F.col("roi_voxels"))
             .withColumn("percent_of_region", 100.0 * F.col("overlap") / F.col("region_voxels")))

@@ -60,7 +60,7 @@ def p4(c):
     return pool(c).select("vec_id", "contrast", "kind", "y", "is_train", "is_test")
 
 
-@query("d1_run_folds", f"""WITH {POOL}, h AS (SELECT unnest([0,1,2,4]) AS fold)
+@query("d1_run_folds", f"""WITH {POOL}, h AS (SELECT unnest([0,1,2,4])::BIGINT AS fold)
 SELECT subject, contrast, fold, count(*) FILTER (is_train AND run <> fold) AS n_train, count(*) FILTER (is_test AND run = fold) AS n_test
 FROM pool, h WHERE run <> 3 GROUP BY subject, contrast, fold""")
 def d1(c):
@@ -98,7 +98,7 @@ def d3_leaks(c):
     return n.join(bad, ["subject", "contrast"], "left").fillna(0, ["n_leaked"])
 
 
-SPLIT = "fp AS (SELECT *, CASE WHEN is_test THEN 0 ELSE -1 END AS fold FROM pool WHERE kind='cross')"
+SPLIT = "fp AS (SELECT *, CASE WHEN is_test THEN 0::BIGINT ELSE -1 END AS fold FROM pool WHERE kind='cross')"
 
 
 @query("d4_cross_single_split", f"WITH {POOL}, {SPLIT}, {rows_sql()}, {decode_sql(CELL, 'rws')} {folds_out(CELL)}")

@@ -162,7 +162,7 @@ def v20_residuals(c):
     return L.residuals(y, d, f, ["voxel_id"], "t", "y")
 
 
-RHO = f"""{RES}, el AS (SELECT voxel_id, t, e, lag(e) OVER (PARTITION BY voxel_id ORDER BY t) AS p FROM e),
+RHO = f"""{RES}, el AS (SELECT voxel_id, t, e, CASE WHEN lag(t) OVER w = t-1 THEN lag(e) OVER w END AS p FROM e WINDOW w AS (PARTITION BY voxel_id ORDER BY t)),
 r AS (SELECT voxel_id, sum(e*p)/sum(p*p) AS rho FROM el GROUP BY voxel_id)"""
 
 
@@ -177,7 +177,7 @@ def v21(c):
 
 
 @query("v21_prais_winsten", f"""WITH {RHO}, m AS (SELECT greatest(-0.9, least(0.9, median(rho))) AS rho FROM r),
-l AS (SELECT voxel_id, t, y, lag(y) OVER (PARTITION BY voxel_id ORDER BY t) AS p FROM glm_y)
+l AS (SELECT voxel_id, t, y, CASE WHEN lag(t) OVER w = t-1 THEN lag(y) OVER w END AS p FROM glm_y WINDOW w AS (PARTITION BY voxel_id ORDER BY t))
 SELECT voxel_id, t, rnd(CASE WHEN p IS NULL THEN y*sqrt(1-rho*rho) ELSE y - rho*p END) AS whitened FROM l, m""")
 def v21_whitened(c):
     y, _, rho = autocorrelation(c)
@@ -187,7 +187,7 @@ def v21_whitened(c):
 @query("v21_refit")
 def v21_refit(c):
     y, d, rho = autocorrelation(c)
-    rho = cut_lineage(L.pooled_ar1(rho))
+    rho = L.pooled_ar1(rho)
     w = cut_lineage(L.prais_winsten(y, rho, ["voxel_id"], "t", "y"))
     f = L.fit(w, cut_lineage(L.prais_winsten_design(d, rho, "t")), ["voxel_id"], "t", "whitened")
     return L.contrast(f, ["voxel_id"], [0.0, 1.0])
@@ -218,15 +218,11 @@ def d20(c):
     p = patterns(c).select("vec_id", "subject", "roi", "valence", "features")
     f = K.stratified_folds(pool(c, WITHIN), ["subject", "contrast"], "vec_id", 3)
     own = D.expand_folds(f, 3).drop("valence", "image", "run", "source").join(p.drop("subject"), "vec_id")
-    key = ["subject", "contrast", "roi", "fold"]
-    arms = {"none": None, "all_trials": own, "train_only": own.filter("is_train")}
+    key = ["arm", "subject", "contrast", "roi", "fold"]
     keep = ["kind", "y", "is_train", "is_test"]
-    out = None
-    for arm, source in arms.items():
-        d = own
-        if source is not None:
-            d = L.whiten(own, L.inverse_root(L.shrunk_covariance(source, key, "valence"), key), key, "vec_id", keep)
-        rows = P.explode_features(d.withColumnRenamed("vec_id", "trial"), [*key, "trial", *keep])
-        a = D.roll_up(D.split_validate(rows, [*CELL, "fold"]), CELL).select(F.lit(arm).alias("arm"), *CELL, "accuracy")
-        out = a if out is None else out.unionByName(a)
-    return out
+    both = own.withColumn("arm", F.explode(F.array(F.lit("all_trials"), F.lit("train_only"))))
+    seen = both.filter((F.col("arm") == "all_trials") | F.col("is_train"))
+    white = L.whiten(both, L.inverse_root(L.shrunk_covariance(seen, key, "valence"), key), key, "vec_id", keep)
+    raw = own.select(F.lit("none").alias("arm"), *[c for c in white.columns if c != "arm"])
+    rows = P.explode_features(white.unionByName(raw).withColumnRenamed("vec_id", "trial"), [*key, "trial", *keep])
+    return D.roll_up(D.split_validate(rows, ["arm", *CELL, "fold"]), ["arm", *CELL]).select("arm", *CELL, "accuracy")

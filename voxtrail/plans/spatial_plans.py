@@ -118,7 +118,7 @@ OVER = f"""{VM}, sz AS (SELECT brand, count(*) AS roi_voxels FROM vv GROUP BY br
 
 
 @query("a23_region_overlap", f"""WITH {OVER} SELECT brand, n AS overlap_voxels, rnd(wx/w) AS centre_x, rnd(wy/w) AS centre_y, rnd(wz/w) AS centre_z, rnd(mp) AS mean_pair,
- rnd(xp) AS max_pair, rnd(ma) AS mean_a, rnd(mb) AS mean_b, roi_voxels, rnd(n*8.0) AS overlap_volume, rnd(100.0*n/roi_voxels) AS percent_of_roi FROM ov JOIN sz USING (brand)""")
+ rnd(xp) AS max_pair, rnd(ma) AS mean_a, rnd(mb) AS mean_b, roi_voxels, rnd(n*8e0) AS overlap_volume, rnd(100.0*n/roi_voxels) AS percent_of_roi FROM ov JOIN sz USING (brand)""")
 def a23(c):
     return S.region_overlap(maps(c), ["brand"], "f", "o", ["x", "y", "z"], 8.0)
 
@@ -140,7 +140,7 @@ def merged(c):
 
 
 @query("a24_merged_regions", f"""WITH {MERGED} SELECT merged, members, pv AS positive_voxels, rnd(cx) AS centre_x, rnd(cy) AS centre_y, rnd(cz) AS centre_z, rnd(mv) AS mean_value,
- rnd(xv) AS max_value, roi_voxels, rnd(pv*8.0) AS positive_volume, rnd(100.0*pv/roi_voxels) AS percent_positive FROM mg JOIN sz USING (merged)""")
+ rnd(xv) AS max_value, roi_voxels, rnd(pv*8e0) AS positive_volume, rnd(100.0*pv/roi_voxels) AS percent_positive FROM mg JOIN sz USING (merged)""")
 def a24(c):
     return merged(c)
 

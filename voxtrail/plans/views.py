@@ -41,7 +41,7 @@ FROM acc GROUP BY 1, 2, 3, 4""",
     "stat_map": """
 SELECT p_partkey AS voxel_id, CAST(p_partkey % 10 AS BIGINT) AS i,
        CAST(floor(p_partkey / 10) AS BIGINT) % 10 AS j, CAST(floor(p_partkey / 100) AS BIGINT) AS k,
-       (p_retailprice - 949.37) * 0.0371372913 AS a, p_size - 24.5 AS b,
+       (p_retailprice - 949.37) * 0.0371372913 AS a, CAST(p_size AS DOUBLE) - 24.5 AS b,
        CAST(substring(p_brand, 7) AS INT) AS roi_id, p_brand AS brand, p_type AS parent, p_name AS name
 FROM {part}""",
     # voxel values of eight subjects under two contrasts; not every subject has every voxel
