@@ -11,7 +11,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from voxtrail.functions import arrays as A
 from voxtrail.functions.stats import fisher_z, pearson_p, t_greater
@@ -31,8 +31,8 @@ def _masked_sums(side: DataFrame, masks: DataFrame, keys: list[str], mine: str,
     u = A.let(F.filter("__x", lambda v: v.isNotNull()), lambda k: A.let(
         F.struct(A.mean(k).alias("m"), A.norm(A.centre(k)).alias("n")), lambda c: F.when(
             c["n"] > 0, F.transform("__x", lambda v: (v - c["m"]) / c["n"]))))
-    d = j.select(*keys, mine, other, F.posexplode(u).alias("pos", "u")).filter("u IS NOT NULL")
-    return d.groupBy(*keys, mine, other, "pos").agg(F.sum("u").alias("s"), F.count(F.lit(1)).alias("n"))
+    d = j.select(*keys, mine, other, F.posexplode(u).alias("pos", "__u")).filter("__u IS NOT NULL")
+    return d.groupBy(*keys, mine, other, "pos").agg(F.sum("__u").alias("__s"), F.count(F.lit(1)).alias("__n"))
 
 
 def pair_similarity(a: DataFrame, b: DataFrame, keys: list[str], min_valid: int) -> DataFrame:
@@ -48,12 +48,12 @@ def pair_similarity(a: DataFrame, b: DataFrame, keys: list[str], min_valid: int)
     ma, mb = a.select(*keys, "mask").distinct(), b.select(*keys, "mask").distinct()
     sa = _masked_sums(a, mb, keys, "mask_a", "mask_b")
     sb = _masked_sums(b, ma, keys, "mask_b", "mask_a").select(
-        *keys, "mask_a", "mask_b", "pos", F.col("s").alias("t"), F.col("n").alias("k"))
+        *keys, "mask_a", "mask_b", "pos", F.col("__s").alias("__t"), F.col("__n").alias("__k"))
     g = sa.join(sb, [*keys, "mask_a", "mask_b", "pos"]).groupBy(*keys, "mask_a", "mask_b").agg(
-        F.sum(F.col("s") * F.col("t")).alias("__r"), F.max(F.col("n") * F.col("k")).alias("__n"),
+        F.sum(F.col("__s") * F.col("__t")).alias("__r"), F.max(F.col("__n") * F.col("__k")).alias("__p"),
         F.count(F.lit(1)).alias("__valid"))
     return g.filter(F.col("__valid") >= min_valid).groupBy(*keys).agg(
-        F.sum("__r").alias("sum_r"), F.sum("__n").alias("n_pairs"))
+        F.sum("__r").alias("sum_r"), F.sum("__p").alias("n_pairs"))
 
 
 def cross_similarity(df: DataFrame, keys: list[str], condition: str, a: str, b: str,
@@ -78,19 +78,40 @@ def within_similarity(df: DataFrame, keys: list[str], min_valid: int) -> DataFra
 
 # ---- dissimilarity matrices ------------------------------------------------------------
 
-def dissimilarity(df: DataFrame, keys: list[str], item: str, blocks: int = 16) -> DataFrame:
-    """All pairs a < b of a set with 1 - (r + 1) / 2. The pairs are the result; they are made
-    block against block, so a large set is spread over blocks * (blocks + 1) / 2 tasks."""
-    u = df.select(*keys, F.col(item), A.unit(A.as_double(F.col("features"))).alias("u"),
-                  F.pmod(F.hash(item), F.lit(blocks)).alias("__b"))
-    low = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-
-    def side(tag, own, other):
-        d = u.withColumn("__o", low).withColumn(own, F.col("__b")).withColumn(other, F.col("__o"))
-        return d.select(*keys, own, other, F.col(item).alias(tag), F.col("u").alias("u_" + tag))
-    j = side("a", "__x", "__y").join(side("b", "__y", "__x"), [*keys, "__x", "__y"])
-    return j.filter("a < b").select(*keys, "a", "b", (
-        1 - 0.5 * (A.dot(F.col("u_a"), F.col("u_b")) + 1)).alias("dissimilarity"))
+def dissimilarity(df: DataFrame, keys: list[str], item: str, rows_per_block: int = 1024) -> DataFrame:
+    """All pairs a < b of a set with 1 - (r + 1) / 2; the pairs are the result.
+
+    Unit vectors are cut into hash blocks; every pair of blocks is one bounded matrix product
+    in a task of its own, so a set that holds most items spreads over all of them. The number
+    of blocks follows from the largest set (one counted number)."""
+    u = df.select(*keys, F.col(item), A.unit(A.as_double(F.col("features"))).alias("u")).filter("u IS NOT NULL")
+    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    blocks = -(-largest // rows_per_block)
+    u = u.withColumn("__b", F.pmod(F.hash(item), F.lit(blocks)))
+    # block b is the left side of (b, b..last) and the right side of (0..b, b)
+    left = u.withColumn("__x", F.col("__b")).withColumn("__y", F.explode(F.sequence(F.col("__b"), F.lit(blocks - 1))))
+    right = u.withColumn("__y", F.col("__b")).withColumn("__x", F.explode(F.sequence(F.lit(0), F.col("__b"))))
+    group = [*keys, "__x", "__y"]
+    fields = [*[f for f in df.schema if f.name in keys]]
+    ident = df.schema[item].dataType
+    schema = T.StructType([*fields, T.StructField("a", ident), T.StructField("b", ident),
+                           T.StructField("dissimilarity", T.DoubleType())])
+
+    def product(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if x.empty or y.empty:
+            return pd.DataFrame({f.name: [] for f in schema})
+        r = np.stack(x["u"].to_numpy()) @ np.stack(y["u"].to_numpy()).T
+        p, q = x[item].to_numpy(), y[item].to_numpy()
+        same = x["__x"].iloc[0] == x["__y"].iloc[0]
+        i, j = np.nonzero(p[:, None] < q[None, :]) if same else [v.ravel() for v in np.indices(r.shape)]
+        out = {k: x[k].iloc[0] for k in keys}
+        first, second = p[i], q[j]
+        swap = second < first
+        out.update(a=np.where(swap, second, first), b=np.where(swap, first, second),
+                   dissimilarity=1 - 0.5 * (r[i, j] + 1))
+        return pd.DataFrame(out)[[f.name for f in schema]]
+    cols = [*group, item, "u"]
+    return left.select(*cols).groupBy(*group).cogroup(right.select(*cols).groupBy(*group)).applyInPandas(product, schema)
 
 
 def gram(df: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:

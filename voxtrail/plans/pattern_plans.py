@@ -316,9 +316,9 @@ def v28(c):
 
 
 @query("t1_top_features", """
-WITH r AS (SELECT subject, voxel_id, abs(value) AS s, row_number() OVER (PARTITION BY subject ORDER BY abs(value) DESC, voxel_id) AS rank,
+WITH r AS (SELECT subject, voxel_id, abs(round(value,9)) AS s, row_number() OVER (PARTITION BY subject ORDER BY abs(round(value,9)) DESC, voxel_id) AS rank,
   count(*) OVER (PARTITION BY subject) AS n FROM subject_map WHERE contrast='F')
 SELECT subject, voxel_id, rank FROM r WHERE rank <= least(n, greatest(20, ceil(n*0.1)))""")
 def t1(c):
-    d = c.view("subject_map").filter("contrast='F'").withColumn("s", F.abs("value"))
+    d = c.view("subject_map").filter("contrast='F'").withColumn("s", F.abs(F.round("value", 9)))
     return R.top_fraction(d, ["subject"], "voxel_id", "s", 0.1, 20).select("subject", "voxel_id", "rank")
