@@ -55,17 +55,17 @@ def linear_weights(stats: DataFrame, keys: list[str], scorer: str = "lda", shrin
         raise ValueError(scorer)
     n0, n1, m0, m1 = (F.col(c) for c in ("n0", "n1", "m0", "m1"))
     d = stats.filter((n0 >= 2) & (n1 >= 2))
-    d = d.withColumn("m", (n0 * m0 + n1 * m1) / (n0 + n1))
-    m = F.col("m")
-    d = d.withColumn("v", (F.col("q0") + F.col("q1") + n0 * (m0 - m) * (m0 - m) + n1 * (m1 - m) * (m1 - m))
-                     / (n0 + n1 - 1)).filter(F.col("v") > floor * floor)
-    v = F.col("v")
+    d = d.withColumn("__m", (n0 * m0 + n1 * m1) / (n0 + n1))
+    m = F.col("__m")
+    d = d.withColumn("__v", (F.col("q0") + F.col("q1") + n0 * (m0 - m) * (m0 - m) + n1 * (m1 - m) * (m1 - m))
+                     / (n0 + n1 - 1)).filter(F.col("__v") > floor * floor)
+    v = F.col("__v")
     pooled = (F.col("q0") + F.col("q1")) / (n0 + n1 - 2) / v
     den = (1 - shrinkage) * pooled + shrinkage if scorer == "lda" else F.lit(1.0)
-    d = d.withColumn("z0", (m0 - m) / F.sqrt(v)).withColumn("z1", (m1 - m) / F.sqrt(v)).withColumn("den", den)
-    z0, z1 = F.col("z0"), F.col("z1")
-    d = d.filter(F.col("den") > 0).withColumn("w", (z1 - z0) / F.col("den") / F.sqrt(v))
-    return d.select(*keys, "pos", "w", (-0.5 * (z1 * z1 - z0 * z0) / F.col("den") - m * F.col("w")).alias("b"))
+    d = d.withColumn("__z0", (m0 - m) / F.sqrt(v)).withColumn("__z1", (m1 - m) / F.sqrt(v)).withColumn("__den", den)
+    z0, z1 = F.col("__z0"), F.col("__z1")
+    d = d.filter(F.col("__den") > 0).withColumn("w", (z1 - z0) / F.col("__den") / F.sqrt(v))
+    return d.select(*keys, "pos", "w", (-0.5 * (z1 * z1 - z0 * z0) / F.col("__den") - m * F.col("w")).alias("b"))
 
 
 def decisions(rows: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:

@@ -102,29 +102,37 @@ def smooth(df: DataFrame, keys: list[str], value: str, fwhm: float, size: tuple[
 HALF = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) > (0, 0, 0)]
 
 
+def _roots(parent: DataFrame, keys: list[str]) -> DataFrame:
+    """Follows (a -> p) to the end by pointer jumping: the path halves every time."""
+    while True:
+        hop = parent.select(*keys, F.col("a").alias("p"), F.col("p").alias("pp"))
+        new = cut_lineage(parent.join(hop, [*keys, "p"]).select(*keys, "a", "p", "pp"))
+        parent = new.select(*keys, "a", F.col("pp").alias("p"))
+        if not new.filter("p <> pp").take(1):
+            return parent
+
+
 def components(voxels: DataFrame, keys: list[str], voxel: str) -> DataFrame:
     """Connected components (26 neighbours); the label is the smallest voxel id.
 
-    Every round a voxel takes the smallest label among its neighbours and then the label of
-    that label (pointer jumping), so the rounds grow with the logarithm of the diameter.
-    Labels are checkpointed each round; the loop ends when none changed."""
+    Every round each tree hooks onto its smallest neighbour, hooks are followed to their
+    roots, and the edges are contracted to edges between roots. At least half of the trees
+    that have a neighbour disappear per round, so the rounds grow with the logarithm of the
+    size, whatever the shape. Tables are checkpointed per round; it ends without edges."""
     v = voxels.select(*keys, voxel, *IJK)
     a = _shifted(v.select(*keys, F.col(voxel).alias("a"), *IJK), HALF)
     e = a.join(v.select(*keys, F.col(voxel).alias("b"), *IJK), [*keys, *IJK]).select(*keys, "a", "b")
-    edges = cut_lineage(e.unionByName(e.select(*keys, F.col("a").alias("b"), F.col("b").alias("a"))))
-    lab = cut_lineage(v.select(*keys, F.col(voxel).alias("a"), F.col(voxel).alias("label")))
-    while True:
-        near = edges.join(lab.select(*keys, F.col("a").alias("b"), F.col("label").alias("l")), [*keys, "b"])
-        best = lab.select(*keys, "a", F.col("label").alias("l")).unionByName(near.select(*keys, "a", "l"))
-        best = best.groupBy(*keys, "a").agg(F.min("l").alias("m"))
-        jump = cut_lineage(best)
-        hop = jump.select(*keys, F.col("a").alias("m"), F.col("m").alias("mm"))
-        new = cut_lineage(jump.join(hop, [*keys, "m"]).select(*keys, "a", F.least("m", "mm").alias("label")))
-        old = lab.select(*keys, "a", F.col("label").alias("old"))
-        changed = new.join(old, [*keys, "a"]).filter("label <> old").take(1)
-        lab = new
-        if not changed:
-            return lab.withColumnRenamed("a", voxel)
+    edges = cut_lineage(e.unionByName(e.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))))
+    lab = v.select(*keys, voxel, F.col(voxel).alias("label"))
+    while edges.take(1):
+        hook = edges.groupBy(*keys, "a").agg(F.min("b").alias("m"))
+        root = _roots(cut_lineage(hook.select(*keys, "a", F.least("a", "m").alias("p"))), keys)
+        lab = cut_lineage(lab.join(root.withColumnRenamed("a", "label"), [*keys, "label"], "left").select(
+            *keys, voxel, F.coalesce("p", "label").alias("label")))
+        other = root.select(*keys, F.col("a").alias("b"), F.col("p").alias("q"))
+        edges = cut_lineage(edges.join(root, [*keys, "a"]).join(other, [*keys, "b"]).filter("p <> q").select(
+            *keys, F.col("p").alias("a"), F.col("q").alias("b")).distinct())
+    return lab
 
 
 def cluster_table(labelled: DataFrame, keys: list[str], voxel: str, value: str, least: int) -> DataFrame:
