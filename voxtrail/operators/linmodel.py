@@ -29,8 +29,8 @@ def _own_inverse(j: DataFrame, unit: list[str]) -> DataFrame:
     inverses of an Arrow batch of units in NumPy."""
     c = j.select(*unit, "features", F.posexplode("features").alias("i", "xi"))
     c = c.select(*unit, "i", "xi", F.posexplode("features").alias("j", "xj"))
-    c = c.groupBy(*unit, "i", "j").agg(F.sum(F.col("xi") * F.col("xj")).alias("v"))
-    c = c.groupBy(*unit).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "j", "v"))), lambda e: e["v"]).alias("xtx"))
+    c = c.groupBy(*unit, "i", "j").agg(F.sum(F.col("xi") * F.col("xj")).alias("__v"))
+    c = c.groupBy(*unit).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "j", "__v"))), lambda e: e["__v"]).alias("xtx"))
     schema = c.select(*unit).schema.simpleString()[7:-1].replace(":", " ") + ", inv array<array<double>>, rank int"
 
     def solve(batches):

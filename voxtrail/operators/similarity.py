@@ -100,8 +100,8 @@ def dissimilarity(df: DataFrame, keys: list[str], item: str, rows_per_block: int
     def product(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if x.empty or y.empty:
             return pd.DataFrame({f.name: [] for f in schema})
-        r = np.stack(x["u"].to_numpy()) @ np.stack(y["u"].to_numpy()).T
-        p, q = x[item].to_numpy(), y[item].to_numpy()
+        r = np.stack(x["u"].to_numpy()) @ np.stack(y["v"].to_numpy()).T
+        p, q = x["a"].to_numpy(), y["b"].to_numpy()
         same = x["__x"].iloc[0] == x["__y"].iloc[0]
         i, j = np.nonzero(p[:, None] < q[None, :]) if same else [v.ravel() for v in np.indices(r.shape)]
         out = {k: x[k].iloc[0] for k in keys}
@@ -110,8 +110,9 @@ def dissimilarity(df: DataFrame, keys: list[str], item: str, rows_per_block: int
         out.update(a=np.where(swap, second, first), b=np.where(swap, first, second),
                    dissimilarity=1 - 0.5 * (r[i, j] + 1))
         return pd.DataFrame(out)[[f.name for f in schema]]
-    cols = [*group, item, "u"]
-    return left.select(*cols).groupBy(*group).cogroup(right.select(*cols).groupBy(*group)).applyInPandas(product, schema)
+    left = left.select(*group, F.col(item).alias("a"), "u")
+    right = right.select(*group, F.col(item).alias("b"), F.col("u").alias("v"))
+    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(product, schema)
 
 
 def gram(df: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
