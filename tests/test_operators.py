@@ -318,19 +318,19 @@ def test_svm_objective_close_to_optimum(spark):
     x[y == 1] += 1.5
     rows = [(1, int(i % 3), int(i), int(y[i]), True, True, [float(v) for v in x[i]]) for i in range(60)]
     d = spark.createDataFrame(rows, "m int, fold int, trial int, y int, is_train boolean, is_test boolean, features array<double>")
-    w = {r.fold: np.array(r.w) for r in D.hinge_models(d, ["m"], steps=25).collect()}
+    w = {r.fold: np.array([*r.w, r.offset]) for r in D.hinge_models(d, ["m"], steps=12).collect()}
 
     def loss(v, f):
         tr = np.arange(60) % 3 != f
         s = 2 * y[tr] - 1
-        return 0.5 * v @ v + np.maximum(0, 1 - s * (np.c_[x[tr], np.ones(tr.sum())] @ v)).sum()
+        return 0.5 * v[:2] @ v[:2] + np.maximum(0, 1 - s * (np.c_[x[tr], np.ones(tr.sum())] @ v)).sum()
     for f in range(3):
         v = np.zeros(3)
         for step in range(1, 20001):
             tr = np.arange(60) % 3 != f
             s, z = 2 * y[tr] - 1, np.c_[x[tr], np.ones(tr.sum())]
             v = v * (1 - 1 / step) + (s[:, None] * z)[s * (z @ v) < 1].sum(0) / step
-        assert loss(w[f], f) < loss(v, f) * 1.3
+        assert loss(w[f], f) < loss(v, f) * 1.05
 
 
 def test_balanced_keeps_all_of_the_smaller_class(spark):

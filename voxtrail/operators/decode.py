@@ -207,40 +207,65 @@ def searchlight(ev: DataFrame, spheres: DataFrame, keys: list[str], least: int)
 
 # ---- linear support vector machine -----------------------------------------------------
 
-def hinge_models(rows: DataFrame, model: list[str], steps: int = 12, c: float = 1.0) -> DataFrame:
-    """Soft-margin linear models of all (model, fold) by a fixed number of full sub-gradient
-    steps on 1/2 |w|^2 + C sum(hinge), with averaged iterates. Approximates a solver's optimum.
+def _packed(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """One array per key from rows (pos, value); its length is the pattern width."""
+    return df.groupBy(*keys).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("pos", F.col(value).alias("__v")))), lambda e: e["__v"]).alias(out))
 
-    ``rows``: model keys, fold, trial, y, is_train, features. A step joins each training row
-    with the weights of its model's other folds and adds up the rows inside the margin. Rows
-    stay single; only the weights (one array per model and fold) are checkpointed each step."""
+
+def hinge_models(rows: DataFrame, model: list[str], steps: int = 8, c: float = 1.0) -> DataFrame:
+    """Soft-margin linear models of all (model, fold) at once: 1/2 |w|^2 + C sum(hinge).
+
+    Works on the dual: every training row has a multiplier per fold it trains. A step moves all
+    multipliers along the projected gradient, adds up the change of w per voxel, and picks the
+    exact best step length per model, so the objective never gets worse. Features are centred
+    on the training mean, which is folded into the offset. ``rows``: model keys, fold, trial, y,
+    is_train, is_test, features. Rows stay single; a step checkpoints the multipliers (narrow)
+    and one weight array per model and fold."""
     keys = [*model, "fold"]
-    t = rows.filter("is_train").select(*model, F.col("fold").alias("__own"), (2 * F.col("y") - 1).cast("double").alias("s"),
-                                       F.concat("features", F.array(F.lit(1.0))).alias("f"))
-    t = cut_lineage(t)
-    folds = rows.filter("is_test").select(*keys).distinct()
-    size = t.groupBy(*model).agg(F.max(F.size("f")).alias("p"))
-    zero = F.transform(F.sequence(F.lit(1), F.col("p")), lambda i: F.lit(0.0))
-    w = cut_lineage(folds.join(size, model).select(*keys, zero.alias("w"), zero.alias("avg")))
-    for step in range(1, steps + 1):
-        margin = F.col("s") * A.dot(F.col("f"), F.col("w"))
-        bad = t.join(w.select(*keys, "w"), model).filter((F.col("__own") != F.col("fold")) & (margin < 1))
-        g = (bad.select(*keys, "s", F.posexplode("f").alias("pos", "x"))
-             .groupBy(*keys, "pos").agg(F.sum(F.col("x") * F.col("s")).alias("g")))
-        g = g.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "g"))), lambda e: e["g"]).alias("g"))
-        # with lambda = 1 / (C n) and step size 1 / (lambda step) the n cancels
-        keep, rate = 1.0 - 1.0 / step, c / step
-        new = F.when(F.col("g").isNull(), F.transform("w", lambda x: x * keep)).otherwise(
-            F.zip_with("w", "g", lambda x, y: x * keep + y * rate))
-        w = w.join(g, keys, "left").withColumn("w", new)
-        w = cut_lineage(w.select(*keys, "w", F.zip_with(
-            "avg", "w", lambda a, x: a + (x - a) * (2.0 / (step + 1))).alias("avg")))
-    return w.select(*keys, F.col("avg").alias("w"))
-
-
-def hinge_validate(rows: DataFrame, model: list[str], steps: int = 12, c: float = 1.0) -> DataFrame:
+    train = F.col("is_train")
+    long = rows.select(*model, "fold", "is_train", F.posexplode("features").alias("pos", "x"))
+    x = F.when(train, F.col("x"))
+    per = long.groupBy(*model, "pos", "fold").agg(F.count(x).alias("n_"), F.avg(x).alias("m_"),
+                                                  (F.var_pop(x) * F.count(x)).alias("q_"))
+    st = leave_out_totals(per, [*model, "pos"], "fold", ["_"]).filter("n_ > 0")
+    spread = st.groupBy(*keys).agg(F.sum(F.col("q_") / F.col("n_")).alias("h"))
+    zero = F.transform("mu", lambda v: F.lit(0.0))
+    w = _packed(st, keys, "m_", "mu").join(spread, keys).withColumn("w", zero).withColumn(
+        "b", F.lit(0.0)).withColumn("theta", F.lit(0.0))
+    w = cut_lineage(w.join(rows.filter("is_test").select(*keys).distinct(), keys, "left_semi"))
+    t = cut_lineage(rows.filter(train).select(
+        *model, F.col("fold").alias("__own"), "trial", (2 * F.col("y") - 1).cast("double").alias("s"), F.col("features").alias("f")))
+    state = None
+    for _ in range(steps):
+        j = t.join(w.select(*keys, "w", "h", "theta", (F.col("b") - A.dot(F.col("mu"), F.col("w"))).alias("off")), model)
+        j = j.filter(F.col("__own") != F.col("fold"))
+        if state is None:
+            j = j.withColumn("a", F.lit(0.0))
+        else:
+            j = j.join(state, [*keys, "trial"]).withColumn("a", F.col("a") + F.col("theta") * F.col("d"))
+        slack = 1 - F.col("s") * (A.dot(F.col("f"), F.col("w")) + F.col("off"))
+        move = F.greatest(F.lit(0.0), F.least(F.lit(c), F.col("a") + slack / (F.col("h") + 1))) - F.col("a")
+        state = cut_lineage(j.select(*keys, "trial", "a", move.alias("d")))
+        g = t.join(state.filter("d <> 0"), [*model, "trial"]).select(
+            *keys, (F.col("d") * F.col("s")).alias("k"), F.posexplode(F.concat("f", F.array(F.lit(1.0)))).alias("pos", "x"))
+        g = _packed(g.groupBy(*keys, "pos").agg(F.sum(F.col("k") * F.col("x")).alias("g")), keys, "g", "g")
+        total = state.groupBy(*keys).agg(F.sum("d").alias("sd"))
+        u = w.drop("theta").join(g, keys, "left").join(total, keys, "left")
+        u = u.withColumn("gb", F.coalesce(F.element_at("g", -1), F.lit(0.0)))
+        u = u.withColumn("g", F.when(F.col("g").isNull(), zero).otherwise(F.zip_with(
+            F.slice("g", F.lit(1), F.size("mu")), "mu", lambda p, m: p - m * F.col("gb"))))
+        size = A.sum_squares(F.col("g")) + F.col("gb") * F.col("gb")
+        gain = F.col("sd") - A.dot(F.col("w"), F.col("g")) - F.col("b") * F.col("gb")
+        u = u.withColumn("theta", F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), gain / size))).otherwise(0.0))
+        w = cut_lineage(u.select(*keys, "mu", "h", F.zip_with("w", "g", lambda p, q: p + F.col("theta") * q).alias("w"),
+                                 (F.col("b") + F.col("theta") * F.col("gb")).alias("b"), "theta"))
+    return w.select(*keys, "w", (F.col("b") - A.dot(F.col("mu"), F.col("w"))).alias("offset"))
+
+
+def hinge_validate(rows: DataFrame, model: list[str], steps: int = 8, c: float = 1.0) -> DataFrame:
     keys = [*model, "fold"]
     w = hinge_models(rows, model, steps, c)
-    dec = rows.filter("is_test").join(w, keys, "left").select(*keys, "trial", "y", A.dot(
-        F.concat("features", F.array(F.lit(1.0))), F.col("w")).alias("decision"))
+    dec = rows.filter("is_test").join(w, keys, "left").select(
+        *keys, "trial", "y", (A.dot(F.col("features"), F.col("w")) + F.col("offset")).alias("decision"))
     return fold_accuracy(dec, keys)
