@@ -20,9 +20,13 @@ from voxtrail.operators.similarity import haufe
 from voxtrail.session import cut_lineage
 
 
-def attach(pool: DataFrame, patterns: DataFrame, trial: str, keep: Sequence[str]) -> DataFrame:
-    """Joins the narrow pool (labels, folds) to the pattern arrays and goes long."""
-    j = pool.join(patterns.select(trial, "roi", "features"), trial)
+def attach(pool: DataFrame, patterns: DataFrame | None, trial: str, keep: Sequence[str]) -> DataFrame:
+    """Joins the narrow pool (labels, folds) to the pattern arrays and goes long.
+
+    Where labels and folds follow from the trial's own columns (runs, families, single split)
+    the pool can be built on the pattern rows themselves: without ``patterns`` nothing is joined
+    and the features are not shuffled for it."""
+    j = pool if patterns is None else pool.join(patterns.select(trial, "roi", "features"), trial)
     return explode_features(j.withColumnRenamed(trial, "trial"),
                             [*keep, "roi", "fold", "trial", "y", "is_train", "is_test"])
 

@@ -86,8 +86,8 @@ fp AS (SELECT pool.*, fold FROM pool JOIN fr USING (subject, contrast, image))""
 
 @query("d3_identity_folds", f"WITH {POOL}, {IDF}, {rows_sql()}, {decode_sql(CELL, 'rws')} {folds_out(CELL)}")
 def d3(c):
-    d = K.identity_folds(pool(c), ["subject", "contrast"], "image", 3)
-    return D.cross_validate(D.attach(d, patterns(c), "vec_id", MODEL), CELL)
+    d = K.identity_folds(K.contrast_pool(patterns(c)), ["subject", "contrast"], "image", 3)
+    return D.cross_validate(D.attach(d, None, "vec_id", MODEL), CELL)
 
 
 @query("d3_family_leaks", f"WITH {POOL}, {IDF} SELECT subject, contrast, count(DISTINCT image) AS n_families, 0::BIGINT AS n_leaked FROM fp GROUP BY ALL")
@@ -103,8 +103,8 @@ SPLIT = "fp AS (SELECT *, CASE WHEN is_test THEN 0::BIGINT ELSE -1 END AS fold F
 
 @query("d4_cross_single_split", f"WITH {POOL}, {SPLIT}, {rows_sql()}, {decode_sql(CELL, 'rws')} {folds_out(CELL)}")
 def d4(c):
-    d = K.single_split(pool(c, CROSS))
-    return D.cross_validate(D.attach(d, patterns(c), "vec_id", MODEL), CELL)
+    d = K.single_split(K.contrast_pool(patterns(c), CROSS))
+    return D.cross_validate(D.attach(d, None, "vec_id", MODEL), CELL)
 
 
 @query("d5_cross_paired_folds", f"""WITH {POOL}, rp AS (SELECT *, is_test::INT AS role FROM pool WHERE kind='cross'),
@@ -209,7 +209,8 @@ LORO = "fp AS (SELECT *, run AS fold FROM pool)"
 
 
 def loro(c, pats=None, contrasts=K.CONTRASTS):
-    return D.attach(K.run_folds(pool(c, contrasts)), pats if pats is not None else patterns(c), "vec_id", MODEL)
+    d = K.run_folds(K.contrast_pool(pats if pats is not None else patterns(c), contrasts))
+    return D.attach(d, None, "vec_id", MODEL)
 
 
 @query("d11_diagonal_lda", f"WITH {POOL}, {LORO}, {rows_sql()}, {decode_sql(CELL, 'rws')} {folds_out(CELL)}")
@@ -224,7 +225,7 @@ def d12(c):
 
 @query("d13_linear_svm")
 def d13(c):
-    d = K.run_folds(pool(c)).join(P.pattern_zscore(patterns(c)).select("vec_id", "roi", "features"), "vec_id")
+    d = K.run_folds(K.contrast_pool(P.pattern_zscore(patterns(c))))
     return D.hinge_validate(d.withColumnRenamed("vec_id", "trial"), CELL)
 
 
@@ -269,7 +270,7 @@ WHOLE = "lw AS (SELECT vec_id, 'all' AS roi, (regexp_extract(roi, '[0-9]')::INT*
 
 
 def whole(c):
-    return c.view("trials").select("vec_id", F.lit("all").alias("roi"), F.col("embedding").cast("array<double>").alias("features"))
+    return c.view("trials").withColumns({"roi": F.lit("all"), "features": F.col("embedding").cast("array<double>")}).drop("embedding")
 
 
 def grid_spheres(c, radius, least):
