@@ -318,7 +318,7 @@ def test_svm_objective_close_to_optimum(spark):
     x[y == 1] += 1.5
     rows = [(1, int(i % 3), int(i), int(y[i]), True, True, [float(v) for v in x[i]]) for i in range(60)]
     d = spark.createDataFrame(rows, "m int, fold int, trial int, y int, is_train boolean, is_test boolean, features array<double>")
-    w = {r.fold: np.array([*r.w, r.offset]) for r in D.hinge_models(d, ["m"], steps=12).collect()}
+    w = {r.fold: np.array([*r.w, r.offset]) for r in D.hinge_models(d, ["m"], steps=20).collect()}
 
     def loss(v, f):
         tr = np.arange(60) % 3 != f
