@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voxtrail.llm import language_id, packing, url_filter
+from voxtrail.llm import ann, chat_rotation, embedding_dedup, language_id, mixing, packing, pii, run_index, simhash, url_filter
 from voxtrail.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,73 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = language_id.identify(docs.select("doc_id", "text"), language_id.learn(docs), ["doc_id"])
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(mixing.plan(table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
+
+
+@query
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, F.col("vec_id") % 50 == 0)
+
+
+@query
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace(docs).withColumnRenamed("__entities", "n_replaced")
+
+
+@query
+def op7_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = run_index.cut(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op9_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_rotation.rotate(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+CHECKS["op9_chat_rotation"] = r"""
+WITH d AS (SELECT conv_id, turn, nullif(trim(role), '') AS who, coalesce(text, '') AS body FROM conversations),
+people AS (SELECT DISTINCT conv_id AS c, who AS perspective FROM d WHERE who IS NOT NULL AND who NOT IN ('system', 'developer')),
+r AS (SELECT conv_id, perspective, turn, who, body,
+  CASE WHEN who = perspective THEN 'assistant' WHEN who IN ('system', 'developer') THEN 'system' ELSE 'user' END AS role
+  FROM d JOIN people ON conv_id IS NOT DISTINCT FROM c),
+s AS (SELECT *, CASE WHEN role = 'user' THEN who END AS name FROM r),
+h AS (SELECT *, '<|im_start|>' || role || coalesce(' name=' || name, '') || chr(10) AS head FROM s),
+f AS (SELECT *, head || body || '<|im_end|>' || chr(10) AS segment FROM h),
+p AS (SELECT *, row_number() OVER w - 1 AS position, sum(length(segment)) OVER w - length(segment) AS start FROM f
+  WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn, who, body ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, perspective, CAST(position AS BIGINT) AS position, role, name, segment, CAST(start AS BIGINT) AS start,
+  CAST(start + length(head) AS BIGINT) AS mask_start,
+  CAST(CASE WHEN role = 'assistant' THEN length(body) + 10 ELSE 0 END AS BIGINT) AS mask_length FROM p
+"""
+
+
+@query
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+CHECKS["op10_embedding_dedup"] = """
+WITH RECURSIVE u AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: abs(x))) > 0
+    AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reach AS (SELECT a AS n, a AS m FROM e UNION SELECT reach.n, e.b FROM reach JOIN e ON reach.m = e.a),
+root AS (SELECT n, min(m) AS r FROM reach GROUP BY n),
+deg AS (SELECT a, count(*) AS k FROM e GROUP BY a)
+SELECT vec_id, CAST(coalesce(k, 0) AS BIGINT) AS n_links, coalesce(r, vec_id) AS component_id,
+  vec_id = coalesce(r, vec_id) AS kept FROM embeddings LEFT JOIN deg ON a = vec_id LEFT JOIN root ON n = vec_id
+"""
