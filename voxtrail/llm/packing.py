@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 from tokenizers import Tokenizer
@@ -32,40 +33,42 @@ CAPACITY = 1024
 PIECE = 256
 WINDOWS = 64
 SLACK = 4            # ids a window that a group leaves free
-CACHE = 200_000      # pre-tokens whose ids a task remembers
 END = np.zeros(1, dtype="<u4")
 
-# Texts of these characters alone are split here as the byte-level pre-tokenizer splits them, and
-# the ids of each pre-token remembered; all other texts go to the tokenizer whole.
-_OTHER = re.compile("[^\t\n\r -~\xa1-\xac\xae-ſ‘’“”–—…]")
-_L, _N = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ſ", "0-9\xb2\xb3\xb9\xbc-\xbe"
-_PRE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
+# Both libraries split texts of these blocks alike (letters and numbers of long standing).
+_OTHER = re.compile("[^\0-\u05ff\u2000-\u206f\u20a0-\u20bf\u3000-\u9fef\uac00-\ud7a3]")
+
+
+def _byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in a byte-level vocabulary."""
+    plain = [b for b in range(256) if chr(b).isprintable() and chr(b) != " " and b != 0xAD]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
 class Encoder:
-    """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False)``."""
+    """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False)``.
+
+    A faster library reads the same vocabulary (its merges are its ids' order); texts with a
+    special token's string or rare scripts go to the tokenizer itself."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        letters = _byte_letters()
+        vocabulary = {bytes(letters[c] for c in token): i for token, i in
+                      self.tokenizer.get_vocab(with_added_tokens=False).items() if token not in self.special}
+        self.fast = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary, special_tokens={})
 
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
             return END
         if _OTHER.search(text) or any(s in text for s in self.special):
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-            return np.concatenate([ids, END])
-        parts = _PRE.findall(text)
-        try:
-            return np.frombuffer(b"".join(map(self.known.__getitem__, parts)) + b"\0\0\0\0", dtype="<u4")
-        except KeyError:
-            if len(self.known) > CACHE:
-                self.known.clear()
-            new = list({p for p in parts if p not in self.known})
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self.known[p] = np.array(e.ids, dtype="<u4").tobytes()
-            return np.frombuffer(b"".join(map(self.known.__getitem__, parts)) + b"\0\0\0\0", dtype="<u4")
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.fast.encode_ordinary(text)
+        ids.append(0)
+        return np.array(ids, dtype="<u4")
 
 
 _encoders: dict[str, Encoder] = {}
