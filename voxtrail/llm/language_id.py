@@ -81,14 +81,16 @@ def prototypes(docs: DataFrame, text: str, lang: str) -> dict[str, np.ndarray]:
 
 def identify(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str], text: str = "text",
              out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """The columns ``keep`` plus the predicted language and its cosine (0 to 1), row by row."""
+    """The columns ``keep`` plus the predicted language and its cosine (0 to 1), row by row.
+
+    A text that is kept travels once."""
     langs = sorted(model)
     proto = np.stack([model[k] / np.linalg.norm(model[k]) for k in langs]) if langs else None
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pred, score = [], []
-            for words in batch.column(batch.num_columns - 1):
+            for words in batch.column(at):
                 v = encode(words.as_py())
                 if v is None or proto is None:
                     pred.append("und")
@@ -98,11 +100,13 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str], tex
                     k = int(cos.argmax())
                     pred.append(langs[k])
                     score.append(float(min(1.0, max(0.0, cos[k]))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64())],
-                                             names=[*batch.schema.names[:-1], "__pred", "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], pa.array(pred, pa.string()), pa.array(score, pa.float64())],
+                                             names=[*batch.schema.names[:len(keep)], "__pred", "__score"])
 
-    d = docs.select(*[F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep)], F.col(text).alias("__text"))
-    schema = T.StructType([*d.schema.fields[:-1], T.StructField("__pred", T.StringType()),
+    at = keep.index(text) if text in keep else len(keep)
+    d = docs.select(*[F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep)],
+                    *([] if at < len(keep) else [F.col(text).alias("__text")]))
+    schema = T.StructType([*d.schema.fields[:len(keep)], T.StructField("__pred", T.StringType()),
                            T.StructField("__score", T.DoubleType())])
     return d.mapInArrow(judge, schema).select(
         *[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)],

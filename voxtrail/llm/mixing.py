@@ -188,3 +188,31 @@ def taken(m: Mix) -> DataFrame:
             .groupBy("k", "bucket", "row", "doc_id", "size", "source_size", "target")
             .agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).cast("bigint").alias("taken"))
             .select("doc_id", "size", "source_size", "target", "taken"))
+
+
+def mixed_documents(docs: DataFrame, m: Mix) -> DataFrame:
+    """The mix as documents: the columns of ``docs``, one row per document and round it is taken in.
+
+    ``text`` holds the words taken, in order, each with the blanks behind it; a document taken
+    whole keeps its text as it is. Rows of equal id, source and size stand for each other."""
+    cols = docs.columns
+    parts = (m.slots.join(m.pieces, ["k", "block"])
+             .groupBy("k", "bucket", "row", "doc_id", "source", "size", "epoch")
+             .agg(F.array_sort(F.collect_list(F.struct("begin", "words"))).alias("parts"), F.sum("words").alias("words")))
+    same = Window.partitionBy("doc_id", "source", "size").orderBy("k", "bucket", "row")
+    parts = parts.withColumn("nth", F.dense_rank().over(same)).select(
+        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"),
+        F.col("nth").alias("__nth"), F.col("parts").alias("__parts"), F.col("words").alias("__words"))
+    sized = docs.withColumn("__n", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint"))
+    sized = sized.withColumn("__at", F.row_number().over(
+        Window.partitionBy("doc_id", "source", "__n").orderBy(F.xxhash64("text"))))
+    joined = sized.join(parts, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source"))
+                        & (F.col("__n") == F.col("__size")) & (F.col("__at") == F.col("__nth")))
+    words = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    some = F.array_join(F.flatten(F.transform(
+        "__parts", lambda p: F.slice(words, (p["begin"] + 1).cast("int"), p["words"].cast("int")))), "")
+    text = F.when(F.col("__words") == F.col("__n"), F.col("text")).otherwise(some)
+    out = joined.withColumn("text", text)
+    if "n_chars" in cols:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[f"`{c}`" for c in cols])

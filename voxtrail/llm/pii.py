@@ -4,8 +4,9 @@ Entities are found by one pattern over the whole text: e-mail addresses, phone n
 addresses, card numbers, social security and bank account numbers, names behind a title, and
 credentials. A surrogate is a function of a secret key, the type and the value, so the same entity
 has the same surrogate in every document (coreference). Characters keep their class: a digit stays
-a digit, a letter keeps case and script, punctuation stays. Card numbers keep their first digit,
-length and whether their check digit is right; IP addresses stay addresses; names keep their title,
+a digit, a letter keeps case and script, punctuation stays. Card numbers (only those whose check
+digit is right are taken for one) keep their first digit and length, and their check digit is right
+again; IP addresses stay addresses; names keep their title,
 and given names the title's gender; e-mail domains map alike wherever they occur and end in
 ``example`` and their old top level.
 
@@ -94,17 +95,24 @@ def _chars(value: Column, stream: Column, digits: str = "0123456789", lower: str
 
 def _digit_sum(value: Column) -> Column:
     """Luhn sum of the digits of a card number."""
+    def n(c: Column) -> Column:
+        return F.coalesce(c.try_cast("int"), F.lit(0))
+
     d = F.reverse(F.split(F.regexp_replace(value, r"\D", ""), ""))
     doubled = F.transform(d, lambda c, i: F.when(
-        i % 2 == 1, (c.cast("int") * 2) % 10 + F.floor(c.cast("int") * 2 / 10).cast("int")).otherwise(c.cast("int")))
+        i % 2 == 1, (n(c) * 2) % 10 + F.when(n(c) > 4, 1).otherwise(0)).otherwise(n(c)))
     return F.aggregate(doubled, F.lit(0), lambda a, x: a + x)
 
 
 def _card(value: Column, stream: Column) -> Column:
     body = F.concat(value.substr(F.lit(1), F.lit(1)), _chars(value.substr(F.lit(2), F.length(value) - 2), stream))
     check = (F.lit(10) - _digit_sum(F.concat(body, F.lit("0"))) % 10) % 10
-    right = _digit_sum(value) % 10 == 0
-    return F.concat(body, F.when(right, check).otherwise((check + 1 + _pick(stream, F.lit(-1), 9)) % 10).cast("string"))
+    return F.concat(body, check.cast("string"))
+
+
+def is_entity(value: Column) -> Column:
+    """False for a long number that has no card's check digit."""
+    return ~F.regexp(value, F.lit(f"^(?:{PATTERNS['card']})$")) | (_digit_sum(value) % 10 == 0)
 
 
 def _list(words: list[str], i: Column) -> Column:
@@ -189,14 +197,15 @@ def replace(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     cols = [f"`{c}`" for c in docs.columns]
     found = F.when(F.regexp(F.col(text), F.lit(HINT)), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
     d = docs.withColumn("__found", F.coalesce(found, F.array().cast("array<string>")))
-    clean = d.filter(F.size("__found") == 0).select(*cols, F.lit(0).alias("__entities"))
-    some = stored(d.filter(F.size("__found") > 0).withColumn("__row", F.monotonically_increasing_id()), "with-entities")
-    mentions = some.select("__row", F.explode(F.array_distinct("__found")).alias("value"))
+    d = d.withColumn("__real", F.filter("__found", is_entity))
+    clean = d.filter(F.size("__real") == 0).select(*cols, F.lit(0).alias("__entities"))
+    some = stored(d.filter(F.size("__real") > 0).withColumn("__row", F.monotonically_increasing_id()), "with-entities")
+    mentions = some.select("__row", F.explode(F.array_distinct("__real")).alias("value"))
     drawn = assign(mentions.select("value").distinct().select(entity_type(F.col("value")).alias("type"), "value"), key)
     maps = (mentions.join(drawn.select("value", "surrogate"), "value").groupBy("__row")
             .agg(F.map_from_entries(F.collect_list(F.struct("value", "surrogate"))).alias("__map")))  # a document's own entities
     between = F.split(text, PATTERN, -1)
     new = F.array_join(F.transform(between, lambda s, i: F.concat(
-        s, F.coalesce(F.element_at("__map", F.get("__found", i)), F.lit("")))), "")
-    changed = some.join(maps, "__row").withColumn("__entities", F.size("__found")).withColumn(text, new)
+        s, F.coalesce(F.element_at("__map", F.get("__found", i)), F.get("__found", i), F.lit("")))), "")
+    changed = some.join(maps, "__row").withColumn("__entities", F.size("__real")).withColumn(text, new)
     return clean.unionByName(changed.select(*cols, "__entities"))
