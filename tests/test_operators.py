@@ -312,13 +312,14 @@ def test_svm_on_planted_signal(planted):
     assert len(acc) == 10 and acc.accuracy.mean() > max(0.65, centroid.accuracy.mean() - 0.1)
 
 
-def test_svm_objective_close_to_optimum(spark):
+@pytest.mark.parametrize("block", [1024, 25])
+def test_svm_objective_close_to_optimum(spark, block):
     rng = np.random.default_rng(6)
     x, y = rng.normal(size=(60, 2)), np.repeat([0, 1], 30)
     x[y == 1] += 1.5
     rows = [(1, int(i % 3), int(i), int(y[i]), True, True, [float(v) for v in x[i]]) for i in range(60)]
     d = spark.createDataFrame(rows, "m int, fold int, trial int, y int, is_train boolean, is_test boolean, features array<double>")
-    w = {r.fold: np.array([*r.w, r.offset]) for r in D.hinge_models(d, ["m"], steps=20).collect()}
+    w = {r.fold: np.array([*r.w, r.offset]) for r in D.hinge_models(d, ["m"], block_rows=block).collect()}
 
     def loss(v, f):
         tr = np.arange(60) % 3 != f
@@ -330,7 +331,7 @@ def test_svm_objective_close_to_optimum(spark):
             tr = np.arange(60) % 3 != f
             s, z = 2 * y[tr] - 1, np.c_[x[tr], np.ones(tr.sum())]
             v = v * (1 - 1 / step) + (s[:, None] * z)[s * (z @ v) < 1].sum(0) / step
-        assert loss(w[f], f) < loss(v, f) * 1.05
+        assert loss(w[f], f) < loss(v, f) * 1.005 + 0.01
 
 
 def test_balanced_keeps_all_of_the_smaller_class(spark):

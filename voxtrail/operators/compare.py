@@ -61,10 +61,8 @@ def unfinished(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return work.join(done.select(*keys), keys, "left_anti")
 
 
-def merge_trees(within: DataFrame, cross: DataFrame, contrast: str, cross_names: list[str],
-                unit: str, expected: int) -> DataFrame:
+def merge_trees(within: DataFrame, cross: DataFrame, kind: str, unit: str, expected: int) -> DataFrame:
     """Within rows from one result tree and cross rows from the other, with a count gate."""
-    m = (within.filter(~F.col(contrast).isin(cross_names))
-         .unionByName(cross.filter(F.col(contrast).isin(cross_names))))
+    m = within.filter(F.col(kind) == "within").unionByName(cross.filter(F.col(kind) == "cross"))
     n = m.groupBy(unit).agg(F.count(F.lit(1)).alias("n_rows"))
     return m.join(n, unit).withColumn("complete", F.col("n_rows") == expected)

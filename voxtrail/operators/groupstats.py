@@ -108,15 +108,18 @@ def effect_size(df: DataFrame, keys: list[str], group: str, a: str, b: str, valu
 
 
 def compression(effects: DataFrame, keys: list[str], by: list[str], pipeline: str,
-                effect: str, first: str, second: str, clip: float = 5.0) -> DataFrame:
-    """|effect| of two pipelines on shared cells and their ratio, averaged per condition."""
+                effect: str, first: str, second: str, clip: float | None = None) -> DataFrame:
+    """|effect| of two pipelines on shared cells and their ratio, averaged per condition.
+
+    With ``clip``, also the mean of the ratios cut there and the number of cells that were cut."""
     wide = pivot_values(effects, keys, pipeline, effect, [first, second]).filter(
         F.col(first).isNotNull() & F.col(second).isNotNull())
     wide = wide.withColumn("ratio", F.when(F.col(second) != 0, F.abs(first) / F.abs(second)))
+    cut = [] if clip is None else [F.avg(F.least("ratio", F.lit(clip))).alias("mean_clipped_ratio"),
+                                   F.count_if(F.col("ratio") > clip).alias("n_clipped")]
     base = wide.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_cells"), F.avg(F.abs(first)).alias("mean_abs_first"),
-        F.avg(F.abs(second)).alias("mean_abs_second"),
-        F.avg(F.least("ratio", F.lit(clip))).alias("mean_ratio"))
+        F.avg(F.abs(second)).alias("mean_abs_second"), F.avg("ratio").alias("mean_ratio"), *cut)
     return base.join(exact_quantiles(wide, by, "ratio", {"median_ratio": 0.5}), by)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -11,65 +13,57 @@ from voxtrail.operators.ranks import exact_quantiles
 from voxtrail.operators.similarity import gram
 from voxtrail.session import cut_lineage
 
-MAX_REGRESSORS = 512  # the p x p inverse is the only thing the driver holds
-
-
-def _shared_inverse(design: DataFrame) -> tuple[np.ndarray, int]:
-    p = design.agg(F.max(F.size("features"))).first()[0]
-    if p > MAX_REGRESSORS:
-        raise ValueError(f"{p} regressors, at most {MAX_REGRESSORS}")
-    xtx = np.zeros((p, p))
-    for r in gram(design, [], "features", "features").collect():  # p * p numbers
-        xtx[r["i"], r["j"]] = r["v"]
-    return np.linalg.pinv(xtx, hermitian=True), int(np.linalg.matrix_rank(xtx, hermitian=True))
-
-
-def _own_inverse(j: DataFrame, unit: list[str]) -> DataFrame:
-    """Inverse of X'X per unit from the time points it has: sums over (i, j) in Spark, the p x p
-    inverses of an Arrow batch of units in NumPy."""
-    c = j.select(*unit, "features", F.posexplode("features").alias("i", "xi"))
-    c = c.select(*unit, "i", "xi", F.posexplode("features").alias("j", "xj"))
-    c = c.groupBy(*unit, "i", "j").agg(F.sum(F.col("xi") * F.col("xj")).alias("__v"))
-    c = c.groupBy(*unit).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "j", "__v"))), lambda e: e["__v"]).alias("xtx"))
-    schema = c.select(*unit).schema.simpleString()[7:-1].replace(":", " ") + ", inv array<array<double>>, rank int"
-
-    def solve(batches):
+MAX_DESIGN_BYTES = 1 << 29  # a design is as long as one recording; a longer one fails loudly
+
+
+def _local_design(design: DataFrame, t: str) -> tuple[np.ndarray, np.ndarray]:
+    """Time points and rows of the design, after a check of their size."""
+    n, p = design.agg(F.count(F.lit(1)), F.max(F.size("features"))).first()
+    if n * (p or 0) * 8 > MAX_DESIGN_BYTES:
+        raise ValueError(f"a design of {n} x {p} values exceeds {MAX_DESIGN_BYTES} bytes")
+    rows = design.select(t, "features").orderBy(t).collect()
+    return np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), p or 0)
+
+
+def fit(y: DataFrame, design: DataFrame, unit: list[str], t: str, value: str,
+        contrasts: Sequence[Sequence[float]] = ()) -> DataFrame:
+    """Least squares per unit (voxel): ``beta``, residual variance ``sigma2``, ``df``, and for each
+    of ``contrasts`` the factor ``scale`` of its variance.
+
+    ``design``: t, features (one array per time point); every task gets it whole, as one recording's
+    design is small (its size is checked). A unit's samples are one array no longer than the
+    design. Units with all time points share one inverse, the others get their own."""
+    at, x = _local_design(design, t)
+    inverse = np.linalg.pinv(x.T @ x, hermitian=True)
+    w = np.array(contrasts, dtype=np.float64).reshape(len(contrasts), x.shape[1] if len(contrasts) else 0)
+    sent = y.sparkSession.sparkContext.broadcast((at, x, inverse, int(np.linalg.matrix_rank(x)) if x.size else 0, w))
+    series = y.filter(F.col(value).isNotNull()).groupBy(*unit).agg(
+        F.collect_list(F.struct(F.col(t).alias("t"), F.col(value).cast("double").alias("v"))).alias("__s"))
+    schema = series.select(*unit).schema.simpleString()[7:-1].replace(":", " ") + (
+        ", beta array<double>, sigma2 double, df int, scale array<double>")
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, x, inverse, rank, w = sent.value
         for b in batches:
-            if len(b):
-                m = np.stack(b["xtx"].to_numpy())
-                p = int(round(m.shape[1] ** 0.5))
-                m = m.reshape(-1, p, p)
-                b["inv"] = [list(x) for x in np.linalg.pinv(m, hermitian=True)]
-                b["rank"] = np.linalg.matrix_rank(m, hermitian=True).astype("int32")
-                yield b[[*unit, "inv", "rank"]]
-    return c.mapInPandas(solve, schema)
-
-
-def fit(y: DataFrame, design: DataFrame, unit: list[str], t: str, value: str) -> DataFrame:
-    """Least squares per unit (voxel): ``beta``, residual variance and degrees of freedom.
-
-    ``design``: t, features (one array per time point). X'X is one aggregate over the design;
-    its p x p inverse becomes a literal, X'y a grouped sum over the samples. Units that lack
-    time points get an inverse of their own; with a complete table that branch is empty."""
-    shared, rank = _shared_inverse(design)
-    n_design = design.count()
-    y = y.filter(F.col(value).isNotNull())
-    j = y.join(design, t).select(*unit, F.col(value).alias("__y"), "features")
-    x = j.select(*unit, "__y", F.posexplode("features").alias("i", "x"))
-    xty = x.groupBy(*unit, "i").agg(F.sum(F.col("x") * F.col("__y")).alias("s"))
-    xty = xty.groupBy(*unit).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda e: e["s"]).alias("xty"))
-    yy = j.groupBy(*unit).agg(F.sum(F.col("__y") * F.col("__y")).alias("yy"), F.count("__y").alias("n"))
-    d = cut_lineage(xty.join(yy, unit))
-    rows = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in shared])
-    whole = d.filter(F.col("n") == n_design).withColumn("inv", rows).withColumn("rank", F.lit(rank))
-    part = d.filter(F.col("n") != n_design)
-    if part.take(1):
-        own = _own_inverse(j.join(part.select(*unit), unit, "left_semi"), unit)
-        whole = whole.unionByName(part.join(own, unit))
-    d = whole.withColumn("beta", F.transform("inv", lambda r: A.dot(r, F.col("xty"))))
-    sse = F.greatest(F.lit(0.0), F.col("yy") - A.dot(F.col("beta"), F.col("xty")))
-    d = d.withColumn("df", F.col("n") - F.col("rank")).withColumn("sigma2", sse / F.nullif(F.col("df"), F.lit(0)))
-    return d.select(*unit, "beta", "sigma2", "df", "inv")
+            out = []
+            for samples in b["__s"]:
+                when = np.array([s["t"] for s in samples])
+                row = np.searchsorted(at, when)
+                known = (row < len(at)) & (at[np.minimum(row, len(at) - 1)] == when) if len(at) else np.zeros(len(when), bool)
+                row, v = row[known], np.array([s["v"] for s in samples])[known]
+                m, inv, r = x[row], inverse, rank
+                if len(row) != len(at):
+                    inv, r = np.linalg.pinv(m.T @ m, hermitian=True), int(np.linalg.matrix_rank(m)) if m.size else 0
+                beta = inv @ (m.T @ v)
+                df = len(row) - r
+                rest = v - m @ beta
+                out.append((beta, rest @ rest / df if df > 0 else None, df, np.einsum("ki,ij,kj->k", w, inv, w) if len(w) else np.empty(0)))
+            res = b[unit].reset_index(drop=True)
+            for i, c in enumerate(("beta", "sigma2", "df", "scale")):
+                res[c] = [o[i] for o in out]
+            yield res
+
+    return series.mapInPandas(solve, schema)
 
 
 def incomplete_units(y: DataFrame, design: DataFrame, unit: list[str], t: str, value: str) -> DataFrame:
@@ -84,11 +78,11 @@ def residuals(y: DataFrame, design: DataFrame, fitted: DataFrame, unit: list[str
     return j.select(*unit, t, (F.col(value) - A.dot(F.col("features"), F.col("beta"))).alias("residual"))
 
 
-def contrast(fitted: DataFrame, unit: list[str], weights: list[float]) -> DataFrame:
-    """Effect, standard error and t of a weighted sum of betas."""
+def contrast(fitted: DataFrame, unit: list[str], weights: list[float], k: int = 0) -> DataFrame:
+    """Effect, standard error and t of the weighted sum of betas that was ``contrasts[k]`` of the fit."""
     w = F.array(*[F.lit(float(x)) for x in weights])
     effect = A.dot(w, F.col("beta"))
-    var = F.col("sigma2") * A.dot(w, F.transform("inv", lambda r: A.dot(r, w)))
+    var = F.col("sigma2") * F.get("scale", F.lit(k))
     return fitted.select(*unit, effect.alias("effect"), F.sqrt(var).alias("se"),
                          F.when(var > 0, effect / F.sqrt(var)).alias("t"), "df")
 
@@ -130,6 +124,9 @@ def prais_winsten_design(design: DataFrame, rho: float, t: str) -> DataFrame:
                     .otherwise(F.zip_with("features", "__prev", lambda x, p: x - r * p)).alias("features"))
 
 
+MAX_WIDTH = 8192  # 512 MB a matrix
+
+
 # ---- noise covariance ------------------------------------------------------------------
 
 def demeaned(df: DataFrame, keys: list[str], condition: str) -> DataFrame:
@@ -168,11 +165,13 @@ def shrunk_covariance(df: DataFrame, keys: list[str], condition: str) -> DataFra
 
 def inverse_root(cov: DataFrame, keys: list[str], floor: float = 1e-8) -> DataFrame:
     """Symmetric inverse square root of each covariance, one row per matrix row. A group is one
-    p x p matrix, bounded by the region size."""
+    p x p matrix; a region of more than MAX_WIDTH features fails loudly."""
     schema = cov.select(*keys).schema.simpleString()[7:-1].replace(":", " ") + ", i int, row array<double>"
 
-    def root(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def root(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         p = int(pdf["i"].max()) + 1
+        if p > MAX_WIDTH:
+            raise ValueError(f"a covariance of {p} features, at most {MAX_WIDTH}")
         m = np.zeros((p, p))
         m[pdf["i"].to_numpy(), pdf["j"].to_numpy()] = pdf["cov"].to_numpy()
         val, vec = np.linalg.eigh(m)

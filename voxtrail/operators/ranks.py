@@ -20,7 +20,11 @@ from voxtrail.functions.hashing import hash32
 from voxtrail.session import cut_lineage
 
 B = "__bucket"
-HASH_SPLITS = 64
+
+
+def hash_splits(df: DataFrame) -> int:
+    """Buckets of a hashed order: four for every shuffle partition the session is set up for."""
+    return max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def value_bucket(x: Column, lo: Column, hi: Column) -> Column:
@@ -64,7 +68,7 @@ def hash_row_number(df: DataFrame, keys: list[str], salt: list, ids: list[str],
                     total: str | None = None) -> DataFrame:
     """Row number by hash(salt, ids), ties by ids: a repeatable random order."""
     d = df.withColumn("__h", hash32(*salt, *[F.col(c) for c in ids]))
-    d = bucketed_row_number(d, keys, F.floor(F.col("__h") / (2 ** 32 // HASH_SPLITS)),
+    d = bucketed_row_number(d, keys, F.floor(F.col("__h") * hash_splits(df) / 2 ** 32),
                             ["__h", *ids], out, total)
     return d.drop("__h")
 

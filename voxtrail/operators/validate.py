@@ -114,15 +114,13 @@ def match_candidates(expected: DataFrame, candidates: DataFrame, keys: list[str]
         .otherwise("unresolved_ambiguous").alias("status"))
 
 
-def misaligned(left: DataFrame, right: DataFrame, index: str, fields: list[str],
-               limit: int = 10) -> DataFrame:
-    """First rows (by index) in which two manifests differ; a report of ``limit`` rows."""
+def misaligned(left: DataFrame, right: DataFrame, index: str, fields: list[str]) -> DataFrame:
+    """Every row in which two manifests differ; a message takes the first of them itself."""
     r = right.select(index, *[F.col(f).alias("r_" + f) for f in fields], F.lit(1).alias("in_right"))
     j = left.select(index, *fields, F.lit(1).alias("in_left")).join(r, index, "full")
     same = reduce(Column.__and__, [F.col(f).eqNullSafe(F.col("r_" + f)) for f in fields],
                   F.col("in_left").isNotNull() & F.col("in_right").isNotNull())
-    return (j.filter(~same).orderBy(index).limit(limit)
-            .select(index, *fields, *["r_" + f for f in fields]))
+    return j.filter(~same).select(index, *fields, *["r_" + f for f in fields])
 
 
 def previous_row(df: DataFrame, keys: list[str], index: str, cols: list[str]) -> DataFrame:

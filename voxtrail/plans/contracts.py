@@ -147,7 +147,7 @@ def p13(c):
 WITH l AS (SELECT vec_id, run, valence FROM trials), r AS (SELECT vec_id, run + CAST(vec_id % 61 = 7 AS INT) AS run,
   CASE WHEN vec_id % 83 = 2 THEN 'neutral' ELSE valence END AS valence FROM trials WHERE vec_id <> 30)
 SELECT vec_id, l.run AS run, l.valence AS valence, r.run AS r_run, r.valence AS r_valence FROM l FULL JOIN r USING (vec_id)
-WHERE l.run IS DISTINCT FROM r.run OR l.valence IS DISTINCT FROM r.valence ORDER BY vec_id LIMIT 10""")
+WHERE l.run IS DISTINCT FROM r.run OR l.valence IS DISTINCT FROM r.valence""")
 def p14(c):
     t = c.view("trials").select("vec_id", "run", "valence")
     r = t.filter("vec_id <> 30").select(

@@ -95,11 +95,11 @@ def s7(c):
 
 
 @query("s8_merge_trees", """
-WITH m AS (SELECT subject, roi, contrast, accuracy FROM pipeline_results WHERE pipeline='p0' AND kind='within' AND contrast <> 'R'
- UNION ALL SELECT subject, roi, contrast, accuracy FROM pipeline_results WHERE pipeline='p1' AND kind='within' AND contrast = 'R'),
+WITH m AS (SELECT subject, roi, contrast, kind, accuracy FROM pipeline_results WHERE pipeline='p0' AND kind='within'
+ UNION ALL SELECT subject, roi, contrast, kind, accuracy FROM pipeline_results WHERE pipeline='p1' AND kind='cross'),
 n AS (SELECT subject, count(*) AS n_rows FROM m GROUP BY subject)
-SELECT subject, roi, contrast, rnd(accuracy) AS accuracy, n_rows, n_rows = 51 AS complete FROM m JOIN n USING (subject)""")
+SELECT subject, roi, contrast, kind, rnd(accuracy) AS accuracy, n_rows, n_rows = 102 AS complete FROM m JOIN n USING (subject)""")
 def s8(c):
-    p = c.view("pipeline_results").filter("kind='within'").select("pipeline", "subject", "roi", "contrast", "accuracy")
+    p = c.view("pipeline_results")
     return C.merge_trees(p.filter("pipeline='p0'").drop("pipeline"), p.filter("pipeline='p1'").drop("pipeline"),
-                         "contrast", ["R"], "subject", 51)
+                         "kind", "subject", 102)

@@ -100,10 +100,11 @@ m AS (SELECT subject, roi, abs(x.d) AS f, abs(y.d) AS g, abs(x.d)/nullif(abs(y.d
       FROM (SELECT * FROM e WHERE pipeline='p0') x JOIN (SELECT * FROM e WHERE pipeline='p1') y
       USING (subject, roi) WHERE x.d IS NOT NULL AND y.d IS NOT NULL)
 SELECT roi, count(*) AS n_cells, rnd(avg(f)) AS mean_abs_first, rnd(avg(g)) AS mean_abs_second,
-       rnd(avg(least(ratio, 5.0))) AS mean_ratio, rnd(median(ratio)) AS median_ratio
+       rnd(avg(ratio)) AS mean_ratio, rnd(avg(least(ratio, 5.0))) AS mean_clipped_ratio,
+       count(*) FILTER (ratio > 5.0) AS n_clipped, rnd(median(ratio)) AS median_ratio
 FROM m GROUP BY roi""")
 def a12(c):
-    return G.compression(effects(c), ["subject", "roi"], ["roi"], "pipeline", "d", "p0", "p1")
+    return G.compression(effects(c), ["subject", "roi"], ["roi"], "pipeline", "d", "p0", "p1", clip=5.0)
 
 
 CELLS = """

@@ -134,6 +134,9 @@ def v23(c):
     return T.onset_bins(o, ["subject"], "onset_s", 12.5, 5400.0).drop("onset_s")
 
 
+SLOPE = [0.0, 1.0]
+
+
 def design(c):
     return c.view("glm_x").select("t", F.array(F.lit(1.0), F.col("x")).alias("features"))
 
@@ -145,12 +148,12 @@ g AS (SELECT voxel_id, regr_slope(y, x) AS b1, regr_intercept(y, x) AS b0, count
 def glm(c):
     y = cut_lineage(c.view("glm_y"))
     d = cut_lineage(design(c))
-    return y, d, L.fit(y, d, ["voxel_id"], "t", "y")
+    return y, d, L.fit(y, d, ["voxel_id"], "t", "y", [SLOPE])
 
 
 @query("v20_linear_model", f"WITH {GLM} SELECT voxel_id, rnd(b1) AS effect, rnd(sqrt(sse/(n-2)/sxx)) AS se, rnd(b1/sqrt(sse/(n-2)/sxx)) AS t, n-2 AS df FROM g")
 def v20(c):
-    return L.contrast(glm(c)[2], ["voxel_id"], [0.0, 1.0])
+    return L.contrast(glm(c)[2], ["voxel_id"], SLOPE)
 
 
 RES = f"{GLM}, e AS (SELECT voxel_id, t, y - b0 - b1*x AS e FROM j JOIN g USING (voxel_id))"
@@ -184,13 +187,23 @@ def v21_whitened(c):
     return L.prais_winsten(y, L.pooled_ar1(rho), ["voxel_id"], "t", "y")
 
 
-@query("v21_refit")
+WHITE = f"""{RHO}, m AS (SELECT greatest(-0.9, least(0.9, median(rho))) AS rho FROM r),
+ly AS (SELECT voxel_id, t, y, CASE WHEN lag(t) OVER w = t-1 THEN lag(y) OVER w END AS p FROM glm_y WINDOW w AS (PARTITION BY voxel_id ORDER BY t)),
+wy AS (SELECT voxel_id, t, CASE WHEN p IS NULL THEN y*sqrt(1-rho*rho) ELSE y - rho*p END AS y FROM ly, m),
+lx AS (SELECT t, x, CASE WHEN lag(t) OVER (ORDER BY t) = t-1 THEN lag(x) OVER (ORDER BY t) END AS p FROM glm_x),
+wx AS (SELECT t, CASE WHEN p IS NULL THEN sqrt(1-rho*rho) ELSE 1-rho END AS a, CASE WHEN p IS NULL THEN x*sqrt(1-rho*rho) ELSE x - rho*p END AS b FROM lx, m),
+ne AS (SELECT voxel_id, count(*) AS n, sum(a*a) AS aa, sum(a*b) AS ab, sum(b*b) AS bb, sum(a*y) AS ay, sum(b*y) AS byy, sum(y*y) AS yy FROM wy JOIN wx USING (t) GROUP BY voxel_id),
+so AS (SELECT *, (bb*ay - ab*byy)/(aa*bb-ab*ab) AS b0, (aa*byy - ab*ay)/(aa*bb-ab*ab) AS b1 FROM ne),
+sg AS (SELECT *, (yy - b0*ay - b1*byy)/(n-2) * aa/(aa*bb-ab*ab) AS var FROM so)"""
+
+
+@query("v21_refit", f"WITH {WHITE} SELECT voxel_id, rnd(b1) AS effect, rnd(sqrt(var)) AS se, rnd(b1/sqrt(var)) AS t, (n-2)::INT AS df FROM sg")
 def v21_refit(c):
     y, d, rho = autocorrelation(c)
     rho = L.pooled_ar1(rho)
     w = cut_lineage(L.prais_winsten(y, rho, ["voxel_id"], "t", "y"))
-    f = L.fit(w, cut_lineage(L.prais_winsten_design(d, rho, "t")), ["voxel_id"], "t", "whitened")
-    return L.contrast(f, ["voxel_id"], [0.0, 1.0])
+    f = L.fit(w, cut_lineage(L.prais_winsten_design(d, rho, "t")), ["voxel_id"], "t", "whitened", [SLOPE])
+    return L.contrast(f, ["voxel_id"], SLOPE)
 
 
 @query("v19_covariance", """

@@ -53,10 +53,12 @@ def scan_labels(spark: SparkSession, path: str) -> DataFrame:
                     & (F.col("roi_name") != PLACEHOLDER))
 
 
-def write_pattern_cache(df: DataFrame, path: str, roi: str, subject: str, spread: int = 8,
+def write_pattern_cache(df: DataFrame, path: str, roi: str, subject: str, spread: int | None = None,
                         spread_by: str | None = None) -> None:
     """One folder per region, so later stages read only theirs; inside it rows are sorted by
-    subject for file skipping. A large subject or region is spread over ``spread`` tasks."""
+    subject for file skipping. A large subject or region is spread over ``spread`` tasks (by
+    default as many as there are shuffle partitions)."""
+    spread = spread or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salt = F.pmod(F.hash(spread_by), F.lit(spread)) if spread_by else F.lit(0)
     (df.repartition(F.col(roi), F.col(subject), salt).sortWithinPartitions(roi, subject)
      .write.partitionBy(roi).parquet(path))
