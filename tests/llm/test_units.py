@@ -19,7 +19,8 @@ def test_differencing_deals_every_item_once(sizes):
 
 
 def test_differencing_is_even():
-    sizes = [random.Random(1).randint(1, 256) for _ in range(500)]
+    rng = random.Random(1)
+    sizes = [rng.randint(1, 256) for _ in range(500)]
     sums = [sum(sizes[i] for i in w) for w in packing.differencing(sizes, 60)]
     assert max(sums) - min(sums) <= 4
 
@@ -186,7 +187,7 @@ def test_anchors_cover_every_window_and_depend_on_content_alone():
 
 
 def test_windows_of_oversized_keys_give_the_same_losses():
-    rows = [(1, b"q" * 10 + bytes([65 + d]) * 1 + b"x" * 49 + b"yz", d, 0, 0, 13, False) for d in range(4)]
+    rows = [(1, b"q" * 10 + bytes([65 + d]) + b"x" * 49 + b"yz", d, 0, 0) for d in range(4)]
     t = pa.Table.from_batches([run_index._batch(rows, run_index._SNIP)])
 
     def lost(batches):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+import time
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -23,6 +26,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps.
+
+    Its cleaner removes what the driver's garbage collection has found unused; between two large
+    steps that would come too late for the disks. The first collection ends the queries that hold
+    the shuffles, the second finds these unused."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
 def held_out(doc_id) -> F.Column:
     """True if crc32 of the id as text leaves remainder 1 modulo 3; a null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))

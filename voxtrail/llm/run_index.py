@@ -30,11 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from voxtrail.llm.blocks import whole_cells
-from voxtrail.llm.common import stored
+from voxtrail.llm.common import release, stored
 
 SPAN, KMER = 50, 16
 MANY = 16_384
@@ -86,7 +87,7 @@ def strips(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
             rows.append(i)
             offsets.append(off)
             size += len(part)
-            if size >= STRIP:
+            if size >= STRIP or len(held) >= 60_000:
                 yield _strip(held, rows, offsets)
                 held, rows, offsets, size = [], [], [], 0
     if size:
@@ -110,9 +111,11 @@ def _from_six(data: bytes) -> np.ndarray:
 
 # ---- 1: which anchors lie in more than one document --------------------------------------
 
-_SENT = "slot int, strip bigint, docs binary, counts binary, keys binary, settled boolean, seen binary, n_seen binary"
-_SENT_SCHEMA = pa.schema([("slot", pa.int32()), ("strip", pa.int64()), *[(c, pa.binary()) for c in ("docs", "counts", "keys")],
-                          ("settled", pa.bool_()), ("seen", pa.binary()), ("n_seen", pa.binary())])
+_SENT = "slot int, strip bigint, docs binary, rows binary, counts binary, keys binary, seen binary, n_seen binary"
+_SENT_SCHEMA = pa.schema([("slot", pa.int32()), ("strip", pa.int64()),
+                          *[(c, pa.binary()) for c in ("docs", "rows", "counts", "keys", "seen", "n_seen")]])
+_KNOWN = "strip bigint, docs binary, rows binary, counts binary, keys binary, heavy binary"
+_KNOWN_SCHEMA = pa.schema([("strip", pa.int64()), *[(c, pa.binary()) for c in ("docs", "rows", "counts", "keys", "heavy")]])
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -121,19 +124,20 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _send(ranges: int):
-    """Packed keys by range. ``docs``: pairs of id and text hash; ``counts``: keys of each."""
+    """Packed keys by range; documents are numbered inside their strip (16 bits).
+
+    One row of a strip, dealt anywhere, holds what needs no question: its documents (id, text hash)
+    and its settled keys."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         strip = TaskContext.get().partitionId() << 32
         for b in batches:
             docs = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], axis=1)
             for data, ends, rows, _ in strips(b.column(2).to_pylist()):
                 key, start, _ = anchors(data, ends)
-                row = rows[np.searchsorted(ends, start, side="right")]
-                order = np.lexsort((row, key))
-                key, row = key[order], row[order]
-                fresh = np.ones(len(key), dtype=bool)
-                fresh[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
-                key, row = key[fresh], row[fresh]
+                own = np.unique(rows)
+                row = np.searchsorted(own, rows)[np.searchsorted(ends, start, side="right")]
+                both = np.unique(key.astype(np.uint64) << np.uint64(16) | row.astype(np.uint64))
+                key, row = (both >> np.uint64(16)).astype(np.int64), (both & np.uint64(0xFFFF)).astype(np.int64)
                 new = np.ones(len(key), dtype=bool)
                 new[1:] = key[1:] != key[:-1]
                 at = np.flatnonzero(new)
@@ -141,14 +145,12 @@ def _send(ranges: int):
                 many = np.repeat(n > 1, n)  # in two documents of this strip: settled
                 seen, n_seen = key[at][n > 1], n[n > 1]
                 by_seen, by_open = _split(seen % ranges, ranges), _split(key[~many] % ranges, ranges)
-                out = []
+                out = [(strip % ranges, strip, docs[own].tobytes(), *_packed(row[many], key[many]), b"", b"")]
                 for r in range(ranges):
                     mine, witness = by_open(r), by_seen(r)
                     if len(mine) or len(witness):
-                        out.append((r, strip, *_packed(docs, row[~many][mine], key[~many][mine]), False,
+                        out.append((r, strip, b"", *_packed(row[~many][mine], key[~many][mine]),
                                     _six(seen[witness]), n_seen[witness].astype("<u4").tobytes()))
-                if many.any():
-                    out.append((strip % ranges, strip, *_packed(docs, row[many], key[many]), True, b"", b""))
                 strip += 1
                 yield _batch(out, _SENT_SCHEMA)
 
@@ -162,65 +164,65 @@ def _split(slot: np.ndarray, n: int):
     return lambda r: order[cuts[r]:cuts[r + 1]]
 
 
-def _packed(docs: np.ndarray, row: np.ndarray, key: np.ndarray) -> tuple[bytes, bytes, bytes]:
+def _packed(row: np.ndarray, key: np.ndarray) -> tuple[bytes, bytes, bytes]:
     order = np.argsort(row, kind="stable")
     rows, counts = np.unique(row, return_counts=True)
-    return docs[rows].tobytes(), counts.astype("<u4").tobytes(), _six(key[order])
+    return rows.astype("<u2").tobytes(), counts.astype("<u4").tobytes(), _six(key[order])
 
 
-_KNOWN = "strip bigint, docs binary, counts binary, keys binary, heavy binary"
+def _rows_of(table: pa.Table, i: int) -> np.ndarray:
+    return np.repeat(np.frombuffer(table.column("rows")[i].as_py(), dtype="<u2").astype(np.int64),
+                     np.frombuffer(table.column("counts")[i].as_py(), dtype="<u4"))
 
 
 def _decide(table: pa.Table) -> pa.Table:
     """Of the packed keys of a range, those in more than one document; heavy: in more than MANY."""
+    settled = np.array([len(x.as_py()) > 0 for x in table.column("docs")])
+    out = [(*[table.column(c)[i].as_py() for c in ("strip", "docs", "rows", "counts", "keys")],
+            bytes(len(table.column("keys")[i].as_py()) // 6)) for i in np.flatnonzero(settled).tolist()]
+    table = table.filter(pa.array(~settled))
+    if not table.num_rows:
+        return pa.Table.from_batches([_batch(out, _KNOWN_SCHEMA)])
     keys = [_from_six(x.as_py()) for x in table.column("keys")]
-    settled = table.column("settled").to_numpy()
     seen = np.concatenate([_from_six(x.as_py()) for x in table.column("seen")])
     weight = np.concatenate([np.frombuffer(x.as_py(), dtype="<u4") for x in table.column("n_seen")])
-    every = np.concatenate([seen, *[k for k, done in zip(keys, settled) if not done]])
+    every = np.concatenate([seen, *keys])
     total = np.empty(0, dtype=np.int64)
     if len(every):
         distinct, where = np.unique(every, return_inverse=True)
         weights = np.concatenate([weight, np.ones(len(every) - len(seen))])
         total = np.bincount(where, weights=weights)[where][len(seen):].astype(np.int64)
-    out, at = [], 0
+    at = 0
     for i, own in enumerate(keys):
-        if settled[i]:
-            keep, heavy = np.ones(len(own), dtype=bool), np.zeros(len(own), dtype=bool)
-        else:
-            n = total[at:at + len(own)]
-            at += len(own)
-            keep, heavy = n > 1, n > MANY
+        n = total[at:at + len(own)]
+        at += len(own)
+        keep = n > 1
         if keep.any():
-            docs = np.frombuffer(table.column("docs")[i].as_py(), dtype=np.int64).reshape(-1, 2)
-            row = np.repeat(np.arange(len(docs)), np.frombuffer(table.column("counts")[i].as_py(), dtype="<u4"))
-            out.append((table.column("strip")[i].as_py(), *_packed(docs, row[keep], own[keep]), heavy[keep].tobytes()))
-    return pa.Table.from_batches([_batch(out, pa.schema(
-        [("strip", pa.int64()), *[(c, pa.binary()) for c in ("docs", "counts", "keys", "heavy")]]))])
+            out.append((table.column("strip")[i].as_py(), b"", *_packed(_rows_of(table, i)[keep], own[keep]),
+                        (n > MANY)[keep].tobytes()))
+    return pa.Table.from_batches([_batch(out, _KNOWN_SCHEMA)])
 
 
 def _gather(table: pa.Table) -> pa.Table:
     """Repeated keys of the documents of a strip: one row per document."""
-    docs, keys, heavy = [], [], []
-    for i in range(table.num_rows):
-        pair = np.frombuffer(table.column("docs")[i].as_py(), dtype=np.int64).reshape(-1, 2)
-        docs.append(np.repeat(pair, np.frombuffer(table.column("counts")[i].as_py(), dtype="<u4"), axis=0))
-        keys.append(_from_six(table.column("keys")[i].as_py()))
-        heavy.append(np.frombuffer(table.column("heavy")[i].as_py(), dtype=bool))
-    docs, keys, heavy = np.concatenate(docs), np.concatenate(keys), np.concatenate(heavy)
-    order = np.lexsort((docs[:, 1], docs[:, 0]))
-    docs, keys, heavy = docs[order], keys[order], heavy[order]
-    at = np.flatnonzero(np.append(True, (docs[1:] != docs[:-1]).any(axis=1)))
-    out = [(int(docs[a, 0]), int(docs[a, 1]), _six(keys[a:e][~heavy[a:e]]), _six(keys[a:e][heavy[a:e]]))
-           for a, e in zip(at.tolist(), [*at[1:].tolist(), len(docs)])]
+    docs = np.frombuffer(b"".join(x.as_py() for x in table.column("docs")), dtype=np.int64).reshape(-1, 2)
+    row = np.concatenate([_rows_of(table, i) for i in range(table.num_rows)])
+    keys = np.concatenate([_from_six(x.as_py()) for x in table.column("keys")])
+    heavy = np.concatenate([np.frombuffer(x.as_py(), dtype=bool) for x in table.column("heavy")])
+    order = np.argsort(row, kind="stable")
+    row, keys, heavy = row[order], keys[order], heavy[order]
+    cuts = np.searchsorted(row, np.arange(len(docs) + 1))
+    out = [(int(docs[i, 0]), int(docs[i, 1]), _six(keys[a:e][~heavy[a:e]]), _six(keys[a:e][heavy[a:e]]))
+           for i, (a, e) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if e > a]
     return pa.Table.from_batches([_batch(out, pa.schema(
         [("doc_id", pa.int64()), ("th", pa.int64()), ("keys", pa.binary()), ("heavy", pa.binary())]))])
 
 
 # ---- 2: snippets around repeated anchors -------------------------------------------------
 
+# A start of -1 marks a row of settled losses: its snippet is pairs of start and windows.
 _SNIP = pa.schema([("key", pa.int64()), ("snippet", pa.binary()), ("doc_id", pa.int64()), ("th", pa.int64()),
-                   ("start", pa.int64()), ("windows", pa.int32()), ("lost", pa.bool_())])
+                   ("start", pa.int64())])
 
 
 def _snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,31 +239,31 @@ def _snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             piece = np.searchsorted(ends, start, side="right")
             row = rows[piece]
             mine = _pairs(row, key)
-            heavy = np.isin(mine, listed[1])
+            heavy = np.isin(mine, listed[1]) if len(listed[1]) else np.zeros(len(mine), dtype=bool)
             keep = np.isin(mine, listed[0]) | heavy
             begin = np.concatenate([[0], ends[:-1]])[piece]
             raw = data.tobytes()
-            k, s, d, t, at, n = [], [], [], [], [], []
+            found: list[tuple] = []  # key, snippet, row, start
             for i in np.flatnonzero(keep).tolist():
-                a, c = int(start[i]), int(count[i])
-                steps = range(c) if heavy[i] else (0,)
-                for o in steps:
-                    text = raw[a + o:a + o + SPAN] if heavy[i] else raw[a:a + c + SPAN - 1]
-                    k.append(_own_key(text) if heavy[i] else int(key[i]))
-                    s.append(text)
-                    d.append(int(doc[row[i]]))
-                    t.append(int(th[row[i]]))
-                    at.append(int(offsets[piece[i]] + a + o - begin[i]))
-                    n.append(1 if heavy[i] else c)
+                a, c, r = int(start[i]), int(count[i]), int(row[i])
+                place = int(offsets[piece[i]] + a - begin[i])
+                if heavy[i]:
+                    found += [(_own_key(w), w, r, place + o) for o in range(c) for w in (raw[a + o:a + o + SPAN],)]
+                else:
+                    found.append((int(key[i]), raw[a:a + c + SPAN - 1], r, place))
             best: dict[bytes, int] = {}
-            for text, owner in zip(s, d):
-                if best.get(text, NO_DOC + 1) > owner:
-                    best[text] = owner
-            # a copy in a larger document loses all its windows already here, and is dealt anywhere
-            lost = [best[text] < owner for text, owner in zip(s, d)]
-            k = [(hash((x, y)) >> 1 if z else w) for x, y, z, w in zip(d, at, lost, k)]
-            s = [b"" if z else x for x, z in zip(s, lost)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((k, s, d, t, at, n, lost), _SNIP)], schema=_SNIP)
+            for _, text, r, _ in found:
+                if best.get(text, NO_DOC + 1) > doc[r]:
+                    best[text] = doc[r]
+            # a copy in a larger document loses all its windows already here
+            out, lost = [], {}
+            for k, text, r, place in found:
+                if best[text] < doc[r]:
+                    lost.setdefault(r, []).append((place, len(text) - SPAN + 1))
+                else:
+                    out.append((k, text, doc[r], th[r], place))
+            out += [(hash((int(doc[r]), x[0][0])) >> 1, np.array(x, dtype="<i8").tobytes(), doc[r], th[r], -1) for r, x in lost.items()]
+            yield _batch(out, _SNIP)
 
 
 def _pairs(row: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -289,7 +291,7 @@ class RunIndex:
         n = len(sym)
         at = np.arange(n)
         left = np.repeat(self.ends, sizes) - at  # symbols before the snippet's end
-        order, rank32 = self._sorted(sym, left)
+        order, rank, reach = self._sorted(sym, left)
         self.docs = docs
         # the transform in runs
         bwt = sym[order - 1]
@@ -305,27 +307,29 @@ class RunIndex:
         self.shift[by] = before - self.run[by]
         # suffixes that share SPAN bytes are neighbours; each such interval has its smallest document
         long = left[order] >= SPAN
-        head = rank32[order]
-        tail = rank32[np.minimum(order + SPAN - 32, n - 1)]
+        head = rank[order]
+        tail = rank[np.minimum(order + SPAN - reach, n - 1)]
         new = np.ones(n, dtype=bool)
         new[1:] = ~(long[1:] & long[:-1] & (head[1:] == head[:-1]) & (tail[1:] == tail[:-1]))
         self.interval = np.flatnonzero(new)
         self.owner = np.minimum.reduceat(np.repeat(docs, sizes)[order], self.interval)
 
     @staticmethod
-    def _sorted(sym: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix order, and the ranks of the first 32 symbols, by doubling."""
+    def _sorted(sym: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """Suffix order by doubling, and the ranks by their first ``reach`` symbols, half of SPAN at least."""
         n = len(sym)
         at = np.arange(n)
-        key = sym.copy()
+        code = np.cumsum(np.bincount(sym, minlength=257) > 0)[sym] - 1  # the symbols that occur, 0 the end
+        bits = max(1, int(code.max()).bit_length())
+        first = next(q for q in (7, 6, 5, 4) if q * bits <= 42)
+        key = code.copy()
         live = sym > 0
-        for i in range(1, 4):
+        for i in range(1, first):
             nxt = np.zeros(n, dtype=np.int64)
-            nxt[:n - i] = sym[i:]
-            key = key * 512 + np.where(live, nxt, 0)
+            nxt[:n - i] = code[i:]
+            key = key << bits | np.where(live, nxt, 0)
             live &= nxt > 0
-        rank32 = None
-        reach = 4
+        reach = first
         while True:
             packed = np.sort(key << 21 | at)
             order = packed & ((1 << 21) - 1)
@@ -335,10 +339,10 @@ class RunIndex:
             new[1:] = head[1:] != head[:-1]
             rank = np.empty(n, dtype=np.int64)
             rank[order] = np.cumsum(new)
-            if reach == 32:
-                rank32 = rank
+            if SPAN <= 2 * reach <= 2 * SPAN:
+                kept = rank, reach
             if reach > left.max():
-                return order, rank32
+                return order, *kept
             second = np.zeros(n, dtype=np.int64)
             second[:n - reach] = rank[reach:] + 1
             key = rank << 21 | np.where(left >= reach, second, 0)
@@ -350,13 +354,17 @@ class RunIndex:
         p = np.arange(len(self.ends))  # ends sort first, by place
         matched, place = 0, self.ends.copy()
         live = np.arange(len(self.ends))
+        # which run and which interval a rank lies in, written out for the time of the stream
+        n = len(out)
+        run_of = np.repeat(np.arange(len(self.run), dtype=np.int32), np.diff(np.append(self.run, n)))
+        owner_of = np.repeat(self.owner, np.diff(np.append(self.interval, n)))
         while len(live):
-            run = np.searchsorted(self.run, p, side="right") - 1
+            run = run_of[p]
             go = self.symbol[run] > 0
             p, live = (p + self.shift[run])[go], live[go]
             matched += 1
             if matched >= SPAN:
-                out[place[live] - matched] = self.owner[np.searchsorted(self.interval, p, side="right") - 1]
+                out[place[live] - matched] = owner_of[p]
         return out
 
 
@@ -367,11 +375,11 @@ def _losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stretches of windows that a document loses, from sorted snippets of whole keys."""
     held, size = [], 0
     for t, ends in whole_cells(batches, ["key"]):
-        lost = t.column("lost").to_numpy()
+        lost = t.column("start").to_numpy() < 0
         if lost.any():
-            yield from t.filter(pa.array(lost)).select(_MARK.names).combine_chunks().to_batches()
+            yield from _settled(t.filter(pa.array(lost)))
             t, ends = t.filter(pa.array(~lost)), np.cumsum(~lost)[ends - 1][~lost]
-        sums = np.concatenate([[0], np.cumsum(t.column("windows").to_numpy() + SPAN)])
+        sums = np.concatenate([[0], np.cumsum(_sizes(t) + 1)])
         start = 0
         while start < t.num_rows:
             end = int(ends[start])
@@ -387,6 +395,19 @@ def _losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _index(pa.concat_tables(held))
 
 
+def _sizes(t: pa.Table) -> np.ndarray:
+    return pc.binary_length(t.column("snippet")).to_numpy().astype(np.int64)
+
+
+def _settled(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    marks = [np.frombuffer(x.as_py(), dtype="<i8").reshape(-1, 2) for x in t.column("snippet")]
+    n = [len(m) for m in marks]
+    every = np.concatenate(marks)
+    yield pa.RecordBatch.from_arrays([
+        pa.array(np.repeat(t.column("doc_id").to_numpy(), n)), pa.array(np.repeat(t.column("th").to_numpy(), n)),
+        pa.array(every[:, 0]), pa.array(every[:, 1].astype(np.int32))], schema=_MARK)
+
+
 def _index(t: pa.Table) -> Iterator[pa.RecordBatch]:
     text = t.column("snippet").to_pylist()
     doc = t.column("doc_id").to_numpy()
@@ -399,7 +420,7 @@ def _index(t: pa.Table) -> Iterator[pa.RecordBatch]:
     np.minimum.at(least, of, doc)
     index = RunIndex(list(number), least)
     owner = index.owners()
-    count = t.column("windows").to_numpy().astype(np.int64)
+    count = index.sizes[of] - SPAN + 1
     first = index.ends[of] - index.sizes[of]
     row = np.repeat(np.arange(len(of)), count)
     step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
@@ -419,11 +440,11 @@ def _index(t: pa.Table) -> Iterator[pa.RecordBatch]:
 def _by_window(t: pa.Table) -> Iterator[pa.RecordBatch]:
     """A key whose snippets exceed an index: its windows apart, in parts by their content."""
     parts: dict[int, list[tuple]] = {}
-    n = int(t.column("windows").to_numpy().sum()) * (SPAN + 1) // INDEX + 1
-    for text, doc, th, start, count in zip(*[t.column(c).to_pylist() for c in ("snippet", "doc_id", "th", "start", "windows")]):
-        for o in range(count):
+    n = int((_sizes(t) - SPAN + 1).sum()) * (SPAN + 1) // INDEX + 1
+    for text, doc, th, start in zip(*[t.column(c).to_pylist() for c in ("snippet", "doc_id", "th", "start")]):
+        for o in range(len(text) - SPAN + 1):
             own = text[o:o + SPAN]
-            parts.setdefault(_own_key(own) % n, []).append((0, own, doc, th, start + o, 1, False))
+            parts.setdefault(_own_key(own) % n, []).append((0, own, doc, th, start + o))
     for rows in parts.values():
         yield from _index(pa.Table.from_batches([_batch(rows, _SNIP)]))
 
@@ -472,17 +493,22 @@ def repeats(docs: DataFrame) -> DataFrame:
     ``th`` is the hash of the text; a null id is NO_DOC."""
     d = _rows(docs)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # one number
-    ranges = total // (18 * RANGE) + 1
-    sent = d.select("doc_id", "th", "bytes").mapInArrow(_send(ranges), _SENT)
-    known = sent.groupBy("slot").applyInArrow(_decide, _KNOWN)
-    known = known.groupBy("strip").applyInArrow(_gather, "doc_id bigint, th bigint, keys binary, heavy binary")
-    mine = known.groupBy("doc_id", "th").agg(F.collect_list("keys").alias("keys"), F.collect_list("heavy").alias("heavy"))
+    sent = d.select("doc_id", "th", "bytes").mapInArrow(_send(total // (18 * RANGE) + 1), _SENT)
+    mine = stored(_known(sent), "repeated-anchors")
+    release(docs.sparkSession)
     snippets = d.join(mine, ["doc_id", "th"]).select("doc_id", "th", "bytes", "keys", "heavy").mapInArrow(
-        _snippets, "key bigint, snippet binary, doc_id bigint, th bigint, start bigint, windows int, lost boolean")
+        _snippets, "key bigint, snippet binary, doc_id bigint, th bigint, start bigint")
     return (snippets.repartition("key").sortWithinPartitions("key", "doc_id")
             .mapInArrow(_losses, "doc_id bigint, th bigint, start bigint, windows int"))
 
 
+def _known(sent: DataFrame) -> DataFrame:
+    """doc_id, th, keys, heavy: the repeated keys of each document that has one."""
+    known = sent.groupBy("slot").applyInArrow(_decide, _KNOWN).groupBy("strip").applyInArrow(
+        _gather, "doc_id bigint, th bigint, keys binary, heavy binary")
+    return known.groupBy("doc_id", "th").agg(F.collect_list("keys").alias("keys"), F.collect_list("heavy").alias("heavy"))
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return docs.select(F.col("doc_id").cast("bigint").alias("row_id"),
@@ -492,6 +518,8 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def cut(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (bytes left): one row per document."""
-    marks = repeats(docs).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "windows")).alias("marks"))
-    return (_rows(docs).join(stored(marks, "losses"), ["doc_id", "th"], "left").select("row_id", "bytes", "marks")
+    marks = stored(repeats(docs).groupBy("doc_id", "th").agg(
+        F.collect_list(F.struct("start", "windows")).alias("marks")), "losses")  # a document's own
+    release(docs.sparkSession)
+    return (_rows(docs).join(marks, ["doc_id", "th"], "left").select("row_id", "bytes", "marks")
             .mapInArrow(_cut, "row_id bigint, " + _CUT).withColumnRenamed("row_id", "doc_id"))
