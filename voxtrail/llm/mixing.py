@@ -34,7 +34,7 @@ BLOCK = 32
 MANY = 256
 SHARD = 1 << 16
 SEED = 20240925
-BUCKET = 20_000      # documents of a bucket
+BUCKET = 1_000       # documents of a bucket, or the root of their number
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -134,7 +134,7 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     keyed = (sized.join(F.broadcast(sources.select(F.col("source").alias("s"), "k", "source_size", "target", "length"))
                         if len(names) <= 10_000 else sources.select(F.col("source").alias("s"), "k", "source_size", "target", "length"),
                         F.col("source").eqNullSafe(F.col("s")), "inner").drop("s")
-             .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(count // BUCKET + 1))))
+             .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(int(count / max(BUCKET, count ** 0.5)) + 1))))
     order = Window.partitionBy("k", "bucket").orderBy("doc_id", "size")
     before = Window.partitionBy("k").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = keyed.groupBy("k", "bucket").agg(F.sum("size").alias("n")).select(
@@ -150,7 +150,8 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
               .withColumn("begin", F.greatest(F.lit(0), F.col("block") * F.col("length") - F.col("start")))
               .withColumn("words", F.coalesce(F.least(end, (F.col("block") + 1) * F.col("length"))
                                               - F.col("start") - F.col("begin"), F.lit(0))))
-    return Mix(laid, pieces, _slots(spark, np.array(slots, dtype=np.int64), np.array(blocks, dtype=np.int64), shard, seed), sources)
+    # Spark takes the slots for as small as the list of shards; they must not be broadcast
+    return Mix(laid, pieces.hint("merge"), _slots(spark, np.array(slots, dtype=np.int64), np.array(blocks, dtype=np.int64), shard, seed), sources)
 
 
 def _slots(spark, slots: np.ndarray, blocks: np.ndarray, shard: int, seed: int) -> DataFrame:
@@ -172,7 +173,8 @@ def _slots(spark, slots: np.ndarray, blocks: np.ndarray, shard: int, seed: int)
                     [pa.array(np.full(len(k), s)), pa.array(slot), pa.array(k.astype(np.int32)),
                      pa.array(epoch.astype(np.int32)), pa.array(taken)], names=["shard", "slot", "k", "epoch", "block"])
 
-    return spark.range(0, shards, 1, min(shards, 10_000)).mapInArrow(run, "shard bigint, slot bigint, k int, epoch int, block bigint")
+    return spark.range(0, shards, 1, min(shards, 10_000)).mapInArrow(
+        run, "shard bigint, slot bigint, k int, epoch int, block bigint").hint("merge")
 
 
 def mixed(m: Mix) -> DataFrame:
@@ -183,7 +185,7 @@ def mixed(m: Mix) -> DataFrame:
 
 def taken(m: Mix) -> DataFrame:
     """doc_id, size, source_size, target, taken: the words the mix takes of each document."""
-    times = m.slots.groupBy("k", "block").agg(F.count(F.lit(1)).alias("times"))
+    times = m.slots.groupBy("k", "block").agg(F.count(F.lit(1)).alias("times")).hint("merge")
     return (m.pieces.join(times, ["k", "block"], "left")
             .groupBy("k", "bucket", "row", "doc_id", "size", "source_size", "target")
             .agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).cast("bigint").alias("taken"))
@@ -202,7 +204,7 @@ def mixed_documents(docs: DataFrame, m: Mix) -> DataFrame:
     same = Window.partitionBy("doc_id", "source", "size").orderBy("k", "bucket", "row")
     parts = parts.withColumn("nth", F.dense_rank().over(same)).select(
         F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"),
-        F.col("nth").alias("__nth"), F.col("parts").alias("__parts"), F.col("words").alias("__words"))
+        F.col("nth").alias("__nth"), F.col("parts").alias("__parts"), F.col("words").alias("__words")).hint("merge")
     sized = docs.withColumn("__n", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint"))
     sized = sized.withColumn("__at", F.row_number().over(
         Window.partitionBy("doc_id", "source", "__n").orderBy(F.xxhash64("text"))))
