@@ -111,6 +111,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     fps = stored(fingerprints(docs), "fingerprints")
     points = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     roots = components(links(points.filter(F.col("rep").isNotNull())), name="simhash")
-    of = points.join(roots, points.rep == roots.node, "left").select(
-        F.col("fp").alias("__fp"), F.coalesce("root", "rep").alias("component_id"))
+    # written, so that a fingerprint of many documents is a join that Spark can split
+    of = stored(points.join(roots, points.rep == roots.node, "left").select(
+        F.col("fp").alias("__fp"), F.coalesce("root", "rep").alias("component_id")), "classes")
     return fps.join(of, F.col("fp") == F.col("__fp")).select("doc_id", "fp", "component_id")
