@@ -197,6 +197,11 @@ def select_and_validate(rows: DataFrame, model: list[str], selector: str, fracti
     return fold_accuracy(decisions(rows, w.join(chosen, [*keys, "pos"], "left_semi"), keys), keys)
 
 
+def validate_on_columns(rows: DataFrame, model: list[str], columns: DataFrame, by: list[str]) -> DataFrame:
+    """Decoding on columns that are fixed beforehand; ``columns`` lists them per ``by``."""
+    return cross_validate(rows.join(columns.select(*by), by, "left_semi"), model)
+
+
 def evidence(rows: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
     """Contribution of every voxel to every test row's score."""
     j = rows.filter("is_test").join(weights, [*keys, "pos"])
@@ -213,7 +218,7 @@ def searchlight(ev: DataFrame, spheres: DataFrame, keys: list[str], least: int)
 
 # ---- linear support vector machine -----------------------------------------------------
 
-def _packed(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+def packed(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """One array per key from rows (pos, value); its length is the pattern width."""
     return df.groupBy(*keys).agg(F.transform(
         F.array_sort(F.collect_list(F.struct("pos", F.col(value).alias("__v")))), lambda e: e["__v"]).alias(out))
@@ -239,7 +244,7 @@ def hinge_models(rows: DataFrame, model: list[str], c: float = 1.0, tolerance: f
     x = F.when(train, F.col("x"))
     per = long.groupBy(*model, "pos", "fold").agg(F.count(x).alias("n_"), F.avg(x).alias("m_"),
                                                   (F.var_pop(x) * F.count(x)).alias("q_"))
-    mu = _packed(leave_out_totals(per, [*model, "pos"], "fold", ["_"]).filter("n_ > 0"), keys, "m_", "mu")
+    mu = packed(leave_out_totals(per, [*model, "pos"], "fold", ["_"]).filter("n_ > 0"), keys, "m_", "mu")
     mu = mu.join(rows.filter("is_test").select(*keys).distinct(), keys, "left_semi")
     folds = mu.groupBy(*model).agg(F.array_sort(F.collect_list(F.struct(F.col("fold").cast("bigint").alias("fold"), "mu"))).alias("m"))
     size = rows.filter(train).groupBy(*model).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
@@ -279,7 +284,7 @@ def hinge_models(rows: DataFrame, model: list[str], c: float = 1.0, tolerance: f
 def _added(moved: DataFrame, model: list[str], column: str) -> DataFrame:
     """Arrays of a model's blocks, added up."""
     g = moved.select(*model, F.posexplode(column).alias("pos", "v")).groupBy(*model, "pos").agg(F.sum("v").alias("s"))
-    return _packed(g, model, "s", column)
+    return packed(g, model, "s", column)
 
 
 def _gaps(w: Column, stat: Column, folds: Column, c: float) -> Column:

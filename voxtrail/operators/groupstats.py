@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from voxtrail.functions.arrays import finite
 from voxtrail.functions.stats import (cohens_d, fisher_z, one_sample_t, pooled_t, sem, t_greater,
                                       t_two_sided)
 from voxtrail.functions.text import star_label
@@ -137,10 +138,10 @@ def group_cells(df: DataFrame, contrast: str, roi: str, subject: str, value: str
     return g
 
 
-def group_mask(df: DataFrame, voxel: str, subject: str, n_subjects: int,
+def group_mask(df: DataFrame, voxel: str, subject: str, n_subjects: int, value: str,
                keys: list[str] | None = None) -> DataFrame:
     """Voxels with a finite value in every subject."""
-    return (df.groupBy(*(keys or []), voxel)
+    return (df.filter(finite(F.col(value))).groupBy(*(keys or []), voxel)
             .agg(F.count_distinct(subject).alias("__n"))
             .filter(F.col("__n") == n_subjects).drop("__n"))
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from voxtrail.functions.hashing import poly_hash, poly_seed
+from voxtrail.functions.hashing import PRIME, poly_seed
 from voxtrail.operators.ranks import bh_qvalues, exact_quantiles, hash_row_number
 
 
+SUBJECTS, DRAWS = 256, 10_000  # of one block
+
+
 def with_permutations(df: DataFrame, n: int, observed: bool = True) -> DataFrame:
     """Repeats the (narrow) label table; permutation 0 is the observed order."""
     return df.withColumn("permutation", F.explode(F.sequence(F.lit(0 if observed else 1), F.lit(n))))
@@ -40,14 +45,38 @@ def resample_group(pool: DataFrame, cell: list[str], subject: str, index: str, v
     """Group null: each draw takes one null value of every subject and averages them.
 
     ``index`` numbers the shuffles of a cell and subject from 0. The drawn index is a hash of
-    (cell, subject, draw), so a draw is an equi-join on (cell, subject, index): a heavy cell
-    spreads over its subjects and shuffles, and the averages combine map-side."""
-    n = pool.groupBy(*cell, subject).agg(F.count(F.lit(1)).alias("__n"))
+    (cell, subject, draw). A subject's null values of a cell are one array (its shuffles, a parameter
+    of the first level); blocks of SUBJECTS subjects times DRAWS draws are summed in one task, and
+    the sums of a cell's blocks are added up, so a cell with many subjects is many tasks."""
     seed = poly_seed(F.lit(salt), *[F.col(c) for c in cell], F.col(subject))
-    d = n.withColumn("__seed", seed).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
-    d = d.select(*cell, subject, "draw", (poly_hash(F.col("__seed"), F.col("draw")) % F.col("__n")).alias(index))
-    j = d.join(pool.select(*cell, subject, F.col(index).cast("bigint").alias(index), value), [*cell, subject, index])
-    return j.groupBy(*cell, "draw").agg(F.avg(value).alias("null_mean"), F.count(value).alias("n_subjects"))
+    nulls = pool.groupBy(*cell, subject).agg(F.array_sort(F.collect_list(F.struct(
+        F.col(index).cast("bigint").alias("i"), F.col(value).cast("double").alias("v")))).alias("__v")).withColumn("__seed", seed)
+    size = nulls.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / SUBJECTS).alias("__k"))
+    starts = F.sequence(F.lit(0), F.lit(max(0, n_draws - 1)), F.lit(DRAWS))
+    d = nulls.join(size, cell).select(
+        *cell, F.pmod(F.xxhash64(subject), F.col("__k")).alias("__b"), F.explode(starts).alias("__first"),
+        F.transform("__v", lambda e: e["v"]).alias("v"), F.col("__seed").alias("seed"))
+    schema = d.select(*cell).schema.simpleString()[7:-1].replace(":", " ") + ", draw int, total double, n bigint"
+
+    def drawn(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        first = int(key[-1])
+        x = np.arange(first, min(first + DRAWS, n_draws), dtype=np.int64)
+        total, n = np.zeros(len(x)), np.zeros(len(x), dtype=np.int64)
+        for values, coefficients in zip(pdf["v"], pdf["seed"]):
+            acc = np.full(len(x), coefficients[3], dtype=np.int64)
+            for i in (2, 1, 0):
+                acc = (acc * x + coefficients[i]) % PRIME
+            v = np.array(values, dtype=np.float64)[acc % len(values)]
+            total += np.nan_to_num(v)
+            n += ~np.isnan(v)
+        out = pd.DataFrame({"draw": x.astype(np.int32), "total": total, "n": n})
+        for name, k in zip(cell, key):
+            out[name] = k
+        return out[[*cell, "draw", "total", "n"]]
+
+    sums = d.groupBy(*cell, "__b", "__first").applyInPandas(drawn, schema)
+    return sums.groupBy(*cell, "draw").agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0))).alias("null_mean"),
+                                           F.sum("n").alias("n_subjects"))
 
 
 def empirical_p(draws: DataFrame, observed: DataFrame, cell: list[str], value: str) -> DataFrame:

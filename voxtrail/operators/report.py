@@ -59,6 +59,19 @@ def significance_table(df: DataFrame, roi: str, contrast: str, flag: str,
         "group", F.when(n == len(contrasts), "shared").when(n == 1, "specific").otherwise("other"))
 
 
+def accuracy_pivot(df: DataFrame, roi: str, contrast: str, value: str, contrasts: list[str]) -> DataFrame:
+    """Accuracy per region, one column per contrast."""
+    return df.groupBy(roi).pivot(contrast, contrasts).agg(F.max(value))
+
+
+def count_histogram(table: DataFrame, n: int) -> DataFrame:
+    """Regions by the number of contrasts in which they are significant, 0 to ``n``; from the
+    significance table."""
+    counts = table.groupBy("n_significant").agg(F.count(F.lit(1)).alias("n_regions"))
+    every = table.sparkSession.range(0, n + 1).withColumnRenamed("id", "n_significant")
+    return every.join(counts, "n_significant", "left").fillna(0, ["n_regions"])
+
+
 def wide_summary(df: DataFrame, keys: list[str], contrast: str, contrasts: list[str],
                  share: str, coords: list[str], members: str) -> DataFrame:
     """Per contrast: coordinate text, member names and share, side by side."""

@@ -35,17 +35,27 @@ def _masked_sums(side: DataFrame, masks: DataFrame, keys: list[str], mine: str,
     return d.groupBy(*keys, mine, other, "pos").agg(F.sum("__u").alias("__s"), F.count(F.lit(1)).alias("__n"))
 
 
+MAX_MASKS = 64
+
+
+def _few(masks: DataFrame, keys: list[str]) -> DataFrame:
+    n = masks.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    many = F.raise_error(F.lit(f"a key has more than {MAX_MASKS} masks of missing values"))
+    return masks.join(n, keys).select(*keys, F.when(F.col("__n") > MAX_MASKS, many).otherwise(F.col("mask")).alias("mask"))
+
+
 def pair_similarity(a: DataFrame, b: DataFrame, keys: list[str], min_valid: int) -> DataFrame:
     """Sum and number of Pearson correlations over all pairs (row of a, row of b) of a key.
 
     Both sides have ``keys`` and ``features`` (NULL where missing). Each pair uses the
     positions valid in both rows, at least ``min_valid``. Rows are grouped by their mask of
-    missing values: usually one or two masks per key, always exact."""
+    missing values: usually one or two masks per key, always exact. The work grows with rows times
+    masks, so a key of more than MAX_MASKS masks raises; fill or drop such voxels before."""
     def masked(df):
         return df.select(*keys, "features",
                          F.transform("features", A.finite).alias("mask"))
     a, b = masked(a), masked(b)
-    ma, mb = a.select(*keys, "mask").distinct(), b.select(*keys, "mask").distinct()
+    ma, mb = (_few(d.select(*keys, "mask").distinct(), keys) for d in (a, b))
     sa = _masked_sums(a, mb, keys, "mask_a", "mask_b")
     sb = _masked_sums(b, ma, keys, "mask_b", "mask_a").select(
         *keys, "mask_a", "mask_b", "pos", F.col("__s").alias("__t"), F.col("__n").alias("__k"))

@@ -144,6 +144,12 @@ def cluster_table(labelled: DataFrame, keys: list[str], voxel: str, value: str,
         *keys, "label", "n_voxels", F.col("__p")[voxel].alias("peak_voxel"), F.col("__p")[value].alias("peak_value"))
 
 
+def label_peaks(clusters: DataFrame, atlas: DataFrame, voxel: str, label: str) -> DataFrame:
+    """The region of each cluster's peak voxel; null outside every region."""
+    of = atlas.select(F.col(voxel).alias("peak_voxel"), F.col(label).alias("peak_region"))
+    return clusters.join(of, "peak_voxel", "left")
+
+
 # ---- overlap and region tables ---------------------------------------------------------
 
 def _div(a: Column, b: Column) -> Column:

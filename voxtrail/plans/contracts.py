@@ -112,7 +112,8 @@ sel AS (SELECT o_orderkey AS asset_id, CASE WHEN o_custkey % 17 = 0 THEN 'F' ELS
 
 def sub(c, t):
     for n in ("orders", "lineitem", "events", "part", "documents", "customer"):
-        t = t.replace("{" + n + "}", f"parquet.`{c.sf_dir}/{n}.parquet`")
+        if "{" + n + "}" in t:
+            t = t.replace("{" + n + "}", c.source(n))
     return t
 
 

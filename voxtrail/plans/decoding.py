@@ -3,9 +3,11 @@
 from pyspark.sql import functions as F
 
 from voxtrail.functions import arrays as A
-from voxtrail.operators import decode as D, folds as K, groupstats as G, patterns as P, permute as N, report as R, spatial as S
+from voxtrail.operators import averaged as AV, decode as D, folds as K, groupstats as G, patterns as P, permute as N, report as R, spatial as S
+from voxtrail.plans.contracts import sub
 from voxtrail.plans.pattern_plans import KEEP, Z1, patterns
 from voxtrail.plans.registry import query
+from voxtrail.session import cut_lineage
 
 MODEL = ["subject", "contrast", "kind"]
 CELL = [*MODEL, "roi"]
@@ -135,35 +137,55 @@ D6M = [*CELL, "xfold"]
 @query("d6_averaged_within", f"""WITH {POOL}, {D6SQL}, {averaged_sql(D6M, 'lg')}, {decode_sql(D6M, 'av')}
 SELECT {', '.join(CELL)}, xfold::INT AS xfold, n_correct, n_scored, n_test, rnd(accuracy) AS accuracy FROM acc_f""")
 def d6(c):
-    f = K.stratified_folds(pool(c, WITHIN), ["subject", "contrast"], "vec_id", 4)
-    e = D.expand_folds(f, 4).withColumnRenamed("fold", "xfold")
-    e = K.chunks(e, ["subject", "contrast", "xfold", "is_test", "y"], "vec_id", 3)
-    e = e.withColumn("chunk", F.when(F.col("is_test"), 0).otherwise(F.col("chunk")))
-    long = P.explode_features(e.join(P.pattern_zscore(patterns(c)).select("vec_id", "roi", "features"), "vec_id"),
-                              [*CELL, "xfold", "is_train", "is_test", "y", "chunk"])
-    return D.split_validate(D.averaged_rows(long, D6M), D6M)
+    return within_averaged(c, pool(c, WITHIN), P.pattern_zscore(patterns(c)), 0, 1).select(
+        *CELL, F.col("draw").alias("xfold"), "n_correct", "n_scored", "n_test", "accuracy")
+
 
+def with_accuracy(d):
+    return d.withColumn("accuracy", F.when(F.col("n_scored") > 0, F.col("n_correct") / F.col("n_scored")))
 
-def cross_averaged(c, pool_rows, model):
-    """Four random chunks per class on both sides; each side scaled by its own trials."""
-    e = K.random_chunks(pool_rows, [*model, "is_test", "y"], "vec_id", 4, [F.lit("chunk")])
-    long = P.explode_features(e.join(P.pattern_zscore(patterns(c)).select("vec_id", "roi", "features"), "vec_id"),
-                              [*model, "roi", "is_train", "is_test", "y", "chunk"])
-    # without a role of its own each side would be scaled by the training trials
-    return D.split_validate(D.averaged_rows(long, [*model, "roi"], ["is_test"]), [*model, "roi"])
 
+def within_averaged(c, labels, features, n_permutations, repeats, scorer="lda"):
+    """Draws of k-fold decoding within a source: 3 training chunks per class, one test mean.
 
-def cross_averaged_sql(src, model, name):
+    ``labels``: the pool, with a permutation column if there are any. A draw is (permutation,
+    repeat, fold)."""
+    by = ["subject", "contrast", "permutation", "repeat"]
+    d = labels if n_permutations else labels.withColumn("permutation", F.lit(0))
+    f = K.stratified_folds(K.with_repeats(d, repeats), by if n_permutations or repeats > 1 else by[:2], "vec_id", 4)
+    e = D.expand_folds(f, 4).withColumnRenamed("fold", "xfold")
+    e = K.chunks(e, [*by, "xfold", "is_test", "y"], "vec_id", 3)
+    chunk = F.when(F.col("is_test"), 0).otherwise(F.col("chunk"))
+    draw = (F.col("permutation") * repeats + F.col("repeat")) * 4 + F.col("xfold")
+    slots = cut_lineage(AV.draws_of(e, MODEL, "vec_id", draw, AV.group_number(F.col("is_test"), F.col("y"), chunk, 3, 1),
+                                    (n_permutations + 1) * repeats * 4))
+    sums = cut_lineage(AV.group_sums(slots, features, MODEL, "vec_id", 8, 3))
+    return with_accuracy(AV.score_draws(sums, MODEL, 3, 1, False, scorer))
+
+
+def cross_averaged(c, labels, features, n_permutations, repeats, scorer="lda"):
+    """Draws across sources: four random chunks per class on both sides, each side scaled by its
+    own trials. A draw is (permutation, repeat)."""
+    d = labels if n_permutations else labels.withColumn("permutation", F.lit(0))
+    e = K.random_chunks(K.with_repeats(d, repeats), [*MODEL, "permutation", "repeat", "is_test", "y"], "vec_id", 4,
+                        [F.lit("chunk"), F.col("repeat")])
+    slots = cut_lineage(AV.draws_of(e, MODEL, "vec_id", F.col("permutation") * repeats + F.col("repeat"),
+                                    AV.group_number(F.col("is_test"), F.col("y"), F.col("chunk"), 4, 4), (n_permutations + 1) * repeats))
+    sums = cut_lineage(AV.group_sums(slots, features, MODEL, "vec_id", 16, 4))
+    return with_accuracy(AV.score_draws(sums, MODEL, 4, 4, True, scorer))
+
+
+def cross_averaged_sql(src, model, name, long="z1", x="z"):
     m = ", ".join(model)
-    return f"""c_{name} AS (SELECT *, ntile(4) OVER (PARTITION BY {m}, is_test, y ORDER BY h32('chunk|'||vec_id), vec_id) - 1 AS chunk FROM {src}),
-l_{name} AS (SELECT c.*, l.roi, l.pos, l.z AS x FROM c_{name} c JOIN z1 l ON c.vec_id = l.vec_id),
-{averaged_sql([*model, "roi"], f"l_{name}", "is_test")}, {decode_sql([*model, "roi"], "av")}"""
+    return f"""c_{name} AS (SELECT *, ntile(4) OVER (PARTITION BY {m}, is_test, y ORDER BY h32('chunk|'||repeat||'|'||vec_id), vec_id) - 1 AS chunk FROM {src}),
+l_{name} AS (SELECT c.*, l.roi, l.pos, l.{x} AS x FROM c_{name} c JOIN {long} l ON c.vec_id = l.vec_id),
+{averaged_sql([*model, "roi"], f"l_{name}", "is_test", f"av_{name}")}, {decode_sql([*model, "roi"], f"av_{name}", name=f"acc_{name}")}"""
 
 
-@query("d7_averaged_cross", f"""WITH {POOL}, {Z1}, pc AS (SELECT * FROM pool WHERE kind='cross'), {cross_averaged_sql('pc', MODEL, 'd7')}
-SELECT {', '.join(CELL)}, n_correct, n_scored, n_test, rnd(accuracy) AS accuracy FROM acc_f""")
+@query("d7_averaged_cross", f"""WITH {POOL}, {Z1}, pc AS (SELECT *, 0 AS repeat FROM pool WHERE kind='cross'), {cross_averaged_sql('pc', [*MODEL, 'repeat'], 'd7')}
+SELECT {', '.join(CELL)}, n_correct, n_scored, n_test, rnd(accuracy) AS accuracy FROM acc_d7""")
 def d7(c):
-    return cross_averaged(c, pool(c, CROSS), MODEL)
+    return cross_averaged(c, pool(c, CROSS), P.pattern_zscore(patterns(c)), 0, 1).drop("draw")
 
 
 @query("d8_run_wise", f"""WITH {CON}, {Z1}, h AS (SELECT unnest(range(5)) AS held),
@@ -254,6 +276,13 @@ def d14(c):
     return D.select_and_validate(loro(c), CELL, "weight", 0.3, 4)
 
 
+@query("d14_fixed_columns", f"WITH {POOL}, {LORO}, all_rows AS (SELECT * FROM long_x WHERE pos % 3 = 1), {rows_sql(long='all_rows')}, {decode_sql(CELL, 'rws')} {folds_out(CELL)}")
+def d14_fixed(c):
+    """The same columns in every fold, chosen beforehand."""
+    columns = patterns(c).select("roi", F.posexplode("features").alias("pos", "x")).select("roi", "pos").distinct()
+    return D.validate_on_columns(loro(c), CELL, columns.filter("pos % 3 = 1"), ["roi", "pos"])
+
+
 HAUFE = f"""td AS (SELECT {CM}, w.fold, trial, y, sum(w*x+b) AS decision FROM rws r JOIN wt_acc_f w USING ({CM}, pos) WHERE is_train AND r.fold <> w.fold GROUP BY {CM}, w.fold, trial, y),
 hf AS (SELECT {CM}, td.fold, pos, coalesce(regr_slope(x, decision), 0) AS pattern FROM rws r JOIN td USING ({CM}, trial, y) WHERE is_train GROUP BY {CM}, td.fold, pos)"""
 
@@ -345,7 +374,8 @@ def d18(c):
     return cell.groupBy("variant", "kind").agg(F.avg("accuracy").alias("mean"), F.count("accuracy").alias("n"))
 
 
-@query("d19_global_vs_pattern", f"""WITH {POOL}, {fold_sql(5, ["subject", "contrast"], where="kind='within'")}, {VAR}, {VROWS}, {decode_sql([*CELL, 'variant'], 'rws')},
+@query("d19_global_vs_pattern", f"""WITH {POOL}, {fold_sql(5, ["subject", "contrast"], where="kind='within'", alias="fpw")},
+fp AS (SELECT * FROM fpw UNION ALL SELECT *, CASE WHEN is_test THEN 0 ELSE -1 END AS fold FROM pool WHERE kind='cross'), {VAR}, {VROWS}, {decode_sql([*CELL, 'variant'], 'rws')},
 m AS (SELECT variant, {CM}, avg(accuracy) AS a FROM acc_f GROUP BY ALL),
 ge AS (SELECT {CM}, avg(x) FILTER (y=1) AS ma, var_samp(x) FILTER (y=1) AS va, count(*) FILTER (y=1) AS na, avg(x) FILTER (y=0) AS mb, var_samp(x) FILTER (y=0) AS vb, count(*) FILTER (y=0) AS nb
   FROM rws WHERE variant='global' GROUP BY {CM})
@@ -353,7 +383,7 @@ SELECT {CM}, rnd(max(a) FILTER (variant='raw')) AS raw, rnd(max(a) FILTER (varia
  rnd(max(a) FILTER (variant='patternz')) AS patternz, rnd(any_value((ma-mb)/sqrt(((na-1)*va+(nb-1)*vb)/(na+nb-2)))) AS d FROM m JOIN ge USING ({CM}) GROUP BY {CM}""")
 def d19(c):
     kinds = ["raw", "global", "centred", "patternz"]
-    f = K.stratified_folds(pool(c, WITHIN), ["subject", "contrast"], "vec_id", 5)
+    f = K.stratified_folds(pool(c, WITHIN), ["subject", "contrast"], "vec_id", 5).unionByName(K.single_split(pool(c, CROSS)))
     cell = D.roll_up(D.cross_validate(variant_rows(c, f, kinds), [*CELL, "variant"]), [*CELL, "variant"])
     wide = G.pivot_values(cell, CELL, "variant", "accuracy", kinds)
     g = f.join(patterns(c).select("vec_id", "roi", A.mean(F.col("features")).alias("g")), "vec_id")
@@ -362,7 +392,8 @@ def d19(c):
 
 # ---- permutations ----------------------------------------------------------------------
 
-NP = 8
+NP = 100      # shuffles
+REPEATS = 2   # random partitions into folds and chunks of each shuffle
 PERM = f"""pm AS (SELECT *, permutation FROM pool, (SELECT unnest(range({NP + 1})) AS permutation)),
 sh AS (SELECT *, row_number() OVER (PARTITION BY {{k}}, permutation ORDER BY h32('null|'||permutation||'|'||contrast||'|'||vec_id), vec_id) AS hr,
   row_number() OVER (PARTITION BY {{k}}, permutation ORDER BY y, vec_id) AS yr FROM pm),
@@ -390,37 +421,63 @@ def n2(c):
     return permuted(pool(c, CROSS), ["subject", "contrast", "is_test"]).select("subject", "contrast", "is_test", "permutation", "vec_id", "y")
 
 
-@query("n3_shuffle_before_averaging", f"""WITH {POOL}, {Z1}, {PX}, pc AS (SELECT * FROM ps WHERE kind='cross'),
-{cross_averaged_sql('pc', [*MODEL, 'permutation'], 'n3')} SELECT {CM}, permutation::INT AS permutation, n_correct, n_scored, n_test, rnd(accuracy) AS accuracy FROM acc_f""")
-def n3(c):
-    return cross_averaged(c, permuted(pool(c, CROSS), ["subject", "contrast", "is_test"]), [*MODEL, "permutation"])
+# observed and shuffled labels, repeats, folds: every combination is a draw of the same few sums
+WMODEL = [*MODEL, "permutation", "repeat"]
+ZS = """zz AS (SELECT vec_id, subject, roi, source, pos, (z - avg(z) OVER w)/stddev_pop(z) OVER w AS x FROM z1 WINDOW w AS (PARTITION BY subject, roi, source, pos)),
+lz AS (SELECT vec_id, roi, pos, (x - avg(x) OVER v)/stddev_pop(x) OVER v AS z FROM zz WINDOW v AS (PARTITION BY vec_id, roi))"""
+
+
+def null_sql(long):
+    """Draws within and across sources, each from the pool shuffled in its own way."""
+    within = PERM.format(k="subject, contrast").replace("FROM pool,", "FROM pool_w,").replace("pm", "pmw").replace(" sh", " shw").replace("ps AS", "psw AS")
+    cross = PERM.format(k="subject, contrast, is_test").replace("FROM pool,", "FROM pool_c,").replace("pm", "pmc").replace(" sh", " shc").replace("ps AS", "psc AS")
+    fold = fold_sql(4, ["subject", "contrast", "permutation", "repeat"], src="rw", alias="fw")
+    wx = [*WMODEL, "roi", "xfold"]
+    return f"""pool_w AS (SELECT * FROM pool WHERE kind='within'), pool_c AS (SELECT * FROM pool WHERE kind='cross'), {within}, {cross},
+rw AS (SELECT *, repeat FROM psw, (SELECT unnest(range({REPEATS})) AS repeat)), rc AS (SELECT *, repeat FROM psc, (SELECT unnest(range({REPEATS})) AS repeat)), {fold},
+ew AS (SELECT p.* EXCLUDE (fold, is_train, is_test), h.fold AS xfold, p.fold = h.fold AS is_test, p.fold <> h.fold AS is_train FROM fw p, (SELECT unnest(range(4)) AS fold) h),
+cw AS (SELECT *, CASE WHEN is_test THEN 0 ELSE ntile(3) OVER (PARTITION BY subject, contrast, permutation, repeat, xfold, is_test, y ORDER BY vec_id) - 1 END AS chunk FROM ew),
+lw AS (SELECT c.*, l.roi, l.pos, l.z AS x FROM cw c JOIN {long} l ON c.vec_id = l.vec_id),
+{averaged_sql(wx, 'lw', name='av_w')}, {decode_sql(wx, 'av_w', name='acc_w')}, {cross_averaged_sql('rc', WMODEL, 'x', long)},
+nul AS (SELECT {CM}, permutation, sum(n_correct) AS n_correct, sum(n_scored) AS n_scored, avg(accuracy) AS accuracy FROM
+  (SELECT {CM}, permutation, n_correct, n_scored, accuracy FROM acc_w UNION ALL SELECT {CM}, permutation, n_correct, n_scored, accuracy FROM acc_x) GROUP BY {CM}, permutation)"""
+
+
+def null_decode(c, features):
+    """Accuracy of every cell and permutation, within and across sources, mean over its draws."""
+    w = within_averaged(c, permuted(pool(c, WITHIN), ["subject", "contrast"]), features, NP, REPEATS)
+    x = cross_averaged(c, permuted(pool(c, CROSS), ["subject", "contrast", "is_test"]), features, NP, REPEATS)
+    d = w.withColumn("permutation", F.floor(F.col("draw") / (4 * REPEATS)).cast("int")).unionByName(
+        x.withColumn("permutation", F.floor(F.col("draw") / REPEATS).cast("int")))
+    return d.groupBy(*CELL, "permutation").agg(F.sum("n_correct").alias("n_correct"), F.sum("n_scored").alias("n_scored"),
+                                               F.avg("accuracy").alias("accuracy"))
+
+
+def source_scaled(c):
+    """Patterns after the source z-score, which no shuffle of labels changes, z-scored once more."""
+    z = P.normalise(patterns(c), "voxel_source", ["vec_id", "subject", "source", "roi"], ["subject", "roi"], "source")
+    return P.pattern_zscore(D.packed(z, ["vec_id", "roi"], "x", "features"))
 
 
-def null_decode(c):
-    """Observed and null accuracies of every cell; the source z-score does not depend on labels
-    and is shared by all permutations."""
-    d = K.run_folds(permuted(pool(c, WITHIN), ["subject", "contrast"]))
-    z = P.normalise(patterns(c), "voxel_source", ["vec_id", "subject", "source", "roi"], ["subject", "roi"], "source")
-    # long before the join: one aggregate per voxel has been spent already, the array form is gone
-    j = d.join(z.select("vec_id", "roi", "pos", "x"), "vec_id").withColumnRenamed("vec_id", "trial")
-    return D.roll_up(D.cross_validate(j, [*CELL, "permutation"]), [*CELL, "permutation"])
+@query("n3_shuffle_before_averaging", f"""WITH {POOL}, {Z1}, {null_sql('z1')}
+SELECT {CM}, permutation::INT AS permutation, n_correct::BIGINT AS n_correct, n_scored::BIGINT AS n_scored, rnd(accuracy) AS accuracy FROM nul""")
+def n3(c):
+    return null_decode(c, P.pattern_zscore(patterns(c)))
 
 
-N4SQL = f"""{POOL}, {Z1}, {PW}, lz AS (SELECT vec_id, roi, pos, (z - avg(z) OVER w)/stddev_pop(z) OVER w AS x FROM z1 WINDOW w AS (PARTITION BY subject, roi, source, pos)),
-fp AS (SELECT *, run AS fold FROM ps WHERE kind='within'), {rows_sql(long='lz')}, {decode_sql([*CELL, 'permutation'], 'rws')},
-nul AS (SELECT {CM}, permutation, avg(accuracy) AS accuracy FROM acc_f GROUP BY {CM}, permutation)"""
+N4SQL = f"{POOL}, {Z1}, {ZS}, {null_sql('lz')}"
 
 
 @query("n4_observed_and_null", f"WITH {N4SQL} SELECT {CM}, permutation::INT AS permutation, rnd(accuracy) AS accuracy FROM nul")
 def n4(c):
-    return null_decode(c).select(*CELL, "permutation", "accuracy")
+    return null_decode(c, source_scaled(c)).select(*CELL, "permutation", "accuracy")
 
 
 @query("n11_cell_null_check", f"""WITH {N4SQL} SELECT {CM}, rnd(max(accuracy) FILTER (permutation=0)) AS observed, rnd(avg(accuracy) FILTER (permutation>0)) AS null_mean,
   rnd(stddev_samp(accuracy) FILTER (permutation>0)) AS null_sd FROM nul GROUP BY {CM}""")
 def n11(c):
     a, p = F.col("accuracy"), F.col("permutation")
-    return null_decode(c).groupBy(*CELL).agg(
+    return null_decode(c, source_scaled(c)).groupBy(*CELL).agg(
         F.max(F.when(p == 0, a)).alias("observed"), F.avg(F.when(p > 0, a)).alias("null_mean"),
         F.stddev_samp(F.when(p > 0, a)).alias("null_sd"))
 
@@ -432,16 +489,16 @@ NULLS = """SELECT subject, roi, concat(flag, status) AS contrast, row_number() O
   0.43 + l_discount * 0.9173051 + l_tax * 0.3137 AS accuracy FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey)"""
 NULLS = NULLS.replace("ORDER BY l_orderkey, line", "ORDER BY l_orderkey, line, l_partkey, accuracy")
 NULLSQL = "npool AS (" + NULLS.replace("{lineitem}", "lineitem").replace("{orders}", "orders") + ")"
-DRAWS = 400
+DRAWS = 10_000  # for p-values and thresholds
+SHOWN = 400     # where the draws themselves are the result
 
 
 def null_pool(c):
-    from voxtrail.plans.contracts import sub
     return c.spark.sql(sub(c, NULLS))
 
 
-def draws(c):
-    return N.resample_group(null_pool(c), ["contrast", "roi"], "subject", "permutation", "accuracy", DRAWS, "draw")
+def draws(c, n=DRAWS):
+    return N.resample_group(null_pool(c), ["contrast", "roi"], "subject", "permutation", "accuracy", n, "draw")
 
 
 def hexpart(i):
@@ -468,9 +525,9 @@ def n5(c):
     return N.null_counts(null_pool(c), ["contrast", "roi", "subject"], 20)
 
 
-@query("n6_group_resampling", f"WITH {DRAWSQL} SELECT contrast, roi, draw::INT AS draw, rnd(null_mean) AS null_mean, n_subjects FROM drw")
+@query("n6_group_resampling", f"WITH {DRAWSQL} SELECT contrast, roi, draw::INT AS draw, rnd(null_mean) AS null_mean, n_subjects FROM drw".replace(f"range({DRAWS})", f"range({SHOWN})"))
 def n6(c):
-    return draws(c)
+    return draws(c, SHOWN)
 
 
 @query("n7_empirical_p", f"WITH {EMP} SELECT contrast, roi, rnd(observed) AS observed, n_draws, rnd(null_mean) AS null_mean, rnd(null_sd) AS null_sd, rnd(p) AS p FROM em")
@@ -516,4 +573,19 @@ def n12(c):
 SELECT *, CASE WHEN n_significant=6 THEN 'shared' WHEN n_significant=1 THEN 'specific' ELSE 'other' END AS "group" FROM w""")
 def t4(c):
     d = N.significance_flags(empirical(c), ["contrast"]).withColumn("sig", F.col("q") < 0.2)
-    return R.significance_table(d, "roi", "contrast", "sig", ["AF", "AO", "NF", "NO", "RF", "RO"])
+    return R.significance_table(d, "roi", "contrast", "sig", SIX)
+
+
+SIX = ["AF", "AO", "NF", "NO", "RF", "RO"]
+
+
+@query("t4_count_histogram", f"""WITH {FLAGS}, w AS (SELECT roi, count(*) FILTER (q < 0.2) AS n FROM fl GROUP BY roi)
+SELECT k AS n_significant, (SELECT count(*) FROM w WHERE n = k) AS n_regions FROM (SELECT unnest(range(7)) AS k)""")
+def t4_histogram(c):
+    return R.count_histogram(t4(c), len(SIX))
+
+
+@query("t4_accuracy_pivot", f"""WITH {EMP} SELECT roi, {", ".join(f"rnd(max(observed) FILTER (contrast='{x}')) AS {x}" for x in ("AF", "AO", "NF", "NO", "RF", "RO"))}
+FROM em GROUP BY roi""")
+def t4_accuracies(c):
+    return R.accuracy_pivot(empirical(c), "roi", "contrast", "observed", SIX)

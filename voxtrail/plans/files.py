@@ -64,6 +64,17 @@ def s4(c):
     return S.scan_labels(c.spark, path)
 
 
+@query("p17_file_identity", """
+SELECT c_nationkey AS unit, octet_length(encode(t))::BIGINT AS size, sha256(t) AS sha256 FROM (
+  SELECT c_nationkey, string_agg(c_name, chr(10) ORDER BY c_custkey) || chr(10) AS t FROM customer GROUP BY c_nationkey)""")
+def p17_files(c):
+    path = scratch_path(c.spark, "payloads")
+    (c.table("customer").select(F.col("c_nationkey").alias("unit"), "c_custkey", "c_name").repartition("unit")
+     .sortWithinPartitions("unit", "c_custkey").select("unit", "c_name").write.partitionBy("unit").text(path))
+    d = S.scan_payloads(c.spark, path).filter(F.col("path").contains("unit="))
+    return d.select(F.regexp_extract("path", "unit=(-?[0-9]+)", 1).cast("int").alias("unit"), "size", "sha256")
+
+
 @query("s5_pattern_cache", """
 SELECT subject, count(*) AS n, rnd(sum(list_sum(embedding[17:32]::DOUBLE[]))) AS total FROM trials GROUP BY subject""")
 def s5(c):

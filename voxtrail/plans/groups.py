@@ -276,9 +276,9 @@ def a37(c):
 
 
 @query("j13_group_mask", """
-SELECT contrast, voxel_id FROM subject_map GROUP BY ALL HAVING count(DISTINCT subject) = 8""")
+SELECT contrast, voxel_id FROM subject_map WHERE isfinite(value) GROUP BY ALL HAVING count(DISTINCT subject) = 8""")
 def j13(c):
-    return G.group_mask(c.view("subject_map"), "voxel_id", "subject", 8, ["contrast"])
+    return G.group_mask(c.view("subject_map"), "voxel_id", "subject", 8, "value", ["contrast"])
 
 
 @query("g4_star_label", CELLS + """

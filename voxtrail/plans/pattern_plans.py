@@ -1,9 +1,13 @@
 """Pattern, normalisation and similarity queries."""
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from voxtrail.functions import arrays as A
 from voxtrail.operators import groupstats as G, patterns as P, report as R, similarity as M
+from voxtrail.operators.decode import packed
 from voxtrail.plans.registry import query
 
 KEEP = ["vec_id", "subject", "source", "run", "valence", "image", "roi"]
@@ -175,21 +179,32 @@ RDM = """w AS (SELECT subject, roi, vec_id, pos, x - avg(x) OVER (PARTITION BY v
 u AS (SELECT subject, roi, vec_id, pos, c / sqrt(sum(c*c) OVER (PARTITION BY vec_id, roi)) AS u FROM w)"""
 
 
-@query("v7_dissimilarity_matrix", f"""WITH {RDM}
-SELECT a.subject, a.roi, a.vec_id AS a, b.vec_id AS b, rnd(1 - 0.5*(sum(a.u*b.u)+1)) AS dissimilarity FROM u a JOIN u b
- ON a.subject=b.subject AND a.roi=b.roi AND a.pos=b.pos AND a.vec_id < b.vec_id GROUP BY ALL""")
+# the matrix is a result of pairs: it is made of images, a list that the design fixes
+IMAGES = """im AS (SELECT subject, roi, image, pos, avg(x) AS x FROM long_x GROUP BY ALL),
+wi AS (SELECT subject, roi, image, pos, x - avg(x) OVER (PARTITION BY subject, roi, image) AS c FROM im),
+ui AS (SELECT subject, roi, image, pos, c / sqrt(sum(c*c) OVER (PARTITION BY subject, roi, image)) AS u FROM wi)"""
+
+
+@query("v7_dissimilarity_matrix", f"""WITH {IMAGES}
+SELECT a.subject, a.roi, a.image AS a, b.image AS b, rnd(1 - 0.5*(sum(a.u*b.u)+1)) AS dissimilarity FROM ui a JOIN ui b
+ ON a.subject=b.subject AND a.roi=b.roi AND a.pos=b.pos AND a.image < b.image GROUP BY ALL""")
 def v7(c):
-    return M.dissimilarity(patterns(c), ["subject", "roi"], "vec_id")
+    keys = ["subject", "roi", "image"]
+    means = P.explode_features(patterns(c), keys).groupBy(*keys, "pos").agg(F.avg("x").alias("x"))
+    return M.dissimilarity(packed(means, keys, "x", "features"), ["subject", "roi"], "image")
 
 
 @query("v8_dissimilarity_correlation", f"""WITH {RDM},
-d AS (SELECT a.vec_id AS a, b.vec_id AS b, 1-0.5*(sum(a.u*b.u) FILTER (a.roi='r0')+1) AS d0, 1-0.5*(sum(a.u*b.u) FILTER (a.roi='r1')+1) AS d1
- FROM u a JOIN u b ON a.roi=b.roi AND a.pos=b.pos AND a.vec_id < b.vec_id WHERE a.roi IN ('r0','r1') GROUP BY ALL)
-SELECT count(*) AS n_pairs, rnd(corr(d0, d1)) AS r FROM d""")
+d AS (SELECT a.roi, a.vec_id AS a, b.vec_id AS b, 1-0.5*(sum(a.u*b.u)+1) AS d
+ FROM u a JOIN u b ON a.roi=b.roi AND a.pos=b.pos AND a.vec_id < b.vec_id GROUP BY ALL)
+SELECT x.roi AS region_a, y.roi AS region_b, count(*) AS n_pairs, rnd(corr(x.d, y.d)) AS r FROM d x JOIN d y USING (a, b) WHERE x.roi < y.roi GROUP BY ALL""")
 def v8(c):
+    """Every pair of the four regions."""
     e = F.col("embedding").cast("array<double>")
-    d = c.view("trials").select("vec_id", F.slice(e, 1, 16).alias("a"), F.slice(e, 17, 16).alias("b"))
-    return M.dissimilarity_correlation(d, "vec_id", "a", "b")
+    d = c.view("trials").select("vec_id", *[F.slice(e, 16 * k + 1, 16).alias(f"r{k}") for k in range(4)])
+    parts = [M.dissimilarity_correlation(d, "vec_id", a, b).select(F.lit(a).alias("region_a"), F.lit(b).alias("region_b"), "n_pairs", "r")
+             for a, b in combinations(["r0", "r1", "r2", "r3"], 2)]
+    return reduce(lambda x, y: x.unionByName(y), parts)
 
 
 @query("v9_matched_correlation", """

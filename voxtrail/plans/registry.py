@@ -93,16 +93,33 @@ class Context:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._sources: dict[str, str] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self.spark.sql(f"SELECT * FROM {self.source(name)}")
+
+    def source(self, name: str) -> str:
+        """SQL of a given table, with NaN read as NULL in numbers and in arrays of numbers."""
+        if name not in self._sources:
+            path = f"parquet.`{self.sf_dir}/{name}.parquet`"
+            cols = []
+            for col, kind in self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet").dtypes:
+                if kind in ("double", "float"):
+                    cols.append(f"nullif(`{col}`, {kind}('NaN')) AS `{col}`")
+                elif kind in ("array<double>", "array<float>"):
+                    cols.append(f"transform(`{col}`, x -> nullif(x, {kind[6:-1]}('NaN'))) AS `{col}`")
+                else:
+                    cols.append(f"`{col}`")
+            self._sources[name] = f"(SELECT {', '.join(cols)} FROM {path})" if any(" AS " in x for x in cols) else path
+        return self._sources[name]
 
     def view(self, name: str) -> DataFrame:
         return self.sql(f"SELECT * FROM {name}")
 
     def sql(self, text: str) -> DataFrame:
+        needed = text + "".join(VIEWS[v] for v in _needed(text, []))
         dialect = {
-            **{t: f"parquet.`{self.sf_dir}/{t}.parquet`" for t in TABLES},
+            **{t: self.source(t) for t in TABLES if "{" + t + "}" in needed},
             "day": "CAST(datediff(CAST(ts AS DATE), DATE'2024-01-01') AS BIGINT)",
             "ms": "(extract(HOUR FROM ts)*3600000 + extract(MINUTE FROM ts)*60000"
                   " + CAST(floor(extract(SECOND FROM ts)*1000) AS BIGINT))",

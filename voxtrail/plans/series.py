@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from voxtrail.operators import decode as D, folds as K, linmodel as L, patterns as P, timeseries as T
-from voxtrail.plans.decoding import CELL, WITHIN, pool
+from voxtrail.plans.decoding import CELL, POOL, WITHIN, decode_sql, fold_sql, pool, rows_sql
 from voxtrail.plans.pattern_plans import patterns
 from voxtrail.plans.registry import query
 from voxtrail.session import cut_lineage
@@ -239,3 +239,23 @@ def d20(c):
     raw = own.select(F.lit("none").alias("arm"), *[c for c in white.columns if c != "arm"])
     rows = P.explode_features(white.unionByName(raw).withColumnRenamed("vec_id", "trial"), [*key, "trial", *keep])
     return D.roll_up(D.split_validate(rows, ["arm", *CELL, "fold"]), ["arm", *CELL]).select("arm", *CELL, "accuracy")
+
+
+@query("v19_whitening_certificate", """
+SELECT subject, roi, i::INT AS i, j::INT AS j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END AS v FROM (SELECT DISTINCT subject FROM trials),
+ (SELECT unnest(['r0','r1','r2','r3']) AS roi), (SELECT unnest(range(16)) AS i), (SELECT unnest(range(16)) AS j)""")
+def v19_certificate(c):
+    """The root times the covariance times the root is the identity."""
+    key = ["subject", "roi"]
+    cov = cut_lineage(L.shrunk_covariance(patterns(c), key, "valence").select(*key, "i", "j", "cov"))
+    root = cut_lineage(L.inverse_root(cov, key).select(*key, "i", F.posexplode("row").alias("j", "w")))
+    half = root.select(*key, "i", F.col("j").alias("k"), "w").join(
+        cov.select(*key, F.col("i").alias("k"), "j", "cov"), [*key, "k"]).groupBy(*key, "i", "j").agg(F.sum(F.col("w") * F.col("cov")).alias("h"))
+    return half.select(*key, "i", F.col("j").alias("k"), "h").join(
+        root.select(*key, F.col("i").alias("k"), "j", "w"), [*key, "k"]).groupBy(*key, "i", "j").agg(F.sum(F.col("h") * F.col("w")).alias("v"))
+
+
+@query("d20_unwhitened_arm", f"""WITH {POOL}, {fold_sql(3, ["subject", "contrast"], where="kind='within'")}, {rows_sql()}, {decode_sql(CELL, 'rws')}
+SELECT 'none' AS arm, {", ".join(CELL)}, rnd(avg(accuracy)) AS accuracy FROM acc_f GROUP BY {", ".join(CELL)}""")
+def d20_none(c):
+    return d20(c).filter("arm = 'none'")

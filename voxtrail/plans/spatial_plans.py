@@ -84,6 +84,12 @@ def v17_table(c):
     return S.cluster_table(S.components(hot, [], "voxel_id").join(hot.select("voxel_id", "b"), "voxel_id"), [], "voxel_id", "b", 4)
 
 
+@query("v17_peak_regions", COMP + """ SELECT c.*, m.brand AS peak_region FROM (SELECT label, count(*) AS n_voxels, min(voxel_id) FILTER (b = mx) AS peak_voxel, rnd(max(b)) AS peak_value
+FROM (SELECT *, max(b) OVER (PARTITION BY label) AS mx FROM lab JOIN hot ON v = voxel_id) GROUP BY label HAVING count(*) >= 4) c LEFT JOIN stat_map m ON m.voxel_id = peak_voxel""")
+def v17_peaks(c):
+    return S.label_peaks(v17_table(c), c.view("stat_map"), "voxel_id", "brand")
+
+
 @query("v18_paint_regions", """
 WITH r AS (SELECT CAST(substring(roi, 4) AS INT) AS roi_id, avg(accuracy) AS accuracy FROM results GROUP BY roi)
 SELECT voxel_id, m.roi_id, rnd(accuracy) AS accuracy FROM stat_map m LEFT JOIN r USING (roi_id)""")

@@ -53,6 +53,12 @@ def scan_labels(spark: SparkSession, path: str) -> DataFrame:
                     & (F.col("roi_name") != PLACEHOLDER))
 
 
+def scan_payloads(spark: SparkSession, path: str) -> DataFrame:
+    """Size and SHA-256 of every file below ``path``, read as bytes by the executors."""
+    d = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return d.select(F.col("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
 def write_pattern_cache(df: DataFrame, path: str, roi: str, subject: str, spread: int | None = None,
                         spread_by: str | None = None) -> None:
     """One folder per region, so later stages read only theirs; inside it rows are sorted by
