@@ -262,7 +262,7 @@ def hinge_models(rows: DataFrame, model: list[str], c: float = 1.0, tolerance: f
     fixed = ["blocks", "block", "x", "y", "own", "folds", "mu"]
     solved = None
     for _ in range(rounds):
-        moved = cut_lineage(state.mapInPandas(_ascend(c), moved_schema))
+        moved = cut_lineage(state.mapInPandas(_ascend(c, tolerance), moved_schema))
         total = moved.filter("block = 0 OR blocks = 1").select(*model, "folds", "mu", "w").join(
             _added(moved, model, "d"), model).join(_added(moved, model, "stat"), model)
         total = cut_lineage(total.withColumn("gaps", _gaps(F.col("w"), F.col("stat"), F.size("folds"), c)))
@@ -299,7 +299,7 @@ def _gaps(w: Column, stat: Column, folds: Column, c: float) -> Column:
     return F.transform(F.sequence(F.lit(0), folds - 1), one)
 
 
-def _ascend(c: float, sweeps: int = 500, still: float = 1e-5):
+def _ascend(c: float, tolerance: float, sweeps: int = 500):
     """Raises the multipliers of each block; ``d`` is the change of the weights, ``stat`` that of
     the point the block started from."""
     def block(r) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -310,22 +310,27 @@ def _ascend(c: float, sweeps: int = 500, still: float = 1e-5):
         w = np.asarray(r.w, dtype=np.float64).reshape(k, p + 1) if len(r.w) else np.zeros((k, p + 1))
         score = w[:, :p] @ x.T + (w[:, p] - (w[:, :p] * mu).sum(axis=1))[:, None]
         stat = np.concatenate([(np.maximum(0, 1 - s * score) * member).sum(axis=1), a.sum(axis=1)])
-        start, local = a.copy(), w.copy()
-        length = r.blocks * (((x[None] - mu[:, None]) ** 2).sum(axis=2) + 1)
+        start, own = a.copy(), (w * w).sum(axis=1)
+        # products of the centred rows, with the constant feature; a change counts ``blocks``-fold
+        centred = x @ mu.T
+        products = r.blocks * ((x @ x.T)[None] - centred.T[:, :, None] - centred.T[:, None, :]
+                               + (mu * mu).sum(axis=1)[:, None, None] + 1) * s[None, :, None] * s[None, None, :]
+        length = np.maximum(np.diagonal(products, axis1=1, axis2=2), 1e-12).T.copy()
+        slack = 1 - s * score
+        free = np.where(member.T, c, 0.0)
         rng = np.random.default_rng(n)
         for _ in range(sweeps):
-            most = 0.0
             for i in rng.permutation(n):
-                z = x[i] - mu
-                slack = 1 - s[i] * ((local[:, :p] * z).sum(axis=1) + local[:, p])
-                step = np.where(member[:, i], np.clip(a[:, i] + slack / length[:, i], 0, c) - a[:, i], 0.0)
+                old = a[:, i]
+                step = np.minimum(np.maximum(old + slack[:, i] / length[i], 0), free[i]) - old
                 if step.any():
                     a[:, i] += step
-                    step = r.blocks * s[i] * step
-                    local[:, :p] += step[:, None] * z
-                    local[:, p] += step
-                    most = max(most, np.abs(step).max())
-            if most <= still * c:
+                    slack -= step[:, None] * products[:, i]
+            # gap of the block's own problem: exact where the block is the model
+            moved = ((a - start) * (products @ (a - start)[:, :, None])[:, :, 0]).sum(axis=1) / r.blocks
+            ww = own + 2 * ((a - start) * s * score).sum(axis=1) + moved
+            primal = ww / 2 + c * (np.maximum(0, slack) * member).sum(axis=1)
+            if ((primal - a.sum(axis=1) + ww / 2) <= tolerance / 2 * np.maximum(primal, 1e-12)).all():
                 break
         change = (a - start) * s
         d = np.concatenate([change @ x - change.sum(axis=1)[:, None] * mu, change.sum(axis=1)[:, None]], axis=1)

@@ -1,5 +1,7 @@
 """Folds, decoding and permutation queries."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from voxtrail.functions import arrays as A
@@ -429,12 +431,14 @@ lz AS (SELECT vec_id, roi, pos, (x - avg(x) OVER v)/stddev_pop(x) OVER v AS z FR
 
 def null_sql(long):
     """Draws within and across sources, each from the pool shuffled in its own way."""
-    within = PERM.format(k="subject, contrast").replace("FROM pool,", "FROM pool_w,").replace("pm", "pmw").replace(" sh", " shw").replace("ps AS", "psw AS")
-    cross = PERM.format(k="subject, contrast, is_test").replace("FROM pool,", "FROM pool_c,").replace("pm", "pmc").replace(" sh", " shc").replace("ps AS", "psc AS")
+    def shuffled(keys, tag):
+        return re.sub(r"\b(pool|pm|sh|ps)\b(?!')", lambda m: m[0] + tag, PERM.format(k=keys))
+
+    within, cross = shuffled("subject, contrast", "_w"), shuffled("subject, contrast, is_test", "_c")
     fold = fold_sql(4, ["subject", "contrast", "permutation", "repeat"], src="rw", alias="fw")
     wx = [*WMODEL, "roi", "xfold"]
     return f"""pool_w AS (SELECT * FROM pool WHERE kind='within'), pool_c AS (SELECT * FROM pool WHERE kind='cross'), {within}, {cross},
-rw AS (SELECT *, repeat FROM psw, (SELECT unnest(range({REPEATS})) AS repeat)), rc AS (SELECT *, repeat FROM psc, (SELECT unnest(range({REPEATS})) AS repeat)), {fold},
+rw AS (SELECT *, repeat FROM ps_w, (SELECT unnest(range({REPEATS})) AS repeat)), rc AS (SELECT *, repeat FROM ps_c, (SELECT unnest(range({REPEATS})) AS repeat)), {fold},
 ew AS (SELECT p.* EXCLUDE (fold, is_train, is_test), h.fold AS xfold, p.fold = h.fold AS is_test, p.fold <> h.fold AS is_train FROM fw p, (SELECT unnest(range(4)) AS fold) h),
 cw AS (SELECT *, CASE WHEN is_test THEN 0 ELSE ntile(3) OVER (PARTITION BY subject, contrast, permutation, repeat, xfold, is_test, y ORDER BY vec_id) - 1 END AS chunk FROM ew),
 lw AS (SELECT c.*, l.roi, l.pos, l.z AS x FROM cw c JOIN {long} l ON c.vec_id = l.vec_id),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +27,26 @@ def local_session(cores: str = "8", app: str = "voxtrail") -> SparkSession:
     return spark
 
 
+_shipped: set[int] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Gives the executors this package, for clusters (and drivers) where it is not installed."""
+    sc = spark.sparkContext
+    if id(sc._jsc) in _shipped:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="spark-code-"), "voxtrail-code.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in os.walk(os.path.join(root, "voxtrail")):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)  # served by the driver to every executor
+    _shipped.add(id(sc._jsc))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach.
 
