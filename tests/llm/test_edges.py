@@ -253,6 +253,14 @@ def test_pipeline_stages(docs, none, spark):
         assert out.count() > 0
 
 
+def test_packed_texts_come_back():
+    import pyarrow as pa
+    rows = [(1, 5, b"abc"), (run_index.NO_DOC, 6, b""), (2, 7, b"x" * 1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["doc_id", "th", "bytes"])
+    table = pa.Table.from_batches(list(run_index._pack(3)(iter([batch]))))
+    assert sorted((d, t, x) for doc, th, own in run_index._unpacked(table) for d, t, x in zip(doc, th, own)) == sorted(rows)
+
+
 def test_pipeline_runs_its_stages(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")

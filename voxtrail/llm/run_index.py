@@ -31,8 +31,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from voxtrail.llm.blocks import whole_cells
 from voxtrail.llm.common import release, stored
@@ -43,6 +44,7 @@ PIECE = 1 << 22      # bytes of a long document taken at once
 STRIP = 1 << 23      # bytes hashed at once; a strip has less than 2**24
 INDEX = 1 << 20      # bytes of snippets that make an index; it has less than 2**21
 RANGE = 400_000      # anchors of a key range
+BUCKET = 1 << 22     # bytes of texts that one task opens at once
 NO_DOC = (1 << 63) - 1
 LOW = np.uint64((1 << 24) - 1)
 _rng = np.random.default_rng(20240929)
@@ -218,6 +220,45 @@ def _gather(table: pa.Table) -> pa.Table:
         [("doc_id", pa.int64()), ("th", pa.int64()), ("keys", pa.binary()), ("heavy", pa.binary())]))])
 
 
+# ---- texts in packed buckets: two steps need them, next to what is known of their documents ----
+
+_PACKED = pa.schema([("bucket", pa.int64()), ("blob", pa.binary())])
+
+
+def _pack(buckets: int):
+    """Documents of a batch by bucket, each bucket one compressed value."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            doc, th, texts = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist()
+            members = _split(_bucket(doc, th, buckets), buckets)
+            out = []
+            for k in range(buckets):
+                at = members(k)
+                if len(at):
+                    part = [texts[i] for i in at.tolist()]
+                    head = np.stack([doc[at], th[at], [len(x) for x in part]]).astype("<i8")
+                    out.append((k, press.compress(np.int64(len(at)).tobytes() + head.tobytes() + b"".join(part))))
+            yield _batch(out, _PACKED)
+
+    return run
+
+
+def _bucket(doc: np.ndarray, th: np.ndarray, buckets: int) -> np.ndarray:
+    h = (doc.astype(np.uint64) ^ (th.astype(np.uint64) << np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _unpacked(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """doc_id, th and texts of each blob."""
+    for blob in table.column("blob"):
+        raw = zstandard.ZstdDecompressor().decompress(blob.as_py())
+        n = int(np.frombuffer(raw, "<i8", 1)[0])
+        head = np.frombuffer(raw, "<i8", 3 * n, 8).reshape(3, n)
+        ends = np.cumsum(head[2]) + 8 + 24 * n
+        yield head[0], head[1], [raw[e - k:e] for e, k in zip(ends.tolist(), head[2].tolist())]
+
+
 # ---- 2: snippets around repeated anchors -------------------------------------------------
 
 # A start of -1 marks a row of settled losses: its snippet is pairs of start and windows.
@@ -225,45 +266,56 @@ _SNIP = pa.schema([("key", pa.int64()), ("snippet", pa.binary()), ("doc_id", pa.
                    ("start", pa.int64())])
 
 
-def _snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        doc, th = b.column(0).to_numpy(), b.column(1).to_numpy()
-        listed = []
-        for c in (3, 4):
-            keys = [_from_six(b"".join(x.as_py())) for x in b.column(c)]
-            row = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-            listed.append(_pairs(row, np.concatenate(keys) if keys else np.empty(0, np.int64)))
-        texts = b.column(2).to_pylist()
-        for data, ends, rows, offsets in strips(texts):
-            key, start, count = anchors(data, ends)
-            piece = np.searchsorted(ends, start, side="right")
-            row = rows[piece]
-            mine = _pairs(row, key)
-            heavy = np.isin(mine, listed[1]) if len(listed[1]) else np.zeros(len(mine), dtype=bool)
-            keep = np.isin(mine, listed[0]) | heavy
-            begin = np.concatenate([[0], ends[:-1]])[piece]
-            raw = data.tobytes()
-            found: list[tuple] = []  # key, snippet, row, start
-            for i in np.flatnonzero(keep).tolist():
-                a, c, r = int(start[i]), int(count[i]), int(row[i])
-                place = int(offsets[piece[i]] + a - begin[i])
-                if heavy[i]:
-                    found += [(_own_key(w), w, r, place + o) for o in range(c) for w in (raw[a + o:a + o + SPAN],)]
-                else:
-                    found.append((int(key[i]), raw[a:a + c + SPAN - 1], r, place))
-            best: dict[bytes, int] = {}
-            for _, text, r, _ in found:
-                if best.get(text, NO_DOC + 1) > doc[r]:
-                    best[text] = doc[r]
-            # a copy in a larger document loses all its windows already here
-            out, lost = [], {}
-            for k, text, r, place in found:
-                if best[text] < doc[r]:
-                    lost.setdefault(r, []).append((place, len(text) - SPAN + 1))
-                else:
-                    out.append((k, text, doc[r], th[r], place))
-            out += [(hash((int(doc[r]), x[0][0])) >> 1, np.array(x, dtype="<i8").tobytes(), doc[r], th[r], -1) for r, x in lost.items()]
-            yield _batch(out, _SNIP)
+def _snippets(texts: pa.Table, known: pa.Table) -> pa.Table:
+    """Snippets of a bucket's documents at their repeated keys."""
+    keys_of = {(d, t): (b"".join(k), b"".join(h)) for d, t, k, h in zip(
+        *[known.column(c).to_pylist() for c in ("doc_id", "th", "keys", "heavy")])}
+    batches = [_SNIP.empty_table()]
+    for doc, th, own in _unpacked(texts):
+        mine = [keys_of.get(x, (b"", b"")) for x in zip(doc.tolist(), th.tolist())]
+        at = [i for i, (k, h) in enumerate(mine) if k or h]
+        for some in (at[i:i + 30_000] for i in range(0, len(at), 30_000)):
+            batches += [pa.Table.from_batches([x]) for x in _around(
+                doc[some], th[some], [own[i] for i in some], [mine[i] for i in some])]
+    return pa.concat_tables(batches)
+
+
+def _around(doc: np.ndarray, th: np.ndarray, texts: list[bytes], keys: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+    listed = []
+    for c in (0, 1):
+        one = [_from_six(k[c]) for k in keys]
+        listed.append(_pairs(np.repeat(np.arange(len(one)), [len(k) for k in one]), np.concatenate(one)))
+    for data, ends, rows, offsets in strips(texts):
+        key, start, count = anchors(data, ends)
+        piece = np.searchsorted(ends, start, side="right")
+        row = rows[piece]
+        mine = _pairs(row, key)
+        heavy = np.isin(mine, listed[1]) if len(listed[1]) else np.zeros(len(mine), dtype=bool)
+        keep = np.isin(mine, listed[0]) | heavy
+        begin = np.concatenate([[0], ends[:-1]])[piece]
+        raw = data.tobytes()
+        doc_of, th_of = doc.tolist(), th.tolist()
+        found: list[tuple] = []  # key, snippet, row, start
+        for i in np.flatnonzero(keep).tolist():
+            a, c, r = int(start[i]), int(count[i]), int(row[i])
+            place = int(offsets[piece[i]] + a - begin[i])
+            if heavy[i]:
+                found += [(_own_key(w), w, r, place + o) for o in range(c) for w in (raw[a + o:a + o + SPAN],)]
+            else:
+                found.append((int(key[i]), raw[a:a + c + SPAN - 1], r, place))
+        best: dict[bytes, int] = {}
+        for _, text, r, _ in found:
+            if best.get(text, NO_DOC + 1) > doc_of[r]:
+                best[text] = doc_of[r]
+        # a copy in a larger document loses all its windows already here
+        out, lost = [], {}
+        for k, text, r, place in found:
+            if best[text] < doc_of[r]:
+                lost.setdefault(r, []).append((place, len(text) - SPAN + 1))
+            else:
+                out.append((k, text, doc_of[r], th_of[r], place))
+        out += [(hash((doc_of[r], x[0][0])) >> 1, np.array(x, dtype="<i8").tobytes(), doc_of[r], th_of[r], -1) for r, x in lost.items()]
+        yield _batch(out, _SNIP)
 
 
 def _pairs(row: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -451,9 +503,6 @@ def _by_window(t: pa.Table) -> Iterator[pa.RecordBatch]:
 
 # ---- 4: cutting ---------------------------------------------------------------------------
 
-_CUT = "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
-
-
 def spans(starts: np.ndarray, windows: np.ndarray) -> np.ndarray:
     """Maximal removed runs (begin, end) of stretches of windows."""
     order = np.argsort(starts, kind="stable")
@@ -464,44 +513,59 @@ def spans(starts: np.ndarray, windows: np.ndarray) -> np.ndarray:
     return np.stack([a[at], e[np.append(at[1:], len(a)) - 1]], axis=1) if len(a) else np.empty((0, 2), np.int64)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        size, gone, runs, kept = [], [], [], []
-        for text, marks in zip(b.column("bytes"), b.column("marks")):
-            text, marks = text.as_py(), marks.values
-            if marks is None:
-                cut = np.empty((0, 2), np.int64)
-            else:
-                cut = spans(marks.field("start").to_numpy(), marks.field("windows").to_numpy())
-            at, parts = 0, []
-            for s, e in cut.tolist():
+_KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
+
+
+def _cut(texts: pa.Table, losses: pa.Table) -> pa.Table:
+    """A bucket's documents without what they lose."""
+    of = {}
+    for d, t, m in zip(losses.column("doc_id").to_pylist(), losses.column("th").to_pylist(), losses.column("marks")):
+        of[d, t] = spans(m.values.field("start").to_numpy(), m.values.field("windows").to_numpy())
+    batches = [_KEPT.empty_table()]
+    for doc, th, own in _unpacked(texts):
+        out = []
+        for d, t, text in zip(doc.tolist(), th.tolist(), own):
+            runs, at, parts = of.get((d, t), np.empty((0, 2), np.int64)), 0, []
+            for s, e in runs.tolist():
                 parts.append(text[at:s])
                 at = e
             parts.append(text[at:])
-            size.append(len(text))
-            gone.append(int((cut[:, 1] - cut[:, 0]).sum()))
-            runs.append(len(cut))
-            kept.append(b"".join(parts))
-        yield pa.RecordBatch.from_arrays([b.column("row_id"), pa.array(size, pa.int64()), pa.array(gone, pa.int64()),
-                                          pa.array(runs, pa.int64()), pa.array(kept, pa.binary())],
-                                         names=["row_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            out.append((None if d == NO_DOC else d, len(text), int((runs[:, 1] - runs[:, 0]).sum()), len(runs), b"".join(parts)))
+        batches.append(pa.Table.from_batches([_batch(out, _KEPT)]))
+    return pa.concat_tables(batches)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, th, start, windows: stretches of windows that each document of (doc_id, text) loses.
 
     ``th`` is the hash of the text; a null id is NO_DOC."""
-    d = _rows(docs)
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # one number
-    sent = d.select("doc_id", "th", "bytes").mapInArrow(_send(total // (18 * RANGE) + 1), _SENT)
+    total = _bytes(docs)
+    sent = _rows(docs).mapInArrow(_send(total // (18 * RANGE) + 1), _SENT)
     mine = stored(_known(sent), "repeated-anchors")
     release(docs.sparkSession)
-    snippets = d.join(mine, ["doc_id", "th"]).select("doc_id", "th", "bytes", "keys", "heavy").mapInArrow(
-        _snippets, "key bigint, snippet binary, doc_id bigint, th bigint, start bigint")
+    snippets = _beside(docs, mine, total, _snippets, "key bigint, snippet binary, doc_id bigint, th bigint, start bigint")
     return (snippets.repartition("key").sortWithinPartitions("key", "doc_id")
             .mapInArrow(_losses, "doc_id bigint, th bigint, start bigint, windows int"))
 
 
+def _bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # one number
+
+
+def _beside(docs: DataFrame, facts: DataFrame, total: int, work, schema: str) -> DataFrame:
+    """``work(texts, facts)`` per bucket of documents; ``facts`` has doc_id and th."""
+    buckets = total // BUCKET + 1
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k = _bucket(b.column(0).to_numpy(), b.column(1).to_numpy(), buckets)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(k)], names=[*b.schema.names, "bucket"])
+
+    texts = _rows(docs).mapInArrow(_pack(buckets), "bucket bigint, blob binary")
+    placed = facts.mapInArrow(place, T.StructType([*facts.schema.fields, T.StructField("bucket", T.LongType())]))
+    return texts.groupBy("bucket").cogroup(placed.groupBy("bucket")).applyInArrow(work, schema)
+
+
 def _known(sent: DataFrame) -> DataFrame:
     """doc_id, th, keys, heavy: the repeated keys of each document that has one."""
     known = sent.groupBy("slot").applyInArrow(_decide, _KNOWN).groupBy("strip").applyInArrow(
@@ -510,10 +574,8 @@ def _known(sent: DataFrame) -> DataFrame:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("bigint").alias("row_id"),
-                       F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_DOC)).alias("doc_id"),
-                       F.hash("text").cast("bigint").alias("th"), text.cast("binary").alias("bytes"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_DOC)).alias("doc_id"),
+                       F.hash("text").cast("bigint").alias("th"), F.coalesce("text", F.lit("")).cast("binary").alias("bytes"))
 
 
 def cut(docs: DataFrame) -> DataFrame:
@@ -521,5 +583,4 @@ def cut(docs: DataFrame) -> DataFrame:
     marks = stored(repeats(docs).groupBy("doc_id", "th").agg(
         F.collect_list(F.struct("start", "windows")).alias("marks")), "losses")  # a document's own
     release(docs.sparkSession)
-    return (_rows(docs).join(marks, ["doc_id", "th"], "left").select("row_id", "bytes", "marks")
-            .mapInArrow(_cut, "row_id bigint, " + _CUT).withColumnRenamed("row_id", "doc_id"))
+    return _beside(docs, marks, _bytes(docs), _cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
