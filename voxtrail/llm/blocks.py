@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from voxtrail.llm.common import stored
+
 PAIRS = 100_000  # pairs looked at in one step
 
 
@@ -20,9 +22,10 @@ def subcells(rows: DataFrame, cell: list[str], row: str, most: int) -> DataFrame
     """Adds ``__part``, ``__a`` and ``__b``: the row's part and the sub-cell it goes to.
 
     Cells of at most ``most`` rows have one sub-cell (0, 0). The rows come out dealt and sorted
-    by sub-cell."""
-    heavy = (rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > most)
-             .select(*cell, F.ceil(F.col("__n") / most).cast("int").alias("__s")))
+    by sub-cell. The list of hot cells is written first: as a table of known size it is usually
+    broadcast, so that the rows are shuffled once."""
+    heavy = stored(rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > most)
+                   .select(*cell, F.ceil(F.col("__n") / most).cast("int").alias("__s")), "hot-cells")
     parts = F.coalesce("__s", F.lit(1))
     d = rows.join(heavy, cell, "left").withColumn("__part", F.pmod(F.xxhash64(row, F.lit(17)), parts).cast("int"))
     d = d.withColumn("__o", F.explode(F.sequence(F.lit(0), parts - 1)))
