@@ -69,7 +69,8 @@ def prototypes(docs: DataFrame, text: str, lang: str) -> dict[str, np.ndarray]:
                 v = encode(words)
                 if v is not None:
                     acc[language] = acc.get(language, 0) + v
-        yield pd.DataFrame({"lang": list(acc), "v": [x.astype(np.int64) for x in acc.values()]})
+        if acc:
+            yield pd.DataFrame({"lang": list(acc), "v": [x.astype(np.int64) for x in acc.values()]})
 
     parts = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInPandas(
         sums, "lang string, v array<bigint>")
