@@ -82,7 +82,7 @@ def test_packing(spark, docs):
     assert sum(1024 - n for n in sizes if n & (n - 1)) < 0.02 * sizes.sum()
 
 
-ENTITY = re.compile(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)+|\+\d \(\d{3}\) \d{3}-\d{4}|\b4\d{15}\b|\b\d{1,3}(?:\.\d{1,3}){3}\b"
+ENTITY = re.compile(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)+|\+\d \(\d{3}\) \d{3}-\d{4}|\b[3-6]\d{15}\b|\b\d{1,3}(?:\.\d{1,3}){3}\b"
                     r"|AKIA[0-9A-Z]{16}|(?<=password = \")[^\"]+|(?<=token = \")[^\"]+")
 
 
@@ -109,7 +109,7 @@ def test_surrogates(spark, docs):
             to[a].add(b)
             back[b].add(a)
             assert a != b and ("@" in a) == ("@" in b) and luhn(a) == luhn(b) if a.isdigit() else a != b
-    assert len(to) > 80 and not set(to) & set(back)
+    assert len(to) >= 60 and not set(to) & set(back)
     assert max(map(len, to.values())) == max(map(len, back.values())) == 1
 
 
