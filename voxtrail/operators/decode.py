@@ -246,16 +246,16 @@ def hinge_models(rows: DataFrame, model: list[str], c: float = 1.0, tolerance: f
                                                   (F.var_pop(x) * F.count(x)).alias("q_"))
     mu = packed(leave_out_totals(per, [*model, "pos"], "fold", ["_"]).filter("n_ > 0"), keys, "m_", "mu")
     mu = mu.join(rows.filter("is_test").select(*keys).distinct(), keys, "left_semi")
-    folds = mu.groupBy(*model).agg(F.array_sort(F.collect_list(F.struct(F.col("fold").cast("bigint").alias("fold"), "mu"))).alias("m"))
+    folds = mu.groupBy(*model).agg(F.array_sort(F.collect_list(F.struct(F.col("fold").cast("bigint").alias("fold"), "mu"))).alias("__m"))
     size = rows.filter(train).groupBy(*model).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
     blocks = (rows.filter(train).join(size, model)
               .groupBy(*model, "blocks", F.pmod(F.xxhash64("trial"), F.col("blocks")).cast("int").alias("block"))
-              .agg(F.sort_array(F.collect_list(F.struct("trial", F.col("fold").cast("bigint").alias("own"), "y", "features"))).alias("r")))
+              .agg(F.sort_array(F.collect_list(F.struct("trial", F.col("fold").cast("bigint").alias("own"), "y", "features"))).alias("__r")))
     none = F.array().cast("array<double>")
     state = cut_lineage(blocks.join(folds, model).select(
-        *model, "blocks", "block", F.transform("r", lambda r: r["features"]).alias("x"),
-        F.transform("r", lambda r: r["y"].cast("int")).alias("y"), F.transform("r", lambda r: r["own"]).alias("own"),
-        F.transform("m", lambda m: m["fold"]).alias("folds"), F.transform("m", lambda m: m["mu"]).alias("mu"),
+        *model, "blocks", "block", F.transform("__r", lambda r: r["features"]).alias("x"),
+        F.transform("__r", lambda r: r["y"].cast("int")).alias("y"), F.transform("__r", lambda r: r["own"]).alias("own"),
+        F.transform("__m", lambda m: m["fold"]).alias("folds"), F.transform("__m", lambda m: m["mu"]).alias("mu"),
         none.alias("a"), none.alias("w")))
     number = T.ArrayType(T.DoubleType())
     moved_schema = T.StructType([*state.schema.fields, T.StructField("d", number), T.StructField("stat", number)])
