@@ -211,3 +211,61 @@ def test_strips_cut_long_texts_with_overlap(monkeypatch):
                 assert text[o:o + len(part)] == part
                 seen.update(range(o, o + max(0, len(part) - 49)))
     assert seen == set(range(len(text) - 49))
+
+
+def _lost_windows(monkeypatch, strips, many):
+    """Lost windows by document, each key in a task of its own; also the snippets and the keys known."""
+    class Task:
+        partitionId = staticmethod(lambda: 0)
+        get = classmethod(lambda cls: cls)
+
+    monkeypatch.setattr(run_index, "MANY", many)
+    monkeypatch.setattr(run_index, "TaskContext", Task)
+    batches = [pa.RecordBatch.from_arrays([pa.array([d for d, _ in s]), pa.array([0] * len(s)), pa.array([t for _, t in s])],
+                                          names=["doc_id", "th", "bytes"]) for s in strips]
+    sent = pa.Table.from_batches(list(run_index._send(3)(iter(batches))))
+
+    def by(t, column):
+        return [t.filter(pa.compute.equal(t.column(column), x)) for x in pa.compute.unique(t.column(column))]
+
+    known = pa.concat_tables([run_index._decide(t) for t in by(sent, "slot")])
+    known = [r for t in by(known, "strip") for r in run_index._gather(t).to_pylist()]
+    of = {r["doc_id"]: (r["keys"], r["heavy"]) for r in known}
+    snippets = []
+    for s in strips:
+        s = [x for x in s if x[0] in of]
+        if s:
+            ids = np.array([d for d, _ in s])
+            snippets += run_index._around(ids, ids * 0, [t for _, t in s], [of[d] for d, _ in s])
+    snippets = pa.Table.from_batches(snippets)
+    lost = {(d, a + i) for t in by(snippets, "key") for b in run_index._losses(iter(t.sort_by("doc_id").to_batches()))
+            for d, a, n in zip(*[b.column(c).to_pylist() for c in ("doc_id", "start", "windows")]) for i in range(n)}
+    return lost, snippets, of
+
+
+def _common_strips():
+    rng = random.Random(4)
+    line = bytes(rng.randrange(97, 123) for _ in range(120))
+    own = lambda: bytes(rng.randrange(97, 123) for _ in range(60))
+    return line, [[(d, own() + line + own()) for d in s] for s in ([5, 6], [1], [2], [7, 8, 9], [3], [0, 4])]
+
+
+def test_heavy_keys_settled_in_a_strip_lose_like_the_others(monkeypatch):
+    _, strips = _common_strips()
+    for strips in (strips, strips[:-1], strips[:2] + strips[4:5]):
+        owner = {}
+        windows = [(d, i, t[i:i + 50]) for s in strips for d, t in s for i in range(len(t) - 49)]
+        for d, _, w in windows:
+            owner[w] = min(owner.get(w, d), d)
+        for many in (3, 100):
+            assert _lost_windows(monkeypatch, strips, many)[0] == {(d, i) for d, i, w in windows if owner[w] < d}
+
+
+def test_heavy_is_one_property_of_a_key(monkeypatch):
+    # keys of three documents or fewer beside heavy ones in several documents of a strip
+    line, strips = _common_strips()
+    rare = bytes(range(128, 248))
+    strips += [[(20, line + rare), (21, rare + line), (22, line)], [(23, rare)]]
+    _, _, of = _lost_windows(monkeypatch, strips, 3)
+    keys, heavy = [{k for x in of.values() for k in run_index._from_six(x[c]).tolist()} for c in (0, 1)]
+    assert keys and heavy and not keys & heavy

@@ -116,8 +116,8 @@ def _from_six(data: bytes) -> np.ndarray:
 _SENT = "slot int, strip bigint, docs binary, rows binary, counts binary, keys binary, seen binary, n_seen binary"
 _SENT_SCHEMA = pa.schema([("slot", pa.int32()), ("strip", pa.int64()),
                           *[(c, pa.binary()) for c in ("docs", "rows", "counts", "keys", "seen", "n_seen")]])
-_KNOWN = "strip bigint, docs binary, rows binary, counts binary, keys binary, heavy binary"
-_KNOWN_SCHEMA = pa.schema([("strip", pa.int64()), *[(c, pa.binary()) for c in ("docs", "rows", "counts", "keys", "heavy")]])
+_KNOWN = "strip bigint, docs binary, rows binary, counts binary, keys binary, heavy binary, hot binary"
+_KNOWN_SCHEMA = pa.schema([("strip", pa.int64()), *[(c, pa.binary()) for c in ("docs", "rows", "counts", "keys", "heavy", "hot")]])
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -178,30 +178,36 @@ def _rows_of(table: pa.Table, i: int) -> np.ndarray:
 
 
 def _decide(table: pa.Table) -> pa.Table:
-    """Of the packed keys of a range, those in more than one document; heavy: in more than MANY."""
+    """Of the packed keys of a range, those in more than one document; heavy: in more than MANY.
+
+    The range alone counts all strips, so it also tells those that settled a key which are heavy (``hot``)."""
     settled = np.array([len(x.as_py()) > 0 for x in table.column("docs")])
     out = [(*[table.column(c)[i].as_py() for c in ("strip", "docs", "rows", "counts", "keys")],
-            bytes(len(table.column("keys")[i].as_py()) // 6)) for i in np.flatnonzero(settled).tolist()]
+            bytes(len(table.column("keys")[i].as_py()) // 6), b"") for i in np.flatnonzero(settled).tolist()]
     table = table.filter(pa.array(~settled))
     if not table.num_rows:
         return pa.Table.from_batches([_batch(out, _KNOWN_SCHEMA)])
     keys = [_from_six(x.as_py()) for x in table.column("keys")]
-    seen = np.concatenate([_from_six(x.as_py()) for x in table.column("seen")])
+    witness = [_from_six(x.as_py()) for x in table.column("seen")]
+    seen = np.concatenate(witness)
     weight = np.concatenate([np.frombuffer(x.as_py(), dtype="<u4") for x in table.column("n_seen")])
     every = np.concatenate([seen, *keys])
     total = np.empty(0, dtype=np.int64)
     if len(every):
         distinct, where = np.unique(every, return_inverse=True)
         weights = np.concatenate([weight, np.ones(len(every) - len(seen))])
-        total = np.bincount(where, weights=weights)[where][len(seen):].astype(np.int64)
-    at = 0
-    for i, own in enumerate(keys):
+        total = np.bincount(where, weights=weights)[where].astype(np.int64)
+    at, before = len(seen), 0
+    for i, (own, settled) in enumerate(zip(keys, witness)):
         n = total[at:at + len(own)]
         at += len(own)
         keep = n > 1
-        if keep.any():
-            out.append((table.column("strip")[i].as_py(), b"", *_packed(_rows_of(table, i)[keep], own[keep]),
-                        (n > MANY)[keep].tobytes()))
+        hot = settled[total[before:before + len(settled)] > MANY]
+        before += len(settled)
+        if keep.any() or len(hot):
+            row = _rows_of(table, i)[keep]
+            out.append((table.column("strip")[i].as_py(), b"", *_packed(row, own[keep]),
+                        (n > MANY)[keep][np.argsort(row, kind="stable")].tobytes(), _six(hot)))
     return pa.Table.from_batches([_batch(out, _KNOWN_SCHEMA)])
 
 
@@ -211,6 +217,8 @@ def _gather(table: pa.Table) -> pa.Table:
     row = np.concatenate([_rows_of(table, i) for i in range(table.num_rows)])
     keys = np.concatenate([_from_six(x.as_py()) for x in table.column("keys")])
     heavy = np.concatenate([np.frombuffer(x.as_py(), dtype=bool) for x in table.column("heavy")])
+    hot = _from_six(b"".join(x.as_py() for x in table.column("hot")))
+    heavy = heavy | np.isin(keys, hot) if len(hot) else heavy
     order = np.argsort(row, kind="stable")
     row, keys, heavy = row[order], keys[order], heavy[order]
     cuts = np.searchsorted(row, np.arange(len(docs) + 1))
