@@ -269,3 +269,17 @@ def test_heavy_is_one_property_of_a_key(monkeypatch):
     _, _, of = _lost_windows(monkeypatch, strips, 3)
     keys, heavy = [{k for x in of.values() for k in run_index._from_six(x[c]).tolist()} for c in (0, 1)]
     assert keys and heavy and not keys & heavy
+
+
+def test_hot_keys_are_dealt_by_window(monkeypatch):
+    # a line in several documents of every strip, and one that a single document repeats in many contexts
+    line, strips = _common_strips()
+    rng = random.Random(5)
+    often = b"".join(line[:60] + bytes(rng.randrange(97, 123) for _ in range(60)) for _ in range(40))
+    for strips in ([s * 1 for s in strips if len(s) > 1], [[(1, often)], [(2, often[60:])]]):
+        _, snippets, of = _lost_windows(monkeypatch, strips, 4)
+        texts = {}
+        for k, start, text in zip(*[snippets.column(c).to_pylist() for c in ("key", "start", "snippet")]):
+            if start >= 0 and line[:60][:50] in text:
+                texts.setdefault(k, set()).add(text)
+        assert texts and all(x == {line[:50]} for x in texts.values())

@@ -17,8 +17,11 @@ smaller id. The work is split by content, so that no document meets all others:
    string, and every other document loses it.
 4. The losses of a document are united and cut out of its bytes.
 
-A key with more than MANY occurrences goes window by window (each string its own key), so that no
-group holds a growing share of the table.
+A key with more than MANY occurrences goes window by window (each string its own key), so that its
+text is dealt by content before the shuffle. Occurrences are counted over all strips, settled keys
+included: every document that has the key in a strip, or each place if it has more than OFTEN there.
+Equal windows of a bucket are one, so the largest group of a window grows with the buckets (one row
+for BUCKET bytes of texts), besides the places in the smallest document of each.
 
 Defined results: null text is empty and keeps nothing to remove. A null id counts as the largest,
 and documents of one id remove nothing from each other; repeated rows are returned each."""
@@ -40,6 +43,7 @@ from voxtrail.llm.common import release, stored
 
 SPAN, KMER = 50, 16
 MANY = 16_384
+OFTEN = 16           # places of a key in a document from which all are counted
 PIECE = 1 << 22      # bytes of a long document taken at once
 STRIP = 1 << 23      # bytes hashed at once; a strip has less than 2**24
 INDEX = 1 << 20      # bytes of snippets that make an index; it has less than 2**21
@@ -138,14 +142,17 @@ def _send(ranges: int):
                 key, start, _ = anchors(data, ends)
                 own = np.unique(rows)
                 row = np.searchsorted(own, rows)[np.searchsorted(ends, start, side="right")]
-                both = np.unique(key.astype(np.uint64) << np.uint64(16) | row.astype(np.uint64))
+                both, places = np.unique(key.astype(np.uint64) << np.uint64(16) | row.astype(np.uint64), return_counts=True)
                 key, row = (both >> np.uint64(16)).astype(np.int64), (both & np.uint64(0xFFFF)).astype(np.int64)
                 new = np.ones(len(key), dtype=bool)
                 new[1:] = key[1:] != key[:-1]
                 at = np.flatnonzero(new)
                 n = np.diff(np.append(at, len(key)))
                 many = np.repeat(n > 1, n)  # in two documents of this strip: settled
-                seen, n_seen = key[at][n > 1], n[n > 1]
+                places = np.add.reduceat(np.where(places > OFTEN, places, 1), at) if len(at) else n
+                # a key of one document only is a witness too if it is frequent there, for all places but one
+                witnesses = (n > 1) | (places > 1)
+                seen, n_seen = key[at][witnesses], (places - (n == 1))[witnesses]
                 by_seen, by_open = _split(seen % ranges, ranges), _split(key[~many] % ranges, ranges)
                 out = [(strip % ranges, strip, docs[own].tobytes(), *_packed(row[many], key[many]), b"", b"")]
                 for r in range(ranges):
@@ -308,7 +315,7 @@ def _around(doc: np.ndarray, th: np.ndarray, texts: list[bytes], keys: list[tupl
             a, c, r = int(start[i]), int(count[i]), int(row[i])
             place = int(offsets[piece[i]] + a - begin[i])
             if heavy[i]:
-                found += [(_own_key(w), w, r, place + o) for o in range(c) for w in (raw[a + o:a + o + SPAN],)]
+                found += [(-1, raw[a + o:a + o + SPAN], r, place + o) for o in range(c)]
             else:
                 found.append((int(key[i]), raw[a:a + c + SPAN - 1], r, place))
         best: dict[bytes, int] = {}
@@ -319,9 +326,12 @@ def _around(doc: np.ndarray, th: np.ndarray, texts: list[bytes], keys: list[tupl
         out, lost = [], {}
         for k, text, r, place in found:
             if best[text] < doc_of[r]:
-                lost.setdefault(r, []).append((place, len(text) - SPAN + 1))
+                gone, n = lost.setdefault(r, []), len(text) - SPAN + 1
+                if gone and sum(gone[-1]) == place:
+                    place, n = gone[-1][0], gone.pop()[1] + n
+                gone.append((place, n))
             else:
-                out.append((k, text, doc_of[r], th_of[r], place))
+                out.append((_own_key(text) if k < 0 else k, text, doc_of[r], th_of[r], place))
         out += [(hash((doc_of[r], x[0][0])) >> 1, np.array(x, dtype="<i8").tobytes(), doc_of[r], th_of[r], -1) for r, x in lost.items()]
         yield _batch(out, _SNIP)
 
