@@ -91,6 +91,26 @@ def test_surrogates_stay_distinct_where_they_clash(spark):
     assert not {r.surrogate for r in got} & {r.value for r in got}
 
 
+def test_surrogates_of_any_characters_end(spark):
+    rows = [(1, "password: ******** token: ......"), (2, "password: 密码安全测试一 and"), (3, "password: 另一个秘密词语 and"),
+            (4, "secret=żółćęśą secret=ěščřžýů secret=รหัสผ่าน"), (5, "mail 李明@post.test or 王芳@post.test"), (6, "secret=ԱԲԳԴԵԶ secret=ԲԲԳԴԵԶ"),
+            (7, " ".join(f"password: {c}*****" for c in "abcdefghijklmnopqrstuvwxyz")), (8, "password: ªªªªªª")]
+    got = {r.doc_id: r for r in pii.replace(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert (got[1].text, got[1]["__entities"]) == (rows[0][1], 0)
+    for i in (2, 3):
+        new = got[i].text.split()[1]
+        assert new not in rows[i - 1][1] and len(new) == 7 and all("一" <= c <= "龥" for c in new)
+    assert got[2].text != got[3].text
+    for word, new in zip(rows[3][1].split(), got[4].text.split()):
+        assert word != new and "x" not in new and len(word) == len(new)
+    a, b = [x for x in got[5].text.split() if "@" in x]
+    assert a.split("@")[0] != b.split("@")[0] and all("一" <= c <= "龥" for c in (a + b).replace("@", "")[:2])
+    assert all("Ա" <= c <= "Ֆ" for x in got[6].text.split() for c in x.split("=")[1])
+    letters = got[7].text.split()[1::2]
+    assert len(set(letters)) == 26 and not set(letters) & set(rows[6][1].split())
+    assert "ª" not in got[8].text
+
+
 def test_language(docs, none):
     # ids 4, 5 and 6 are held out: one English text gets an id that is not
     model = language_id.learn(docs.withColumn("doc_id", F.when(F.col("doc_id") == 6, 13).otherwise(F.col("doc_id"))))

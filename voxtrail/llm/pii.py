@@ -4,7 +4,8 @@ Entities are found by one pattern over the whole text: e-mail addresses, phone n
 addresses, card numbers, social security and bank account numbers, names behind a title, and
 credentials. A surrogate is a function of a secret key, the type and the value, so the same entity
 has the same surrogate in every document (coreference). Characters keep their class: a digit stays
-a digit, a letter keeps case and script, punctuation stays. Card numbers (only those whose check
+a digit, a letter keeps case and script (its row of a Unicode block, if the script has no alphabet
+here), punctuation stays; a value without a letter or digit is no entity. Card numbers (only those whose check
 digit is right are taken for one) keep their first digit and length, and their check digit is right
 again; IP addresses stay addresses; names keep their title,
 and given names the title's gender; e-mail domains map alike wherever they occur and end in
@@ -12,7 +13,8 @@ and given names the title's gender; e-mail domains map alike wherever they occur
 
 Distinctness is checked over all documents: two entities of a type with one surrogate, or a surrogate
 that is itself an entity of the table, make all but the smallest value draw again, round by
-round. ROUNDS bounds the rounds and fails loudly; each one leaves a small share of the last.
+round. Each round leaves a small share of the last; where a format has too few values, later attempts
+add a digit more each (names a syllable), so the draw widens tenfold a round and ends for any table.
 
 Only distinct entities are shuffled for that. Documents without an entity never enter a shuffle;
 the others are read from a written table, as their row numbers must not change between two uses.
@@ -22,11 +24,13 @@ without entities is returned as it is."""
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voxtrail.llm.common import stored
 
-ROUNDS = 40
+WIDE, WIDE_NUMBER = 3, 12  # attempts in the value's own format: free texts; numbers
 KEY = "replace this key in production"
 
 _TITLE = {"m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "господин"),
@@ -64,6 +68,18 @@ CLASSES = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWX
            "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"]
 
 
+def _letters(first: int, last: int, kind: str) -> str:
+    return "".join(chr(i) for i in range(first, last + 1) if unicodedata.category(chr(i)) == kind)
+
+
+# Latin with further marks, then Hebrew, Arabic, Devanagari, Thai, Hiragana, Katakana.
+CLASSES += [_letters(0x100, 0x17F, "Ll") + "ßÿ", _letters(0x100, 0x17F, "Lu")]
+CLASSES += [_letters(a, b, "Lo") for a, b in ((0x5D0, 0x5EA), (0x620, 0x64A), (0x904, 0x939), (0xE01, 0xE30), (0x3041, 0x3096), (0x30A1, 0x30FA))]
+RANGES = [(0x4E00, 0x9FA5), (0xAC00, 0xD7A3)]  # Han, Hangul: every place is a letter
+ROW = 16  # Unicode blocks are whole rows of 16
+KINDS = [r"\p{Lu}", r"\p{Ll}", r"\p{L}", r"\p{Nd}", r"\p{N}"]
+
+
 def entity_type(value: Column) -> Column:
     """The first type whose pattern fits the whole value."""
     out = F.lit("credential")
@@ -80,14 +96,43 @@ def _pick(stream: Column, i, n: int) -> Column:
     return F.pmod(F.xxhash64(stream, i), F.lit(n)).cast("int")
 
 
-def _chars(value: Column, stream: Column, digits: str = "0123456789", lower: str | None = None) -> Column:
-    """Every letter and digit exchanged inside its class; other characters stay."""
+def _char(code: Column) -> Column:
+    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+
+
+def _kind(c: Column) -> Column:
+    out = F.lit(len(KINDS))
+    for i in reversed(range(len(KINDS))):
+        out = F.when(F.regexp(c, F.lit(f"^{KINDS[i]}$")), F.lit(i)).otherwise(out)
+    return out
+
+
+def _other(c: Column, draw: Column) -> Column:
+    """A letter or digit outside CLASSES: another of its kind from its range, or from its row of 16; else x."""
+    code = F.ascii(c).cast("bigint")
+    row = F.filter(F.transform(F.sequence(F.lit(0), F.lit(ROW - 1)), lambda i: _char(code - code % ROW + i)),
+                   lambda x: _kind(x) == _kind(c))
+    out = F.when(F.size(row) > 1, F.get(row, F.pmod(draw, F.size(row)).cast("int"))).otherwise("x")
+    for a, b in RANGES:
+        out = F.when(code.between(a, b), _char(F.lit(a) + F.pmod(draw, F.lit(b - a + 1)))).otherwise(out)
+    return out
+
+
+def _wider(attempt: Column, stream: Column, own: int) -> Column:
+    """Digits that are added after ``own`` attempts, one more each time."""
+    return F.when(attempt > own, F.array_join(F.transform(
+        F.sequence(F.lit(1), attempt - own), lambda j: _pick(stream, j + 1_000_000, 10).cast("string")), "")).otherwise(F.lit(""))
+
+
+def _chars(value: Column, stream: Column, hexa: Column | None = None) -> Column:
+    """Every letter and digit exchanged inside its class; other characters stay. ``hexa``: lower letters up to f."""
     def one(c: Column, i: Column) -> Column:
-        out = F.when(F.regexp(c, F.lit(r"[\p{L}\p{N}]")), F.lit("x")).otherwise(c)
+        out = F.when(F.regexp(c, F.lit(r"[\p{L}\p{N}]")), _other(c, F.xxhash64(stream, i))).otherwise(c)
+        n = F.xxhash64(stream, i)
         for group in CLASSES:
-            use = digits if group[0] == "0" else lower if lower and group[0] == "a" else group
+            size = F.when(hexa, F.lit(6)).otherwise(F.lit(26)) if hexa is not None and group[0] == "a" else F.lit(len(group))
             out = F.when(F.instr(F.lit(group), c) > 0,
-                         F.lit(use).substr(_pick(stream, i, len(use)) + 1, F.lit(1))).otherwise(out)
+                         F.lit(group).substr(F.pmod(n, size).cast("int") + 1, F.lit(1))).otherwise(out)
         return out
 
     return F.array_join(F.transform(F.split(value, ""), one), "")
@@ -104,15 +149,14 @@ def _digit_sum(value: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda a, x: a + x)
 
 
-def _card(value: Column, stream: Column) -> Column:
-    body = F.concat(value.substr(F.lit(1), F.lit(1)), _chars(value.substr(F.lit(2), F.length(value) - 2), stream))
+def _checked(body: Column) -> Column:
     check = (F.lit(10) - _digit_sum(F.concat(body, F.lit("0"))) % 10) % 10
     return F.concat(body, check.cast("string"))
 
 
 def is_entity(value: Column) -> Column:
-    """False for a long number that has no card's check digit."""
-    return ~F.regexp(value, F.lit(f"^(?:{PATTERNS['card']})$")) | (_digit_sum(value) % 10 == 0)
+    """False for a long number that has no card's check digit, and for a value without letter or digit."""
+    return (~F.regexp(value, F.lit(f"^(?:{PATTERNS['card']})$")) | (_digit_sum(value) % 10 == 0)) & F.regexp(value, F.lit(r"[\p{L}\p{N}]"))
 
 
 def _list(words: list[str], i: Column) -> Column:
@@ -133,7 +177,8 @@ def _name(value: Column, key: str, attempt: Column) -> Column:
         def surname(kind):
             syl = SYLLABLES[kind]
             return F.initcap(F.concat(*[_list(syl, _pick(s, F.lit(j), len(syl))) for j in range(3)],
-                                      F.when(attempt > 3, _list(syl, _pick(s, F.lit(3), len(syl)))).otherwise(F.lit(""))))
+                                      F.when(attempt > 3, F.array_join(F.transform(
+                                          F.sequence(F.lit(3), attempt - 1), lambda j: _list(syl, _pick(s, j, len(syl)))), "")).otherwise(F.lit(""))))
 
         def given(kind):
             men, women = GIVEN[kind, "m"].split(), GIVEN[kind, "f"].split()
@@ -150,22 +195,24 @@ def _name(value: Column, key: str, attempt: Column) -> Column:
 def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     """The replacement drawn for a value of a type in a given attempt."""
     s = _stream(key, kind, value, attempt.cast("string"))
+    more, digits = _wider(attempt, s, WIDE), _wider(attempt, s, WIDE_NUMBER)
     domain = F.regexp_extract(value, "@(.*)$", 1)
     top = F.regexp_extract(domain, r"[^.]*$", 0)
     head = F.regexp_replace(domain, r"\.[^.]*$", "")
     head = F.regexp_replace(head, r"\.[^.]*$", "")
-    email = F.concat(_chars(F.regexp_extract(value, "^[^@]*", 0), s), F.lit("@"),
-                     _chars(head, _stream(key, F.lit("domain"), domain)), F.lit(".example."), top)
     ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_pick(s, i, 254) + 1).cast("string")), ".")
-    country = F.regexp_extract(value, r"^(\+\d{1,3}[ .-])?", 0)
-    phone = F.concat(country, _chars(value.substr(F.length(country) + 1, F.length(value)), s))
-    iban = F.concat(value.substr(F.lit(1), F.lit(2)), _chars(value.substr(F.lit(3), F.length(value)), s))
-    hexa = F.regexp(value, F.lit("^[0-9a-f]+$"))
-    credential = F.when(hexa, _chars(value, s, "0123456789", "abcdef")).when(
-        value.startswith("AKIA"), F.concat(F.lit("AKIA"), _chars(value.substr(F.lit(5), F.length(value)), s))).otherwise(_chars(value, s))
-    return (F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", _card(value, s))
-            .when(kind == "phone", phone).when(kind == "ssn", _chars(value, s)).when(kind == "iban", iban)
-            .when(kind == "name", _name(value, key, attempt)).otherwise(credential))
+    ip = F.concat(ip, F.when(digits != "", F.concat(F.lit(":"), digits)).otherwise(F.lit("")))  # an address with a port
+    # what stays in front, and what is exchanged character by character
+    front = (F.when(kind == "card", value.substr(F.lit(1), F.lit(1))).when(kind == "iban", value.substr(F.lit(1), F.lit(2)))
+             .when(kind == "phone", F.regexp_extract(value, r"^(\+\d{1,3}[ .-])?", 0))
+             .when((kind == "credential") & value.startswith("AKIA"), "AKIA").otherwise(""))
+    rest = F.when(kind == "email", F.regexp_extract(value, "^[^@]*", 0)).otherwise(
+        value.substr(F.length(front) + 1, F.length(value) - F.length(front) - F.when(kind == "card", 1).otherwise(0)))
+    new = F.concat(front, _chars(rest, s, (kind == "credential") & F.regexp(value, F.lit("^[0-9a-f]+$"))),
+                   F.when(kind.isin("email", "credential"), more).otherwise(digits))
+    email = F.concat(new, F.lit("@"), _chars(head, _stream(key, F.lit("domain"), domain)), F.lit(".example."), top)
+    return (F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", _checked(new))
+            .when(kind == "name", _name(value, key, attempt)).otherwise(new))
 
 
 def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
@@ -175,7 +222,7 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
     cur = stored(entities.withColumn("attempt", F.lit(0)).withColumn(
         "surrogate", surrogate(F.col("type"), F.col("value"), F.lit(0), key)), "surrogates")
     known = cur.select(F.col("value").alias("known")).distinct()
-    for _ in range(ROUNDS):
+    while True:
         first = cur.groupBy("type", "surrogate").agg(
             F.min(F.struct(-F.col("attempt"), F.col("value"))).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(
             "type", "surrogate", F.col("f.value").alias("first"))
@@ -189,7 +236,6 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
         cur = stored(marked.filter(~F.col("again")).drop("again").unionByName(
             marked.filter("again").select("type", "value", n.alias("attempt"),
                                           surrogate(F.col("type"), F.col("value"), n, key).alias("surrogate"))), "surrogates")
-    raise RuntimeError("surrogates still clash; a type has too few of them")
 
 
 def replace(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
