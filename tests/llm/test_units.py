@@ -283,3 +283,12 @@ def test_hot_keys_are_dealt_by_window(monkeypatch):
             if start >= 0 and line[:60][:50] in text:
                 texts.setdefault(k, set()).add(text)
         assert texts and all(x == {line[:50]} for x in texts.values())
+
+
+def test_repeated_ids_take_one_place():
+    import pandas as pd
+    angle = {1: 0.1, 2: 0.2, 3: 0.3, 4: 0.4, 9: 0.0}
+    rows = [(9, 0.0)] + [(1, 0.1)] * 7 + [(1, 0.15)] + [(i, angle[i]) for i in (4, 3, 2)]
+    members = pd.DataFrame({"id": [i for i, _ in rows], "v": [[np.cos(a), np.sin(a)] for _, a in rows]})
+    got = ann._best(3)(None, members[:1], members).sort_values("score", ascending=False)
+    assert got.vec_id.tolist() == [1, 2, 3] and np.allclose(got.score, np.cos([0.1, 0.2, 0.3]))
