@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import time
 
 import numpy as np
 import pytest
@@ -56,6 +57,16 @@ def test_mixed_documents_hold_the_words_taken(docs):
     assert EN in whole
 
 
+def test_a_million_words_are_mixed_in_linear_time(spark):
+    long = " ".join(f"w{i}" for i in range(1_000_000))
+    docs = spark.createDataFrame([(1, long, "a"), (2, EN, "b")], "doc_id bigint, text string, source string")
+    m = mixing.plan(docs, block=64)
+    took = mixing.taken(m).groupBy().agg(F.sum("taken")).first()[0]
+    began = time.monotonic()
+    out = mixing.mixed_documents(docs, m).select(F.sum(F.regexp_count("text", F.lit(mixing.WORD)))).first()[0]
+    assert out == took > 1_000_000 and time.monotonic() - began < 120
+
+
 def test_packing(docs, none):
     got = packing.pack(docs).collect()
     assert {r.doc_id for r in got} == {r[0] for r in ROWS}

@@ -17,7 +17,8 @@ hot source are running sums inside hash buckets plus the buckets' offsets. Every
 agree.
 
 Defined results: null text has size 0 and is never taken; null sources form one source, the last.
-Repeated rows are laid out each. No documents, or no words: nothing is taken."""
+Repeated rows are laid out each. No documents, or no words: nothing is taken. A very long text is many
+blocks and is mixed in parts."""
 
 from __future__ import annotations
 
@@ -28,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from voxtrail.functions import arrays as A
 from voxtrail.llm.common import stored
 
 BLOCK = 32
@@ -196,7 +198,8 @@ def mixed_documents(docs: DataFrame, m: Mix) -> DataFrame:
     """The mix as documents: the columns of ``docs``, one row per document and round it is taken in.
 
     ``text`` holds the words taken, in order, each with the blanks behind it; a document taken
-    whole keeps its text as it is. Rows of equal id, source and size stand for each other."""
+    whole keeps its text as it is. Rows of equal id, source and size stand for each other. A very long
+    text is cut into words once a row, so its cost grows with its length."""
     cols = docs.columns
     parts = (m.slots.join(m.pieces, ["k", "block"])
              .groupBy("k", "bucket", "row", "doc_id", "source", "size", "epoch")
@@ -211,8 +214,9 @@ def mixed_documents(docs: DataFrame, m: Mix) -> DataFrame:
     joined = sized.join(parts, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source"))
                         & (F.col("__n") == F.col("__size")) & (F.col("__at") == F.col("__nth")))
     words = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    some = F.array_join(F.flatten(F.transform(
-        "__parts", lambda p: F.slice(words, (p["begin"] + 1).cast("int"), p["words"].cast("int")))), "")
+    # the words are bound once: named inside the lambda they would be extracted again for each part
+    some = A.let(F.struct(words.alias("words"), F.col("__parts").alias("parts")), lambda t: F.array_join(F.flatten(F.transform(
+        t["parts"], lambda p: F.slice(t["words"], (p["begin"] + 1).cast("int"), p["words"].cast("int")))), ""))
     text = F.when(F.col("__words") == F.col("__n"), F.col("text")).otherwise(some)
     out = joined.withColumn("text", text)
     if "n_chars" in cols:
