@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voxtrail.llm import ann, chat_rotation, embedding_dedup, language_id, mixing, packing, pii, run_index, simhash, url_filter
+from voxtrail.llm import ann, chat_rotation, embedding_dedup, language_id, mixing, packing, pii, pivot_clusters, run_index, simhash, url_filter
 from voxtrail.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,34 @@ deg AS (SELECT a, count(*) AS k FROM e GROUP BY a)
 SELECT vec_id, CAST(coalesce(k, 0) AS BIGINT) AS n_links, coalesce(r, vec_id) AS component_id,
   vec_id = coalesce(r, vec_id) AS kept FROM embeddings LEFT JOIN deg ON a = vec_id LEFT JOIN root ON n = vec_id
 """
+
+
+@query
+def op12_pivot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, centroids = pivot_clusters.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return pivot_clusters.report(found, centroids)
+
+
+def _cluster_sql(k: int = pivot_clusters.K, rounds: int = pivot_clusters.ROUNDS, dim: int = pivot_clusters.DIM) -> str:
+    steps = [f"""WITH p AS MATERIALIZED (SELECT row_number() OVER () AS rn, vec_id,
+  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {dim} AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+c0 AS MATERIALIZED (SELECT row_number() OVER w - 1 AS c, v FROM p
+  WINDOW w AS (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR))) QUALIFY row_number() OVER w <= {k})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""d{r} AS (SELECT rn, c, list_sum(list_transform(list_zip(p.v, q.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+  FROM p CROSS JOIN c{r} AS q),
+a{r} AS MATERIALIZED (SELECT rn, c, CAST(d AS BIGINT) AS d FROM d{r} QUALIFY row_number() OVER (PARTITION BY rn ORDER BY d, c) = 1)""")
+        if r < rounds:
+            steps.append(f"""e{r} AS (SELECT c, unnest(range({dim})) AS i, unnest(v) AS x FROM a{r} JOIN p USING (rn)),
+s{r} AS (SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM e{r} GROUP BY c, i),
+m{r} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM s{r} GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT c, coalesce(m{r}.v, c{r}.v) AS v FROM c{r} LEFT JOIN m{r} USING (c))""")
+    last = f"""
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(q.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN p USING (rn) JOIN c{rounds} AS q USING (c)"""
+    return ",\n".join(steps) + last
+
+
+CHECKS["op12_pivot_clusters"] = _cluster_sql()
