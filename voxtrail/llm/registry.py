@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voxtrail.llm import ann, chat_rotation, embedding_dedup, language_id, mixing, packing, pii, pivot_clusters, run_index, simhash, url_filter
+from voxtrail.llm import ann, chat_rotation, embedding_dedup, language_id, lexical_search, mixing, packing, pii, pivot_clusters, run_index, simhash, url_filter
 from voxtrail.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,29 @@ FROM a{rounds} JOIN p USING (rn) JOIN c{rounds} AS q USING (c)"""
 
 
 CHECKS["op12_pivot_clusters"] = _cluster_sql()
+
+
+@query
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                 table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+CHECKS["op13_lexical_search"] = r"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents WHERE text IS NOT NULL),
+kept AS (SELECT * FROM d WHERE len(words) > 0),
+totals AS (SELECT count(*) AS nn, CAST(sum(len(words)) AS BIGINT) AS ll FROM kept),
+q AS (SELECT DISTINCT item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM benchmark),
+asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(text,
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM q) GROUP BY ALL),
+post AS (SELECT rn, doc_id, n, term, count(*) AS tf FROM (SELECT rn, doc_id, len(words) AS n, unnest(words) AS term FROM kept)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+w AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * nn + 2) / (2 * df + 1))) AS BIGINT) AS w FROM dfs, totals),
+score AS (SELECT item_id, rn, doc_id, CAST(sum(times * w.w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nn) // ll)))) AS BIGINT) AS score
+  FROM post JOIN asked USING (term) JOIN w USING (term), totals GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (
+  PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM score WHERE score > 0) WHERE rank <= 10
+"""
