@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voxtrail.llm import ann, chat_rotation, embedding_dedup, language_id, lexical_search, mixing, packing, pii, pivot_clusters, run_index, simhash, url_filter
+from voxtrail.llm import ann, chat_rotation, embedding_dedup, language_id, lexical_search, mixing, packing, pii, pivot_clusters, run_index, simhash, url_filter, word_index
 from voxtrail.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,3 +181,22 @@ score AS (SELECT item_id, rn, doc_id, CAST(sum(times * w.w * ((1000000000 * tf)
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (
   PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM score WHERE score > 0) WHERE rank <= 10
 """
+
+
+@query
+def op11_word_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = word_index.cut(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+CHECKS["op11_word_index"] = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rn, doc_id,
+    coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), CAST([] AS VARCHAR[])) AS ws FROM documents),
+win AS (SELECT rn, i, md5(array_to_string(ws[i:i + 34], ' ')) AS s FROM (SELECT rn, ws, unnest(range(1, len(ws) - 33)) AS i FROM d)),
+often AS (SELECT s FROM win GROUP BY s HAVING count(*) > 1),
+gone AS (SELECT DISTINCT rn, unnest(range(i, i + 35)) AS j FROM win SEMI JOIN often USING (s)),
+words AS (SELECT rn, unnest(range(1, len(ws) + 1)) AS j, unnest(ws) AS w FROM d),
+kept AS (SELECT rn, count(*) AS n, string_agg(w, ' ' ORDER BY j) AS t FROM words ANTI JOIN gone USING (rn, j) GROUP BY rn)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rn)
+"""
