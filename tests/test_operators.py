@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxtrail.functions import arrays as A, stats, text
-from voxtrail.functions.hashing import hash32, poly_hash, poly_seed
+from voxtrail.functions.hashing import PRIME, hash32, poly_hash, poly_seed
 from voxtrail.operators import (averaged as AV, compare as C, decode as D, folds as K, groupstats as G, linmodel as L, patterns as P,
                                 permute as N, ranks as R, report as O, similarity as M, spatial as S, timeseries as T,
                                 validate as V)
@@ -563,17 +563,107 @@ def test_small_svm_is_a_minimum():
                 assert loss(w + scale * rng.normal(size=5), b + scale * rng.normal()) >= loss(w, b) - 1e-6
 
 
-def test_averaged_draws_in_blocks(spark):
-    rng = np.random.default_rng(2)
-    slots = spark.createDataFrame([("k", i, [int(s) for s in rng.integers(-1, 8, 5)]) for i in range(60)],
-                                  "key string, trial int, slots array<int>")
-    patterns = spark.createDataFrame([(i, "r", rng.normal(size=6).tolist()) for i in range(60)], "trial int, roi string, features array<double>")
+def naive_hash(seed, trial):
+    d = hashlib.md5(seed.encode()).hexdigest()
+    c = [int(d[8 * i:8 * i + 8], 16) % PRIME for i in range(4)]
+    return sum(k * trial ** i for i, k in enumerate(c)) % PRIME
+
+
+def naive_chunks(trials, k):
+    size, extra, out, at = len(trials) // k, len(trials) % k, {}, 0
+    for i in range(k):
+        for t in trials[at:at + size + (i < extra)]:
+            out[t] = i
+        at += size + (i < extra)
+    return out
+
+
+def naive_shuffle(y, seed):
+    order = sorted(y, key=lambda t: (naive_hash(seed, t), t))
+    return dict(zip(order, sorted(y.values())))
 
-    def scores(block, scorer):
-        sums = AV.group_sums(slots, patterns, ["key"], "trial", 8, 3, block)
-        return sorted(map(tuple, AV.score_draws(sums, ["key"], 3, 1, False, scorer).collect()))
+
+def naive_score(x, groups, train, test, own_scale):
+    """One draw: ``groups`` maps a trial to its group."""
+    at = lambda g: [x[t] for t in sorted(groups) if groups[t] == g]
+    side = [np.array([x[t] for t in groups if (groups[t] < 2 * train) == first]) for first in (True, False)]
+    by = [side[0], side[1] if own_scale else side[0]]
+    scale = [(b.mean(axis=0), b.std(axis=0)) for b in by]
+    means = {g: (np.mean(at(g), axis=0) - scale[g >= 2 * train][0]) / scale[g >= 2 * train][1] for g in set(groups.values())}
+    x0, x1 = ([means[g] for g in range(c * train, (c + 1) * train) if g in means] for c in (0, 1))
+    every = np.array(x0 + x1)
+    m, v = every.mean(axis=0), every.var(axis=0, ddof=1)
+    z0, z1 = (np.array(x0) - m) / np.sqrt(v), (np.array(x1) - m) / np.sqrt(v)
+    pooled = (z0.var(axis=0) * len(x0) + z1.var(axis=0) * len(x1)) / (len(x0) + len(x1) - 2)
+    a, b, den = z0.mean(axis=0), z1.mean(axis=0), 0.9 * pooled + 0.1
+    hits = [(((b - a) * ((z - m) / np.sqrt(v) - (a + b) / 2) / den).sum() > 0) == ((g - 2 * train) // test == 1) for g, z in means.items() if g >= 2 * train]
+    return sum(hits), len(hits)
+
+
+def test_averaged_draws_equal_loops(spark):
+    rng = np.random.default_rng(2)
+    x = {t: rng.normal(size=5) for t in range(100, 148)}
+    y = {t: int(rng.random() < 0.4) for t in x}
+    pats = spark.createDataFrame([("s", "r", t, v.tolist()) for t, v in x.items()], "subject string, roi string, vec_id int, features array<double>").repartition(3)
+    within = spark.createDataFrame([("s", "c", "within", t, y[t], True, True) for t in x],
+                                   "subject string, contrast string, kind string, vec_id int, y int, is_train boolean, is_test boolean")
+    across = within.withColumn("is_train", F.col("vec_id") % 2 == 0).withColumn("is_test", F.col("vec_id") % 2 == 1)
+
+    def got(labels, plan, **more):
+        d = AV.decode(labels, pats, ["subject"], ["contrast", "kind"], plan, per_draw=True, **more)
+        return {r.draw: (r.n_correct, r.n_scored) for r in d.collect()}
+
+    want = {}
+    for p in range(3):
+        yy = y if p == 0 else naive_shuffle(y, f"null|{p}|s|c")
+        for r in range(2):
+            fold = {}
+            for c in (0, 1):
+                order = sorted((t for t in x if yy[t] == c), key=lambda t: (naive_hash(f"fold|s|c|{p}|{r}", t), t))
+                fold |= {t: i % 4 for i, t in enumerate(order)}
+            for f in range(4):
+                groups = {t: 6 + yy[t] for t in x if fold[t] == f}
+                for c in (0, 1):
+                    groups |= {t: c * 3 + k for t, k in naive_chunks([t for t in sorted(x) if fold[t] != f and yy[t] == c], 3).items()}
+                want[(p * 2 + r) * 4 + f] = naive_score(x, groups, 3, 1, False)
+    assert got(within, AV.Within(2, 2)) == want
+    assert got(within, AV.Within(2, 2), block=400) == want  # five blocks
+
+    want = {}
+    for p in range(3):
+        for r in range(2):
+            groups = {}
+            for side, base in ((0, 0), (1, 8)):
+                own = {t: y[t] for t in x if t % 2 == side}
+                own = own if p == 0 else naive_shuffle(own, f"null|{p}|s|c")
+                for c in (0, 1):
+                    order = sorted((t for t in own if own[t] == c), key=lambda t: (naive_hash(f"chunk|{r}", t), t))
+                    groups |= {t: base + c * 4 + k for t, k in naive_chunks(order, 4).items()}
+            want[p * 2 + r] = naive_score(x, groups, 4, 4, True)
+    assert got(across, AV.Across(2, 2)) == want == got(across, AV.Across(2, 2), block=400)
+
+
+def test_averaged_permutations_add_up(spark):
+    rng = np.random.default_rng(3)
+    pats = spark.createDataFrame([(i % 2, f"r{i % 3}", i, rng.normal(size=4).tolist()) for i in range(300)],
+                                 "subject int, roi string, vec_id int, features array<double>")
+    labels = spark.createDataFrame([(i % 2, "c", "within", i, i // 2 % 2, True, True) for i in range(0, 300, 1)],
+                                   "subject int, contrast string, kind string, vec_id int, y int, is_train boolean, is_test boolean")
     for scorer in ("lda", "centroid", "svm"):
-        assert scores(1024, scorer) == scores(7, scorer) and len(scores(7, scorer)) == 5
+        args = (labels, pats, ["subject"], ["contrast", "kind"], AV.Within(3, 2), scorer)
+        one, cut = (sorted(map(tuple, AV.decode(*args, block=b).collect())) for b in (1 << 24, 200))
+        draws = AV.decode(*args, per_draw=True).groupBy("subject", "roi", "contrast", "kind", F.floor(F.col("draw") / 8).cast("int").alias("permutation")).agg(
+            *[F.sum(c).alias(c) for c in ("n_correct", "n_scored", "n_test")], F.avg("accuracy").alias("accuracy"), F.count("accuracy").alias("n_draws"))
+        close = lambda a, b: all(u == v or abs(u - v) < 1e-12 for u, v in zip(a, b))
+        assert len(one) == 6 * 4 and all(map(close, one, cut)) and all(map(close, one, sorted(map(tuple, draws.collect()))))
+    empty = AV.decode(labels.limit(0), pats, ["subject"], ["contrast", "kind"], AV.Within())
+    assert empty.count() == 0 == AV.decode(labels, pats.limit(0), ["subject"], ["contrast", "kind"], AV.Within()).count()
+
+
+def test_shuffles_keep_class_counts():
+    y = np.array([0, 1, 1, 0, 1] * 7)
+    out = AV.shuffles(range(50), "s|c", np.arange(35), y)
+    assert (out.sum(axis=1) == y.sum()).all() and (out[0] == y).all() and len(np.unique(out, axis=0)) == 50
 
 
 def test_nan_is_read_as_null(spark, tmp_path):

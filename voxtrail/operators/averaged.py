@@ -1,142 +1,200 @@
-"""Decoding of averaged pseudo-trials for many draws at once, as products with an indicator.
+"""Decoding of averaged pseudo-trials under many draws, drawn where the patterns lie.
 
-A draw is one (permutation, repeat, fold). In each draw a trial belongs to one group: a training
-chunk of a class, a test chunk of a class, or none. All draws of a trial are one small array of
-group numbers next to its pattern, so patterns are joined once, never per draw: the sums of all
-groups of all draws are the product of the indicator with the pattern matrix. Blocks of trials give
-partial products, and those of a draw are added up; what is left per draw is a handful of mean
-patterns, which are scaled, fitted and scored together.
+A draw is one (permutation, repeat) and, inside a source, one fold of it. In each draw a trial belongs
+to one group: a training chunk of a class, a test chunk of a class, or none. No row exists per trial and draw:
+a unit (subject, region) reads its patterns once, gets the short label lists of all its contrasts beside them,
+and makes permutation, fold and chunk of every trial from hashes of (permutation, repeat) and the trial, so
+that any task, and any other engine, makes the same ones. The sums of all groups of all draws are the product of
+their indicator with the pattern matrix; what is left per draw is a handful of mean patterns, which
+are scaled, fitted and scored for thousands of draws together.
+
+A unit above BLOCK bytes is cut into blocks of trials. Each makes its share of the sums, and these are added
+up per draw before scoring. The label lists (about 20 bytes a trial) are whole for each block, as
+ranks inside a class need all its trials.
 
 Groups: y * train + chunk for training, 2 * train + y * test + chunk for test, -1 for none."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import hashlib
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
-
-BLOCK_ROWS = 1024
-STEP = 1 << 22  # indicator cells of one product
-
-
-def group_number(is_test: Column, y: Column, chunk: Column, train: int, test: int) -> Column:
-    """The group of a trial in a draw; null where it has none."""
-    return F.when(is_test, 2 * train + y * test + chunk).otherwise(y * train + chunk)
-
-
-def draws_of(labels: DataFrame, keys: Sequence[str], trial: str, draw: Column, group: Column, n_draws: int) -> DataFrame:
-    """One row per key and trial: ``slots``, its group in each of ``n_draws`` draws."""
-    pairs = F.collect_list(F.struct(draw.cast("int").alias("d"), group.cast("int").alias("g")))
-    g = labels.filter(group.isNotNull()).groupBy(*keys, trial).agg(F.map_from_entries(pairs).alias("__m"))
-    slots = F.transform(F.sequence(F.lit(0), F.lit(n_draws - 1)), lambda i: F.coalesce(F.element_at("__m", i), F.lit(-1)))
-    return g.select(*keys, trial, slots.alias("slots"))
-
-
-def group_sums(slots: DataFrame, patterns: DataFrame, keys: Sequence[str], trial: str, n_groups: int, train: int,
-               block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Per key, region and draw: ``n`` and ``s`` (count and sum of each group), ``q`` (sums of
-    squares of the training and of the test trials), ``whole`` if no other block has trials of the key."""
-    unit = [*keys, "roi"]
-    d = slots.join(patterns.select(trial, "roi", "features"), trial)
-    size = d.groupBy(*unit).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("__k"))
-    d = d.join(size, unit).withColumn("__b", F.pmod(F.xxhash64(trial), F.col("__k")).cast("int"))
-    schema = d.select(*unit).schema.simpleString()[7:-1].replace(":", " ") + ", draw int, n array<bigint>, s array<double>, q array<double>, whole boolean"
-
-    def product(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf["features"].to_numpy()).astype(np.float64)
-        slot = np.stack(pdf["slots"].to_numpy())
-        out, step = [], max(1, STEP // (len(x) * n_groups))
-        for a in range(0, slot.shape[1], step):
-            part = slot[:, a:a + step]
-            is_in = (part[:, :, None] == np.arange(n_groups)).astype(np.float64)  # trials x draws x groups
-            flat = is_in.reshape(len(x), -1).T
-            n = is_in.sum(axis=0).astype(np.int64)
-            s = (flat @ x).reshape(part.shape[1], n_groups * x.shape[1])
-            role = np.stack([(part >= 0) & (part < 2 * train), part >= 2 * train], axis=2).astype(np.float64)
-            q = (role.reshape(len(x), -1).T @ (x * x)).reshape(part.shape[1], -1)
-            out += [(a + i, n[i], s[i], q[i]) for i in range(part.shape[1])]
-        res = pd.DataFrame(out, columns=["draw", "n", "s", "q"])
-        for name, v in zip(unit, key):  # the block's number stays behind
-            res[name] = v
-        res["whole"] = pdf["__k"].iloc[0] == 1
-        return res[[*unit, "draw", "n", "s", "q", "whole"]]
-
-    return d.groupBy(*unit, "__b").applyInPandas(product, schema)
-
-
-def score_draws(sums: DataFrame, keys: Sequence[str], train: int, test: int, own_scale: bool, scorer: str = "lda",
-                shrinkage: float = 0.1, c: float = 1.0) -> DataFrame:
-    """Per key, region and draw: ``n_correct``, ``n_scored`` and ``n_test`` of the test means.
-
-    Groups are averaged and scaled per voxel by the mean and SD (ddof=0) of the single training
-    trials, or with ``own_scale`` each side by its own trials. ``scorer``: lda, centroid or svm
-    (soft margin, C = ``c``). A draw with under two training means in a class scores nothing."""
+from pyspark.sql import DataFrame, functions as F
+
+from voxtrail.functions.hashing import PRIME
+from voxtrail.session import cut_lineage
+
+BLOCK = 1 << 24   # bytes of patterns
+STEP = 1 << 22    # indicator cells of one product
+TOGETHER = 64     # draws whose blocks are added up in one task
+
+
+# ---- draws -----------------------------------------------------------------------------
+
+def keyed(seeds: Sequence[str], trial: np.ndarray) -> np.ndarray:
+    """Hash of every trial under every seed, as ``poly_hash`` makes it."""
+    digests = [hashlib.md5(s.encode()).hexdigest() for s in seeds]
+    c = np.array([[int(d[8 * i:8 * i + 8], 16) % PRIME for i in range(4)] for d in digests], dtype=np.int64).reshape(-1, 4)
+    x = trial.astype(np.int64) % PRIME
+    acc = np.repeat(c[:, 3:], len(x), axis=1)
+    for i in (2, 1, 0):
+        acc = (acc * x + c[:, i:i + 1]) % PRIME
+    return acc
+
+
+def spread(rank: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
+    """Chunk of a rank when n rows are split into k runs of nearly equal length, longer ones first."""
+    size, extra = n // k, n % k
+    head = extra * (size + 1)
+    return np.where(rank < head, rank // (size + 1), extra + (rank - head) // np.maximum(size, 1))
+
+
+def _class_rank(y: np.ndarray) -> np.ndarray:
+    """Rank of each entry among those of its class before it, along the last axis."""
+    ones = np.cumsum(y, axis=-1)
+    return np.where(y == 1, ones - 1, np.arange(y.shape[-1]) - ones)
+
+
+def shuffles(permutations: Sequence[int], where: str, trial: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Labels under each permutation, class counts kept; permutation 0 is the observed order."""
+    order = np.argsort(keyed([f"null|{p}|{where}" for p in permutations], trial), axis=1, kind="stable")
+    out = np.empty(order.shape, dtype=np.int8)
+    np.put_along_axis(out, order, np.broadcast_to(np.sort(y).astype(np.int8), order.shape), axis=1)
+    out[np.asarray(permutations) == 0] = y
+    return out
+
+
+@dataclass(frozen=True)
+class Within:
+    """k folds inside a source, by hash rank inside the class; ``train`` training chunks per class in the
+    order of trials, one test mean per class; scaled by the single training trials."""
+
+    permutations: int = 0
+    repeats: int = 1
+    folds: int = 4
+    train: int = 3
+    test: int = 1
+    own_scale: bool = False
+
+    @property
+    def each(self) -> int:  # draws of a permutation
+        return self.repeats * self.folds
+
+    def slots(self, permutations: Sequence[int], where: str, trial, y, is_train, is_test) -> np.ndarray:
+        """Group of every trial (in order) in every draw of the permutations."""
+        yy = np.repeat(shuffles(permutations, where, trial, y), self.repeats, axis=0)
+        seeds = [f"fold|{where}|{p}|{r}" for p in permutations for r in range(self.repeats)]
+        order = np.argsort(keyed(seeds, trial), axis=1, kind="stable")
+        fold = np.empty(order.shape, dtype=np.int64)
+        np.put_along_axis(fold, order, _class_rank(np.take_along_axis(yy, order, axis=1)) % self.folds, axis=1)
+        out = np.empty((len(seeds), self.folds, len(trial)), dtype=np.int8)
+        for f in range(self.folds):
+            out[:, f] = 2 * self.train + yy
+            for c in (0, 1):
+                mine = (fold != f) & (yy == c)
+                chunk = spread(np.cumsum(mine, axis=1) - 1, mine.sum(axis=1, keepdims=True), self.train)
+                out[:, f][mine] = (c * self.train + chunk)[mine]
+        return out.reshape(-1, len(trial))
+
+
+@dataclass(frozen=True)
+class Across:
+    """Train on one source, test on the other: random chunks per class on both sides, the same for
+    every permutation of a repeat; each side is shuffled by itself and scaled by its own trials."""
+
+    permutations: int = 0
+    repeats: int = 1
+    train: int = 4
+    test: int = 4
+    own_scale: bool = True
+
+    @property
+    def each(self) -> int:
+        return self.repeats
+
+    def slots(self, permutations: Sequence[int], where: str, trial, y, is_train, is_test) -> np.ndarray:
+        out = np.full((len(permutations), self.repeats, len(trial)), -1, dtype=np.int8)
+        for side, base, k in ((is_train, 0, self.train), (is_test, 2 * self.train, self.test)):
+            at = np.flatnonzero(side)
+            order = np.argsort(keyed([f"chunk|{r}" for r in range(self.repeats)], trial[at]), axis=1, kind="stable")
+            ys = shuffles(permutations, where, trial[at], y[at])[:, order]  # permutations x repeats x places
+            n1 = ys.sum(axis=2, keepdims=True, dtype=np.int64)
+            group = base + ys * k + spread(_class_rank(ys.astype(np.int64)), np.where(ys == 1, n1, len(at) - n1), k)
+            mine = np.empty(group.shape, dtype=np.int8)
+            np.put_along_axis(mine, np.broadcast_to(order, group.shape), group.astype(np.int8), axis=2)
+            out[:, :, at] = mine
+        return out.reshape(-1, len(trial))
+
+
+# ---- sums and scores -------------------------------------------------------------------
+
+def group_sums(slots: np.ndarray, x: np.ndarray, train: int, test: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per draw: count and sum of each group, and the sums of squares of the training and of the test trials."""
+    groups, draws = 2 * train + 2 * test, len(slots)
+    inside = (slots[:, None, :] == np.arange(groups, dtype=np.int8)[None, :, None])
+    n = inside.sum(axis=2)
+    s = (inside.reshape(draws * groups, -1).astype(np.float64) @ x).reshape(draws, groups, -1)
+    role = np.stack([(slots >= 0) & (slots < 2 * train), slots >= 2 * train], axis=1)
+    q = (role.reshape(draws * 2, -1).astype(np.float64) @ (x * x)).reshape(draws, 2, -1)
+    return n, s, q
+
+
+def score(n: np.ndarray, s: np.ndarray, q: np.ndarray, plan: Within | Across, scorer: str = "lda", shrinkage: float = 0.1,
+          c: float = 1.0) -> np.ndarray:
+    """Per draw: hits, scored and all test means.
+
+    Groups are averaged and scaled per voxel by the mean and SD (ddof=0) of the single training trials,
+    or with ``own_scale`` each side by its own. ``scorer``: lda, centroid or svm (soft margin,
+    C = ``c``). A draw with under two training means in a class scores nothing."""
     if scorer not in ("lda", "centroid", "svm"):
         raise ValueError(scorer)
-    unit = [*keys, "roi", "draw"]
-    counts = ["n_correct", "n_scored", "n_test"]
-    schema = sums.select(*unit).schema.simpleString()[7:-1].replace(":", " ") + "".join(f", {x} bigint" for x in counts)
-
-    def one(n, s, q) -> tuple[int, int, int]:
-        return _score(np.asarray(n), np.asarray(s).reshape(len(n), -1), np.asarray(q).reshape(2, -1), train, test,
-                      own_scale, scorer, shrinkage, c)
-
-    def joined(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:  # the blocks of one draw
-        return pd.DataFrame([(*key, *one(*(np.sum(np.stack(pdf[x].to_numpy()), axis=0) for x in ("n", "s", "q"))))],
-                            columns=[*unit, *counts])
-
-    def single(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            res = [one(*r) for r in zip(b["n"], b["s"], b["q"])]
-            out = b[unit].reset_index(drop=True)
-            for i, x in enumerate(counts):
-                out[x] = [r[i] for r in res]
-            yield out
-
-    # draws whose trials lie in one block are scored where they are; only the others meet
-    return sums.filter("whole").mapInPandas(single, schema).unionByName(
-        sums.filter("NOT whole").groupBy(*unit).applyInPandas(joined, schema))
-
-
-def _score(n, s, q, train, test, own_scale, scorer, shrinkage, c) -> tuple[int, int, int]:
-    tr, te = n[:2 * train] > 0, n[2 * train:] > 0
-    y, yt = np.repeat([0, 1], train)[tr], np.repeat([0, 1], test)[te]
-    if min((y == 0).sum(), (y == 1).sum()) < 2 or not len(yt):
-        return 0, 0, len(yt)
-
-    def scaled(part, side, by):
-        size = n[by].sum()
-        mean = s[by].sum(axis=0) / size
-        sd = np.sqrt(np.maximum(0.0, q[side] / size - mean * mean))
-        return (s[part] / n[part][:, None] - mean) / np.where(sd > 0, sd, 1.0)
-
-    at, away = np.flatnonzero(tr), 2 * train + np.flatnonzero(te)
-    x = scaled(at, 0, slice(0, 2 * train))
-    z = scaled(away, 1, slice(2 * train, None)) if own_scale else scaled(away, 0, slice(0, 2 * train))
-    model = small_svm(x, 2.0 * y - 1, c) if scorer == "svm" else _linear(x[y == 0], x[y == 1], scorer, shrinkage)
-    if model is None:
-        return 0, 0, len(yt)
-    return int((((z @ model[0] + model[1]) > 0).astype(int) == yt).sum()), len(yt), len(yt)
-
-
-def _linear(x0: np.ndarray, x1: np.ndarray, scorer: str, shrinkage: float) -> tuple[np.ndarray, float] | None:
-    """The separable scorer of single trials, on a few rows; None without a voxel that varies."""
-    n0, n1 = len(x0), len(x1)
-    every = np.concatenate([x0, x1])
-    m, v = every.mean(axis=0), every.var(axis=0, ddof=1)
-    use = v > 1e-14
-    v = np.where(use, v, 1.0)
-    pooled = (x0.var(axis=0) * n0 + x1.var(axis=0) * n1) / (n0 + n1 - 2) / v
-    den = (1 - shrinkage) * pooled + shrinkage if scorer == "lda" else np.ones_like(v)
-    use &= den > 0
-    if not use.any():
-        return None
-    den = np.where(use, den, 1.0)
-    z0, z1 = (x0.mean(axis=0) - m) / np.sqrt(v), (x1.mean(axis=0) - m) / np.sqrt(v)
-    w = np.where(use, (z1 - z0) / den / np.sqrt(v), 0.0)
-    return w, float(np.where(use, -0.5 * (z1 * z1 - z0 * z0) / den - m * w, 0.0).sum())
+    t = 2 * plan.train
+    tr, te = n[:, :t] > 0, n[:, t:] > 0
+    y, yt = np.repeat([0, 1], plan.train), np.repeat([0, 1], plan.test)
+
+    def scaled(part: slice, side: int, by: slice) -> np.ndarray:
+        size = np.maximum(n[:, by].sum(axis=1), 1)[:, None]
+        mean = s[:, by].sum(axis=1) / size
+        sd = np.sqrt(np.maximum(0.0, q[:, side] / size - mean * mean))
+        return (s[:, part] / np.maximum(n[:, part], 1)[:, :, None] - mean[:, None]) / np.where(sd > 0, sd, 1.0)[:, None]
+
+    left, right = slice(0, t), slice(t, None)
+    x = scaled(left, 0, left)
+    z = scaled(right, 1, right) if plan.own_scale else scaled(right, 0, left)
+    ok = (np.minimum(tr[:, y == 0].sum(axis=1), tr[:, y == 1].sum(axis=1)) >= 2) & te.any(axis=1)
+    if scorer == "svm":
+        w, b = np.zeros((len(n), x.shape[2])), np.zeros(len(n))
+        for d in np.flatnonzero(ok).tolist():
+            w[d], b[d] = small_svm(x[d][tr[d]], 2.0 * y[tr[d]] - 1, c)
+    else:
+        w, b, some = _linear(x, tr, plan.train, scorer, shrinkage)
+        ok &= some
+    hit = ((np.einsum("dgp,dp->dg", z, w) + b[:, None] > 0) == yt) & te & ok[:, None]
+    found = te.sum(axis=1)
+    return np.stack([hit.sum(axis=1), np.where(ok, found, 0), found], axis=1)
+
+
+def _linear(x: np.ndarray, used: np.ndarray, train: int, scorer: str, shrinkage: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The separable scorer of single trials on a few rows a draw; False without a voxel that varies."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        parts = [(x[:, i * train:(i + 1) * train], used[:, i * train:(i + 1) * train, None]) for i in (0, 1)]
+        k = [u.sum(axis=1) for _, u in parts]
+        mean = [np.where(u, p, 0.0).sum(axis=1) / kk for (p, u), kk in zip(parts, k)]
+        every = k[0] + k[1]
+        m = (k[0] * mean[0] + k[1] * mean[1]) / every
+        inner = sum(np.where(u, (p - mm[:, None]) ** 2, 0.0).sum(axis=1) for (p, u), mm in zip(parts, mean))
+        v = sum(np.where(u, (p - m[:, None]) ** 2, 0.0).sum(axis=1) for p, u in parts) / (every - 1)
+        use = v > 1e-14
+        v = np.where(use, v, 1.0)
+        den = (1 - shrinkage) * inner / (every - 2) / v + shrinkage if scorer == "lda" else np.ones_like(v)
+        use &= den > 0
+        den = np.where(use, den, 1.0)
+        z0, z1 = (mean[0] - m) / np.sqrt(v), (mean[1] - m) / np.sqrt(v)
+        w = np.where(use, (z1 - z0) / den / np.sqrt(v), 0.0)
+        return w, np.where(use, -0.5 * (z1 * z1 - z0 * z0) / den - m * w, 0.0).sum(axis=1), use.any(axis=1)
 
 
 def small_svm(x: np.ndarray, y: np.ndarray, c: float, tolerance: float = 1e-6, sweeps: int = 10_000) -> tuple[np.ndarray, float]:
@@ -157,3 +215,115 @@ def small_svm(x: np.ndarray, y: np.ndarray, c: float, tolerance: float = 1e-6, s
     else:
         raise RuntimeError("a small model did not converge")
     return x.T @ (a * y), float((up.max() + low.min()) / 2)
+
+
+# ---- units -----------------------------------------------------------------------------
+
+COUNTS = ["n_correct", "n_scored", "n_test"]
+
+
+def decode(labels: DataFrame, patterns: DataFrame, shared: list[str], names: list[str], plan: Within | Across, scorer: str = "lda",
+           trial: str = "vec_id", per_draw: bool = False, block: int = BLOCK) -> DataFrame:
+    """Decoding of every cell (shared keys, names, roi) under all draws of the plan.
+
+    ``labels``: shared keys, names, trial (whole number), y (0/1), is_train, is_test. ``patterns``: shared keys, roi,
+    trial, features. The hashes of a cell's draws are seeded with the shared keys and the first name.
+
+    Returns the counts and ``accuracy`` (mean over the draws that score) per cell and permutation, or per cell and draw."""
+    unit = [*shared, "roi"]
+    cells = labels.groupBy(*shared, *names).agg(F.array_sort(F.collect_list(F.struct(
+        F.col(trial).cast("bigint").alias("t"), F.col("y").cast("tinyint").alias("y"), "is_train", "is_test"))).alias("__l")).select(
+        *shared, *names, *[F.col(f"__l.{k}").alias(k) for k in ("t", "y", "is_train", "is_test")])
+    size = cut_lineage(patterns.groupBy(*unit).agg(F.ceil(F.sum(F.size("features") * F.lit(8.0)) / block).cast("int").alias("__k")))
+    rows = patterns.join(size, unit).select(*unit, F.pmod(F.xxhash64(trial), F.col("__k")).cast("int").alias("__b"),
+                                            F.col(trial).cast("bigint").alias("t"), "features")
+    beside = size.join(cells, shared).withColumn("__b", F.explode(F.sequence(F.lit(0), F.col("__k") - 1)))
+    beside = beside.select(*[F.col(x).alias(x) for x in beside.columns])  # columns of its own: both sides stem from the patterns
+    types = dict(cells.dtypes) | {"roi": dict(patterns.dtypes)["roi"]}
+    cell = [*shared, "roi", *names]
+    schema = ", ".join(f"`{c}` {types[c]}" for c in cell) + ", number int, n_correct bigint, n_scored bigint, n_test bigint, share double, " \
+        "n_draws bigint, n array<bigint>, s array<double>, q array<double>"
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        parts = [_cell_draws(left, r, plan, scorer, per_draw, [r[c] for c in cell], "|".join(str(r[c]) for c in [*shared, names[0]]))
+                 for r in right.to_dict("records")] if len(left) else []
+        if not parts:
+            return pd.DataFrame(columns=[*cell, "number", *COUNTS, "share", "n_draws", "n", "s", "q"])
+        out = pd.concat([p for _, p in parts], ignore_index=True)
+        for i, c in enumerate(cell):
+            out[c] = np.repeat(np.array([v[i] for v, _ in parts]), [len(p) for _, p in parts])
+        return out[[*cell, "number", *COUNTS, "share", "n_draws", "n", "s", "q"]]
+
+    found = rows.groupBy(*unit, "__b").cogroup(beside.groupBy(*unit, "__b")).applyInPandas(run, schema)
+    return _united(cut_lineage(found), cell, plan, scorer, per_draw)
+
+
+def _cell_draws(left: pd.DataFrame, r: dict, plan: Within | Across, scorer: str, per_draw: bool, key: list, where: str) -> tuple[list, pd.DataFrame]:
+    """Results of a cell whose patterns are all here; sums of its draws if there are more blocks."""
+    trial = np.asarray(r["t"], dtype=np.int64)
+    y, is_train, is_test = (np.asarray(r[c]) for c in ("y", "is_train", "is_test"))
+    own = left["t"].to_numpy()
+    order = np.argsort(own)
+    at = np.minimum(np.searchsorted(own[order], trial), len(own) - 1)
+    here = own[order][at] == trial
+    x = np.stack(left["features"].to_numpy()[order[at[here]]]).astype(np.float64) if here.any() else np.empty((0, len(left["features"].iloc[0])))
+    whole = r["__k"] == 1
+    groups = 2 * plan.train + 2 * plan.test
+    step = max(1, STEP // max(1, plan.each * groups * len(trial)))
+    out = []
+    for first in range(0, plan.permutations + 1, step):
+        some = range(first, min(first + step, plan.permutations + 1))
+        slots = plan.slots(some, where, trial, y, is_train.astype(bool), is_test.astype(bool))[:, here]
+        n, s, q = group_sums(slots, x, plan.train, plan.test)
+        number = first * plan.each + np.arange(len(slots))
+        if not whole:
+            out.append(pd.DataFrame({"number": number, "n": list(n), "s": list(s.reshape(len(s), -1)), "q": list(q.reshape(len(q), -1))}))
+            continue
+        out.append(_counted(number, score(n, s, q, plan, scorer), plan, per_draw))
+    out = pd.concat(out, ignore_index=True)
+    for c in [*COUNTS, "share", "n_draws", "n", "s", "q"]:
+        if c not in out:
+            out[c] = None
+    return key, out
+
+
+def _counted(number: np.ndarray, counts: np.ndarray, plan: Within | Across, per_draw: bool) -> pd.DataFrame:
+    """Counts and summed accuracies per draw, or added up per permutation."""
+    scored = counts[:, 1] > 0
+    share = np.where(scored, counts[:, 0] / np.maximum(counts[:, 1], 1), 0.0)
+    if not per_draw:
+        number, at = np.unique(number // plan.each, return_index=True)
+        counts, share, scored = (np.add.reduceat(v, at, axis=0) for v in (counts, share, scored.astype(np.int64)))
+    out = pd.DataFrame(counts, columns=COUNTS)
+    out["number"], out["share"], out["n_draws"] = number.astype(np.int32), share, scored.astype(np.int64)
+    return out
+
+
+def _united(found: DataFrame, cell: list[str], plan: Within | Across, scorer: str, per_draw: bool) -> DataFrame:
+    """Adds the blocks of each draw, scores them, and adds the draws of each permutation."""
+    counts = [*COUNTS, "share", "n_draws"]
+    cut = found.filter("n IS NOT NULL").withColumn("__together", F.floor(F.col("number") / TOGETHER))
+    schema = ", ".join(f"`{c}` {t}" for c, t in found.select(*cell, "number", *counts).dtypes)
+
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        number, of = np.unique(pdf["number"].to_numpy(), return_inverse=True)
+        sums = []
+        for c in ("n", "s", "q"):
+            v = np.stack(pdf[c].to_numpy())
+            total = np.zeros((len(number), v.shape[1]), dtype=v.dtype)
+            np.add.at(total, of, v)
+            sums.append(total)
+        n, s, q = sums
+        out = _counted(number, score(n, s.reshape(*n.shape, -1), q.reshape(len(n), 2, -1), plan, scorer), plan, True)
+        if not per_draw:
+            out["number"] //= plan.each
+            out = out.groupby("number", as_index=False).sum()
+        for c, v in zip(cell, key):
+            out[c] = v
+        return out[[*cell, "number", *counts]]
+
+    every = found.filter("n IS NULL").select(*cell, "number", *counts).unionByName(
+        cut.groupBy(*cell, "__together").applyInPandas(add, schema))
+    total = every.groupBy(*cell, "number").agg(*[F.sum(c).alias(c) for c in counts])
+    return total.select(*cell, F.col("number").alias("draw" if per_draw else "permutation"), *COUNTS,
+                        (F.col("share") / F.nullif(F.col("n_draws"), F.lit(0))).alias("accuracy"), "n_draws")

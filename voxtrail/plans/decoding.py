@@ -128,58 +128,51 @@ def averaged_sql(model, src, scale_by="", name="av", chunks=True):
   (avg(x) - any_value(mu)) / any_value(sd) AS x FROM {src} JOIN sst_{name} USING ({m}{sb}, pos) GROUP BY {m}, is_train, is_test, y, chunk, pos)"""
 
 
-# kind of fold role: k folds, patterns z-scored per trial, 3 training chunks per class, one test mean
-D6SQL = f"""{Z1}, {fold_sql(4, ["subject", "contrast"], where="kind='within'")},
-ef AS (SELECT p.* EXCLUDE (fold, is_train, is_test), h.fold AS xfold, p.fold = h.fold AS is_test, p.fold <> h.fold AS is_train FROM fp p, (SELECT unnest(range(4)) AS fold) h),
-ch AS (SELECT *, CASE WHEN is_test THEN 0 ELSE ntile(3) OVER (PARTITION BY subject, contrast, xfold, is_test, y ORDER BY vec_id) - 1 END AS chunk FROM ef),
-lg AS (SELECT c.*, l.roi, l.pos, l.z AS x FROM ch c JOIN z1 l ON c.vec_id = l.vec_id)"""
-D6M = [*CELL, "xfold"]
+def hexpart(i):
+    return f"(('0x'||substring(dg,{1 + 8 * i},8))::BIGINT % 2147483647)"
 
 
-@query("d6_averaged_within", f"""WITH {POOL}, {D6SQL}, {averaged_sql(D6M, 'lg')}, {decode_sql(D6M, 'av')}
-SELECT {', '.join(CELL)}, xfold::INT AS xfold, n_correct, n_scored, n_test, rnd(accuracy) AS accuracy FROM acc_f""")
-def d6(c):
-    return within_averaged(c, pool(c, WITHIN), P.pattern_zscore(patterns(c)), 0, 1).select(
-        *CELL, F.col("draw").alias("xfold"), "n_correct", "n_scored", "n_test", "accuracy")
+def seeds_sql(name, seed, src):
+    """A table of hash coefficients for every row of ``src``, seeded with the text ``seed``."""
+    parts = ", ".join(f"{hexpart(i)} AS c{i}" for i in range(4))
+    return f"{name} AS MATERIALIZED (SELECT * EXCLUDE (dg), {parts} FROM (SELECT *, md5({seed}) AS dg FROM {src}))"
+
 
+POLY = "((((c3*vec_id+c2) % 2147483647)*vec_id+c1) % 2147483647*vec_id+c0) % 2147483647"
+
+
+def within_sql(src, model, tag=""):
+    """Folds by seeded hash rank, three training chunks in the order of trials; ``src`` has permutation and repeat."""
+    m = ", ".join(model)
+    by = "subject, contrast, permutation, repeat"
+    return f"""{seeds_sql("sf" + tag, "'fold|'||subject||'|'||contrast||'|'||permutation||'|'||repeat", f"(SELECT DISTINCT {by} FROM {src})")},
+fp{tag} AS (SELECT p.*, (row_number() OVER (PARTITION BY {by}, y ORDER BY {POLY}, vec_id) - 1) % 4 AS fold FROM {src} p JOIN sf{tag} USING ({by})),
+ef{tag} AS (SELECT p.* EXCLUDE (fold, is_train, is_test), h.fold AS xfold, p.fold = h.fold AS is_test, p.fold <> h.fold AS is_train FROM fp{tag} p, (SELECT unnest(range(4)) AS fold) h),
+ch{tag} AS (SELECT *, CASE WHEN is_test THEN 0 ELSE ntile(3) OVER (PARTITION BY {m}, xfold, is_test, y ORDER BY vec_id) - 1 END AS chunk FROM ef{tag})"""
 
-def with_accuracy(d):
-    return d.withColumn("accuracy", F.when(F.col("n_scored") > 0, F.col("n_correct") / F.col("n_scored")))
 
+# kind of fold role: k folds, patterns z-scored per trial, 3 training chunks per class, one test mean
+D6SQL = f"""{Z1}, pw AS (SELECT *, 0 AS permutation, 0 AS repeat FROM pool WHERE kind='within'), {within_sql('pw', MODEL)},
+lg AS (SELECT c.*, l.roi, l.pos, l.z AS x FROM ch c JOIN z1 l ON c.vec_id = l.vec_id)"""
+D6M = [*CELL, "xfold"]
 
-def within_averaged(c, labels, features, n_permutations, repeats, scorer="lda"):
-    """Draws of k-fold decoding within a source: 3 training chunks per class, one test mean.
 
-    ``labels``: the pool, with a permutation column if there are any. A draw is (permutation,
-    repeat, fold)."""
-    by = ["subject", "contrast", "permutation", "repeat"]
-    d = labels if n_permutations else labels.withColumn("permutation", F.lit(0))
-    f = K.stratified_folds(K.with_repeats(d, repeats), by if n_permutations or repeats > 1 else by[:2], "vec_id", 4)
-    e = D.expand_folds(f, 4).withColumnRenamed("fold", "xfold")
-    e = K.chunks(e, [*by, "xfold", "is_test", "y"], "vec_id", 3)
-    chunk = F.when(F.col("is_test"), 0).otherwise(F.col("chunk"))
-    draw = (F.col("permutation") * repeats + F.col("repeat")) * 4 + F.col("xfold")
-    slots = cut_lineage(AV.draws_of(e, MODEL, "vec_id", draw, AV.group_number(F.col("is_test"), F.col("y"), chunk, 3, 1),
-                                    (n_permutations + 1) * repeats * 4))
-    sums = cut_lineage(AV.group_sums(slots, features, MODEL, "vec_id", 8, 3))
-    return with_accuracy(AV.score_draws(sums, MODEL, 3, 1, False, scorer))
+def averaged(labels, features, plan, scorer="lda", per_draw=False):
+    return AV.decode(labels, features.select("subject", "roi", "vec_id", "features"), ["subject"], ["contrast", "kind"], plan, scorer,
+                     per_draw=per_draw)
 
 
-def cross_averaged(c, labels, features, n_permutations, repeats, scorer="lda"):
-    """Draws across sources: four random chunks per class on both sides, each side scaled by its
-    own trials. A draw is (permutation, repeat)."""
-    d = labels if n_permutations else labels.withColumn("permutation", F.lit(0))
-    e = K.random_chunks(K.with_repeats(d, repeats), [*MODEL, "permutation", "repeat", "is_test", "y"], "vec_id", 4,
-                        [F.lit("chunk"), F.col("repeat")])
-    slots = cut_lineage(AV.draws_of(e, MODEL, "vec_id", F.col("permutation") * repeats + F.col("repeat"),
-                                    AV.group_number(F.col("is_test"), F.col("y"), F.col("chunk"), 4, 4), (n_permutations + 1) * repeats))
-    sums = cut_lineage(AV.group_sums(slots, features, MODEL, "vec_id", 16, 4))
-    return with_accuracy(AV.score_draws(sums, MODEL, 4, 4, True, scorer))
+@query("d6_averaged_within", f"""WITH {POOL}, {D6SQL}, {averaged_sql(D6M, 'lg')}, {decode_sql(D6M, 'av')}
+SELECT {', '.join(CELL)}, xfold::INT AS xfold, n_correct, n_scored, n_test, rnd(accuracy) AS accuracy FROM acc_f""")
+def d6(c):
+    return averaged(pool(c, WITHIN), P.pattern_zscore(patterns(c)), AV.Within(), per_draw=True).select(
+        *CELL, F.col("draw").alias("xfold"), "n_correct", "n_scored", "n_test", "accuracy")
 
 
 def cross_averaged_sql(src, model, name, long="z1", x="z"):
     m = ", ".join(model)
-    return f"""c_{name} AS (SELECT *, ntile(4) OVER (PARTITION BY {m}, is_test, y ORDER BY h32('chunk|'||repeat||'|'||vec_id), vec_id) - 1 AS chunk FROM {src}),
+    return f"""{seeds_sql(f"sc_{name}", "'chunk|'||repeat", f"(SELECT DISTINCT repeat FROM {src})")},
+c_{name} AS (SELECT s.*, ntile(4) OVER (PARTITION BY {m}, is_test, y ORDER BY {POLY}, vec_id) - 1 AS chunk FROM {src} s JOIN sc_{name} USING (repeat)),
 l_{name} AS (SELECT c.*, l.roi, l.pos, l.{x} AS x FROM c_{name} c JOIN {long} l ON c.vec_id = l.vec_id),
 {averaged_sql([*model, "roi"], f"l_{name}", "is_test", f"av_{name}")}, {decode_sql([*model, "roi"], f"av_{name}", name=f"acc_{name}")}"""
 
@@ -187,7 +180,7 @@ l_{name} AS (SELECT c.*, l.roi, l.pos, l.{x} AS x FROM c_{name} c JOIN {long} l
 @query("d7_averaged_cross", f"""WITH {POOL}, {Z1}, pc AS (SELECT *, 0 AS repeat FROM pool WHERE kind='cross'), {cross_averaged_sql('pc', [*MODEL, 'repeat'], 'd7')}
 SELECT {', '.join(CELL)}, n_correct, n_scored, n_test, rnd(accuracy) AS accuracy FROM acc_d7""")
 def d7(c):
-    return cross_averaged(c, pool(c, CROSS), P.pattern_zscore(patterns(c)), 0, 1).drop("draw")
+    return averaged(pool(c, CROSS), P.pattern_zscore(patterns(c)), AV.Across(), per_draw=True).drop("draw", "n_draws")
 
 
 @query("d8_run_wise", f"""WITH {CON}, {Z1}, h AS (SELECT unnest(range(5)) AS held),
@@ -395,11 +388,12 @@ def d19(c):
 # ---- permutations ----------------------------------------------------------------------
 
 NP = 100      # shuffles
-REPEATS = 2   # random partitions into folds and chunks of each shuffle
+REPEATS = 2   # random partitions into folds and chunks of each shuffle, where check SQL repeats them all
+FULL = 30     # the same for the full null model
 PERM = f"""pm AS (SELECT *, permutation FROM pool, (SELECT unnest(range({NP + 1})) AS permutation)),
-sh AS (SELECT *, row_number() OVER (PARTITION BY {{k}}, permutation ORDER BY h32('null|'||permutation||'|'||contrast||'|'||vec_id), vec_id) AS hr,
-  row_number() OVER (PARTITION BY {{k}}, permutation ORDER BY y, vec_id) AS yr FROM pm),
-ps AS (SELECT a.* REPLACE (CASE WHEN a.permutation = 0 THEN a.y ELSE b.y END AS y) FROM sh a JOIN (SELECT {{k}}, permutation, yr AS hr, y FROM sh) b USING ({{k}}, permutation, hr))"""
+sh AS (SELECT *, row_number() OVER w AS hr, count(*) FILTER (y=0) OVER (PARTITION BY {{k}}, permutation) AS n0 FROM pm
+  WINDOW w AS (PARTITION BY {{k}}, permutation ORDER BY h32('null|'||permutation||'|'||contrast||'|'||vec_id), vec_id)),
+ps AS (SELECT * REPLACE (CASE WHEN permutation = 0 THEN y ELSE (hr > n0)::INT END AS y) FROM sh)"""
 
 
 def permuted(d, keys):
@@ -431,42 +425,39 @@ lz AS (SELECT vec_id, roi, pos, (x - avg(x) OVER v)/stddev_pop(x) OVER v AS z FR
 
 def null_sql(long):
     """Draws within and across sources, each from the pool shuffled in its own way."""
-    def shuffled(keys, tag):
-        return re.sub(r"\b(pool|pm|sh|ps)\b(?!')", lambda m: m[0] + tag, PERM.format(k=keys))
+    def shuffled(kind, tag, keys):
+        by = "subject, contrast, permutation"
+        return f"""{seeds_sql("sn" + tag, "'null|'||permutation||'|'||subject||'|'||contrast", f"(SELECT DISTINCT subject, contrast, permutation FROM pool, (SELECT unnest(range({NP + 1})) AS permutation) WHERE kind='{kind}')")},
+sh{tag} AS (SELECT p.*, permutation, row_number() OVER (PARTITION BY {keys} ORDER BY {POLY}, vec_id) AS hr, row_number() OVER (PARTITION BY {keys} ORDER BY y, vec_id) AS yr
+  FROM pool p JOIN sn{tag} USING (subject, contrast)),
+ps{tag} AS (SELECT a.* REPLACE (CASE WHEN a.permutation = 0 THEN a.y ELSE b.y END AS y) FROM sh{tag} a JOIN (SELECT {keys}, yr AS hr, y FROM sh{tag}) b USING ({keys}, hr)),
+r{tag} AS (SELECT *, repeat FROM ps{tag}, (SELECT unnest(range({REPEATS})) AS repeat))"""
 
-    within, cross = shuffled("subject, contrast", "_w"), shuffled("subject, contrast, is_test", "_c")
-    fold = fold_sql(4, ["subject", "contrast", "permutation", "repeat"], src="rw", alias="fw")
     wx = [*WMODEL, "roi", "xfold"]
-    return f"""pool_w AS (SELECT * FROM pool WHERE kind='within'), pool_c AS (SELECT * FROM pool WHERE kind='cross'), {within}, {cross},
-rw AS (SELECT *, repeat FROM ps_w, (SELECT unnest(range({REPEATS})) AS repeat)), rc AS (SELECT *, repeat FROM ps_c, (SELECT unnest(range({REPEATS})) AS repeat)), {fold},
-ew AS (SELECT p.* EXCLUDE (fold, is_train, is_test), h.fold AS xfold, p.fold = h.fold AS is_test, p.fold <> h.fold AS is_train FROM fw p, (SELECT unnest(range(4)) AS fold) h),
-cw AS (SELECT *, CASE WHEN is_test THEN 0 ELSE ntile(3) OVER (PARTITION BY subject, contrast, permutation, repeat, xfold, is_test, y ORDER BY vec_id) - 1 END AS chunk FROM ew),
-lw AS (SELECT c.*, l.roi, l.pos, l.z AS x FROM cw c JOIN {long} l ON c.vec_id = l.vec_id),
-{averaged_sql(wx, 'lw', name='av_w')}, {decode_sql(wx, 'av_w', name='acc_w')}, {cross_averaged_sql('rc', WMODEL, 'x', long)},
+    return f"""{shuffled("within", "_w", "subject, contrast, permutation")}, {shuffled("cross", "_c", "subject, contrast, is_test, permutation")}, {within_sql("r_w", WMODEL, "_w")},
+lw AS (SELECT c.*, l.roi, l.pos, l.z AS x FROM ch_w c JOIN {long} l ON c.vec_id = l.vec_id),
+{averaged_sql(wx, 'lw', name='av_w')}, {decode_sql(wx, 'av_w', name='acc_w')}, {cross_averaged_sql('r_c', WMODEL, 'x', long)},
 nul AS (SELECT {CM}, permutation, sum(n_correct) AS n_correct, sum(n_scored) AS n_scored, avg(accuracy) AS accuracy FROM
   (SELECT {CM}, permutation, n_correct, n_scored, accuracy FROM acc_w UNION ALL SELECT {CM}, permutation, n_correct, n_scored, accuracy FROM acc_x) GROUP BY {CM}, permutation)"""
 
 
-def null_decode(c, features):
+def null_decode(c, features, repeats=REPEATS, scorer="lda"):
     """Accuracy of every cell and permutation, within and across sources, mean over its draws."""
-    w = within_averaged(c, permuted(pool(c, WITHIN), ["subject", "contrast"]), features, NP, REPEATS)
-    x = cross_averaged(c, permuted(pool(c, CROSS), ["subject", "contrast", "is_test"]), features, NP, REPEATS)
-    d = w.withColumn("permutation", F.floor(F.col("draw") / (4 * REPEATS)).cast("int")).unionByName(
-        x.withColumn("permutation", F.floor(F.col("draw") / REPEATS).cast("int")))
-    return d.groupBy(*CELL, "permutation").agg(F.sum("n_correct").alias("n_correct"), F.sum("n_scored").alias("n_scored"),
-                                               F.avg("accuracy").alias("accuracy"))
+    features = cut_lineage(features.select("subject", "roi", "vec_id", "features"))
+    return averaged(pool(c, WITHIN), features, AV.Within(NP, repeats), scorer).unionByName(
+        averaged(pool(c, CROSS), features, AV.Across(NP, repeats), scorer)).drop("n_test")
 
 
 def source_scaled(c):
     """Patterns after the source z-score, which no shuffle of labels changes, z-scored once more."""
     z = P.normalise(patterns(c), "voxel_source", ["vec_id", "subject", "source", "roi"], ["subject", "roi"], "source")
-    return P.pattern_zscore(D.packed(z, ["vec_id", "roi"], "x", "features"))
+    return P.pattern_zscore(D.packed(z, ["subject", "vec_id", "roi"], "x", "features"))
 
 
 @query("n3_shuffle_before_averaging", f"""WITH {POOL}, {Z1}, {null_sql('z1')}
 SELECT {CM}, permutation::INT AS permutation, n_correct::BIGINT AS n_correct, n_scored::BIGINT AS n_scored, rnd(accuracy) AS accuracy FROM nul""")
 def n3(c):
-    return null_decode(c, P.pattern_zscore(patterns(c)))
+    return null_decode(c, P.pattern_zscore(patterns(c))).drop("n_draws")
 
 
 N4SQL = f"{POOL}, {Z1}, {ZS}, {null_sql('lz')}"
@@ -477,6 +468,13 @@ def n4(c):
     return null_decode(c, source_scaled(c)).select(*CELL, "permutation", "accuracy")
 
 
+@query("n4_full_null")
+def n4_full(c):
+    """The observed accuracy and 100 shuffles with 30 repeats each; the draws are too many for check SQL,
+    tests hold the kernel against loops over single draws."""
+    return null_decode(c, source_scaled(c), FULL).select(*CELL, "permutation", "accuracy", "n_draws")
+
+
 @query("n11_cell_null_check", f"""WITH {N4SQL} SELECT {CM}, rnd(max(accuracy) FILTER (permutation=0)) AS observed, rnd(avg(accuracy) FILTER (permutation>0)) AS null_mean,
   rnd(stddev_samp(accuracy) FILTER (permutation>0)) AS null_sd FROM nul GROUP BY {CM}""")
 def n11(c):
@@ -505,10 +503,6 @@ def draws(c, n=DRAWS):
     return N.resample_group(null_pool(c), ["contrast", "roi"], "subject", "permutation", "accuracy", n, "draw")
 
 
-def hexpart(i):
-    return f"(('0x'||substring(dg,{1 + 8 * i},8))::BIGINT % 2147483647)"
-
-
 DRAWSQL = f"""{NULLSQL}, dn AS (SELECT contrast, roi, subject, count(*) AS n, md5('draw|'||contrast||'|'||roi||'|'||subject) AS dg FROM npool GROUP BY ALL),
 dd AS (SELECT contrast, roi, subject, n, {hexpart(0)} AS c0, {hexpart(1)} AS c1, {hexpart(2)} AS c2, {hexpart(3)} AS c3, draw FROM dn, (SELECT unnest(range({DRAWS})) AS draw)),
 di AS (SELECT contrast, roi, subject, draw, ((((c3*draw+c2) % 2147483647)*draw+c1) % 2147483647*draw+c0) % 2147483647 % n AS permutation FROM dd),
