@@ -13,7 +13,7 @@ from voxtrail.functions import arrays as A, stats, text
 from voxtrail.functions.hashing import PRIME, hash32, poly_hash, poly_seed
 from voxtrail.operators import (averaged as AV, compare as C, decode as D, folds as K, groupstats as G, linmodel as L, patterns as P,
                                 permute as N, ranks as R, report as O, similarity as M, spatial as S, timeseries as T,
-                                validate as V)
+                                units as U, validate as V)
 from voxtrail.session import scratch_path
 from voxtrail.sources import tables
 
@@ -563,6 +563,96 @@ def test_small_svm_is_a_minimum():
                 assert loss(w + scale * rng.normal(size=5), b + scale * rng.normal()) >= loss(w, b) - 1e-6
 
 
+# ---- decoding in units -----------------------------------------------------------------
+
+@pytest.fixture(scope="module")
+def unit_tables(spark):
+    """Trials of two subjects with missing values; two contrasts, one with training-only rows."""
+    rng = np.random.default_rng(12)
+    pats, labels = [], []
+    for t in range(240):
+        x = rng.normal(size=12) + 0.7 * (t // 2 % 2) * (np.arange(12) < 4)
+        x = [None if rng.random() < 0.03 else float(v) for v in x]
+        x[11] = 1.5  # without variance
+        pats.append((t % 2, "r", t, x))
+        labels.append((t % 2, "a", "within", t, t // 2 % 2, t // 4 % 4, True, True))
+        labels.append((t % 2, "b", "cross", t, t // 4 % 2, 0 if t % 3 == 0 else -1, t % 3 != 0, t % 3 == 0))
+        if t % 5 == 0:  # one class in one fold
+            labels.append((t % 2, "c", "within", t, 0, t // 20 % 2, True, True))
+    return (spark.createDataFrame(labels, "subject int, contrast string, kind string, vec_id int, y int, fold long, is_train boolean, is_test boolean"),
+            spark.createDataFrame(pats, "subject int, roi string, vec_id int, features array<double>").repartition(4))
+
+
+UNIT = ["subject", "roi", "contrast", "kind"]
+
+
+def rows_of(df):
+    return sorted((tuple(-9 if v is None else round(v, 9) + 0.0 if isinstance(v, float) else v for v in r) for r in df.collect()), key=str)
+
+
+@pytest.mark.parametrize("scorer", ["lda", "centroid"])
+def test_units_equal_long_rows(unit_tables, scorer):
+    labels, pats = unit_tables
+    long = P.explode_features(labels.join(pats.drop("subject"), "vec_id").withColumnRenamed("vec_id", "trial"),
+                              [*UNIT, "fold", "trial", "y", "is_train", "is_test"])
+    want = rows_of(D.cross_validate(long, UNIT, scorer).fillna(0, ["n_correct"]).select(*UNIT, "fold", *U.COUNTS, "accuracy"))
+    for block in (1 << 24, 1500):
+        u = U.units(labels, pats, ["subject"], ["contrast", "kind"], block=block)
+        assert u.cut == (block == 1500)
+        assert rows_of(U.cross_validate(u, U.Scorer(scorer))) == want and len(want) > 10
+
+
+@pytest.mark.parametrize("select", ["weight", "haufe"])
+def test_selection_in_cut_units(unit_tables, select):
+    labels, pats = unit_tables
+    one, cut = (U.units(labels, pats, ["subject"], ["contrast", "kind"], block=b) for b in (1 << 24, 1500))
+    s = U.Scorer(select=select, fraction=0.25, least=2)
+    assert rows_of(U.selected(one, s)) == rows_of(U.selected(cut, s))
+    assert rows_of(U.cross_validate(one, s)) == rows_of(U.cross_validate(cut, s))
+    assert rows_of(U.haufe_patterns(one)) == rows_of(U.haufe_patterns(cut))
+    picked = U.selected(one, s).groupBy(*UNIT, "fold").agg(F.count("pos").alias("n"), F.max("pos").alias("last")).collect()
+    assert {r.n for r in picked} == {3} and all(r["last"] < 11 for r in picked)
+    with pytest.raises(ValueError):
+        U.Scorer(select="other").chosen(np.ones((1, 2)), None)
+
+
+def test_units_of_nothing(unit_tables):
+    labels, pats = unit_tables
+    for a, b in ((labels.limit(0), pats), (labels, pats.limit(0))):
+        assert U.cross_validate(U.units(a, b, ["subject"], ["contrast", "kind"])).count() == 0
+
+
+def test_searchlight_in_areas(spark, unit_tables):
+    labels, pats = unit_tables
+    v = spark.createDataFrame([(p, p % 3, p // 3 % 2, p // 6) for p in range(12)], "pos int, i long, j long, k long")
+    near = S.lattice_neighbours(v, "pos", 1.0, least=4)
+    long = P.explode_features(labels.join(pats.drop("subject"), "vec_id").withColumnRenamed("vec_id", "trial"),
+                              [*UNIT, "fold", "trial", "y", "is_train", "is_test"])
+    keys = [*UNIT, "fold"]
+    ev = D.evidence(long, D.linear_weights(D.fold_statistics(long, UNIT), keys), keys)
+    want = rows_of(D.searchlight(ev, near, keys, 3).fillna(0, ["n_correct"]).select(*UNIT, "fold", "centre", *U.COUNTS, "accuracy"))
+    for edge, block in ((10, 1 << 24), (2, 1 << 24), (1, 700)):
+        got = U.searchlight(labels, pats, U.sphere_areas(v, near, edge), ["subject"], ["contrast", "kind"], 3, block=block)
+        assert rows_of(got.select(*UNIT, "fold", "centre", *U.COUNTS, "accuracy")) == want and len(want) > 50
+
+
+def test_searchlight_of_a_hundred_thousand_voxels(spark):
+    n = (50, 50, 40)
+    v = spark.range(n[0] * n[1] * n[2]).select(F.col("id").cast("int").alias("pos"), (F.col("id") % n[0]).alias("i"),
+                                                F.floor(F.col("id") / n[0]).alias("jk")).select(
+        "pos", "i", (F.col("jk") % n[1]).alias("j"), F.floor(F.col("jk") / n[1]).alias("k"))
+    trials = spark.range(24).select(F.lit(1).alias("subject"), F.lit("all").alias("roi"), F.col("id").cast("int").alias("vec_id"))
+    signal = F.when((F.col("vec_id") % 2 == 1) & (F.col("p") < 25_000), 2.0).otherwise(0.0)
+    pats = trials.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(n[0] * n[1] * n[2] - 1)))).groupBy("subject", "roi", "vec_id").agg(
+        F.array_sort(F.collect_list(F.struct("p", (signal + F.xxhash64("vec_id", "p") % 1000 / 1000.0).alias("x")))).alias("f")).select(
+        "subject", "roi", "vec_id", F.col("f.x").alias("features"))
+    labels = trials.drop("roi").select("subject", F.lit("a").alias("contrast"), F.lit("within").alias("kind"), "vec_id", (F.col("vec_id") % 2).alias("y"),
+                                       F.floor(F.col("vec_id") / 8).alias("fold"), F.lit(True).alias("is_train"), F.lit(True).alias("is_test"))
+    areas = U.sphere_areas(v, S.lattice_neighbours(v, "pos", 1.0), 10)
+    got = U.searchlight(labels, pats, areas, ["subject"], ["contrast", "kind"], 1).groupBy("centre").agg(F.avg("accuracy").alias("a")).toPandas()
+    assert len(got) == 100_000 and got[got.centre < 20_000].a.min() == 1 and got[got.centre >= 30_000].a.mean() < 0.6
+
+
 def naive_hash(seed, trial):
     d = hashlib.md5(seed.encode()).hexdigest()
     c = [int(d[8 * i:8 * i + 8], 16) % PRIME for i in range(4)]

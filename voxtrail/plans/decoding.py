@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from voxtrail.functions import arrays as A
-from voxtrail.operators import averaged as AV, decode as D, folds as K, groupstats as G, patterns as P, permute as N, report as R, spatial as S
+from voxtrail.operators import averaged as AV, decode as D, folds as K, groupstats as G, patterns as P, permute as N, report as R, spatial as S, units as U
 from voxtrail.plans.contracts import sub
 from voxtrail.plans.pattern_plans import KEEP, Z1, patterns
 from voxtrail.plans.registry import query
@@ -25,6 +25,13 @@ def pool(c, contrasts=K.CONTRASTS):
     return K.contrast_pool(c.view("trials").drop("embedding"), contrasts)
 
 
+def folded(c, labels, features=None, more=(), unit=None):
+    """The units of the patterns with the folds of all contrasts beside them."""
+    features = patterns(c) if features is None else features
+    unit = unit or ["subject", "roi"]
+    return U.units(labels, features.select(*unit, "vec_id", "features"), ["subject"], ["contrast", "kind", *more], unit)
+
+
 def fold_sql(k, model, extra="", src="pool", where="true", alias="fp"):
     m = ", ".join(model)
     h = "||'|'||".join(["'fold'", *([f"'{extra}'"] if extra else []), *model, "vec_id"])
@@ -90,8 +97,7 @@ fp AS (SELECT pool.*, fold FROM pool JOIN fr USING (subject, contrast, image))""
 
 @query("d3_identity_folds", f"WITH {POOL}, {IDF}, {rows_sql()}, {decode_sql(CELL, 'rws')} {folds_out(CELL)}")
 def d3(c):
-    d = K.identity_folds(K.contrast_pool(patterns(c)), ["subject", "contrast"], "image", 3)
-    return D.cross_validate(D.attach(d, None, "vec_id", MODEL), CELL)
+    return U.cross_validate(folded(c, K.identity_folds(pool(c), ["subject", "contrast"], "image", 3)))
 
 
 @query("d3_family_leaks", f"WITH {POOL}, {IDF} SELECT subject, contrast, count(DISTINCT image) AS n_families, 0::BIGINT AS n_leaked FROM fp GROUP BY ALL")
@@ -107,15 +113,13 @@ SPLIT = "fp AS (SELECT *, CASE WHEN is_test THEN 0::BIGINT ELSE -1 END AS fold F
 
 @query("d4_cross_single_split", f"WITH {POOL}, {SPLIT}, {rows_sql()}, {decode_sql(CELL, 'rws')} {folds_out(CELL)}")
 def d4(c):
-    d = K.single_split(K.contrast_pool(patterns(c), CROSS))
-    return D.cross_validate(D.attach(d, None, "vec_id", MODEL), CELL)
+    return U.cross_validate(folded(c, K.single_split(pool(c, CROSS))))
 
 
 @query("d5_cross_paired_folds", f"""WITH {POOL}, rp AS (SELECT *, is_test::INT AS role FROM pool WHERE kind='cross'),
 {fold_sql(4, ["subject", "contrast", "role"], src="rp")}, {rows_sql()}, {decode_sql(CELL, 'rws')} {folds_out(CELL)}""")
 def d5(c):
-    d = K.paired_folds(pool(c, CROSS), ["subject", "contrast"], "vec_id", 4)
-    return D.cross_validate(D.attach(d, patterns(c), "vec_id", MODEL), CELL)
+    return U.cross_validate(folded(c, K.paired_folds(pool(c, CROSS), ["subject", "contrast"], "vec_id", 4)))
 
 
 def averaged_sql(model, src, scale_by="", name="av", chunks=True):
@@ -225,19 +229,19 @@ def d10(c):
 LORO = "fp AS (SELECT *, run AS fold FROM pool)"
 
 
-def loro(c, pats=None, contrasts=K.CONTRASTS):
-    d = K.run_folds(K.contrast_pool(pats if pats is not None else patterns(c), contrasts))
-    return D.attach(d, None, "vec_id", MODEL)
+def loro(c, features=None):
+    """Units with one run left out per fold."""
+    return folded(c, K.run_folds(pool(c)), features)
 
 
 @query("d11_diagonal_lda", f"WITH {POOL}, {LORO}, {rows_sql()}, {decode_sql(CELL, 'rws')} {folds_out(CELL)}")
 def d11(c):
-    return D.cross_validate(loro(c), CELL)
+    return U.cross_validate(loro(c))
 
 
 @query("d12_nearest_centroid", f"WITH {POOL}, {LORO}, {rows_sql()}, {decode_sql(CELL, 'rws', 'centroid')} {folds_out(CELL)}")
 def d12(c):
-    return D.cross_validate(loro(c), CELL, "centroid")
+    return U.cross_validate(loro(c), U.Scorer("centroid"))
 
 
 SVM_GAP = 1e-3
@@ -268,14 +272,13 @@ CM = ", ".join(CELL)
 
 @query("d14_feature_selection", f"WITH {POOL}, {LORO}, {rows_sql()}, {decode_sql(CELL, 'rws')}, " + SEL.format(m=CM, s="abs(w)", src="wt_acc_f"))
 def d14(c):
-    return D.select_and_validate(loro(c), CELL, "weight", 0.3, 4)
+    return U.cross_validate(loro(c), U.Scorer(select="weight"))
 
 
 @query("d14_fixed_columns", f"WITH {POOL}, {LORO}, all_rows AS (SELECT * FROM long_x WHERE pos % 3 = 1), {rows_sql(long='all_rows')}, {decode_sql(CELL, 'rws')} {folds_out(CELL)}")
 def d14_fixed(c):
     """The same columns in every fold, chosen beforehand."""
-    columns = patterns(c).select("roi", F.posexplode("features").alias("pos", "x")).select("roi", "pos").distinct()
-    return D.validate_on_columns(loro(c), CELL, columns.filter("pos % 3 = 1"), ["roi", "pos"])
+    return U.cross_validate(loro(c, patterns(c).withColumn("features", F.filter("features", lambda x, i: i % 3 == 1))))
 
 
 HAUFE = f"""td AS (SELECT {CM}, w.fold, trial, y, sum(w*x+b) AS decision FROM rws r JOIN wt_acc_f w USING ({CM}, pos) WHERE is_train AND r.fold <> w.fold GROUP BY {CM}, w.fold, trial, y),
@@ -284,14 +287,12 @@ hf AS (SELECT {CM}, td.fold, pos, coalesce(regr_slope(x, decision), 0) AS patter
 
 @query("d14_haufe_selection", f"WITH {POOL}, {LORO}, {rows_sql()}, {decode_sql(CELL, 'rws')}, {HAUFE}, " + SEL.format(m=CM, s="abs(pattern)", src="hf"))
 def d14_haufe(c):
-    return D.select_and_validate(loro(c), CELL, "haufe", 0.3, 4)
+    return U.cross_validate(loro(c), U.Scorer(select="haufe"))
 
 
 @query("v12_haufe_pattern", f"WITH {POOL}, {LORO}, {rows_sql()}, {decode_sql(CELL, 'rws')}, {HAUFE} SELECT {CM}, fold, pos, rnd(pattern) AS pattern FROM hf")
 def v12(c):
-    rows = loro(c)
-    w = D.linear_weights(D.fold_statistics(rows, CELL), [*CELL, "fold"])
-    return D.haufe_patterns(rows, w, CELL)
+    return U.haufe_patterns(loro(c))
 
 
 @query("v14_selection_frequency", f"""WITH {POOL}, {LORO}, {rows_sql()}, {decode_sql(CELL, 'rws')},
@@ -299,8 +300,7 @@ sel AS (SELECT {CM}, fold, pos FROM (SELECT *, row_number() OVER (PARTITION BY {
 SELECT {CM}, pos, count(*) AS times, rnd(count(*)/5) AS frequency FROM sel GROUP BY {CM}, pos""")
 def v14(c):
     from voxtrail.operators.similarity import selection_frequency
-    _, chosen = D.selected_features(loro(c), CELL, "weight", 0.3, 4)
-    return selection_frequency(chosen, CELL, "pos", 5)
+    return selection_frequency(U.selected(loro(c), U.Scorer(select="weight")), CELL, "pos", 5)
 
 
 # the 64 features as a 4 x 4 x 4 grid
@@ -311,10 +311,10 @@ def whole(c):
     return c.view("trials").withColumns({"roi": F.lit("all"), "features": F.col("embedding").cast("array<double>")}).drop("embedding")
 
 
-def grid_spheres(c, radius, least):
+def grid_areas(c, radius, least, edge=10):
     pos = whole(c).select(F.posexplode("features").alias("pos", "x")).select("pos").distinct()
     v = pos.select("pos", (F.col("pos") % 4).cast("bigint").alias("i"), (F.floor(F.col("pos") / 4) % 4).alias("j"), F.floor(F.col("pos") / 16).alias("k"))
-    return S.lattice_neighbours(v, "pos", radius, least=least)
+    return U.sphere_areas(v, S.lattice_neighbours(v, "pos", radius, least=least), edge)
 
 
 @query("d15_searchlight", f"""WITH {POOL}, {LORO}, {WHOLE}, {rows_sql(long='lw')}, {decode_sql(CELL, 'rws')},
@@ -325,15 +325,13 @@ de AS (SELECT subject, contrast, kind, fold, centre, trial, y, sum(w*x+b) AS dec
 SELECT subject, contrast, kind, fold, centre::INT AS centre, count(*) FILTER ((decision > 0)::INT = y) AS n_correct, count(*) AS n_scored, count(*) AS n_test,
  rnd(avg(((decision > 0)::INT = y)::INT)) AS accuracy FROM de GROUP BY ALL""")
 def d15(c):
-    rows = loro(c, whole(c))
-    keys = [*CELL, "fold"]
-    ev = D.evidence(rows, D.linear_weights(D.fold_statistics(rows, CELL), keys), keys)
-    return D.searchlight(ev, grid_spheres(c, 1.5, 10), keys, 10).drop("roi")
+    d = U.searchlight(K.run_folds(pool(c)), whole(c), grid_areas(c, 1.5, 10), ["subject"], ["contrast", "kind"], 10)
+    return d.withColumn("centre", F.col("centre").cast("int")).drop("roi")
 
 
 @query("d16_whole_mask", f"WITH {POOL}, {LORO}, {WHOLE}, {rows_sql(long='lw')}, {decode_sql(CELL, 'rws')} {folds_out(CELL)}")
 def d16(c):
-    return D.cross_validate(loro(c, whole(c)), CELL)
+    return U.cross_validate(loro(c, whole(c)))
 
 
 @query("d17_roll_up", f"""WITH {POOL}, rp AS (SELECT *, repeat FROM pool, (SELECT unnest(range(3)) AS repeat) WHERE kind='within'),
@@ -342,8 +340,7 @@ g AS (SELECT {CM}, repeat, avg(accuracy) AS a, sum(n_correct) AS c, sum(n_scored
 SELECT {CM}, rnd(avg(a)) AS accuracy, rnd(stddev_samp(a)) AS sd_repeats, rnd(sum(c)/sum(n)) AS pooled_accuracy, sum(n)::BIGINT AS n_observations, sum(k)::BIGINT AS n_folds FROM g GROUP BY {CM}""")
 def d17(c):
     d = K.stratified_folds(K.with_repeats(pool(c, WITHIN), 3), ["subject", "contrast", "repeat"], "vec_id", 4)
-    f = D.cross_validate(D.attach(d, patterns(c), "vec_id", [*MODEL, "repeat"]), [*CELL, "repeat"])
-    return D.roll_up(f, CELL, "repeat")
+    return D.roll_up(U.cross_validate(folded(c, d, more=["repeat"])), CELL, "repeat")
 
 
 VAR = f"""{Z1}, lv AS (SELECT 'raw' AS variant, vec_id, roi, pos, x FROM long_x UNION ALL SELECT 'patternz', vec_id, roi, pos, z FROM z1
@@ -352,20 +349,16 @@ VAR = f"""{Z1}, lv AS (SELECT 'raw' AS variant, vec_id, roi, pos, x FROM long_x
 VROWS = "rws AS (SELECT p.*, p.vec_id AS trial, l.variant, l.roi, l.pos, l.x FROM fp p JOIN lv l ON p.vec_id = l.vec_id)"
 
 
-def variant_rows(c, fold_rows, kinds):
-    p = patterns(c)
-    v = F.explode(F.array(*[F.struct(F.lit(k).alias("variant"), P.variant(F.col("features"), k).alias("features"))
-                            for k in kinds])).alias("v")
-    p = p.select("vec_id", "roi", v).select("vec_id", "roi", "v.variant", "v.features")
-    j = fold_rows.join(p, "vec_id").withColumnRenamed("vec_id", "trial")
-    return P.explode_features(j, [*MODEL, "variant", "roi", "fold", "trial", "y", "is_train", "is_test"])
+def variants(c, labels, kinds):
+    v = F.explode(F.array(*[F.struct(F.lit(k).alias("variant"), P.variant(F.col("features"), k).alias("features")) for k in kinds])).alias("v")
+    p = patterns(c).select("subject", "vec_id", "roi", v).select("subject", "vec_id", "roi", "v.variant", "v.features")
+    return U.cross_validate(folded(c, labels, p, unit=["subject", "roi", "variant"]))
 
 
 @query("d18_variant_sweep", f"""WITH {POOL}, {LORO}, {VAR}, {VROWS}, {decode_sql([*CELL, 'variant'], 'rws')},
 m AS (SELECT variant, {CM}, avg(accuracy) AS a FROM acc_f GROUP BY ALL) SELECT variant, kind, rnd(avg(a)) AS mean, count(a) AS n FROM m WHERE variant <> 'global' GROUP BY variant, kind""")
 def d18(c):
-    rows = variant_rows(c, K.run_folds(pool(c)), ("raw", "patternz", "centred"))
-    cell = D.roll_up(D.cross_validate(rows, [*CELL, "variant"]), [*CELL, "variant"])
+    cell = D.roll_up(variants(c, K.run_folds(pool(c)), ("raw", "patternz", "centred")), [*CELL, "variant"])
     return cell.groupBy("variant", "kind").agg(F.avg("accuracy").alias("mean"), F.count("accuracy").alias("n"))
 
 
@@ -379,7 +372,7 @@ SELECT {CM}, rnd(max(a) FILTER (variant='raw')) AS raw, rnd(max(a) FILTER (varia
 def d19(c):
     kinds = ["raw", "global", "centred", "patternz"]
     f = K.stratified_folds(pool(c, WITHIN), ["subject", "contrast"], "vec_id", 5).unionByName(K.single_split(pool(c, CROSS)))
-    cell = D.roll_up(D.cross_validate(variant_rows(c, f, kinds), [*CELL, "variant"]), [*CELL, "variant"])
+    cell = D.roll_up(variants(c, f, kinds), [*CELL, "variant"])
     wide = G.pivot_values(cell, CELL, "variant", "accuracy", kinds)
     g = f.join(patterns(c).select("vec_id", "roi", A.mean(F.col("features")).alias("g")), "vec_id")
     return wide.join(G.effect_size(g, CELL, "y", 1, 0, "g"), CELL)
