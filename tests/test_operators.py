@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from voxtrail.functions import arrays as A, stats, text
 from voxtrail.functions.hashing import PRIME, hash32, poly_hash, poly_seed
 from voxtrail.operators import (averaged as AV, compare as C, decode as D, folds as K, groupstats as G, linmodel as L, patterns as P,
-                                permute as N, ranks as R, report as O, similarity as M, spatial as S, timeseries as T,
+                                permute as N, ranks as R, report as O, similarity as M, spatial as S, svm as SV, timeseries as T,
                                 units as U, validate as V)
 from voxtrail.session import scratch_path
 from voxtrail.sources import tables
@@ -622,6 +622,69 @@ def test_units_of_nothing(unit_tables):
         assert U.cross_validate(U.units(a, b, ["subject"], ["contrast", "kind"])).count() == 0
 
 
+def exact_margin(x, y, c=1.0, sweeps=20_000):
+    """Weights and offset of a small model by plain coordinate ascent to the end."""
+    z, s = np.c_[x - x.mean(axis=0), np.ones(len(x))], 2.0 * y - 1
+    q = (z * s[:, None]) @ (z * s[:, None]).T
+    a, g = np.zeros(len(y)), np.ones(len(y))
+    for _ in range(sweeps):
+        for i in range(len(y)):
+            step = min(max(a[i] + g[i] / q[i, i], 0), c) - a[i]
+            a[i] += step
+            g -= step * q[:, i]
+        v = (a * s) @ z
+        primal = v @ v / 2 + c * np.maximum(0, 1 - s * (z @ v)).sum()
+        if primal - a.sum() + v @ v / 2 < 1e-10 * primal:
+            break
+    return v[:-1], v[-1] - v[:-1] @ x.mean(axis=0)
+
+
+@pytest.fixture(scope="module")
+def margin_tables(spark):
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(72, 6)) + 0.8 * (np.arange(72) % 2)[:, None] * (np.arange(6) < 2)
+    labels = [(1, n, "within", t, (t + (n == "b") * (t // 9)) % 2, t // 18, True, True) for n in ("a", "b") for t in range(72)]
+    return x, labels, (
+        spark.createDataFrame(labels, "subject int, contrast string, kind string, vec_id int, y int, fold long, is_train boolean, is_test boolean"),
+        spark.createDataFrame([(1, "r", t, v.tolist()) for t, v in enumerate(x)], "subject int, roi string, vec_id int, features array<double>"))
+
+
+@pytest.mark.parametrize("select", ["none", "weight", "haufe"])
+@pytest.mark.parametrize("wide", [False, True])
+def test_margin_models_equal_exact_ones(margin_tables, select, wide, spark):
+    x, labels, (lab, pats) = margin_tables
+    if wide:  # more features than rows: the shared Gram matrix
+        x = np.c_[x, np.random.default_rng(22).normal(size=(72, 90))]
+        pats = spark.createDataFrame([(1, "r", t, v.tolist()) for t, v in enumerate(x)], "subject int, roi string, vec_id int, features array<double>")
+    u = SV.units(lab, pats, ["subject"], ["contrast", "kind"])
+    got = {(r.contrast, r.fold): r for r in SV.validate(u, SV.Margin(select=select, tolerance=1e-9, fraction=0.5, least=2)).collect()}
+    assert len(got) == 8
+    for name in ("a", "b"):
+        y, fold = (np.array([r[i] for r in labels if r[1] == name]) for i in (4, 5))
+        for f in range(4):
+            tr, te = fold != f, fold == f
+            columns = np.arange(x.shape[1])
+            w, b = exact_margin(x[tr], y[tr])
+            if select != "none":
+                d = x[tr] @ w + b
+                score = np.abs(w) if select == "weight" else np.abs(((x[tr] - x[tr].mean(0)).T @ (d - d.mean())) / ((d - d.mean()) ** 2).sum())
+                columns = np.sort(np.argsort(-score, kind="stable")[:x.shape[1] // 2])
+                w, b = exact_margin(x[tr][:, columns], y[tr])
+            d = x[te][:, columns] @ w + b
+            assert np.abs(d).min() > 1e-4  # no test row on the border
+            assert got[name, f].n_correct == ((d > 0) == y[te]).sum() and got[name, f].n_selected == len(columns) and got[name, f].gap <= 1e-9
+
+
+def test_margin_models_of_many_trials_go_in_rounds(margin_tables):
+    _, _, (lab, pats) = margin_tables
+    keys = ["subject", "roi", "contrast", "kind", "fold"]
+    whole, cut = ({tuple(r[k] for k in keys): r for r in SV.validate(SV.units(lab, pats, ["subject"], ["contrast", "kind"], most=m)).collect()} for m in (4096, 40))
+    assert set(whole) == set(cut) and max(r.gap for r in cut.values()) <= 1e-3
+    assert sum(abs(whole[k].n_correct - cut[k].n_correct) for k in whole) <= 2
+    with pytest.raises(ValueError):
+        SV.validate(SV.units(lab, pats, ["subject"], ["contrast", "kind"], most=40), SV.Margin(select="weight"))
+
+
 def test_searchlight_in_areas(spark, unit_tables):
     labels, pats = unit_tables
     v = spark.createDataFrame([(p, p % 3, p // 3 % 2, p // 6) for p in range(12)], "pos int, i long, j long, k long")

@@ -67,15 +67,18 @@ class Units:
 
 
 def units(labels: DataFrame, patterns: DataFrame, shared: list[str], names: list[str], unit: list[str] | None = None,
-          trial: str = "vec_id", block: int = BLOCK) -> Units:
-    """``labels``: shared keys, names, trial (whole number), y, fold, is_train, is_test.
+          trial: str = "vec_id", block: int = BLOCK, most: int = 1 << 20) -> Units:
+    """Blocks of at most about ``block`` bytes and ``most`` trials.
+
+    ``labels``: shared keys, names, trial (whole number), y, fold, is_train, is_test.
     ``patterns``: the unit's keys (``shared`` among them), trial, features."""
     unit = unit or [*shared, "roi"]
     kinds = {"t": "bigint", "y": "tinyint", "fold": "bigint", "is_train": "boolean", "is_test": "boolean"}
     cells = labels.groupBy(*shared, *names).agg(F.array_sort(F.collect_list(F.struct(
         *[F.col(trial if c == "t" else c).cast(kinds[c]).alias(c) for c in COLUMNS]))).alias("__l")).select(
         *shared, *names, *[F.col(f"__l.{c}").alias(c) for c in COLUMNS])
-    size = cut_lineage(patterns.groupBy(*unit).agg(F.ceil(F.sum(F.size("features") * F.lit(8.0)) / block).cast("int").alias("__k")))
+    size = cut_lineage(patterns.groupBy(*unit).agg(F.greatest(
+        F.ceil(F.sum(F.size("features") * F.lit(8.0)) / block), F.ceil(F.count(F.lit(1)) / most)).cast("int").alias("__k")))
     rows = patterns.join(size, unit).select(*unit, F.pmod(F.xxhash64(trial), F.col("__k")).cast("int").alias("__b"),
                                             F.col(trial).cast("bigint").alias("t"), "features")
     beside = size.join(cells, shared).withColumn("__b", F.explode(F.sequence(F.lit(0), F.col("__k") - 1)))
@@ -97,6 +100,7 @@ class Cell:
     is_test: np.ndarray
     folds: np.ndarray    # of test rows, over the whole cell
     every: np.ndarray    # of all rows, over the whole cell
+    rows: np.ndarray     # places among the block's patterns
 
 
 def opened(left: pd.DataFrame, r: dict) -> Cell:
@@ -116,7 +120,7 @@ def opened(left: pd.DataFrame, r: dict) -> Cell:
     here = own[at] == t
     rows = order[at[here]]
     return Cell(x[rows], there[rows], centre, y[here], fold[here], is_train[here], is_test[here],
-                np.unique(fold[is_test]), np.unique(fold))
+                np.unique(fold[is_test]), np.unique(fold), rows)
 
 
 # ---- statistics and weights ------------------------------------------------------------

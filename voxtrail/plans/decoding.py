@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from voxtrail.functions import arrays as A
-from voxtrail.operators import averaged as AV, decode as D, folds as K, groupstats as G, patterns as P, permute as N, report as R, spatial as S, units as U
+from voxtrail.operators import averaged as AV, decode as D, folds as K, groupstats as G, patterns as P, permute as N, report as R, spatial as S, svm as SV, units as U
 from voxtrail.plans.contracts import sub
 from voxtrail.plans.pattern_plans import KEEP, Z1, patterns
 from voxtrail.plans.registry import query
@@ -244,17 +244,17 @@ def d12(c):
     return U.cross_validate(loro(c), U.Scorer("centroid"))
 
 
-SVM_GAP = 1e-3
+SVM_GAP = 1e-6
 
 
-def svm_folds(c):
-    d = K.run_folds(K.contrast_pool(P.pattern_zscore(patterns(c))))
-    return D.hinge_validate(d.withColumnRenamed("vec_id", "trial"), CELL, tolerance=SVM_GAP)
+def svm_folds(c, margin=SV.Margin(tolerance=SVM_GAP)):
+    features = P.pattern_zscore(patterns(c)).select("subject", "roi", "vec_id", "features")
+    return SV.validate(SV.units(K.run_folds(pool(c)), features, ["subject"], ["contrast", "kind"]), margin)
 
 
 @query("d13_linear_svm")
 def d13(c):
-    return svm_folds(c).drop("gap")
+    return svm_folds(c).drop("gap", "n_selected")
 
 
 @query("d13_certificate", f"""WITH {POOL}, r AS (SELECT unnest(['r0','r1','r2','r3']) AS roi)
@@ -264,6 +264,29 @@ def d13_certificate(c):
     return svm_folds(c).select(*CELL, "fold", "n_test", (F.col("gap") <= SVM_GAP).alias("solved"))
 
 
+# the two selectors that rank by the margin model: by its weights, and by its Haufe pattern
+SVM_HALF = {"svm_top50": SV.Margin(select="weight", tolerance=SVM_GAP), "haufe_top50": SV.Margin(select="haufe", tolerance=SVM_GAP)}
+
+
+@query("d14_svm_top50")
+def d14_svm(c):
+    return svm_folds(c, SVM_HALF["svm_top50"]).drop("gap", "n_selected")
+
+
+@query("d14_haufe_top50")
+def d14_svm_haufe(c):
+    return svm_folds(c, SVM_HALF["haufe_top50"]).drop("gap", "n_selected")
+
+
+@query("d14_svm_certificate", f"""WITH {POOL}, r AS (SELECT unnest(['r0','r1','r2','r3']) AS roi), s AS (SELECT unnest(['svm_top50','haufe_top50']) AS selector)
+SELECT selector, {", ".join(CELL)}, run AS fold, count(*) AS n_test, 8 AS n_selected, true AS solved FROM pool, r, s WHERE is_test GROUP BY ALL""")
+def d14_certificate(c):
+    """Both selectors keep half of the features of every model, and the refits meet the gap."""
+    parts = [svm_folds(c, m).select(F.lit(k).alias("selector"), *CELL, "fold", "n_test", "n_selected", (F.col("gap") <= SVM_GAP).alias("solved"))
+             for k, m in SVM_HALF.items()]
+    return parts[0].unionByName(parts[1])
+
+
 SEL = """sel AS (SELECT {m}, fold, pos FROM (SELECT *, row_number() OVER (PARTITION BY {m}, fold ORDER BY {s} DESC, pos) AS rn FROM {src}) WHERE rn <= 5),
 dsel AS (SELECT {m}, fold, trial, y, sum(w*x+b) AS decision FROM rws JOIN wt_acc_f USING ({m}, fold, pos) SEMI JOIN sel USING ({m}, fold, pos) WHERE is_test GROUP BY ALL)
 SELECT {m}, fold, count(*) FILTER ((decision > 0)::INT = y) AS n_correct, count(decision) AS n_scored, count(*) AS n_test, rnd(avg(((decision > 0)::INT = y)::INT)) AS accuracy FROM dsel GROUP BY ALL"""
