@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from voxtrail.functions import arrays as A, stats, text
 from voxtrail.functions.hashing import PRIME, hash32, poly_hash, poly_seed
-from voxtrail.operators import (averaged as AV, compare as C, decode as D, folds as K, groupstats as G, linmodel as L, patterns as P,
+from voxtrail.operators import (averaged as AV, compare as C, decode as D, folds as K, groupstats as G, leakage as W, linmodel as L, patterns as P,
                                 permute as N, ranks as R, report as O, similarity as M, spatial as S, svm as SV, timeseries as T,
                                 units as U, validate as V)
 from voxtrail.session import scratch_path
@@ -622,6 +622,68 @@ def test_units_of_nothing(unit_tables):
         assert U.cross_validate(U.units(a, b, ["subject"], ["contrast", "kind"])).count() == 0
 
 
+@pytest.mark.parametrize("n,p", [(40, 15), (14, 33)])
+def test_whitening_by_trials_equals_the_covariance(spark, n, p):
+    rng = np.random.default_rng(n)
+    mix = rng.normal(size=(p, p)) / 3 + np.eye(p)
+    rows = [(k, i, "ab"[i % 2], 7 * i, (rng.normal(size=p) @ mix + i % 2).tolist()) for k in ("u", "v") for i in range(n)]
+    d = spark.createDataFrame(rows, "k string, id int, c string, z int, features array<double>")
+    want = L.whiten(d, L.inverse_root(L.shrunk_covariance(d, ["k"], "c"), ["k"]), ["k"], "id", ["z"])
+    for tile in (4, 1000):
+        got = L.whitened(d, ["k"], "c", "id", ["z"], tile).select(*want.columns)
+        for a, b in zip(sorted(want.collect(), key=lambda r: r[:2]), sorted(got.collect(), key=lambda r: r[:2])):
+            assert a[:3] == b[:3] and np.allclose(a.features, b.features, atol=1e-8)
+
+
+def test_whitening_of_twenty_thousand_features(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(24, 20_000)) + np.repeat(rng.normal(size=(2, 20_000)), 12, axis=0)
+    d = spark.createDataFrame([("u", i, "ab"[i // 12], v.tolist()) for i, v in enumerate(x)], "k string, id int, c string, features array<double>")
+    got = np.array([r.features for r in L.whitened(d, ["k"], "c", "id").orderBy("id").collect()])
+    r = L.residual_rows(x, np.repeat(["a", "b"], 12))
+    scale, inner, shrinkage = L.root_factors(r @ r.T, 20_000)
+    # the covariance times the root twice is the identity, seen from the rows
+    mu = np.trace(r @ r.T) / 24 / 20_000
+    once = scale * got + ((got @ r.T) @ inner) @ r
+    back = shrinkage * mu * once + (1 - shrinkage) / 24 * (once @ r.T) @ r
+    assert np.allclose(back, x, atol=1e-8) and 0 < shrinkage < 1
+
+
+def test_whitening_without_shrinkage_keeps_the_floor():
+    r = L.residual_rows(np.random.default_rng(1).normal(size=(400, 3)), np.zeros(400))
+    scale, inner, shrinkage = L.root_factors(r @ r.T, 3)
+    w = scale * np.eye(3) + r.T @ inner @ r
+    cov = (1 - shrinkage) * r.T @ r / 400 + shrinkage * np.trace(r.T @ r) / 1200 * np.eye(3)
+    assert np.allclose(w @ cov @ w, np.eye(3), atol=1e-9)
+
+
+@pytest.mark.parametrize("p", [5, 60])
+def test_leakage_arms_equal_whitened_patterns(spark, p):
+    rng = np.random.default_rng(31)
+    x = rng.normal(size=(48, p)) @ (np.eye(p) + rng.normal(size=(p, p)) / 4) + 0.4 * (np.arange(48) % 2)[:, None]
+    cond = np.array([f"{'ab'[t // 32]}{t % 2}" for t in range(48)])
+    lab = [(1, "c", "within", t, t % 2, t // 2 % 3, True, True) for t in range(32)]  # the contrast sees two thirds of the trials
+    u = U.units(spark.createDataFrame(lab, "subject int, contrast string, kind string, vec_id int, y int, fold long, is_train boolean, is_test boolean"),
+                spark.createDataFrame([(1, "r", t, cond[t], v.tolist()) for t, v in enumerate(x)], "subject int, roi string, vec_id int, condition string, features array<double>"),
+                ["subject"], ["contrast", "kind"], block=W.BLOCK, carry=("condition",))
+    got = {(r.arm, r.fold): r.n_correct for r in W.arms(u).collect()}
+
+    def root(rows):
+        return W.root_matrix(L.residual_rows(x[rows], cond[rows]))
+
+    every = root(np.arange(48))
+    for f in range(3):
+        tr, te = (np.array([t for t in range(32) if (t // 2 % 3 == f) == held]) for held in (False, True))
+        for arm, m in (("none", np.eye(p)), ("all_trials", every), ("train_only", root(tr))):
+            z, y = x @ m, np.arange(48) % 2
+            mean = [z[tr[y[tr] == k]].mean(0) for k in (0, 1)]
+            mu, v = z[tr].mean(0), z[tr].var(0, ddof=1)
+            pooled = sum(((z[tr[y[tr] == k]] - mean[k]) ** 2).sum(0) for k in (0, 1)) / (len(tr) - 2) / v
+            a, b = ((k - mu) / np.sqrt(v) for k in mean)
+            score = ((b - a) / (0.9 * pooled + 0.1) * ((z[te] - mu) / np.sqrt(v) - (a + b) / 2)).sum(axis=1)
+            assert got[arm, f] == ((score > 0) == y[te]).sum()
+
+
 def exact_margin(x, y, c=1.0, sweeps=20_000):
     """Weights and offset of a small model by plain coordinate ascent to the end."""
     z, s = np.c_[x - x.mean(axis=0), np.ones(len(x))], 2.0 * y - 1

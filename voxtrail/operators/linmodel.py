@@ -203,3 +203,108 @@ def whiten(df: DataFrame, roots: DataFrame, keys: list[str], trial: str, keep: l
         left["features"] = list(np.stack(left["features"].to_numpy()) @ w)
         return left[out_cols]
     return d.groupBy(*keys, "__b").cogroup(m.groupBy(*keys, "__b")).applyInPandas(product, schema)
+
+
+# ---- whitening by trials ---------------------------------------------------------------
+
+MOST_TRIALS = 4096  # of a key: matrices of trials x trials meet in one task
+TILE = 2048         # features of a task
+
+
+def root_factors(k: np.ndarray, width: int, floor: float = 1e-8) -> tuple[float, np.ndarray, float]:
+    """Inverse root of the shrunk covariance of residual rows R, from K = R R' alone.
+
+    The covariance is a scaled identity plus R'R, so its inverse root is ``scale`` I + R' M R with M as wide as the
+    trials. Trace, squared norm and the fourth powers that the shrinkage needs are in K too.
+    Returns scale, M and the shrinkage."""
+    n, trace = len(k), float(np.trace(k))
+    mu, norm = trace / n / width, float((k * k).sum()) / (n * n)
+    beta = (float((np.diag(k) ** 2).sum()) / n - norm) / (width * n)
+    delta = (norm - 2 * mu * trace / n + width * mu * mu) / width
+    shrinkage = max(0.0, min(beta, delta) / delta) if delta > 0 else 0.0
+    val, vec = np.linalg.eigh(k)
+    val = np.maximum(val, 0.0)
+    rest = max(shrinkage * mu, floor)                     # where no residual reaches
+    own = np.maximum(shrinkage * mu + (1 - shrinkage) / n * val, floor)
+    rise = np.where(own > rest, own - rest, 0.0)
+    known = val > 1e-12 * max(val[-1], 1e-300)
+    inner = np.where(known, -rise / np.where(known, val, 1.0) / (np.sqrt(own * rest) * (np.sqrt(own) + np.sqrt(rest))), 0.0)
+    return rest ** -0.5, (vec * inner) @ vec.T, shrinkage
+
+
+def residual_rows(x: np.ndarray, condition: np.ndarray) -> np.ndarray:
+    """Rows minus the mean of their condition."""
+    _, of = np.unique(condition, return_inverse=True)
+    ind = np.eye(of.max() + 1)[of] if len(of) else np.zeros((0, 0))
+    return x - ind @ ((ind.T @ x) / np.maximum(ind.sum(axis=0), 1)[:, None])
+
+
+def whitened(df: DataFrame, keys: list[str], condition: str, trial: str, keep: Sequence[str] = (), tile: int = TILE) -> DataFrame:
+    """Patterns times the inverse root of their key's shrunk residual covariance, for any number of features.
+
+    No matrix of features x features is made. Features are cut into tiles; each tile gives its share of R R'
+    and X R' (trials x trials), the sums of a key give B = X R' M, and each tile's patterns become
+    scale X + B R. A key of more than MOST_TRIALS trials goes by its covariance (``inverse_root``)."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    many = cut_lineage(sizes.filter(F.col("n") > MOST_TRIALS).select(*keys))
+    if many.take(1):
+        few, big = df.join(many, keys, "left_anti"), df.join(many, keys, "left_semi")
+        roots = inverse_root(shrunk_covariance(big, keys, condition), keys)
+        return _by_tiles(few, keys, condition, trial, keep, tile).unionByName(whiten(big, roots, keys, trial, list(keep)))
+    return _by_tiles(df, keys, condition, trial, keep, tile)
+
+
+def _by_tiles(df: DataFrame, keys: list[str], condition: str, trial: str, keep: Sequence[str], tile: int) -> DataFrame:
+    width = F.size("features")
+    parts = F.transform(F.sequence(F.lit(0), F.floor((width - 1) / tile)), lambda i: F.struct(
+        i.cast("int").alias("__tile"), F.slice("features", (i * tile + 1).cast("int"), F.lit(tile)).alias("x")))
+    tiles = cut_lineage(df.select(*keys, trial, condition, width.alias("__p"), F.explode(parts).alias("__t"))
+                        .select(*keys, trial, condition, "__p", "__t.__tile", F.col("__t.x").alias("features")))
+    head = tiles.select(*keys).schema.simpleString()[7:-1].replace(":", " ")
+
+    def opened(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+        pdf = pdf.sort_values(trial, kind="stable")
+        x = np.array(pdf["features"].tolist(), dtype=np.float64)
+        return pdf, x, residual_rows(x, pdf[condition].to_numpy())
+
+    def with_keys(key: tuple, out: pd.DataFrame) -> pd.DataFrame:
+        for c, v in zip(keys, key):
+            out[c] = v
+        return out
+
+    def share(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, x, r = opened(pdf)
+        out = pd.DataFrame({"__row": np.arange(len(x), dtype=np.int32), "__k": list(r @ r.T), "__xr": list(x @ r.T), "__p": int(pdf["__p"].iloc[0])})
+        return with_keys(key, out)[[*keys, "__row", "__k", "__xr", "__p"]]
+
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame({"__row": [key[-1]], "__p": pdf["__p"].iloc[:1].to_numpy(), "__k": [np.sum(pdf["__k"].to_numpy())], "__xr": [np.sum(pdf["__xr"].to_numpy())]})
+        return with_keys(key, out)[[*keys, "__row", "__k", "__xr", "__p"]]
+
+    def mix(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__row")
+        scale, inner, _ = root_factors(np.stack(pdf["__k"].to_numpy()), int(pdf["__p"].iloc[0]))
+        out = pd.DataFrame({"__row": pdf["__row"].to_numpy(), "__b": list(np.stack(pdf["__xr"].to_numpy()) @ inner), "__scale": scale})
+        return with_keys(key, out)[[*keys, "__row", "__b", "__scale"]]
+
+    sums = f"{head}, __row int, __k array<double>, __xr array<double>, __p int"
+    shares = tiles.groupBy(*keys, "__tile").applyInPandas(share, sums)
+    mixed = cut_lineage(shares.groupBy(*keys, "__row").applyInPandas(add, sums).groupBy(*keys).applyInPandas(
+        mix, f"{head}, __row int, __b array<double>, __scale double"))
+    beside = mixed.join(tiles.select(*keys, "__tile").distinct(), keys)
+    beside = beside.select(*[F.col(c).alias(c) for c in beside.columns])
+
+    def product(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return left.iloc[:0][[*keys, trial, "__tile", "features"]]
+        pdf, x, r = opened(left)
+        right = right.sort_values("__row")
+        pdf = pdf.copy()
+        pdf["features"] = list(right["__scale"].iloc[0] * x + np.stack(right["__b"].to_numpy()) @ r)
+        return pdf[[*keys, trial, "__tile", "features"]]
+
+    out = tiles.groupBy(*keys, "__tile").cogroup(beside.groupBy(*keys, "__tile")).applyInPandas(
+        product, tiles.select(*keys, trial, "__tile", "features").schema)
+    whole = out.groupBy(*keys, trial).agg(F.flatten(F.transform(
+        F.array_sort(F.collect_list(F.struct("__tile", "features"))), lambda e: e["features"])).alias("features"))
+    return whole.join(df.select(*keys, trial, *keep), [*keys, trial]) if keep else whole

@@ -67,8 +67,8 @@ class Units:
 
 
 def units(labels: DataFrame, patterns: DataFrame, shared: list[str], names: list[str], unit: list[str] | None = None,
-          trial: str = "vec_id", block: int = BLOCK, most: int = 1 << 20) -> Units:
-    """Blocks of at most about ``block`` bytes and ``most`` trials.
+          trial: str = "vec_id", block: int = BLOCK, most: int = 1 << 20, carry: tuple[str, ...] = ()) -> Units:
+    """Blocks of at most about ``block`` bytes and ``most`` trials; ``carry``: further columns of the patterns.
 
     ``labels``: shared keys, names, trial (whole number), y, fold, is_train, is_test.
     ``patterns``: the unit's keys (``shared`` among them), trial, features."""
@@ -80,7 +80,7 @@ def units(labels: DataFrame, patterns: DataFrame, shared: list[str], names: list
     size = cut_lineage(patterns.groupBy(*unit).agg(F.greatest(
         F.ceil(F.sum(F.size("features") * F.lit(8.0)) / block), F.ceil(F.count(F.lit(1)) / most)).cast("int").alias("__k")))
     rows = patterns.join(size, unit).select(*unit, F.pmod(F.xxhash64(trial), F.col("__k")).cast("int").alias("__b"),
-                                            F.col(trial).cast("bigint").alias("t"), "features")
+                                            F.col(trial).cast("bigint").alias("t"), "features", *carry)
     beside = size.join(cells, shared).withColumn("__b", F.explode(F.sequence(F.lit(0), F.col("__k") - 1)))
     beside = beside.select(*[F.col(c).alias(c) for c in beside.columns])  # columns of its own: both sides stem from the patterns
     types = dict(patterns.dtypes) | dict(labels.dtypes)

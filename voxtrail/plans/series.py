@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from voxtrail.operators import decode as D, folds as K, linmodel as L, patterns as P, timeseries as T
+from voxtrail.operators import decode as D, folds as K, leakage as W, linmodel as L, patterns as P, timeseries as T, units as U
 from voxtrail.plans.decoding import CELL, POOL, WITHIN, decode_sql, fold_sql, pool, rows_sql
 from voxtrail.plans.pattern_plans import patterns
 from voxtrail.plans.registry import query
@@ -220,25 +220,17 @@ def v19(c):
 @query("v19_whitened_patterns")
 def v19_whitened(c):
     p = patterns(c).select("vec_id", "subject", "roi", "valence", "features")
-    roots = L.inverse_root(L.shrunk_covariance(p, ["subject", "roi"], "valence"), ["subject", "roi"])
-    return P.explode_features(L.whiten(p, roots, ["subject", "roi"], "vec_id", ["valence"]), ["vec_id", "roi"])
+    return P.explode_features(L.whitened(p, ["subject", "roi"], "valence", "vec_id"), ["vec_id", "roi"])
 
 
 @query("d20_whitening_leakage")
 def d20(c):
-    """Accuracy without whitening, with whitening from all trials (leaks), and from the training
-    folds only, on the same folds."""
-    p = patterns(c).select("vec_id", "subject", "roi", "valence", "features")
+    """Accuracy without whitening, with whitening from all trials of the subject (leaks), and from the
+    training folds only, on the same folds."""
+    p = patterns(c).select("vec_id", "subject", "roi", F.concat_ws("_", "source", "valence").alias("condition"), "features")
     f = K.stratified_folds(pool(c, WITHIN), ["subject", "contrast"], "vec_id", 3)
-    own = D.expand_folds(f, 3).drop("valence", "image", "run", "source").join(p.drop("subject"), "vec_id")
-    key = ["arm", "subject", "contrast", "roi", "fold"]
-    keep = ["kind", "y", "is_train", "is_test"]
-    both = own.withColumn("arm", F.explode(F.array(F.lit("all_trials"), F.lit("train_only"))))
-    seen = both.filter((F.col("arm") == "all_trials") | F.col("is_train"))
-    white = L.whiten(both, L.inverse_root(L.shrunk_covariance(seen, key, "valence"), key), key, "vec_id", keep)
-    raw = own.select(F.lit("none").alias("arm"), *[c for c in white.columns if c != "arm"])
-    rows = P.explode_features(white.unionByName(raw).withColumnRenamed("vec_id", "trial"), [*key, "trial", *keep])
-    return D.roll_up(D.split_validate(rows, ["arm", *CELL, "fold"]), ["arm", *CELL]).select("arm", *CELL, "accuracy")
+    u = U.units(f, p, ["subject"], ["contrast", "kind"], block=W.BLOCK, carry=("condition",))
+    return D.roll_up(W.arms(u), ["arm", *CELL]).select("arm", *CELL, "accuracy")
 
 
 @query("v19_whitening_certificate", """
