@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from voxtrail.functions import arrays as A, stats, text
 from voxtrail.functions.hashing import PRIME, hash32, poly_hash, poly_seed
-from voxtrail.operators import (averaged as AV, compare as C, decode as D, folds as K, groupstats as G, leakage as W, linmodel as L, patterns as P,
+from voxtrail.operators import (averaged as AV, compare as C, decode as D, folds as K, glm as GL, groupstats as G, leakage as W, linmodel as L, patterns as P,
                                 permute as N, ranks as R, report as O, similarity as M, spatial as S, svm as SV, timeseries as T,
                                 units as U, validate as V)
 from voxtrail.session import scratch_path
@@ -479,7 +479,7 @@ def _glm(spark, drop=()):
 
 def test_linear_model_with_a_gap(spark):
     x, y, yd, xd = _glm(spark, drop={(1, 4), (1, 9)})
-    f = L.fit(yd, xd, ["v"], "t", "y").toPandas().set_index("v")
+    f = GL.fit(GL.dealt(yd, xd, ["v"], "t", "y")).toPandas().set_index("v")
     keep = [t for t in range(30) if t not in (4, 9)]
     for v, rows in ((0, list(range(30))), (1, keep)):
         beta, sse, *_ = np.linalg.lstsq(x[rows], y[rows, v], rcond=None)
@@ -487,11 +487,39 @@ def test_linear_model_with_a_gap(spark):
     assert [r.v for r in L.incomplete_units(yd, xd, ["v"], "t", "y").collect()] == [1]
 
 
+@pytest.mark.parametrize("span,chunks", [(None, None), (7, 2), (1, 3), (4, 1)])
+def test_linear_model_in_time_blocks(spark, span, chunks):
+    rng = np.random.default_rng(14)
+    x = np.c_[np.ones(40), rng.normal(size=(40, 2))]
+    y = {(f"u{v}", v): x @ rng.normal(size=3) + np.cumsum(rng.normal(size=40)) for v in range(5)}
+    gone = {("u1", t) for t in (6, 7, 20)} | {("u2", t) for t in range(13)} | {("u3", t) for t in range(40) if t != 9}
+    rows = [(a, b, t, float(v[t])) for (a, b), v in y.items() for t in range(40) if (a, t) not in gone]
+    rows += [("u0", 0, 99, 5.0), ("u4", 4, -3, 1.0), ("u1", 1, 6, None), ("u1", 1, 7, float("nan"))]
+    yd = spark.createDataFrame(rows, "a string, b int, t int, y double").repartition(3)
+    xd = spark.createDataFrame([(t, r.tolist()) for t, r in enumerate(x)], "t int, features array<double>")
+    blocks = GL.dealt(yd, xd, ["a", "b"], "t", "y", span, chunks)
+    f = {r.a: r for r in GL.fit(blocks, [[0.0, 1.0, 0.0]]).collect()}
+    e = {(r.a, r.t): r.residual for r in GL.residuals(blocks, GL.weights(blocks)).collect()}
+    assert len(f) == 5 and len(e) == sum(1 for r in rows if r[3] == r[3] and r[3] is not None and 0 <= r[2] < 40)
+    for (a, _), v in y.items():
+        keep = [t for t in range(40) if (a, t) not in gone]
+        beta = np.linalg.pinv(x[keep]) @ v[keep]
+        rest = dict(zip(keep, v[keep] - x[keep] @ beta))
+        assert np.allclose(f[a].beta, beta, atol=1e-8) and all(abs(e[a, t] - r) < 1e-8 for t, r in rest.items())
+        rank = np.linalg.matrix_rank(x[keep])
+        assert f[a].df == len(keep) - rank and (f[a].sigma2 is None) == (len(keep) == rank)
+        if len(keep) > 3:
+            pairs = [(rest[t], rest[t - 1]) for t in keep if t - 1 in rest]
+            assert abs(f[a].sigma2 - sum(r * r for r in rest.values()) / (len(keep) - rank)) < 1e-9
+            assert abs(f[a].rho - sum(p * q for p, q in pairs) / sum(q * q for _, q in pairs)) < 1e-9
+            assert abs(f[a].scale[0] - np.linalg.inv(x[keep].T @ x[keep])[1, 1]) < 1e-9
+
+
 def test_prewhitened_refit(spark):
     x, y, yd, xd = _glm(spark)
     rho = 0.4
     w = L.prais_winsten(yd, rho, ["v"], "t", "y")
-    f = L.fit(w, L.prais_winsten_design(xd, rho, "t"), ["v"], "t", "whitened").toPandas().set_index("v")
+    f = GL.fit(GL.dealt(w, L.prais_winsten_design(xd, rho, "t"), ["v"], "t", "whitened")).toPandas().set_index("v")
 
     def white(m):
         return np.r_[m[:1] * np.sqrt(1 - rho ** 2), m[1:] - rho * m[:-1]]
@@ -544,7 +572,7 @@ def test_wide_design(spark):
     y = x[:, :2] @ np.array([[1.0, 0.0], [2.0, -1.0]]) + 0.1 * rng.normal(size=(700, 2))
     yd = spark.createDataFrame([(v, t, float(y[t, v])) for v in (0, 1) for t in range(700)], "v int, t int, y double")
     xd = spark.createDataFrame([(t, x[t].tolist()) for t in range(700)], "t int, features array<double>")
-    f = L.fit(yd, xd, ["v"], "t", "y", [[1.0] + [0.0] * 669]).toPandas().set_index("v")
+    f = GL.fit(GL.dealt(yd, xd, ["v"], "t", "y", span=300), [[1.0] + [0.0] * 669]).toPandas().set_index("v")
     for v in (0, 1):
         assert np.allclose(f.loc[v, "beta"], np.linalg.lstsq(x, y[:, v], rcond=None)[0], atol=1e-8) and f.loc[v, "df"] == 30
     assert np.isclose(f.loc[0, "scale"][0], np.linalg.inv(x.T @ x)[0, 0])

@@ -13,59 +13,6 @@ from voxtrail.operators.ranks import exact_quantiles
 from voxtrail.operators.similarity import gram
 from voxtrail.session import cut_lineage
 
-MAX_DESIGN_BYTES = 1 << 29  # a design is as long as one recording; a longer one fails loudly
-
-
-def _local_design(design: DataFrame, t: str) -> tuple[np.ndarray, np.ndarray]:
-    """Time points and rows of the design, after a check of their size."""
-    n, p = design.agg(F.count(F.lit(1)), F.max(F.size("features"))).first()
-    if n * (p or 0) * 8 > MAX_DESIGN_BYTES:
-        raise ValueError(f"a design of {n} x {p} values exceeds {MAX_DESIGN_BYTES} bytes")
-    rows = design.select(t, "features").orderBy(t).collect()
-    return np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), p or 0)
-
-
-def fit(y: DataFrame, design: DataFrame, unit: list[str], t: str, value: str,
-        contrasts: Sequence[Sequence[float]] = ()) -> DataFrame:
-    """Least squares per unit (voxel): ``beta``, residual variance ``sigma2``, ``df``, and for each
-    of ``contrasts`` the factor ``scale`` of its variance.
-
-    ``design``: t, features (one array per time point); every task gets it whole, as one recording's
-    design is small (its size is checked). A unit's samples are one array no longer than the
-    design. Units with all time points share one inverse, the others get their own."""
-    at, x = _local_design(design, t)
-    inverse = np.linalg.pinv(x.T @ x, hermitian=True)
-    w = np.array(contrasts, dtype=np.float64).reshape(len(contrasts), x.shape[1] if len(contrasts) else 0)
-    sent = y.sparkSession.sparkContext.broadcast((at, x, inverse, int(np.linalg.matrix_rank(x)) if x.size else 0, w))
-    series = y.filter(F.col(value).isNotNull()).groupBy(*unit).agg(
-        F.collect_list(F.struct(F.col(t).alias("t"), F.col(value).cast("double").alias("v"))).alias("__s"))
-    schema = series.select(*unit).schema.simpleString()[7:-1].replace(":", " ") + (
-        ", beta array<double>, sigma2 double, df int, scale array<double>")
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, x, inverse, rank, w = sent.value
-        for b in batches:
-            out = []
-            for samples in b["__s"]:
-                when = np.array([s["t"] for s in samples])
-                row = np.searchsorted(at, when)
-                known = (row < len(at)) & (at[np.minimum(row, len(at) - 1)] == when) if len(at) else np.zeros(len(when), bool)
-                row, v = row[known], np.array([s["v"] for s in samples])[known]
-                m, inv, r = x[row], inverse, rank
-                if len(row) != len(at):
-                    inv, r = np.linalg.pinv(m.T @ m, hermitian=True), int(np.linalg.matrix_rank(m)) if m.size else 0
-                beta = inv @ (m.T @ v)
-                df = len(row) - r
-                rest = v - m @ beta
-                out.append((beta, rest @ rest / df if df > 0 else None, df, np.einsum("ki,ij,kj->k", w, inv, w) if len(w) else np.empty(0)))
-            res = b[unit].reset_index(drop=True)
-            for i, c in enumerate(("beta", "sigma2", "df", "scale")):
-                res[c] = [o[i] for o in out]
-            yield res
-
-    return series.mapInPandas(solve, schema)
-
-
 def incomplete_units(y: DataFrame, design: DataFrame, unit: list[str], t: str, value: str) -> DataFrame:
     """Units that lack a value at some time point of the design."""
     n_design = design.agg(F.count_distinct(t)).first()[0]
@@ -73,11 +20,6 @@ def incomplete_units(y: DataFrame, design: DataFrame, unit: list[str], t: str, v
     return g.filter(F.col("n") != n_design)
 
 
-def residuals(y: DataFrame, design: DataFrame, fitted: DataFrame, unit: list[str], t: str, value: str) -> DataFrame:
-    j = y.join(design, t).join(fitted.select(*unit, "beta"), unit)
-    return j.select(*unit, t, (F.col(value) - A.dot(F.col("features"), F.col("beta"))).alias("residual"))
-
-
 def contrast(fitted: DataFrame, unit: list[str], weights: list[float], k: int = 0) -> DataFrame:
     """Effect, standard error and t of the weighted sum of betas that was ``contrasts[k]`` of the fit."""
     w = F.array(*[F.lit(float(x)) for x in weights])
@@ -93,14 +35,6 @@ def lagged(df: DataFrame, unit: list[str], t: str, value: str) -> DataFrame:
     return df.join(prev, [*unit, t], "left")
 
 
-def ar1(residual: DataFrame, unit: list[str], t: str, value: str) -> DataFrame:
-    """Lag-one autocorrelation per unit; the pooled one is ``pooled_ar1``."""
-    d = lagged(residual, unit, t, value)
-    v, before = F.col(value), F.col("__prev")
-    g = d.groupBy(*unit).agg(F.sum(v * before).alias("__c"), F.sum(before * before).alias("__v"))
-    return g.select(*unit, F.when(F.col("__v") > 1e-8, F.col("__c") / F.col("__v")).alias("rho"))
-
-
 def pooled_ar1(rho: DataFrame, limit: float = 0.9) -> float:
     """Median over units, clipped."""
     m = exact_quantiles(rho, [], "rho", {"rho": 0.5}).first()["rho"]

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from voxtrail.operators import decode as D, folds as K, leakage as W, linmodel as L, patterns as P, timeseries as T, units as U
+from voxtrail.operators import decode as D, folds as K, glm as GL, leakage as W, linmodel as L, patterns as P, timeseries as T, units as U
 from voxtrail.plans.decoding import CELL, POOL, WITHIN, decode_sql, fold_sql, pool, rows_sql
 from voxtrail.plans.pattern_plans import patterns
 from voxtrail.plans.registry import query
@@ -146,14 +146,13 @@ g AS (SELECT voxel_id, regr_slope(y, x) AS b1, regr_intercept(y, x) AS b0, count
 
 
 def glm(c):
-    y = cut_lineage(c.view("glm_y"))
-    d = cut_lineage(design(c))
-    return y, d, L.fit(y, d, ["voxel_id"], "t", "y", [SLOPE])
+    y, d = cut_lineage(c.view("glm_y")), cut_lineage(design(c))
+    return y, d, GL.dealt(y, d, ["voxel_id"], "t", "y")
 
 
 @query("v20_linear_model", f"WITH {GLM} SELECT voxel_id, rnd(b1) AS effect, rnd(sqrt(sse/(n-2)/sxx)) AS se, rnd(b1/sqrt(sse/(n-2)/sxx)) AS t, n-2 AS df FROM g")
 def v20(c):
-    return L.contrast(glm(c)[2], ["voxel_id"], SLOPE)
+    return L.contrast(GL.fit(glm(c)[2], [SLOPE]), ["voxel_id"], SLOPE)
 
 
 RES = f"{GLM}, e AS (SELECT voxel_id, t, y - b0 - b1*x AS e FROM j JOIN g USING (voxel_id))"
@@ -161,8 +160,8 @@ RES = f"{GLM}, e AS (SELECT voxel_id, t, y - b0 - b1*x AS e FROM j JOIN g USING
 
 @query("v20_residuals", f"WITH {RES} SELECT voxel_id, t, rnd(e) AS residual FROM e")
 def v20_residuals(c):
-    y, d, f = glm(c)
-    return L.residuals(y, d, f, ["voxel_id"], "t", "y")
+    blocks = glm(c)[2]
+    return GL.residuals(blocks, cut_lineage(GL.weights(blocks)))
 
 
 RHO = f"""{RES}, el AS (SELECT voxel_id, t, e, CASE WHEN lag(t) OVER w = t-1 THEN lag(e) OVER w END AS p FROM e WINDOW w AS (PARTITION BY voxel_id ORDER BY t)),
@@ -170,8 +169,8 @@ r AS (SELECT voxel_id, sum(e*p)/sum(p*p) AS rho FROM el GROUP BY voxel_id)"""
 
 
 def autocorrelation(c):
-    y, d, f = glm(c)
-    return y, d, L.ar1(L.residuals(y, d, f, ["voxel_id"], "t", "y"), ["voxel_id"], "t", "residual")
+    y, d, blocks = glm(c)
+    return y, d, GL.fit(blocks).select("voxel_id", "rho")
 
 
 @query("v21_autocorrelation", f"WITH {RHO} SELECT voxel_id, rnd(rho) AS rho FROM r")
@@ -202,7 +201,7 @@ def v21_refit(c):
     y, d, rho = autocorrelation(c)
     rho = L.pooled_ar1(rho)
     w = cut_lineage(L.prais_winsten(y, rho, ["voxel_id"], "t", "y"))
-    f = L.fit(w, cut_lineage(L.prais_winsten_design(d, rho, "t")), ["voxel_id"], "t", "whitened", [SLOPE])
+    f = GL.fit(GL.dealt(w, cut_lineage(L.prais_winsten_design(d, rho, "t")), ["voxel_id"], "t", "whitened"), [SLOPE])
     return L.contrast(f, ["voxel_id"], SLOPE)
 
 
