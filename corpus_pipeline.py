@@ -54,8 +54,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents and their place in sequences of at most 1024 tokens."""
-    return packing.pack(docs, with_ids=False).drop("ids")
+    """Pieces of documents with their token ids and their place in sequences of at most 1024 tokens.
+
+    A document that the mix takes in several rounds is packed once a round; pieces of one row follow each
+    other by ``start``, and the ids of a sequence, by ``offset``, are its content."""
+    return packing.pack(docs)
 
 
 STAGES = [

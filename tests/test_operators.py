@@ -578,6 +578,42 @@ def test_wide_design(spark):
     assert np.isclose(f.loc[0, "scale"][0], np.linalg.inv(x.T @ x)[0, 0])
 
 
+def test_similarity_of_many_masks(spark, monkeypatch):
+    """Missing values scattered anywhere: every row has its own mask."""
+    rng = np.random.default_rng(41)
+    x = rng.normal(size=(150, 9)) + rng.normal(size=9)
+    x[rng.random(x.shape) < 0.25] = np.nan
+    x[7] = 2.0
+    rows = [("k" if i < 130 else "l", "ab"[i % 2], [None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)]
+    d = spark.createDataFrame(rows, "k string, c string, features array<double>")
+
+    def brute(a, b):
+        both = np.isfinite(x[a]) & np.isfinite(x[b])
+        if both.sum() < 5 or np.ptp(x[a][both]) == 0 or np.ptp(x[b][both]) == 0:
+            return None
+        return np.corrcoef(x[a][both], x[b][both])[0, 1]
+
+    monkeypatch.setattr(M, "TILE_ROWS", 20)
+    for key, ids in (("k", range(130)), ("l", range(130, 150))):
+        cross = [r for a in ids for b in ids if a % 2 == 0 and b % 2 == 1 and (r := brute(a, b)) is not None]
+        within = [r for a in ids for b in ids if a < b and (r := brute(a, b)) is not None]
+        got = {r.k: r for r in M.cross_similarity(d, ["k"], "c", "a", "b", 5).collect()}[key]
+        own = {r.k: r for r in M.within_similarity(d, ["k"], 5).collect()}[key]
+        assert got.n_pairs == len(cross) and abs(got.mean_r - np.mean(cross)) < 1e-9
+        assert own.n_pairs == len(within) and abs(own.mean_r - np.mean(within)) < 1e-9
+
+
+def test_neighbours_in_a_crowded_cell(spark):
+    rng = np.random.default_rng(42)
+    p = np.concatenate([rng.random((300, 3)), rng.random((300, 3)) * 6])  # half of all points in one cell
+    d = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(p)], "id int, x double, y double, z double")
+    d2 = ((p[:, None] - p[None]) ** 2).sum(axis=2)
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(d2 <= 1.0))}
+    found = S.point_neighbours(d, "id", ["x", "y", "z"], 1.0, crowded=25)
+    rows = [tuple(r) for r in found.collect()]
+    assert len(rows) == len(want) and set(rows) == want
+
+
 def test_small_svm_is_a_minimum():
     rng = np.random.default_rng(1)
     for _ in range(20):

@@ -165,6 +165,14 @@ def variable_voxels(long: DataFrame, keys: list[str], train: Column, least_sd: f
             .filter(F.col("sd") > least_sd))
 
 
+def variable_voxels_outside(long: DataFrame, keys: list[str], unit: str, least_sd: float, out: str) -> DataFrame:
+    """The same with each ``unit`` (a run) left out in turn, named ``out``: from the sums of the others, no row is copied."""
+    per = long.groupBy(*keys, "pos", unit).agg(
+        F.count("x").alias("n_"), F.avg("x").alias("m_"), (F.var_pop("x") * F.count("x")).alias("q_"))
+    d = leave_out_totals(per, [*keys, "pos"], unit, ["_"])
+    return d.select(*keys, F.col(unit).alias(out), "pos", F.sqrt(F.col("q_") / F.col("n_")).alias("sd")).filter(F.col("sd") > least_sd)
+
+
 def sphere_status(long: DataFrame, sphere: list[str], least: int) -> DataFrame:
     """Per sphere: voxels finite in all conditions, of those with variance, and a status."""
     v = long.groupBy(*sphere, "pos").agg(F.min(A.finite(F.col("x"))).alias("__ok"),

@@ -35,27 +35,31 @@ def _masked_sums(side: DataFrame, masks: DataFrame, keys: list[str], mine: str,
     return d.groupBy(*keys, mine, other, "pos").agg(F.sum("__u").alias("__s"), F.count(F.lit(1)).alias("__n"))
 
 
-MAX_MASKS = 64
-
-
-def _few(masks: DataFrame, keys: list[str]) -> DataFrame:
-    n = masks.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    many = F.raise_error(F.lit(f"a key has more than {MAX_MASKS} masks of missing values"))
-    return masks.join(n, keys).select(*keys, F.when(F.col("__n") > MAX_MASKS, many).otherwise(F.col("mask")).alias("mask"))
+FEW_MASKS = 64  # up to here the work is linear in the rows
+TILE_ROWS = 1024
 
 
 def pair_similarity(a: DataFrame, b: DataFrame, keys: list[str], min_valid: int) -> DataFrame:
     """Sum and number of Pearson correlations over all pairs (row of a, row of b) of a key.
 
     Both sides have ``keys`` and ``features`` (NULL where missing). Each pair uses the
-    positions valid in both rows, at least ``min_valid``. Rows are grouped by their mask of
-    missing values: usually one or two masks per key, always exact. The work grows with rows times
-    masks, so a key of more than MAX_MASKS masks raises; fill or drop such voxels before."""
+    positions valid in both rows, at least ``min_valid``. Keys with few distinct masks of missing values
+    take summed unit vectors per pair of masks; those with more take tiles of rows, whose
+    correlations come from products of values, squares and masks and are summed where they arise."""
     def masked(df):
-        return df.select(*keys, "features",
-                         F.transform("features", A.finite).alias("mask"))
+        return df.select(*keys, "features", F.transform("features", A.finite).alias("mask"))
     a, b = masked(a), masked(b)
-    ma, mb = (_few(d.select(*keys, "mask").distinct(), keys) for d in (a, b))
+    ma, mb = (cut_lineage(d.select(*keys, "mask").distinct()) for d in (a, b))
+    many = cut_lineage(ma.groupBy(*keys).count().unionByName(mb.groupBy(*keys).count())
+                       .filter(F.col("count") > FEW_MASKS).select(*keys).distinct())
+    if many.take(1):
+        few = [d.join(many, keys, "left_anti") for d in (a, b, ma, mb)]
+        return _by_masks(*few, keys, min_valid).unionByName(
+            _by_tiles(a.join(many, keys, "left_semi"), b.join(many, keys, "left_semi"), keys, min_valid))
+    return _by_masks(a, b, ma, mb, keys, min_valid)
+
+
+def _by_masks(a: DataFrame, b: DataFrame, ma: DataFrame, mb: DataFrame, keys: list[str], min_valid: int) -> DataFrame:
     sa = _masked_sums(a, mb, keys, "mask_a", "mask_b")
     sb = _masked_sums(b, ma, keys, "mask_b", "mask_a").select(
         *keys, "mask_a", "mask_b", "pos", F.col("__s").alias("__t"), F.col("__n").alias("__k"))
@@ -66,6 +70,43 @@ def pair_similarity(a: DataFrame, b: DataFrame, keys: list[str], min_valid: int)
         F.sum("__r").alias("sum_r"), F.sum("__p").alias("n_pairs"))
 
 
+def tile_correlations(x: np.ndarray, y: np.ndarray, min_valid: int) -> tuple[float, int]:
+    """Sum and number of pairwise-complete correlations of the rows of x and y (NaN where missing)."""
+    def parts(m):
+        there = np.isfinite(m)
+        mean = np.where(there, m, 0.0).sum(axis=1) / np.maximum(there.sum(axis=1), 1)
+        v = np.where(there, m - mean[:, None], 0.0)
+        return there.astype(np.float64), v, v * v
+    (mx, vx, qx), (my, vy, qy) = parts(x), parts(y)
+    n = np.maximum(mx @ my.T, 1)
+    sx, sy = vx @ my.T, mx @ vy.T
+    var_x, var_y = qx @ my.T - sx * sx / n, mx @ qy.T - sy * sy / n
+    ok = (mx @ my.T >= min_valid) & (var_x > 1e-12 * (qx @ my.T)) & (var_y > 1e-12 * (mx @ qy.T))
+    r = np.where(ok, (vx @ vy.T - sx * sy / n) / np.sqrt(np.where(ok, var_x * var_y, 1.0)), 0.0)
+    return float(r.sum()), int(ok.sum())
+
+
+def _by_tiles(a: DataFrame, b: DataFrame, keys: list[str], min_valid: int) -> DataFrame:
+    """Every pair of row blocks of a key is one task's products; only two numbers leave it."""
+    largest = a.select(*keys).unionByName(b.select(*keys)).groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
+    blocks = -(-largest // TILE_ROWS)
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    block = F.pmod(F.xxhash64("features"), F.lit(blocks)).cast("int")
+    left = a.select(*keys, "features", block.alias("__x")).withColumn("__y", every)
+    right = b.select(*keys, "features", block.alias("__y")).withColumn("__x", every)
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
+    group = [*keys, "__x", "__y"]
+    schema = ", ".join([f"`{k}` {t}" for k, t in a.select(*keys).dtypes] + ["r double", "n bigint"])
+
+    def product(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if x.empty or y.empty:
+            return pd.DataFrame(columns=[*keys, "r", "n"])
+        r, n = tile_correlations(*(np.array(d["features"].tolist(), dtype=np.float64) for d in (x, y)), min_valid)
+        return x[keys].iloc[:1].assign(r=r, n=n)
+    found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(product, schema)
+    return found.groupBy(*keys).agg(F.sum("r").alias("sum_r"), F.sum("n").alias("n_pairs")).filter("n_pairs > 0")
+
+
 def cross_similarity(df: DataFrame, keys: list[str], condition: str, a: str, b: str,
                      min_valid: int) -> DataFrame:
     """Mean correlation between the trials of two conditions."""

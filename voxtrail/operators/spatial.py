@@ -42,14 +42,28 @@ def lattice_neighbours(voxels: DataFrame, voxel: str, radius: float,
     return j.join(n.select("centre"), "centre", "left_semi")
 
 
-def point_neighbours(points: DataFrame, ident: str, xyz: list[str], radius: float) -> DataFrame:
+CROWDED = 2048  # points of a cell that meet in one piece
+
+
+def point_neighbours(points: DataFrame, ident: str, xyz: list[str], radius: float, crowded: int = CROWDED) -> DataFrame:
     """Pairs (centre, neighbour) of irregular points within the radius: cells of that size, the
-    27 cells around a centre, equi-join on the cell, exact distance afterwards."""
+    27 cells around a centre, equi-join on the cell, exact distance afterwards.
+
+    A cell of more than ``crowded`` points is cut into S parts by a hash of the point, and its centres too:
+    each of the S x S pieces joins one part of the centres with one part of the points, so a cell that holds most
+    points is many tasks. Only the counts of crowded cells are joined for that."""
     cells = [F.floor(F.col(c) / radius).alias(n) for c, n in zip(xyz, IJK)]
     p = points.select(F.col(ident).alias("centre"), *[F.col(c).alias("c" + c) for c in xyz], *cells)
     around = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
     q = points.select(F.col(ident).alias("neighbour"), *xyz, *cells)
-    j = _shifted(p, around).join(q, IJK)
+    parts = cut_lineage(q.groupBy(*IJK).agg(F.ceil(F.count(F.lit(1)) / crowded).cast("int").alias("__s")).filter("__s > 1"))
+
+    def dealt(df: DataFrame, own: str, other: str, name: str) -> DataFrame:
+        d = df.join(parts.select(*[F.col(c).alias(c) for c in parts.columns]), IJK, "left").withColumn("__s", F.coalesce("__s", F.lit(1)))
+        d = d.withColumn(own, F.pmod(F.xxhash64(name), F.col("__s")).cast("int"))
+        return d.withColumn(other, F.explode(F.sequence(F.lit(0), F.col("__s") - 1))).drop("__s")
+
+    j = dealt(_shifted(p, around), "__a", "__b", "centre").join(dealt(q, "__b", "__a", "neighbour"), [*IJK, "__a", "__b"])
     d2 = sum((F.pow(F.col(c) - F.col("c" + c), 2) for c in xyz), F.lit(0.0))
     return j.filter(d2 <= radius * radius).select("centre", "neighbour")
 

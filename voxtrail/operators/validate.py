@@ -186,10 +186,10 @@ def ambiguous_sessions(df: DataFrame, keys: list[str], session: str) -> DataFram
             .filter(F.col("n_sessions") != 1))
 
 
-def kept_regions(counts: DataFrame, roi: str, n: str, least: int) -> DataFrame:
-    """Region manifest from a dense subject x region count table."""
-    base = counts.groupBy(roi).agg(F.min(n).alias("min_voxels"), F.max(n).alias("max_voxels"))
-    base = base.join(exact_quantiles(counts, [roi], n, {"median_voxels": 0.5}, settled=True), roi)
+def kept_regions(counts: DataFrame, region: list[str], n: str, least: int) -> DataFrame:
+    """Region manifest from a dense subject x region count table; ``region``: its keys."""
+    base = counts.groupBy(*region).agg(F.min(n).alias("min_voxels"), F.max(n).alias("max_voxels"))
+    base = base.join(exact_quantiles(counts, region, n, {"median_voxels": 0.5}, settled=True), region)
     kept = F.col("min_voxels") >= least
     return base.withColumn("kept", kept).withColumn(
         "reason", F.when(kept, "").otherwise(F.lit(f"< {least} voxels in at least one subject")))

@@ -100,12 +100,18 @@ def d3(c):
     return U.cross_validate(folded(c, K.identity_folds(pool(c), ["subject", "contrast"], "image", 3)))
 
 
-@query("d3_family_leaks", f"WITH {POOL}, {IDF} SELECT subject, contrast, count(DISTINCT image) AS n_families, 0::BIGINT AS n_leaked FROM fp GROUP BY ALL")
+@query("d3_family_leaks", f"""WITH {POOL}, {IDF}, pl AS (SELECT subject, contrast, image, fold, CASE WHEN vec_id % 50 = 7 THEN (fold + 1) % 3 ELSE fold END AS planted FROM fp),
+im AS (SELECT subject, contrast, image, count(DISTINCT fold) > 1 AS leaked, count(DISTINCT planted) > 1 AS planted FROM pl GROUP BY ALL)
+SELECT subject, contrast, count(*) AS n_families, count(*) FILTER (leaked) AS n_leaked, count(*) FILTER (planted) AS n_planted FROM im GROUP BY ALL""")
 def d3_leaks(c):
+    """Families on both sides: none in the folds, and those found after some trials were moved to another fold."""
     d = K.identity_folds(pool(c), ["subject", "contrast"], "image", 3)
-    bad = K.leaked_families(d, ["subject", "contrast"], "image").groupBy("subject", "contrast").agg(F.count(F.lit(1)).alias("n_leaked"))
-    n = d.groupBy("subject", "contrast").agg(F.count_distinct("image").alias("n_families"))
-    return n.join(bad, ["subject", "contrast"], "left").fillna(0, ["n_leaked"])
+    keys = ["subject", "contrast"]
+    moved = d.withColumn("fold", F.when(F.col("vec_id") % 50 == 7, (F.col("fold") + 1) % 3).otherwise(F.col("fold")))
+    out = d.groupBy(*keys).agg(F.count_distinct("image").alias("n_families"))
+    for rows, name in ((d, "n_leaked"), (moved, "n_planted")):
+        out = out.join(K.leaked_families(rows, keys, "image").groupBy(*keys).agg(F.count(F.lit(1)).alias(name)), keys, "left")
+    return out.fillna(0, ["n_leaked", "n_planted"])
 
 
 SPLIT = "fp AS (SELECT *, CASE WHEN is_test THEN 0::BIGINT ELSE -1 END AS fold FROM pool WHERE kind='cross')"

@@ -11,15 +11,15 @@ from voxtrail.sources import tables as S
 
 
 @query("s1_scan_units", """
-SELECT roi, contrast, count(*) AS n, rnd(avg(accuracy)) AS mean, 30::BIGINT AS n_files FROM results GROUP BY roi, contrast""")
+SELECT roi, contrast, count(*) AS n, rnd(avg(accuracy)) AS mean, count(DISTINCT subject) AS n_files FROM results GROUP BY roi, contrast""")
 def s1(c):
     path = scratch_path(c.spark, "units")
-    (c.view("results").withColumn("unit", F.col("subject")).repartition("unit").write.partitionBy("unit")
-     .option("header", True).csv(path))
+    # a unit's folder may hold several files: its rows are dealt by region too
+    (c.view("results").withColumn("unit", F.col("subject")).repartition("unit", F.pmod(F.xxhash64("roi"), F.lit(4)))
+     .write.partitionBy("unit").option("header", True).csv(path))
     d = S.scan_units(c.spark, f"{path}/unit=*", "subject int, roi string, contrast string, accuracy double")
-    files = S.file_counts(d.withColumn("source_file", F.regexp_extract("source_file", "unit=[0-9]+", 0)))
-    g = d.groupBy("roi", "contrast").agg(F.count(F.lit(1)).alias("n"), F.avg("accuracy").alias("mean"))
-    return g.withColumn("n_files", F.lit(files.first()["n_files"]).cast("bigint"))
+    unit = F.regexp_extract("source_file", "unit=[0-9]+", 0)
+    return d.groupBy("roi", "contrast").agg(F.count(F.lit(1)).alias("n"), F.avg("accuracy").alias("mean"), F.count_distinct(unit).alias("n_files"))
 
 
 CONF = """SELECT CAST(l_orderkey AS STRING) AS t, CAST(l_linenumber AS STRING) AS run, CASE WHEN l_tax < 0.005 THEN 'n/a'

@@ -102,8 +102,7 @@ def p6(c):
 SELECT subject, roi, h.run AS held, pos, rnd(stddev_pop(x)) AS sd FROM long_x l JOIN (SELECT unnest(range(5)) AS run) h ON l.run <> h.run
 GROUP BY subject, roi, h.run, pos HAVING stddev_pop(x) > 0.117""")
 def p7(c):
-    d = long(c).withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(4)).cast("array<bigint>")))
-    return P.variable_voxels(d, ["subject", "roi", "held"], F.col("run") != F.col("held"), 0.117)
+    return P.variable_voxels_outside(long(c), ["subject", "roi"], "run", 0.117, "held")
 
 
 @query("p8_sphere_status", """
@@ -123,9 +122,9 @@ def v1(c):
 
 
 @query("v2_fold_zscore", """
-WITH st AS (SELECT subject, roi, h.run AS held, pos, avg(x) AS m, stddev_pop(x) AS s FROM long_x l JOIN (SELECT unnest(range(5)) AS run) h
-  ON l.run <> h.run GROUP BY subject, roi, h.run, pos)
-SELECT vec_id, l.roi, l.pos, rnd((x-m)/s) AS z FROM long_x l JOIN st ON l.subject=st.subject AND l.roi=st.roi AND l.pos=st.pos AND l.run=st.held""")
+WITH s AS (SELECT vec_id, roi, pos, x, count(x) OVER a - count(x) OVER r AS n, sum(x) OVER a - sum(x) OVER r AS s, sum(x*x) OVER a - sum(x*x) OVER r AS q
+  FROM long_x WINDOW a AS (PARTITION BY subject, roi, pos), r AS (PARTITION BY subject, roi, pos, run))
+SELECT vec_id, roi, pos, rnd((x - s/n) / sqrt(q/n - (s/n)*(s/n))) AS z FROM s""")
 def v2(c):
     z = P.run_wise_zscore(long(c), ["subject", "roi"], "run")
     return z.select("vec_id", "roi", "pos", F.col("x").alias("z"))
@@ -331,9 +330,9 @@ def v28(c):
 
 
 @query("t1_top_features", """
-WITH r AS (SELECT subject, voxel_id, abs(round(value,9)) AS s, row_number() OVER (PARTITION BY subject ORDER BY abs(round(value,9)) DESC, voxel_id) AS rank,
-  count(*) OVER (PARTITION BY subject) AS n FROM subject_map WHERE contrast='F')
-SELECT subject, voxel_id, rank FROM r WHERE rank <= least(n, greatest(20, ceil(n*0.1)))""")
+WITH r AS (SELECT subject, contrast, voxel_id, abs(round(value,9)) AS s, row_number() OVER (PARTITION BY subject, contrast ORDER BY abs(round(value,9)) DESC, voxel_id) AS rank,
+  count(*) OVER (PARTITION BY subject, contrast) AS n FROM subject_map)
+SELECT subject, contrast, voxel_id, rank FROM r WHERE rank <= least(n, greatest(20, ceil(n*0.1)))""")
 def t1(c):
-    d = c.view("subject_map").filter("contrast='F'").withColumn("s", F.abs(F.round("value", 9)))
-    return R.top_fraction(d, ["subject"], "voxel_id", "s", 0.1, 20).select("subject", "voxel_id", "rank")
+    d = c.view("subject_map").withColumn("s", F.abs(F.round("value", 9)))
+    return R.top_fraction(d, ["subject", "contrast"], "voxel_id", "s", 0.1, 20).select("subject", "contrast", "voxel_id", "rank")

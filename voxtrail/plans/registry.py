@@ -107,7 +107,8 @@ class Context:
                 if kind in ("double", "float"):
                     cols.append(f"nullif(`{col}`, {kind}('NaN')) AS `{col}`")
                 elif kind in ("array<double>", "array<float>"):
-                    cols.append(f"transform(`{col}`, x -> nullif(x, {kind[6:-1]}('NaN'))) AS `{col}`")
+                    nan = f"{kind[6:-1]}('NaN')"  # looked for first: the lambda runs on arrays that hold one only
+                    cols.append(f"if(array_contains(`{col}`, {nan}), transform(`{col}`, x -> nullif(x, {nan})), `{col}`) AS `{col}`")
                 else:
                     cols.append(f"`{col}`")
             self._sources[name] = f"(SELECT {', '.join(cols)} FROM {path})" if any(" AS " in x for x in cols) else path
