@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import re
 import time
 
 import numpy as np
@@ -94,10 +95,50 @@ def test_surrogates(docs, none, spark):
     assert a.split("госпожа ")[1].split()[0] in pii.GIVEN["cyrillic", "f"].split() and "8.8.8.8" not in a + b
 
 
+def test_later_mentions_follow_the_name(spark):
+    rows = [(1, "Ask Mr. John Smith. John Smith said that Smith left; jsmith@acme.com, John wrote. Smithson and john stay."),
+            (2, "Frau Anna Maria Weber kam. Weber's Hund, Anna und Maria-Anna; Webern bleibt."), (3, "John Smith alone has no title."),
+            (4, "version 10.0.0.1 and 10.0.0.1, call 0171 5551234, passport no. C0123456 or passport: AB123456")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {r.doc_id: r.text for r in pii.replace(docs, key="k").collect()}
+    assert not re.search(r"\b(John|Smith)\b", got[1]) and "Smithson and john stay" in got[1]
+    who = re.match(r"Ask Mr\. (\S+) (\S+)\.", got[1]).groups()
+    assert f". {who[0]} {who[1]} said that {who[1]} left;" in got[1] and f", {who[0]} wrote." in got[1]
+    assert not re.search(r"\b(Anna|Maria|Weber)\b", got[2].replace("Maria-Anna", "")) and "Webern bleibt" in got[2] and "'s Hund" in got[2]
+    assert got[3] == rows[2][1]
+    assert got[4].startswith("version 10.0.0.1 and ") and not any(x in got[4][20:] for x in ("10.0.0.1", "0171 5551234", "0123456", "123456"))
+    assert got == {r.doc_id: r.text for r in pii.replace(docs, key="k").collect()}
+    other = {r.doc_id: r.text for r in pii.replace(docs, key="another").collect()}
+    assert other[1] != got[1] and other[3] == got[3]
+
+
+def brute_assign(values, draw):
+    """Surrogates of (type, value) pairs drawn one round after another."""
+    known, settled, left, attempt = {v for _, v in values}, {}, sorted(values), 0
+    while left:
+        drawn = {x: draw(x, attempt) for x in left}
+        used = {(t, s) for (t, _), s in settled.items()}
+        for x in left:
+            if drawn[x] not in known and (x[0], drawn[x]) not in used:
+                settled[x] = drawn[x]
+                used.add((x[0], drawn[x]))
+        left, attempt = [x for x in left if x not in settled], attempt + 1
+    return settled
+
+
+def test_surrogates_equal_rounds_one_by_one(spark):
+    values = [("phone", f"555-01{i:02d}") for i in range(100)] + [("ssn", f"{i:03d}-00-0000") for i in range(50)]
+    df = spark.createDataFrame(values, "type string, value string")
+    made = {a: {(r.type, r.value): r.s for r in df.select("type", "value", pii.surrogate(
+        F.col("type"), F.substring("value", 1, 30), F.lit(a), "k").alias("s")).collect()} for a in range(12)}
+    got = {(r.type, r.value): r.surrogate for r in pii.assign(df, "k").collect()}
+    assert got == brute_assign(values, lambda x, a: made[a][x])
+
+
 def test_surrogates_stay_distinct_where_they_clash(spark):
     values = spark.range(3000).select(F.lit("name").alias("type"), F.concat(F.lit("Dr. X"), F.col("id").cast("string")).alias("value"))
     letters = values.withColumn("value", F.translate("value", "0123456789", "abcdefghij"))
-    got = pii.assign(letters).collect()
+    got = pii.assign(letters, "test key").collect()
     assert len(got) == 3000 == len({r.surrogate for r in got})
     assert not {r.surrogate for r in got} & {r.value for r in got}
 

@@ -17,21 +17,24 @@ round. Each round leaves a small share of the last; where a format has too few v
 add a digit more each (names a syllable), so the draw widens tenfold a round and ends for any table.
 
 Only distinct entities are shuffled for that. Documents without an entity never enter a shuffle;
-the others are read from a written table, as their row numbers must not change between two uses.
+the others are read from a written table, as their row numbers must not change between two uses. The key is the
+session's setting ``spark.voxtrail.surrogateKey``, or drawn for the session; none is in the code.
 
 Defined results: null text stays null, empty text empty. Repeated rows are treated each. A table
 without entities is returned as it is."""
 
 from __future__ import annotations
 
+import secrets
 import unicodedata
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from voxtrail.functions import arrays as A
 from voxtrail.llm.common import stored
 
 WIDE, WIDE_NUMBER = 3, 12  # attempts in the value's own format: free texts; numbers
-KEY = "replace this key in production"
+KEY_SETTING = "spark.voxtrail.surrogateKey"
 
 _TITLE = {"m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "господин"),
           "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "госпожа"), "n": ("Dr", "Prof")}
@@ -42,16 +45,19 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}_.%+-])[\p{L}\p{N}_.%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
     "credential": r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"
+                  r"|(?<=(?i:passport)[ \t]{0,3}(?i:number|no\.?|nr\.?)?[ \t:#]{1,3})[A-Z]{0,2}\d{6,9}(?![\p{L}\d])"
                   r"|(?<=(?i:token|secret|password|passwd|api_key|apikey)[ \t]{0,3}[=:][ \t]{0,3}[\"']?)[^\s\"'=:]{6,}+",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![\p{L}\p{N}])",
-    "ip": rf"(?<![\p{{L}}\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\p{{L}}\d]|\.\d)",
+    "ip": rf"(?<![\p{{L}}\d.])(?<!(?i:version|release)[ \t]{{1,3}}){_OCTET}(?:\.{_OCTET}){{3}}(?![\p{{L}}\d]|\.\d)",
     "ssn": r"(?<![\p{L}\d-])\d{3}-\d{2}-\d{4}(?![\p{L}\d-])",
     "phone": r"(?<![\p{L}\d])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\p{L}\d])"
-             r"|(?<![\p{L}\d])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?![\p{L}\d])",
+             r"|(?<![\p{L}\d])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?![\p{L}\d])"
+             r"|(?<![\p{L}\d.,-])0[1-9]\d{1,3}[ /-]\d{6,8}(?![\p{L}\d]|[.,]\d)",
     "card": r"(?<![\p{L}\d])[3-6](?:\d{12,18}|\d{3}(?:[ -]\d{4}){3})(?![\p{L}\d])",
     "name": rf"(?<![\p{{L}}])(?:{_WORDS})\.? {_NAME}(?: {_NAME}){{0,2}}",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+MENTION = r"(?<![\p{L}\p{N}'’])\p{Lu}(?:[\p{L}\p{M}]|['’](?!s(?![\p{L}])))*+(?:-\p{Lu}(?:[\p{L}\p{M}]|['’](?!s(?![\p{L}])))*+)*"
 HINT = rf"[@\d]|(?i:token|secret|passw|api_?key)|(?<![\p{{L}}])(?:{_WORDS})\.? \p{{Lu}}"
 
 # Given names by script and gender: fixed values.
@@ -88,6 +94,15 @@ def entity_type(value: Column) -> Column:
     return out
 
 
+def secret(spark) -> str:
+    """The key of the surrogates: the session's setting, or one drawn for this session and kept in it."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(16)
+        spark.conf.set(KEY_SETTING, key)
+    return key
+
+
 def _stream(key: str, *parts) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), *parts), 256)
 
@@ -215,43 +230,67 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
             .when(kind == "name", _name(value, key, attempt)).otherwise(new))
 
 
-def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
+def assign(entities: DataFrame, key: str) -> DataFrame:
     """type, value, surrogate for distinct (type, value); no two of a type share a surrogate.
 
-    A surrogate is never a value of the table either."""
-    cur = stored(entities.withColumn("attempt", F.lit(0)).withColumn(
-        "surrogate", surrogate(F.col("type"), F.col("value"), F.lit(0), key)), "surrogates")
-    known = cur.select(F.col("value").alias("known")).distinct()
+    A surrogate is never a value of the table either. A round writes what it drew anew, and looks that
+    small table up in the values and in what is settled; the rest is not touched again."""
+    known = stored(entities.select("type", "value"), "entities")
+    values = known.select(F.col("value").alias("surrogate")).distinct()
+    settled, attempt = None, 0
+    drawn = known.withColumn("surrogate", surrogate(F.col("type"), F.col("value"), F.lit(0), key))
     while True:
-        first = cur.groupBy("type", "surrogate").agg(
-            F.min(F.struct(-F.col("attempt"), F.col("value"))).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(
-            "type", "surrogate", F.col("f.value").alias("first"))
-        marked = (cur.join(first, ["type", "surrogate"], "left")
-                  .join(known, F.col("surrogate") == F.col("known"), "left")
-                  .withColumn("again", F.coalesce(F.col("value") != F.col("first"), F.lit(False)) | F.col("known").isNotNull()))
-        marked = stored(marked.select("type", "value", "attempt", "surrogate", "again"), "surrogates")
-        if not marked.filter("again").take(1):
-            return cur.select("type", "value", "surrogate")
-        n = F.col("attempt") + 1
-        cur = stored(marked.filter(~F.col("again")).drop("again").unionByName(
-            marked.filter("again").select("type", "value", n.alias("attempt"),
-                                          surrogate(F.col("type"), F.col("value"), n, key).alias("surrogate"))), "surrogates")
-
-
-def replace(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
-    """``docs`` with surrogates in ``text``, plus ``__entities``: how many were replaced."""
+        drawn = stored(drawn, "drawn")
+        taken = drawn.join(values, "surrogate", "left_semi").select("type", "value")
+        if settled is not None:
+            taken = taken.unionByName(drawn.join(settled.select("type", "surrogate"), ["type", "surrogate"], "left_semi").select("type", "value"))
+        free = drawn.join(taken, ["type", "value"], "left_anti")
+        first = free.groupBy("type", "surrogate").agg(F.min("value").alias("value"))
+        kept = stored(free.join(first, ["type", "surrogate", "value"], "left_semi").select("type", "value", "surrogate"), "settled")
+        settled = kept if settled is None else settled.unionByName(kept)
+        again = drawn.join(kept.select("type", "value"), ["type", "value"], "left_anti").select("type", "value")
+        if not again.take(1):
+            return settled
+        attempt += 1
+        drawn = again.withColumn("surrogate", surrogate(F.col("type"), F.col("value"), F.lit(attempt), key))
+
+
+def _later_mentions(part: Column, words: Column) -> Column:
+    """Text between entities with the words of the document's names exchanged as in the names."""
+    found = F.regexp_extract_all(part, F.lit(MENTION), F.lit(0))
+    return A.let(F.struct(found.alias("f"), F.split(part, MENTION, -1).alias("b"), words.alias("w")), lambda t: F.array_join(F.transform(
+        t["b"], lambda s, i: F.concat(s, F.coalesce(F.element_at(t["w"], F.get(t["f"], i)), F.get(t["f"], i), F.lit("")))), ""))
+
+
+def _words(value: Column) -> Column:
+    """The words of a name behind its title."""
+    return F.split(F.regexp_replace(value, rf"^(?:{_WORDS})\.? ", ""), " ")
+
+
+def replace(docs: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:
+    """``docs`` with surrogates in ``text``, plus ``__entities``: how many were replaced.
+
+    Words of a name that a document introduces with a title are exchanged wherever else they stand in that
+    document, as in the name; the smallest surrogate counts where a word has two."""
+    key = key or secret(docs.sparkSession)
     cols = [f"`{c}`" for c in docs.columns]
     found = F.when(F.regexp(F.col(text), F.lit(HINT)), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
-    d = docs.withColumn("__found", F.coalesce(found, F.array().cast("array<string>")))
-    d = d.withColumn("__real", F.filter("__found", is_entity))
+    d = docs.withColumn("__found", F.coalesce(found, F.array().cast("array<string>"))).withColumn("__row", F.monotonically_increasing_id())
+    d = stored(d.withColumn("__real", F.filter("__found", is_entity)), "with-entities")  # the texts are searched once
     clean = d.filter(F.size("__real") == 0).select(*cols, F.lit(0).alias("__entities"))
-    some = stored(d.filter(F.size("__real") > 0).withColumn("__row", F.monotonically_increasing_id()), "with-entities")
+    some = d.filter(F.size("__real") > 0)
     mentions = some.select("__row", F.explode(F.array_distinct("__real")).alias("value"))
     drawn = assign(mentions.select("value").distinct().select(entity_type(F.col("value")).alias("type"), "value"), key)
-    maps = (mentions.join(drawn.select("value", "surrogate"), "value").groupBy("__row")
-            .agg(F.map_from_entries(F.collect_list(F.struct("value", "surrogate"))).alias("__map")))  # a document's own entities
-    between = F.split(text, PATTERN, -1)
-    new = F.array_join(F.transform(between, lambda s, i: F.concat(
-        s, F.coalesce(F.element_at("__map", F.get("__found", i)), F.get("__found", i), F.lit("")))), "")
-    changed = some.join(maps, "__row").withColumn("__entities", F.size("__real")).withColumn(text, new)
+    pairs = F.arrays_zip(_words(F.col("value")).alias("a"), _words(F.col("surrogate")).alias("b"))
+    maps = (mentions.join(drawn, "value").groupBy("__row").agg(  # a document's own entities
+        F.map_from_entries(F.collect_list(F.struct("value", "surrogate"))).alias("__map"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("type") == "name", pairs))))).alias("__pairs")))
+    firsts = F.filter("__pairs", lambda p, i: (i == 0) | (F.get("__pairs", i - 1)["a"] != p["a"]))
+    maps = maps.select("__row", "__map", F.map_from_entries(firsts).alias("__words"))
+    j = some.join(maps, "__row")
+    new = A.let(F.struct(F.split(text, PATTERN, -1).alias("b"), F.col("__found").alias("f"), F.col("__map").alias("m"), F.col("__words").alias("w")),
+                lambda t: F.array_join(F.transform(t["b"], lambda s, i: F.concat(
+                    F.when(F.size(t["w"]) > 0, _later_mentions(s, t["w"])).otherwise(s),
+                    F.coalesce(F.element_at(t["m"], F.get(t["f"], i)), F.get(t["f"], i), F.lit("")))), ""))
+    changed = j.withColumn("__entities", F.size("__real")).withColumn(text, new)
     return clean.unionByName(changed.select(*cols, "__entities"))
