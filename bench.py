@@ -22,7 +22,7 @@ HEADLINE = [
     "a14_group_cells", "a15_voxel_group_map", "p11_key_set_check", "v3_source_zscore", "v7_dissimilarity_matrix",
     "v8_dissimilarity_correlation", "v10_map_similarity", "v16_smoothing", "v17_components", "d4_cross_single_split",
     "d6_averaged_within", "d11_diagonal_lda", "d13_linear_svm", "d15_searchlight", "d20_whitening_leakage",
-    "n4_observed_and_null", "n6_group_resampling", "n7_empirical_p",
+    "n4_observed_and_null", "n4_full_null", "d14_svm_top50", "n6_group_resampling", "n7_empirical_p",
     "j9_radius_join", "j11_nearest_sample", "w5_time_course", "v20_linear_model",
 ]
 
@@ -43,6 +43,8 @@ def main() -> None:
         first = run(spark, name, sf_dir)
         times[name] = round(statistics.median(run(spark, name, sf_dir) for _ in range(1 if first > 20 else repeats)), 3)
     folds = QUERIES["d11_diagonal_lda"](spark, sf_dir).count()
+    hinge = QUERIES["d13_linear_svm"](spark, sf_dir).count()
+    within = QUERIES["d6_averaged_within"](spark, sf_dir).count()
     nulls = QUERIES["n4_observed_and_null"](spark, sf_dir).count()
     start = time.perf_counter()
     draws = group_draws(Context(spark, sf_dir), 100_000).count()
@@ -51,7 +53,10 @@ def main() -> None:
         "metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
         "sf": os.path.basename(sf_dir.rstrip("/")), "cpus": int(cpus), "spark": pyspark.__version__,
         "rates": {"models_per_sec": round(folds / times["d11_diagonal_lda"], 1),
+                  "margin_models_per_sec": round(hinge / times["d13_linear_svm"], 1),
+                  "averaged_models_per_sec": round(within / times["d6_averaged_within"], 1),
                   "null_values_per_sec": round(nulls / times["n4_observed_and_null"], 1),
+                  "full_null_repeat_values_per_sec": round(nulls * 30 / times["n4_full_null"], 1),
                   "group_draws_per_sec": round(draws / drawn, 1)}}))
 
 

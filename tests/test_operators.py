@@ -603,6 +603,19 @@ def test_similarity_of_many_masks(spark, monkeypatch):
         assert own.n_pairs == len(within) and abs(own.mean_r - np.mean(within)) < 1e-9
 
 
+def test_dissimilarity_correlations_of_regions(spark):
+    rng = np.random.default_rng(43)
+    x = {"p": rng.normal(size=(20, 5)), "q": rng.normal(size=(20, 7)), "s": rng.normal(size=(20, 4))}
+    x["q"][3] = 1.0  # does not vary there
+    d = spark.createDataFrame([(i, *[x[k][i].tolist() for k in x]) for i in range(20)], "id int, p array<double>, q array<double>, s array<double>")
+    got = {(r.region_a, r.region_b): r for r in M.dissimilarity_correlations(d, ["p", "q", "s"]).collect()}
+    for a, b in itertools.combinations(x, 2):
+        items = [i for i in range(20) if not ("q" in (a, b) and i == 3)]
+        up = np.triu_indices(len(items), 1)
+        want = np.corrcoef(np.corrcoef(x[a][items])[up], np.corrcoef(x[b][items])[up])[0, 1]
+        assert got[a, b].n_pairs == len(up[0]) and abs(got[a, b].r - want) < 1e-9
+
+
 def test_neighbours_in_a_crowded_cell(spark):
     rng = np.random.default_rng(42)
     p = np.concatenate([rng.random((300, 3)), rng.random((300, 3)) * 6])  # half of all points in one cell

@@ -7,7 +7,6 @@ correlations over pairs is a product of summed vectors, so the cost is linear in
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -188,32 +187,38 @@ def gram(df: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
     return p.groupBy(*keys, "i", "j").agg(F.sum("v").alias("v"))
 
 
-def dissimilarity_correlation(df: DataFrame, item: str, left: str, right: str) -> DataFrame:
-    """Correlation of the upper triangles of two dissimilarity matrices over the same items.
-
-    The needed sums over pairs come from products of feature matrices: the sum of r over all
-    pairs is |sum u|^2, the sum of r * r' is the squared norm of U'V. No pair is built."""
-    d = df.select(A.unit(A.as_double(F.col(left))).alias("u"), A.unit(A.as_double(F.col(right))).alias("v"))
-    d = cut_lineage(d.filter("u IS NOT NULL AND v IS NOT NULL"))
-    def first(c):
-        return d.select(F.posexplode(c).alias("pos", "x")).groupBy("pos").agg(F.sum("x").alias("v")).select(
-            F.lit("s_" + c).alias("name"), (F.col("v") * F.col("v")).alias("v"))
-
-    def second(a, b):
-        return gram(d, [], a, b).select(F.lit(f"q_{a}{b}").alias("name"), (F.col("v") * F.col("v")).alias("v"))
-    parts = [d.select(F.lit("n").alias("name"), F.lit(1.0).alias("v")), first("u"), first("v"),
-             second("u", "u"), second("v", "v"), second("u", "v")]
-    names = ["n", "s_u", "s_v", "q_uu", "q_vv", "q_uv"]
-    one = reduce(DataFrame.unionByName, parts).groupBy().agg(
-        *[F.sum(F.when(F.col("name") == x, F.col("v"))).alias(x) for x in names])
+def dissimilarity_correlations(df: DataFrame, regions: list[str]) -> DataFrame:
+    """Correlation of the upper triangles of the dissimilarity matrices of every pair of regions (columns of patterns).
+
+    The needed sums over pairs of items come from products of features: the sum of r over all pairs is
+    |sum u|^2, the sum of r * r' is the squared norm of U'V. All regions are stacked behind a one, so that a
+    single product holds the count, the sums and the products of all pairs; no pair of items is built. A pair
+    of regions counts the items that vary in both, so products are kept apart by which regions vary."""
+    widths = df.agg(*[F.coalesce(F.max(F.size(r)), F.lit(0)) for r in regions]).first()
+    d = df.select(*[A.unit(A.as_double(F.col(r))).alias(f"u{i}") for i, r in enumerate(regions)])
+    there = F.concat(*[F.when(F.col(f"u{i}").isNull(), "0").otherwise("1") for i in range(len(regions))])
+    x = F.flatten(F.array(F.array(F.lit(1.0)), *[F.coalesce(F.col(f"u{i}"), F.array_repeat(F.lit(0.0), w)) for i, w in enumerate(widths)]))
+    g = gram(d.select(there.alias("there"), x.alias("x")), ["there"], "x", "x")
+    owner = F.array(*[F.lit(k) for k in [-1, *[i for i, w in enumerate(widths) for _ in range(w)]]])
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("a"), F.lit(k).alias("b")) for i in range(len(regions)) for k in range(i + 1, len(regions))]))
+    e = g.select("there", "i", "j", "v", F.get(owner, F.col("i")).alias("oi"), F.get(owner, F.col("j")).alias("oj"), pairs.alias("p")).select(
+        "there", "i", "j", "v", "oi", "oj", "p.a", "p.b")
+    used = [(F.substring("there", F.col(c) + 1, F.lit(1)) == "1") for c in ("a", "b")]
+    e = e.filter(used[0] & used[1]).groupBy("a", "b", "i", "j", "oi", "oj").agg(F.sum("v").alias("v"))
+    oi, oj, square = F.col("oi"), F.col("oj"), F.col("v") * F.col("v")
+    one = e.groupBy("a", "b").agg(
+        F.max(F.when((oi == -1) & (oj == -1), F.col("v"))).alias("n"),
+        *[F.sum(F.when((oi == -1) & (oj == F.col(c)), square)).alias(f"s_{c}") for c in ("a", "b")],
+        *[F.sum(F.when((oi == F.col(c)) & (oj == F.col(k)), square)).alias(f"q_{c}{k}") for c, k in (("a", "a"), ("b", "b"), ("a", "b"))])
     k = F.col("n") * (F.col("n") - 1) / 2
 
     def half(c):
         return (F.col(c) - F.col("n")) / 2
-    mu, mv = half("s_u") / k, half("s_v") / k
-    cov = half("q_uv") / k - mu * mv
-    r = cov / F.sqrt((half("q_uu") / k - mu * mu) * (half("q_vv") / k - mv * mv))
-    return one.select(k.cast("bigint").alias("n_pairs"), r.alias("r"))
+    ma, mb = half("s_a") / k, half("s_b") / k
+    cov = half("q_ab") / k - ma * mb
+    r = cov / F.sqrt((half("q_aa") / k - ma * ma) * (half("q_bb") / k - mb * mb))
+    names = F.array(*[F.lit(x) for x in regions])
+    return one.select(F.get(names, F.col("a")).alias("region_a"), F.get(names, F.col("b")).alias("region_b"), k.cast("bigint").alias("n_pairs"), r.alias("r"))
 
 
 def matched_correlation(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

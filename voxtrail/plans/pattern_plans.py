@@ -1,8 +1,5 @@
 """Pattern, normalisation and similarity queries."""
 
-from functools import reduce
-from itertools import combinations
-
 from pyspark.sql import functions as F
 
 from voxtrail.functions import arrays as A
@@ -201,9 +198,7 @@ def v8(c):
     """Every pair of the four regions."""
     e = F.col("embedding").cast("array<double>")
     d = c.view("trials").select("vec_id", *[F.slice(e, 16 * k + 1, 16).alias(f"r{k}") for k in range(4)])
-    parts = [M.dissimilarity_correlation(d, "vec_id", a, b).select(F.lit(a).alias("region_a"), F.lit(b).alias("region_b"), "n_pairs", "r")
-             for a, b in combinations(["r0", "r1", "r2", "r3"], 2)]
-    return reduce(lambda x, y: x.unionByName(y), parts)
+    return M.dissimilarity_correlations(d, ["r0", "r1", "r2", "r3"])
 
 
 @query("v9_matched_correlation", """
