@@ -3,13 +3,14 @@
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxtrail.llm import lexical_search, pivot_clusters, word_index
+from voxtrail.llm import chat_rotation, language_id, lexical_search, mixing, pivot_clusters, word_index
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -258,3 +259,74 @@ def test_neighbours_with_hot_buckets_on_both_sides(spark):
         s[q] = -9
         hit += len(set(np.argsort(-s)[:5]) & {whole[q, k][0] for k in range(1, 6)})
     assert hit >= 0.95 * 250 and whole[900, 1][0] == 901
+
+
+# ---- earlier operators against loops -----------------------------------------------------
+
+def brute_profile(text):
+    """Sum over trigrams of the products of rotated letter vectors, one trigram at a time."""
+    t = language_id._letters()
+    ids = [ord(c) % (language_id.ROWS - 1) + 1 if c.isalpha() else 0 for c in text.lower()]
+    ids = [0, *[x for i, x in enumerate(ids) if x or i == 0 or ids[i - 1]], 0]
+    while len(ids) > 2 and ids[0] == ids[1] == 0:
+        ids.pop(0)
+    while len(ids) > 2 and ids[-1] == ids[-2] == 0:
+        ids.pop()
+    out = np.zeros(language_id.DIM)
+    for a, b, c in zip(ids, ids[1:], ids[2:]):
+        out += np.roll(t["c"][a].astype(int), 2) * np.roll(t["c"][b].astype(int), 1) * t["c"][c]
+    return out
+
+
+def test_language_profiles_equal_loops(spark):
+    words = {"en": "the hill and the dog were there today", "fr": "le chien et la colline hier soir", "de": "der Hund und der Hügel waren heute da"}
+    rows = [(i, f"{w} {w[i % 5:]} {i}!", k) for k, w in words.items() for i in range(30)]
+    asked = [(500, "the dog and the colline"), (501, "  Hügel,  HUND!! "), (502, "soir"), (503, "x"), (504, "und the le")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language_id.learn(docs)
+    own = {k: sum(brute_profile(t) for i, t, lang in rows if lang == k and zlib.crc32(str(i).encode()) % 3 != 1) for k in words}
+    for k in words:
+        assert np.array_equal(model[k], own[k])
+    got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(asked, "doc_id bigint, text string"), model, ["doc_id"]).collect()}
+    for i, text in asked:
+        v = brute_profile(text)
+        cos = {k: own[k] @ v / np.linalg.norm(own[k]) / np.linalg.norm(v) for k in own}
+        assert got[i].lang_pred == max(sorted(cos), key=cos.get) and abs(got[i].score - min(1, max(0, max(cos.values())))) < 1e-9
+
+
+def test_language_ties_go_to_the_smaller(spark):
+    rows = [(i, "one and the same text", lang) for i, lang in enumerate(["nl", "da", "sv"] * 8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = {k: language_id.encode("one and the same text") for k in ("nl", "da", "sv")}
+    assert {r.lang_pred for r in language_id.identify(docs, model, ["doc_id"]).collect()} == {"da"}
+
+
+def test_mix_equals_its_slots_one_by_one(spark):
+    rng = np.random.default_rng(19)
+    rows = [(i, " ".join(["w"] * int(rng.integers(0, 40))), "abc"[int(rng.integers(0, 3))]) for i in range(300)] + [(7, "x y z", "a"), (None, "p q", None)]
+    m = mixing.plan(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), block=5, shard=100)
+    layout, sources = {}, {r.k: r for r in m.sources.collect()}
+    for d in m.documents.collect():
+        for at in range(d.start, d.start + d["size"]):
+            assert (d.k, at) not in layout  # laid end to end, nothing twice
+            layout[d.k, at] = (d.k, d.bucket, d.row)
+    for k, s in sources.items():
+        assert sum(1 for x, _ in layout if x == k) == s.source_size
+        assert all((k, at) in layout for at in range(s.source_size))
+    slots, taken, seen = m.slots.collect(), Counter(), Counter()
+    for s in slots:
+        seen[s.k, s.block, s.epoch] += 1
+        for at in range(s.block * sources[s.k].length, min((s.block + 1) * sources[s.k].length, sources[s.k].source_size)):
+            taken[layout[s.k, at]] += 1
+    assert max(seen.values()) == 1  # a block once a round
+    assert Counter(s.k for s in slots) == Counter({k: s.slots for k, s in sources.items() if s.slots})
+    ids = {(d.k, d.bucket, d.row): (d.doc_id, d["size"]) for d in m.documents.collect()}
+    got = sorted(((r.doc_id is None, r.doc_id or 0), r["size"], r.taken) for r in mixing.taken(m).collect())
+    assert got == sorted(((ids[x][0] is None, ids[x][0] or 0), ids[x][1], taken[x]) for x in ids)
+
+
+def test_rotation_of_a_very_long_turn(spark):
+    long = "word " * 200_000
+    d = spark.createDataFrame([(1, 0, "ann", long), (1, 1, "bob", "ok")], "conv_id bigint, turn int, role string, text string")
+    got = chat_rotation.rotate(d).orderBy("perspective", "position").collect()
+    assert len(got) == 4 and got[0].mask_length == len(long) + 10 and got[3].start > len(long)
