@@ -412,6 +412,14 @@ def test_lattice_and_points_agree(spark):
     assert a == {tuple(r) for r in S.point_neighbours(xyz, "voxel_id", ["x", "y", "z"], 3.0).collect()}
 
 
+def test_exploded_neighbours_are_not_broadcast(spark):
+    path = scratch_path(spark, "grid")  # a file: small enough for a broadcast by its own size
+    _grid(spark, list(itertools.product(range(4), repeat=3))).withColumn("v", F.lit(1.0)).write.parquet(path)
+    g = spark.read.parquet(path)
+    for d in (S.lattice_neighbours(g, "voxel_id", 4.0, (2.0, 2.0, 2.0)), S.smooth(g, [], "v", 4.3, (2.0, 2.0, 2.0))):
+        assert "Broadcast" not in d._jdf.queryExecution().executedPlan().toString()
+
+
 def test_centroid_falls_back(spark):
     d = spark.createDataFrame([("r", 1.0, 1.0, 0.0), ("r", 1.0, float("inf"), 4.0)], "roi string, a double, b double, x double")
     assert S.region_overlap(d, ["roi"], "a", "b", ["x"], 8.0).first().centre_x == 2.0

@@ -1,7 +1,8 @@
 """Grids, neighbourhoods, smoothing, clusters and region tables.
 
 A voxel is a row; being in a mask means being present. Neighbourhoods are equi-joins on
-shifted lattice indices, never distance joins over all pairs.
+shifted lattice indices, never distance joins over all pairs. They merge: Spark's size check does not count
+the rows that ``explode`` adds and would broadcast them.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ def lattice_neighbours(voxels: DataFrame, voxel: str, radius: float,
                        size: tuple[float, float, float] = (1.0, 1.0, 1.0), least: int = 1) -> DataFrame:
     """(centre, voxel) for all voxels within the radius; small neighbourhoods are left out."""
     c = _shifted(voxels.select(F.col(voxel).alias("centre"), *IJK), ball_offsets(radius, size))
-    j = c.join(voxels.select(voxel, *IJK), IJK).select("centre", voxel)
+    j = c.join(voxels.select(voxel, *IJK).hint("merge"), IJK).select("centre", voxel)
     if least <= 1:
         return j
     n = j.groupBy("centre").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= least)
@@ -63,7 +64,8 @@ def point_neighbours(points: DataFrame, ident: str, xyz: list[str], radius: floa
         d = d.withColumn(own, F.pmod(F.xxhash64(name), F.col("__s")).cast("int"))
         return d.withColumn(other, F.explode(F.sequence(F.lit(0), F.col("__s") - 1))).drop("__s")
 
-    j = dealt(_shifted(p, around), "__a", "__b", "centre").join(dealt(q, "__b", "__a", "neighbour"), [*IJK, "__a", "__b"])
+    j = dealt(_shifted(p, around), "__a", "__b", "centre").join(
+        dealt(q, "__b", "__a", "neighbour").hint("merge"), [*IJK, "__a", "__b"])
     d2 = sum((F.pow(F.col(c) - F.col("c" + c), 2) for c in xyz), F.lit(0.0))
     return j.filter(d2 <= radius * radius).select("centre", "neighbour")
 
@@ -109,7 +111,7 @@ def smooth(df: DataFrame, keys: list[str], value: str, fwhm: float, size: tuple[
         e = d.withColumn("__t", F.explode(taps)).withColumn(n, F.col(n) + F.col("__t.o"))
         d = e.groupBy(*keys, *IJK).agg(F.sum(F.col("__v") * F.col("__t.g")).alias("__v"),
                                        F.sum(F.col("__w") * F.col("__t.g")).alias("__w"))
-    return df.join(d, [*keys, *IJK]).withColumn("smoothed", F.col("__v") / F.col("__w")).drop("__v", "__w")
+    return df.join(d.hint("merge"), [*keys, *IJK]).withColumn("smoothed", F.col("__v") / F.col("__w")).drop("__v", "__w")
 
 
 # The 13 half-neighbourhood offsets of 26-connectivity; the other half is symmetric.
@@ -135,7 +137,7 @@ def components(voxels: DataFrame, keys: list[str], voxel: str) -> DataFrame:
     size, whatever the shape. Tables are checkpointed per round; it ends without edges."""
     v = voxels.select(*keys, voxel, *IJK)
     a = _shifted(v.select(*keys, F.col(voxel).alias("a"), *IJK), HALF)
-    e = a.join(v.select(*keys, F.col(voxel).alias("b"), *IJK), [*keys, *IJK]).select(*keys, "a", "b")
+    e = a.join(v.select(*keys, F.col(voxel).alias("b"), *IJK).hint("merge"), [*keys, *IJK]).select(*keys, "a", "b")
     edges = cut_lineage(e.unionByName(e.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))))
     lab = v.select(*keys, voxel, F.col(voxel).alias("label"))
     while edges.take(1):
