@@ -832,6 +832,20 @@ def test_margin_models_of_many_trials_go_in_rounds(margin_tables):
         SV.validate(SV.units(lab, pats, ["subject"], ["contrast", "kind"], most=40), SV.Margin(select="weight"))
 
 
+@pytest.mark.parametrize("select", ["none", "weight", "haufe"])
+def test_margin_models_of_thousands_of_trials_are_exact(spark, select):
+    n = 5000
+    x = np.random.default_rng(23).normal(size=(n, 4))
+    y = (x @ [1.0, 0.5, 0.1, 0.0] + np.random.default_rng(24).normal(size=n) > 0).astype(int)
+    lab = spark.createDataFrame(pd.DataFrame({"subject": 1, "contrast": "a", "kind": "within", "vec_id": np.arange(n), "y": y, "fold": np.arange(n) % 2,
+                                              "is_train": True, "is_test": True}))
+    pats = spark.createDataFrame(pd.DataFrame({"subject": 1, "roi": "r", "vec_id": np.arange(n), "features": x.tolist()}))
+    u = SV.units(lab, pats, ["subject"], ["contrast", "kind"])
+    got = SV.validate(u, SV.Margin(select=select, least=2)).collect()
+    assert not u.cut and len(got) == 2 and max(r.gap for r in got) <= 1e-6
+    assert {(r.n_test, r.n_scored, r.n_selected) for r in got} == {(n // 2, n // 2, 4 if select == "none" else 2)} and min(r.accuracy for r in got) > 0.7
+
+
 def test_searchlight_in_areas(spark, unit_tables):
     labels, pats = unit_tables
     v = spark.createDataFrame([(p, p % 3, p // 3 % 2, p // 6) for p in range(12)], "pos int, i long, j long, k long")

@@ -6,8 +6,9 @@ features than rows, the features themselves are the smaller factor. Each model i
 and is solved by a primal-dual interior point method, in about fifteen steps of linear algebra, until its
 relative duality gap is at most ``tolerance``; the gap is returned as a certificate.
 
-Units of more than MOST trials, or cut for their size, are solved in rounds over blocks instead
-(``decode.hinge_models``). A missing feature is read as the unit's mean."""
+The number of trials is no limit: a model of many rows and few features works on matrices as wide as
+the features, and a Gram matrix is made for at most MOST trials. Units above BLOCK bytes of patterns are cut and
+solved in rounds over blocks instead (``decode.hinge_models``). A missing feature is read as the unit's mean."""
 
 from __future__ import annotations
 
@@ -21,7 +22,8 @@ from voxtrail.functions import arrays as A
 from voxtrail.operators import decode as D, units as U
 from voxtrail.session import cut_lineage
 
-MOST = 4096
+MOST = 4096       # trials of a shared Gram matrix
+BLOCK = 1 << 26   # bytes of patterns
 STEPS = 100
 
 
@@ -36,8 +38,8 @@ class Margin:
     least: int = 4
 
 
-def units(labels: DataFrame, patterns: DataFrame, shared: list[str], names: list[str], most: int = MOST, **more) -> U.Units:
-    return U.units(labels, patterns, shared, names, most=most, **more)
+def units(labels: DataFrame, patterns: DataFrame, shared: list[str], names: list[str], block: int = BLOCK, **more) -> U.Units:
+    return U.units(labels, patterns, shared, names, block=block, **more)
 
 
 # ---- one model -------------------------------------------------------------------------
@@ -147,7 +149,7 @@ def _filled(left: pd.DataFrame, r: dict) -> tuple[U.Cell, np.ndarray | None]:
     c.there[:] = 1
     gram = getattr(left, "_gram", None)
     x = left._matrix[0]
-    if gram is None and 2 * x.shape[1] > len(x) / 4:
+    if gram is None and len(x) <= MOST and 2 * x.shape[1] > len(x) / 4:
         gram = x @ x.T
         object.__setattr__(left, "_gram", gram)
     return c, gram
@@ -169,13 +171,13 @@ def validate(u: U.Units, m: Margin = Margin()) -> DataFrame:
     found = u.run(whole, schema)
     if u.cut:
         if m.select != "none":
-            raise ValueError("selection by margin needs units of at most MOST trials")
+            raise ValueError("selection by margin needs units in one block")
         found = found.unionByName(_in_rounds(u, m))
     return found.withColumn("accuracy", F.col("n_correct") / F.nullif(F.col("n_scored"), F.lit(0)))
 
 
 def _in_rounds(u: U.Units, m: Margin) -> DataFrame:
-    """Units of many trials: the rounds over blocks, which stop at a gap of one in a thousand."""
+    """Cut units: the rounds over blocks, which stop at a gap of one in a thousand."""
     lists = u.beside.filter("__k > 1 AND __b = 0").select(*u.cell, F.explode(F.arrays_zip(*U.COLUMNS)).alias("e")).select(*u.cell, "e.*")
     rows = u.rows.drop("__b").withColumn("features", F.transform("features", lambda x: F.coalesce(x, F.lit(0.0))))
     rows = cut_lineage(lists.join(rows, [*u.unit, "t"]).withColumnRenamed("t", "trial"))
