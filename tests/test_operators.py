@@ -148,6 +148,13 @@ def _ledger():
 SCHEMA = "sequence long, event string, stage string, previous_event_sha256 string, event_sha256 string, canonical string"
 
 
+def test_constant_in_many_parts_has_no_deviation(spark):
+    d = spark.range(0, 490, 1, 10).select(F.lit(1).alias("run"), F.col("id").alias("t"), F.lit(1.0).alias("rot"),  # 49 rows a part: 1 / 49 * 49 < 1
+                                          (F.col("id") * 0.1).alias("trans"), F.lit(0.0).alias("fd"))
+    got = T.nuisance(d, ["run"], "t", ["rot", "trans"], "fd", 64).groupBy("name").count().collect()
+    assert {tuple(r) for r in got} == {("trans", 490)}
+
+
 def test_ledger_chain(spark):
     rows = _ledger()
     good = spark.createDataFrame(rows, SCHEMA)

@@ -45,6 +45,12 @@ def t_greater(t: Column, df: Column) -> Column:
     return F.when(t >= 0, half).otherwise(1 - half)
 
 
+def sd_pop(x: Column) -> Column:
+    """SD (ddof=0) as an aggregate, exactly 0 where all values are equal: the means of parts that are merged may
+    differ in their last bit, which leaves ``stddev_pop`` of a constant above 0."""
+    return F.when(F.min(x) == F.max(x), F.lit(0.0)).otherwise(F.stddev_pop(x))
+
+
 def sem(sd: Column, n: Column) -> Column:
     return F.when(n >= 2, sd / F.sqrt(n))
 

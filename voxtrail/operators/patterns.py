@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxtrail.functions import arrays as A
-from voxtrail.functions.stats import sem
+from voxtrail.functions.stats import sd_pop, sem
 
 
 def slice_regions(df: DataFrame, embedding: str, width: int, n: int = 4) -> DataFrame:
@@ -85,7 +85,7 @@ def voxel_zscore(long: DataFrame, group: list[str], train: Column | None = None)
     A join on (group, pos) rather than a window: the statistics are tiny, the rows of a
     voxel never have to meet in one task."""
     v = F.col("x") if train is None else F.when(train, F.col("x"))
-    st = long.groupBy(*group, "pos").agg(F.avg(v).alias("__m"), F.stddev_pop(v).alias("__s"))
+    st = long.groupBy(*group, "pos").agg(F.avg(v).alias("__m"), sd_pop(v).alias("__s"))
     st = st.withColumn("__s", F.when(F.col("__s") > 0, F.col("__s")).otherwise(1.0))
     return long.join(st, [*group, "pos"]).withColumn(
         "x", (F.col("x") - F.col("__m")) / F.col("__s")).drop("__m", "__s")
@@ -161,7 +161,7 @@ def too_few(kept: DataFrame, keys: list[str], all_keys: DataFrame, least: int) -
 
 def variable_voxels(long: DataFrame, keys: list[str], train: Column, least_sd: float) -> DataFrame:
     """Voxels whose SD over the training rows exceeds the limit."""
-    return (long.groupBy(*keys, "pos").agg(F.stddev_pop(F.when(train, F.col("x"))).alias("sd"))
+    return (long.groupBy(*keys, "pos").agg(sd_pop(F.when(train, F.col("x"))).alias("sd"))
             .filter(F.col("sd") > least_sd))
 
 
@@ -176,7 +176,7 @@ def variable_voxels_outside(long: DataFrame, keys: list[str], unit: str, least_s
 def sphere_status(long: DataFrame, sphere: list[str], least: int) -> DataFrame:
     """Per sphere: voxels finite in all conditions, of those with variance, and a status."""
     v = long.groupBy(*sphere, "pos").agg(F.min(A.finite(F.col("x"))).alias("__ok"),
-                                         F.var_pop("x").alias("__v"))
+                                         sd_pop(F.col("x")).alias("__v"))
     g = v.groupBy(*sphere).agg(F.count_if("__ok").alias("n_finite"),
                                F.count_if(F.col("__ok") & (F.col("__v") > 0)).alias("n_variable"))
     return g.withColumn("status", F.when(F.col("n_finite") < least, "too_few_finite_voxels")

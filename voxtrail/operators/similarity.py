@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from voxtrail.functions import arrays as A
-from voxtrail.functions.stats import fisher_z, pearson_p, t_greater
+from voxtrail.functions.stats import fisher_z, pearson_p, sd_pop, t_greater
 from voxtrail.operators.ranks import average_ranks
 from voxtrail.operators.report import top_fraction
 from voxtrail.session import cut_lineage
@@ -266,7 +266,7 @@ def group_weight_map(maps: DataFrame, keys: list[str], subject: str, voxel: str,
     """Sum, count and mean over subjects; with ``scale`` each subject's map is z-scored first."""
     v = F.col(value)
     if scale:
-        st = maps.groupBy(*keys, subject).agg(F.avg(value).alias("__m"), F.stddev_pop(value).alias("__s"))
+        st = maps.groupBy(*keys, subject).agg(F.avg(value).alias("__m"), sd_pop(v).alias("__s"))
         maps = maps.join(st, [*keys, subject])
         v = F.when(F.col("__s") > 0, (v - F.col("__m")) / F.col("__s")).otherwise(0.0)
     g = maps.groupBy(*keys, voxel).agg(F.sum(v).alias("total"), F.count(value).alias("n"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from voxtrail.functions.stats import sd_pop
 from voxtrail.operators.ranks import exact_quantiles, time_index
 
 BLOCK = "__block"
@@ -185,7 +186,7 @@ def nuisance(df: DataFrame, keys: list[str], t: str, terms: list[str], fd: str,
     """Motion terms z-scored per run without the constant ones, then the spikes; long form."""
     long = df.select(*keys, t, *[F.col(c).cast("double").alias(c) for c in terms]).unpivot(
         [*keys, t], terms, "name", "v")
-    st = long.groupBy(*keys, "name").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).filter("s > 0")
+    st = long.groupBy(*keys, "name").agg(F.avg("v").alias("m"), sd_pop(F.col("v")).alias("s")).filter("s > 0")
     z = long.join(st, [*keys, "name"]).select(*keys, t, "name", ((F.col("v") - F.col("m")) / F.col("s")).alias("value"))
     sp = spikes(df, keys, t, fd, width).select(
         *keys, t, F.concat(F.lit("spike"), F.col("spike").cast("string")).alias("name"), F.lit(1.0).alias("value"))
