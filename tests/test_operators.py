@@ -148,6 +148,22 @@ def _ledger():
 SCHEMA = "sequence long, event string, stage string, previous_event_sha256 string, event_sha256 string, canonical string"
 
 
+def test_ledger_copies_in_one_pass(spark):
+    rows = _ledger()
+    d = spark.createDataFrame([*rows, *[rows[i] for i in (3, 4, 4)]], SCHEMA)  # copies of a row and of its successor
+    found = V.ledger_issues(d, F.col("canonical"))
+    assert sorted(map(tuple, found.collect())) == [(rows[i][0], "duplicate_sequence") for i in (3, 4)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Union" not in plan
+
+
+def test_ledger_is_not_broadcast(spark):
+    path = scratch_path(spark, "ledger")  # a file: small enough for a broadcast by its own size
+    spark.createDataFrame(_ledger(), SCHEMA).write.parquet(path)
+    d = V.ledger_issues(spark.read.parquet(path), F.col("canonical"))
+    assert d.count() == 0 and "Broadcast" not in d._jdf.queryExecution().executedPlan().toString()
+
+
 def test_constant_in_many_parts_has_no_deviation(spark):
     d = spark.range(0, 490, 1, 10).select(F.lit(1).alias("run"), F.col("id").alias("t"), F.lit(1.0).alias("rot"),  # 49 rows a part: 1 / 49 * 49 < 1
                                           (F.col("id") * 0.1).alias("trans"), F.lit(0.0).alias("fd"))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxtrail.operators.ranks import exact_quantiles, time_index
 
@@ -124,9 +124,10 @@ def misaligned(left: DataFrame, right: DataFrame, index: str, fields: list[str])
 
 
 def previous_row(df: DataFrame, keys: list[str], index: str, cols: list[str]) -> DataFrame:
-    """Columns of the row with index - 1, by an equi-join rather than one long window."""
+    """Columns of the row with index - 1, by an equi-join rather than one long window. It merges and may spill: the
+    other side is as long as the series, however small its columns look to a size check."""
     prev = df.select(*keys, (F.col(index) + 1).alias(index), *[F.col(c).alias("prev_" + c) for c in cols])
-    return df.join(prev, [*keys, index], "left")
+    return df.join(prev.hint("merge"), [*keys, index], "left")
 
 
 def extract_events(events: DataFrame, plan: DataFrame, keys: list[str], t: str, kind: str,
@@ -197,18 +198,22 @@ def kept_regions(counts: DataFrame, region: list[str], n: str, least: int) -> Da
 
 def ledger_issues(ledger: DataFrame, canonical: Column) -> DataFrame:
     """Rows whose sequence, link or hash is wrong. The predecessor is found by an equi-join on
-    sequence - 1, so the chain is checked in parallel."""
-    c = previous_row(ledger, [], "sequence", ["event_sha256"])
+    sequence - 1, so the chain is checked in parallel. A row's own hash is checked before, so that
+    its payload takes no part in the join. Copies are numbered where the join needs them anyway: a count of bare
+    sequences is so small once compressed that the whole chain would be read by one task."""
+    copy = F.row_number().over(Window.partitionBy("sequence").orderBy("event_sha256"))
+    own = ledger.select("sequence", "previous_event_sha256", "event_sha256", copy.alias("__copy"),
+                        F.col("event_sha256").eqNullSafe(F.sha2(canonical, 256)).alias("__same"))
+    c = previous_row(own, [], "sequence", ["event_sha256", "__copy"])
     first = F.col("sequence") == 1
-    copies = ledger.groupBy("sequence").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1")
     issues = F.array(
         F.when(~first & F.col("prev_event_sha256").isNull(), F.lit("sequence_gap")),
         F.when(F.col("prev_event_sha256").isNotNull()
                & ~F.col("previous_event_sha256").eqNullSafe(F.col("prev_event_sha256"))
                | (first & F.col("previous_event_sha256").isNotNull()), F.lit("broken_link")),
-        F.when(~F.col("event_sha256").eqNullSafe(F.sha2(canonical, 256)), F.lit("wrong_hash")))
-    rows = c.select("sequence", F.explode(F.filter(issues, lambda i: i.isNotNull())).alias("issue"))
-    return rows.unionByName(copies.select("sequence", F.lit("duplicate_sequence").alias("issue")))
+        F.when(~F.col("__same"), F.lit("wrong_hash")),
+        F.when((F.col("__copy") == 2) & (F.coalesce("prev___copy", F.lit(1)) == 1), F.lit("duplicate_sequence")))
+    return c.select("sequence", F.explode(F.filter(issues, lambda i: i.isNotNull())).alias("issue"))
 
 
 def stage_status(ledger: DataFrame, subject: str, stages: list[str]) -> DataFrame:
