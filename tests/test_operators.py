@@ -980,6 +980,33 @@ def test_averaged_draws_equal_loops(spark):
     assert got(across, AV.Across(2, 2)) == want == got(across, AV.Across(2, 2), block=400)
 
 
+def test_averaged_draws_are_made_once_for_all_regions():
+    class Counted(AV.Within):
+        def slots(self, some, *more):
+            made.extend(some)
+            return super().slots(some, *more)
+
+    rng = np.random.default_rng(25)
+    left = pd.DataFrame([(roi, t, rng.normal(size=3 + (roi == "c"))) for roi in "abc" for t in range(40) if roi != "b" or t % 5],
+                        columns=["roi", "t", "features"]).sample(frac=1, random_state=1)  # b lacks trials, c is wider
+    cell = {"t": np.arange(40), "y": np.arange(40) % 2, "is_train": np.ones(40, bool), "is_test": np.ones(40, bool), "__k": 1}
+    plan = Counted(14, 2)
+
+    def found(rows):
+        return {roi: pd.concat([dict(AV._cell_draws(AV._regions(rows), cell | {"__p": p}, plan, "lda", False, "1|a"))[roi] for p in range(AV.SHARES)])[
+            ["number", *AV.COUNTS, "share"]].to_numpy(float).tolist() for roi in rows["roi"].unique()}
+
+    made: list[int] = []
+    every = found(left[left["roi"] == "a"]) | found(left[left["roi"] == "b"]) | found(left[left["roi"] == "c"])
+    made.clear()
+    regions, parts = AV._regions(left), []
+    for p in range(AV.SHARES):
+        parts += AV._cell_draws(regions, cell | {"__p": p}, plan, "lda", False, "1|a")
+    assert made == list(range(15))  # each permutation once, in one share, whatever the regions
+    for roi in "abc":
+        assert np.allclose(pd.concat([d for r, d in parts if r == roi])[["number", *AV.COUNTS, "share"]].to_numpy(float), every[roi])
+
+
 def test_averaged_permutations_add_up(spark):
     rng = np.random.default_rng(3)
     pats = spark.createDataFrame([(i % 2, f"r{i % 3}", i, rng.normal(size=4).tolist()) for i in range(300)],

@@ -2,13 +2,13 @@
 
 A draw is one (permutation, repeat) and, inside a source, one fold of it. In each draw a trial belongs
 to one group: a training chunk of a class, a test chunk of a class, or none. No row exists per trial and draw:
-a unit (subject, region) reads its patterns once, gets the short label lists of all its contrasts beside them,
+a unit (subject) has the patterns of all its regions, gets the short label lists of all its contrasts beside them,
 and makes permutation, fold and chunk of every trial from hashes of (permutation, repeat) and the trial, so
-that any task, and any other engine, makes the same ones. The sums of all groups of all draws are the product of
+that any task, and any other engine, makes the same ones. The permutations of a unit are dealt to SHARES tasks. The sums of all groups of all draws are the product of
 their indicator with the pattern matrix; what is left per draw is a handful of mean patterns, which
 are scaled, fitted and scored for thousands of draws together.
 
-A unit above BLOCK bytes is cut into blocks of trials. Each makes its share of the sums, and these are added
+A unit with a region above BLOCK bytes is cut into blocks of trials. Each makes its share of the sums, and these are added
 up per draw before scoring. The label lists (about 20 bytes a trial) are whole for each block, as
 ranks inside a class need all its trials.
 
@@ -30,6 +30,7 @@ from voxtrail.session import cut_lineage
 BLOCK = 1 << 24   # bytes of patterns
 STEP = 1 << 22    # indicator cells of one product
 TOGETHER = 64     # draws whose blocks are added up in one task
+SHARES = 12       # tasks of a block, each with its share of the permutations
 
 
 # ---- draws -----------------------------------------------------------------------------
@@ -133,12 +134,17 @@ class Across:
 
 def group_sums(slots: np.ndarray, x: np.ndarray, train: int, test: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per draw: count and sum of each group, and the sums of squares of the training and of the test trials."""
-    groups, draws = 2 * train + 2 * test, len(slots)
-    inside = (slots[:, None, :] == np.arange(groups, dtype=np.int8)[None, :, None])
-    n = inside.sum(axis=2)
-    s = (inside.reshape(draws * groups, -1).astype(np.float64) @ x).reshape(draws, groups, -1)
-    role = np.stack([(slots >= 0) & (slots < 2 * train), slots >= 2 * train], axis=1)
-    q = (role.reshape(draws * 2, -1).astype(np.float64) @ (x * x)).reshape(draws, 2, -1)
+    groups, draws, xx = 2 * train + 2 * test, len(slots), x * x
+    n, s, q = np.zeros((draws, groups), dtype=np.int64), np.zeros((draws, groups, x.shape[1])), np.zeros((draws, 2, x.shape[1]))
+    step = max(1, STEP // max(1, groups * slots.shape[1]))
+    for first in range(0, draws, step):
+        part, k = slice(first, first + step), len(slots[first:first + step])
+        mine = slots[part]
+        inside = mine[:, None, :] == np.arange(groups, dtype=np.int8)[None, :, None]
+        n[part] = np.count_nonzero(inside, axis=2)
+        s[part] = (inside.reshape(k * groups, -1).astype(np.float64) @ x).reshape(k, groups, -1)
+        role = np.stack([(mine >= 0) & (mine < 2 * train), mine >= 2 * train], axis=1)
+        q[part] = (role.reshape(k * 2, -1).astype(np.float64) @ xx).reshape(k, 2, -1)
     return n, s, q
 
 
@@ -230,14 +236,15 @@ def decode(labels: DataFrame, patterns: DataFrame, shared: list[str], names: lis
     trial, features. The hashes of a cell's draws are seeded with the shared keys and the first name.
 
     Returns the counts and ``accuracy`` (mean over the draws that score) per cell and permutation, or per cell and draw."""
-    unit = [*shared, "roi"]
     cells = labels.groupBy(*shared, *names).agg(F.array_sort(F.collect_list(F.struct(
         F.col(trial).cast("bigint").alias("t"), F.col("y").cast("tinyint").alias("y"), "is_train", "is_test"))).alias("__l")).select(
         *shared, *names, *[F.col(f"__l.{k}").alias(k) for k in ("t", "y", "is_train", "is_test")])
-    size = cut_lineage(patterns.groupBy(*unit).agg(F.ceil(F.sum(F.size("features") * F.lit(8.0)) / block).cast("int").alias("__k")))
-    rows = patterns.join(size, unit).select(*unit, F.pmod(F.xxhash64(trial), F.col("__k")).cast("int").alias("__b"),
-                                            F.col(trial).cast("bigint").alias("t"), "features")
-    beside = size.join(cells, shared).withColumn("__b", F.explode(F.sequence(F.lit(0), F.col("__k") - 1)))
+    size = patterns.groupBy(*shared, "roi").agg(F.ceil(F.sum(F.size("features") * F.lit(8.0)) / block).cast("int").alias("__k"))
+    size = cut_lineage(size.groupBy(*shared).agg(F.max("__k").alias("__k")))
+    share = F.explode(F.sequence(F.lit(0), F.lit(min(SHARES, plan.permutations + 1) - 1))).alias("__p")
+    rows = patterns.join(size, shared).select(*shared, F.pmod(F.xxhash64(trial), F.col("__k")).cast("int").alias("__b"), share, "roi",
+                                              F.col(trial).cast("bigint").alias("t"), "features")
+    beside = size.join(cells, shared).withColumn("__b", F.explode(F.sequence(F.lit(0), F.col("__k") - 1))).select("*", share)
     beside = beside.select(*[F.col(x).alias(x) for x in beside.columns])  # columns of its own: both sides stem from the patterns
     types = dict(cells.dtypes) | {"roi": dict(patterns.dtypes)["roi"]}
     cell = [*shared, "roi", *names]
@@ -245,46 +252,66 @@ def decode(labels: DataFrame, patterns: DataFrame, shared: list[str], names: lis
         "n_draws bigint, n array<bigint>, s array<double>, q array<double>"
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        parts = [_cell_draws(left, r, plan, scorer, per_draw, [r[c] for c in cell], "|".join(str(r[c]) for c in [*shared, names[0]]))
-                 for r in right.to_dict("records")] if len(left) else []
-        if not parts:
-            return pd.DataFrame(columns=[*cell, "number", *COUNTS, "share", "n_draws", "n", "s", "q"])
-        out = pd.concat([p for _, p in parts], ignore_index=True)
-        for i, c in enumerate(cell):
-            out[c] = np.repeat(np.array([v[i] for v, _ in parts]), [len(p) for _, p in parts])
-        return out[[*cell, "number", *COUNTS, "share", "n_draws", "n", "s", "q"]]
-
-    found = rows.groupBy(*unit, "__b").cogroup(beside.groupBy(*unit, "__b")).applyInPandas(run, schema)
+        regions, parts = _regions(left), []
+        for r in right.to_dict("records") if regions else []:
+            for roi, out in _cell_draws(regions, r, plan, scorer, per_draw, "|".join(str(r[c]) for c in [*shared, names[0]])):
+                for c in cell:
+                    out[c] = roi if c == "roi" else r[c]
+                parts.append(out)
+        columns = [*cell, "number", *COUNTS, "share", "n_draws", "n", "s", "q"]
+        return pd.concat(parts, ignore_index=True)[columns] if parts else pd.DataFrame(columns=columns)
+
+    keys = [*shared, "__b", "__p"]
+    found = rows.groupBy(*keys).cogroup(beside.groupBy(*keys)).applyInPandas(run, schema)
     return _united(cut_lineage(found), cell, plan, scorer, per_draw)
 
 
-def _cell_draws(left: pd.DataFrame, r: dict, plan: Within | Across, scorer: str, per_draw: bool, key: list, where: str) -> tuple[list, pd.DataFrame]:
-    """Results of a cell whose patterns are all here; sums of its draws if there are more blocks."""
+def _regions(left: pd.DataFrame) -> dict:
+    """Per region its trials in order and their patterns."""
+    out = {}
+    for roi, part in left.groupby("roi", sort=True):
+        own = part["t"].to_numpy()
+        order = np.argsort(own, kind="stable")
+        out[roi] = own[order], np.stack(part["features"].to_numpy()[order]).astype(np.float64)
+    return out
+
+
+def _cell_draws(regions: dict, r: dict, plan: Within | Across, scorer: str, per_draw: bool, where: str) -> list[tuple]:
+    """Per region: results of a share of a cell's draws if its patterns are all here; their sums if there are more blocks.
+
+    A draw does not depend on the region, so it is made once, and regions that hold the same trials share one product."""
     trial = np.asarray(r["t"], dtype=np.int64)
     y, is_train, is_test = (np.asarray(r[c]) for c in ("y", "is_train", "is_test"))
-    own = left["t"].to_numpy()
-    order = np.argsort(own)
-    at = np.minimum(np.searchsorted(own[order], trial), len(own) - 1)
-    here = own[order][at] == trial
-    x = np.stack(left["features"].to_numpy()[order[at[here]]]).astype(np.float64) if here.any() else np.empty((0, len(left["features"].iloc[0])))
+    together: dict[bytes, tuple] = {}
+    for roi, (own, x) in regions.items():
+        at = np.minimum(np.searchsorted(own, trial), len(own) - 1)
+        here = own[at] == trial
+        together.setdefault(here.tobytes(), (here, []))[1].append((roi, x[at[here]]))
+    stacks = [(here, [roi for roi, _ in of], np.concatenate([x for _, x in of], axis=1), np.cumsum([0, *[x.shape[1] for _, x in of]]))
+              for here, of in together.values()]
     whole = r["__k"] == 1
-    groups = 2 * plan.train + 2 * plan.test
-    step = max(1, STEP // max(1, plan.each * groups * len(trial)))
-    out = []
-    for first in range(0, plan.permutations + 1, step):
-        some = range(first, min(first + step, plan.permutations + 1))
-        slots = plan.slots(some, where, trial, y, is_train.astype(bool), is_test.astype(bool))[:, here]
-        n, s, q = group_sums(slots, x, plan.train, plan.test)
+    every, shares = plan.permutations + 1, min(SHARES, plan.permutations + 1)
+    start, stop = (every * p // shares for p in (r["__p"], r["__p"] + 1))
+    step = max(1, STEP // max(1, plan.each * 2 * (plan.train + plan.test) * len(trial)))
+    found: dict = {roi: [] for roi in regions}
+    for first in range(start, stop, step):
+        some = range(first, min(first + step, stop))
+        slots = plan.slots(some, where, trial, y, is_train.astype(bool), is_test.astype(bool))
         number = first * plan.each + np.arange(len(slots))
-        if not whole:
-            out.append(pd.DataFrame({"number": number, "n": list(n), "s": list(s.reshape(len(s), -1)), "q": list(q.reshape(len(q), -1))}))
-            continue
-        out.append(_counted(number, score(n, s, q, plan, scorer), plan, per_draw))
-    out = pd.concat(out, ignore_index=True)
+        for here, rois, x, ends in stacks:
+            n, sums, squares = group_sums(slots if here.all() else slots[:, here], x, plan.train, plan.test)
+            for i, roi in enumerate(rois):
+                s, q = (v[:, :, ends[i]:ends[i + 1]] for v in (sums, squares))
+                found[roi].append(_counted(number, score(n, s, q, plan, scorer), plan, per_draw) if whole else pd.DataFrame(
+                    {"number": number, "n": list(n), "s": list(s.reshape(len(s), -1)), "q": list(q.reshape(len(q), -1))}))
+    return [(roi, _filled(pd.concat(parts, ignore_index=True))) for roi, parts in found.items()]
+
+
+def _filled(out: pd.DataFrame) -> pd.DataFrame:
     for c in [*COUNTS, "share", "n_draws", "n", "s", "q"]:
         if c not in out:
             out[c] = None
-    return key, out
+    return out
 
 
 def _counted(number: np.ndarray, counts: np.ndarray, plan: Within | Across, per_draw: bool) -> pd.DataFrame:
