@@ -855,6 +855,31 @@ def test_margin_models_of_many_trials_go_in_rounds(margin_tables):
         SV.validate(SV.units(lab, pats, ["subject"], ["contrast", "kind"], most=40), SV.Margin(select="weight"))
 
 
+@pytest.mark.parametrize("wide", [False, True])
+def test_margin_models_do_not_depend_on_blocks(margin_tables, wide, spark, monkeypatch):
+    """The same gap, hits and counts whether a unit is cut or not; also of cut units whose matrices would be too wide."""
+    x, _, (lab, _) = margin_tables
+    lone = lab.filter("contrast = 'a'").withColumn("contrast", F.lit("lone")).withColumn("is_train", F.col("fold") == 1)  # fold 1 has no model
+    rows = [(1, "r", t, [None if t % 7 == 3 and j < 2 else float("nan") if t % 11 == 5 and j == 4 else float(e) + 3 for j, e in enumerate(v)]) for t, v in enumerate(x)]
+    pats = spark.createDataFrame(rows, "subject int, roi string, vec_id int, features array<double>")
+    monkeypatch.setattr(SV, "WIDE", 5 if wide else SV.WIDE)
+    keys = ["subject", "roi", "contrast", "kind", "fold"]
+
+    def got(block):
+        u = SV.units(lab.unionByName(lone), pats, ["subject"], ["contrast", "kind"], block=block)
+        d = SV.validate(u)
+        return u.cut, {tuple(r[k] for k in keys): r for r in d.collect()}, d.dtypes
+
+    (_, whole, kinds), (is_cut, cut, cut_kinds) = got(SV.BLOCK), got(1000)
+    assert is_cut and set(whole) == set(cut) and len(cut) == 12 and kinds == cut_kinds
+    for k, r in whole.items():
+        if r.gap is None:
+            assert k[2] == "lone" and k[4] == 1 and cut[k] == r
+            continue
+        assert r.gap <= 1e-6 and cut[k].gap <= 1e-6 and (wide or abs(r.gap - cut[k].gap) < 1e-9)
+        assert all(r[f] == cut[k][f] for f in ("n_correct", "n_scored", "n_test", "n_selected", "accuracy"))
+
+
 @pytest.mark.parametrize("select", ["none", "weight", "haufe"])
 def test_margin_models_of_thousands_of_trials_are_exact(spark, select):
     n = 5000
