@@ -27,6 +27,7 @@ from voxtrail.session import cut_lineage
 MOST = 4096       # trials of a shared Gram matrix
 BLOCK = 1 << 26   # bytes of patterns
 WIDE = 2048       # features of a cut unit whose matrices are made
+PARTS = 16        # parts of a block of a cut unit
 SLICE = 1 << 16   # numbers in a row of sums
 STEPS = 100
 
@@ -67,6 +68,7 @@ def solve(z: np.ndarray, s: np.ndarray, c: float, tolerance: float, gram: np.nda
         return lambda r: r / d - y @ (inner @ (y.T @ r))
 
     a = np.full(n, c / 2)
+    room = a.copy()  # c - a, which rounds to zero near c
     qa = times(a)
     low, high = np.maximum(qa - 1, 0) + 1, np.maximum(1 - qa, 0) + 1  # multipliers of a >= 0 and of a <= c
     for _ in range(STEPS):
@@ -75,7 +77,6 @@ def solve(z: np.ndarray, s: np.ndarray, c: float, tolerance: float, gram: np.nda
         gap = (primal - a.sum() + value / 2) / max(primal, 1e-12)
         if gap <= tolerance:
             return a, gap
-        room = c - a
         mu = (low @ a + high @ room) / (2 * n)
         step = factor(low / a + high / room)
 
@@ -89,7 +90,7 @@ def solve(z: np.ndarray, s: np.ndarray, c: float, tolerance: float, gram: np.nda
         target = mu * (ahead / mu) ** 3
         da, dl, dh = direction(target - dl * da, target + dh * da)
         t = 0.995 * _longest((a, da), (room, -da), (low, dl), (high, dh))
-        a, low, high = a + t * da, low + t * dl, high + t * dh
+        a, room, low, high = a + t * da, room - t * da, low + t * dl, high + t * dh
         qa = times(a)
     raise RuntimeError(f"a model is above a gap of {tolerance} after {STEPS} steps: {gap}")
 
@@ -215,19 +216,29 @@ def _in_rounds(u: U.Units, m: Margin, schema: str) -> DataFrame:
 
 
 def _in_steps(u: U.Units, m: Margin, schema: str) -> DataFrame:
-    """The steps of ``solve``, three passes over the blocks each. A pass brings no rows of multipliers along: a block
-    repeats its steps from the short answers so far."""
+    """The steps of ``solve``, three passes over PARTS parts of each block. A pass brings no rows of multipliers along: a
+    part repeats its steps from the short answers so far."""
     def listed(left: pd.DataFrame, r: dict) -> pd.DataFrame:
-        t = np.asarray(r["t"], dtype=np.int64)
-        here = np.isin(t, left["t"].to_numpy())
-        fold, is_test = np.asarray(r["fold"], dtype=np.int64), np.asarray(r["is_test"], dtype=bool)
-        out = {k: [np.asarray(r[k], dtype=bool if k.startswith("is") else np.int64)[here]] for k in U.COLUMNS}
-        return pd.DataFrame({"__b": [r["__b"]], **out, "folds": [np.unique(fold[is_test])]})
+        lists = {k: np.asarray(r[k], dtype=bool if k.startswith("is") else np.int64) for k in U.COLUMNS}
+        part = pd.Series(left["__s"].to_numpy(), left["t"].to_numpy())
+        part = part[~part.index.duplicated()].reindex(lists["t"]).fillna(-1).to_numpy()
+        out = [{k: v[part == i] for k, v in lists.items()} | {"__b": r["__b"] * PARTS + i} for i in np.unique(left["__s"])]
+        return pd.DataFrame(out).assign(folds=[np.unique(lists["fold"][lists["is_test"]])] * len(out))
+
+    def packed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        order = np.argsort(pdf["t"].to_numpy(), kind="stable")
+        out = pdf[block].iloc[:1].copy()
+        out["t"], out["features"] = [pdf["t"].to_numpy()[order]], [np.concatenate(pdf["features"].to_numpy()[order])]
+        return out
 
     kinds = ["t array<bigint>", "y array<tinyint>", "fold array<bigint>", "is_train array<boolean>", "is_test array<boolean>"]
     block = [*u.unit, "__b"]
-    dealt = replace(u, rows=_dealt(u.rows, block))
-    lists = cut_lineage(dealt.run(listed, u.schema("__b int", *kinds, "folds array<bigint>"), _dealt(u.beside, block)))
+    rows = u.rows.withColumn("__s", F.pmod(F.hash("t"), F.lit(PARTS)))
+    lists = cut_lineage(replace(u, rows=_dealt(rows.drop("features"), block)).run(
+        listed, u.schema("__b int", *kinds, "folds array<bigint>"), _dealt(u.beside, block)))
+    rows = _dealt(rows.withColumn("__b", F.col("__b") * PARTS + F.col("__s")), block).groupBy(*block).applyInPandas(
+        packed, ", ".join([*[f"`{k}` {u.types[k]}" for k in u.unit], "`__b` int", "t array<bigint>", "features array<double>"]))
+    dealt = replace(u, rows=_dealt(cut_lineage(rows), block))
     none = F.array().cast("array<double>")
     state = cut_lineage(lists.groupBy(*u.cell).agg(F.first("folds").alias("folds")).select(
         *u.cell, "folds", F.transform("folds", lambda f: F.lit(True)).alias("live"), none.alias("said"), none.alias("own"),
@@ -249,11 +260,11 @@ def _in_steps(u: U.Units, m: Margin, schema: str) -> DataFrame:
 def _rows(left: pd.DataFrame, r: dict) -> tuple[np.ndarray, ...]:
     raw = getattr(left, "_rows", None)
     if raw is None:
-        order = np.argsort(left["t"].to_numpy())
-        raw = np.concatenate(left["features"].to_numpy()).reshape(len(left), -1), left["t"].to_numpy()[order], order
+        own = np.asarray(left["t"].iloc[0], dtype=np.int64)
+        raw = _array(left["features"].iloc[0]).reshape(len(own), -1), own
         object.__setattr__(left, "_rows", raw)  # once for all contrasts of the unit
-    x, own, order = raw
-    at = order[np.searchsorted(own, np.asarray(r["t"], dtype=np.int64))]
+    x, own = raw
+    at = np.searchsorted(own, np.asarray(r["t"], dtype=np.int64))
     return x[at], *(np.asarray(r[k], dtype=kind) for k, kind in (("y", np.int64), ("fold", np.int64), ("is_train", bool), ("is_test", bool)))
 
 
@@ -262,12 +273,12 @@ def _block(x: np.ndarray, s: np.ndarray, c: float):
     vector that follow from those of all blocks (``_answer``)."""
     mean = (yield lambda: (np.inf, [len(x), x.sum(axis=0)]))[1:-1]
     zs = np.concatenate([x - mean, np.ones((len(x), 1))], axis=1) * s[:, None]
-    a = np.full(len(x), c / 2)
+    a, room = np.full(len(x), c / 2), np.full(len(x), c / 2)
     v = (yield lambda: (np.inf, [zs.T @ a]))[1:]
     qa = zs @ v
     low, high = np.maximum(qa - 1, 0) + 1, np.maximum(1 - qa, 0) + 1
     while True:
-        room, rest = c - a, high - low
+        rest = high - low
         d = low / a + high / room
         u = (yield lambda: (np.inf, [np.maximum(0, 1 - zs @ v).sum(), a.sum(), low @ a + high @ room,
                                      zs.T @ (rest / d), zs.T @ (zs / d[:, None])]))[1:]
@@ -279,7 +290,8 @@ def _block(x: np.ndarray, s: np.ndarray, c: float):
         da = (up / a - low - down / room + high - zs @ told[1:]) / d
         dl, dh = up / a - low - low / a * da, down / room - high + high / room * da
         told = yield lambda: (_longest((a, da), (room, -da), (low, dl), (high, dh)), [zs.T @ a, zs.T @ da])
-        a, low, high, v = a + told[0] * da, low + told[0] * dl, high + told[0] * dh, told[1:]
+        a, room = a + told[0] * da, room - told[0] * da
+        low, high, v = low + told[0] * dl, high + told[0] * dh, told[1:]
 
 
 def _answer(m: Margin, step: int, said: np.ndarray, own: np.ndarray, least: float, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
